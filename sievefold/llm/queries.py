@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe, vocabulary
 from .common import documents
 from .licenses import license_scan
+from .prefixfree import remove_repeats
 from .tokenfiles import token_files
 from .toxicity import toxicity
 
@@ -29,9 +30,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_toxicity, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_toxicity, op7_remove_repeats, op10_bpe)}
 ORACLE: dict[str, str] = {}
