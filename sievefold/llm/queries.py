@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe, vocabulary
 from .common import documents
+from .exact import exact_duplicates
 from .licenses import license_scan
+from .pii import pii_spans
 from .prefixfree import remove_repeats
+from .secrets import secret_spans
 from .tokenfiles import token_files
 from .toxicity import toxicity
 
@@ -30,13 +33,25 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(documents(spark, sf_dir))
+
+
+def op5_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(documents(spark, sf_dir))
+
+
 def op7_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(documents(spark, sf_dir))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_toxicity, op7_remove_repeats, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_toxicity, op4_pii, op5_exact_duplicates, op7_remove_repeats, op9_secrets, op10_bpe)}
 ORACLE: dict[str, str] = {}
