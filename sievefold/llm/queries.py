@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bagminhash import near_duplicates
 from .bpe import bpe, vocabulary
 from .common import documents
 from .exact import exact_duplicates
@@ -41,6 +42,10 @@ def op5_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op7_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
@@ -53,5 +58,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_toxicity, op4_pii, op5_exact_duplicates, op7_remove_repeats, op9_secrets, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_toxicity, op4_pii, op5_exact_duplicates, op6_near_duplicates, op7_remove_repeats, op9_secrets, op10_bpe)}
 ORACLE: dict[str, str] = {}
