@@ -12,6 +12,7 @@ from .licenses import license_scan
 from .pii import pii_spans
 from .prefixfree import remove_repeats
 from .secrets import secret_spans
+from .tiling import contamination
 from .tokenfiles import token_files
 from .toxicity import toxicity
 
@@ -50,6 +51,10 @@ def op7_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(documents(spark, sf_dir))
 
@@ -58,5 +63,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_toxicity, op4_pii, op5_exact_duplicates, op6_near_duplicates, op7_remove_repeats, op9_secrets, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_toxicity, op4_pii, op5_exact_duplicates, op6_near_duplicates, op7_remove_repeats, op8_decontamination, op9_secrets, op10_bpe)}
 ORACLE: dict[str, str] = {}

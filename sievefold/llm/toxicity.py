@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -269,3 +271,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, model: Model | None = None)
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows that toxicity predicts as toxic; all columns stay, and nothing is shuffled."""
+    model = train(docs, labels)
+    lexicon = Lexicon(model.terms, model.stems, model.exact_only)
+
+    @F.pandas_udf("boolean")
+    def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            x = np.array([features(t, lexicon) for t in s]).reshape(-1, FEATURES)
+            yield pd.Series(model.score(x) >= 0.7, dtype=bool)
+
+    return docs.where(~toxic(F.col("text")))
