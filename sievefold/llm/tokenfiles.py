@@ -1,7 +1,7 @@
 """Operator 2: token ids as binary files of patched frame-of-reference blocks.
 
 A dataset is a folder of Parquet files with one row per segment: the part (a range of doc_id), the
-segment's number in it, the documents' ids and token counts, and a payload. The payload holds blocks
+segment's number and first place in it, the documents' ids and token counts, and a payload. The payload holds blocks
 of BLOCK ids: each block subtracts its minimum, keeps the low bits of every offset at the width that
 the PERCENTILE of its offsets needs, and lists the rest as exceptions (position, value). A block
 index in front (start of each block's words and exceptions) lets a reader decode one block alone.
@@ -30,8 +30,8 @@ from .common import new_path, slices
 BLOCK = 1024
 LANES = 32  # ids of a block lie in 32 lanes of 32; each lane is packed on its own
 PERCENTILE = 0.9
-SEGMENT = 1 << 18  # ids of a segment at most, but for one longer document
-SEGMENT_SCHEMA = "part int, segment int, doc_ids array<long>, counts array<long>, n_ids long, payload binary"
+SEGMENT = 1 << 16  # ids of a segment at most, but for one longer document
+SEGMENT_SCHEMA = "part int, segment int, at long, doc_ids array<long>, counts array<long>, n_ids long, payload binary"
 
 
 def pack(v: np.ndarray, width: int) -> np.ndarray:
@@ -132,19 +132,20 @@ def _segments(rows, content: str, end_id: int):
     encoder = fast_encoder(content)
     added = set(encoder.special_tokens_set)
     end = np.array([end_id], np.uint32)
-    part = segment = 0
+    part = segment = at = 0
     docs: list[tuple[int, np.ndarray]] = []
     held = 0
 
     def flush():
         ids = [x for _, x in docs]
-        return (part, segment, [d for d, _ in docs], [len(x) for x in ids], held, encode_payload(np.concatenate(ids)))
+        return (part, segment, at, [d for d, _ in docs], [len(x) for x in ids], held, encode_payload(np.concatenate(ids)))
 
     for p, doc, text in rows:
         ids = np.concatenate([encoder.encode_to_numpy(text or "", allowed_special=added).astype(np.uint32), end])
         if docs and (p != part or held + len(ids) > SEGMENT):
             yield flush()
-            segment, docs, held = (segment + 1 if p == part else 0), [], 0
+            segment, at = (segment + 1, at + held) if p == part else (0, 0)
+            docs, held = [], 0
         part = p
         docs.append((doc, ids))
         held += len(ids)
@@ -168,7 +169,7 @@ def write(docs: DataFrame, path: str, content: str, *, end_id: int = 0, parts: i
     def run(batches):
         rows = (r for b in slices(batches) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
         names = [x.split(" ")[0] for x in SEGMENT_SCHEMA.split(", ")]
-        types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
         for s in _segments(rows, shared.value, end_id):
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(s, types, strict=True)], names=names)
 
@@ -188,20 +189,15 @@ def read(spark, path: str, *, with_ids: bool = False) -> DataFrame:
 
     start needs one sum per part on the driver; parts don't grow in number beyond what was asked for.
     """
-    from pyspark.sql import Window
-
     files = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
     sums = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     before = dict(zip([p for p, _ in sums], accumulate([0, *(n for _, n in sums)]), strict=False))
-    order = Window.partitionBy("part").orderBy("segment")
-    starts = files.select("part", "segment", "n_ids").withColumn("inside", F.sum("n_ids").over(order) - F.col("n_ids")).drop("n_ids")
-    offsets = spark.createDataFrame([(p, int(n)) for p, n in before.items()], "part int, before long")
-    starts = starts.join(F.broadcast(offsets), "part").select("part", "segment", (F.col("before") + F.col("inside")).alias("at"))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches):
-        for b in batches:
-            for doc_ids, counts, payload, at in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+        for b in slices(batches, 8):
+            for doc_ids, counts, payload, part, at in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                at += before[part]
                 ids = decode_payload(payload)
                 ends = np.cumsum(counts)
                 own = np.split(ids, ends[:-1])
@@ -212,7 +208,7 @@ def read(spark, path: str, *, with_ids: bool = False) -> DataFrame:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return files.join(starts, ["part", "segment"]).select("doc_ids", "counts", "payload", "at").mapInArrow(run, schema)
+    return files.select("doc_ids", "counts", "payload", "part", "at").mapInArrow(run, schema)
 
 
 def token_files(docs: DataFrame, content: str, *, path: str | None = None, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
