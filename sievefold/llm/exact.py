@@ -66,9 +66,10 @@ def exact_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     body = lower_ascii_col(F.col("text"))
     rows = own.select("doc_id", body.alias("body")).select("doc_id", F.xxhash64("body").alias("key"), F.sha2("body", 256).alias("sha"))
     index = build_index(own, capacity=capacity).where("n > 1").select("key", "sha", "keep_id", "n")
-    # copies of one text under one id: all but one are dropped; partitions are small, as ids are
-    same = Window.partitionBy("key", "sha", "doc_id").orderBy("doc_id")
-    rows = rows.join(index, ["key", "sha"], "left").withColumn("nth", F.when(F.col("n") > 1, F.row_number().over(same)).otherwise(F.lit(1)))
+    # copies of one text under one id go as one row with their number: all but one are dropped. The join
+    # is left with nothing above it that needs a key's rows together, so that Spark may split a hot text
+    rows = rows.groupBy("doc_id", "key", "sha").agg(F.count("*").alias("copies"))
+    rows = rows.join(index, ["key", "sha"], "left").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     shared = F.col("n").isNotNull()
     keep = F.when(shared, F.col("keep_id")).otherwise(F.col("doc_id"))
     return rows.select(
