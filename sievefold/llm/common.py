@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: A word of lower-cased text: ASCII letters and digits, and every code point from U+0080 on.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = re.compile(WORD)
+KEYS = 2_000_000  # rows of 8 or 16 bytes that are broadcast at most
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TABLE = {ord(c): c.lower() for c in _UPPER}
 
@@ -44,6 +45,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_few(keys: DataFrame, most: int = KEYS) -> DataFrame:
+    """keys (a stored table) marked for a broadcast if they are counted to be few; else left to a shuffled join."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
+def one_of_each(df: DataFrame, *keys: str) -> DataFrame:
+    """df with one row of those that share all keys; rows with a null key stay. Rows that share none are not shuffled."""
+    known = df.where(" and ".join(f"{k} is not null" for k in keys))
+    shared = stored(known.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys), "shared")
+    if shared.isEmpty():
+        return df
+    few = if_few(shared)
+    once = df.join(few, list(keys), "left_semi").dropDuplicates(list(keys))
+    return df.join(few, list(keys), "left_anti").select(*df.columns).unionByName(once.select(*df.columns))
+
+
 def lower_ascii_col(text: Column) -> Column:
     """Lower-cases A-Z only; null counts as empty. lower() is the same, and faster, on pure ASCII."""
     text = F.coalesce(text, F.lit(""))

@@ -14,10 +14,10 @@ are copies like any other. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii_col, stored
+from .common import if_few, lower_ascii_col, one_of_each, stored
 
 CAPACITY = 1 << 20
 BITS = 16  # of the key that the histogram keeps: the driver sees at most 2**BITS counts
@@ -83,11 +83,10 @@ def exact_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_duplicates drops; all columns stay."""
-    names = docs.columns
-    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    kept = exact_duplicates(docs).where("kept").select(name(F.col("doc_id")).alias("_own_id"), F.col("text_sha256").alias("_own_sha"))
-    marked = docs.withColumns({"_own_id": name(F.col("doc_id")), "_own_sha": F.sha2(lower_ascii_col(F.col("text")), 256)})
-    # rows of one id and text pass the join together; one of them stays, and the join has dealt them alike
-    same = Window.partitionBy("_own_id", "_own_sha").orderBy("_own_id")
-    once = marked.join(kept, ["_own_id", "_own_sha"], "left_semi").withColumn("_nth", F.row_number().over(same))
-    return once.where("_nth = 1").select(*names)
+    id_, sha = F.col("doc_id").cast("long"), F.sha2(lower_ascii_col(F.col("text")), 256)
+    other = exact_duplicates(docs).where("not kept and not (doc_id <=> keep_id)")
+    # a name of 16 bytes for each row to drop; rows that share id and text share it
+    names = [F.xxhash64(id_, sha).alias("_own"), F.xxhash64(sha, id_).alias("_own2")]
+    gone = stored(other.select(F.xxhash64("doc_id", "text_sha256").alias("_own"), F.xxhash64("text_sha256", "doc_id").alias("_own2")).distinct(), "gone")
+    left = docs.withColumns({"_own": names[0], "_own2": names[1]}).join(if_few(gone), ["_own", "_own2"], "left_anti")
+    return one_of_each(left, "_own", "_own2").select(*docs.columns)
