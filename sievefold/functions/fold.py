@@ -8,6 +8,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as the matching rules see it (more than Java's \s, less than its Unicode class).
 SPACE = r"[\t-\r    -     　﻿]"
@@ -36,7 +37,7 @@ def tables() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 

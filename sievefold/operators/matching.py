@@ -168,7 +168,7 @@ def first_samples(text: Column, pattern: str) -> Column:
 
 
 def _clean(text: Column) -> Column:
-    return F.regexp_replace(text, r"[\u0000- \u007f- �]+", " ")
+    return F.regexp_replace(text, r"[\u0000- \u007f- �]+", " ")
 
 
 def grouped_hits(groups: dict[str, DataFrame], terms: list[tuple[str, str, bool]]) -> DataFrame:

@@ -1,0 +1,117 @@
+"""Queries on contents: markup, types by signature, extraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import filetypes as ft
+from ..functions import html as h
+from ..sources import extract, readers
+from .catalog import query
+from .views import table, view
+
+
+@query()
+def x1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of whole pages; checked against an HTML parser in the tests."""
+    return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(h.html_to_text(F.col("html")), r"\s+", " ")).alias("text"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), '\s+', ' ', 'g')) AS title FROM pages")
+def x3_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", h.page_title(F.col("html")).alias("title"))
+
+
+_HEADS = (
+    ("%PDF-1.4\n%\x00\x01", "document", "pdf"),
+    ("MZ" + "\x00" * 80, None, None),
+    ("\x00\x00\x00\x18ftypisom\x00\x00", "video", "iso-media"),
+    ("\x00\x00\x00\x18ftypM4A \x00\x00", "audio", "iso-media"),
+    ("\x89PNG\r\n\x1a\n\x00\x00", "image", "png"),
+    ("PK\x03\x04" + "\x00" * 22 + "\x09\x00\x00\x00META-INF/x", "executable", "jar"),
+    ("PK\x03\x04" + "\x00" * 22 + "\x08\x00\x00\x00mimetypeapp", None, "opendocument"),
+    ("PK\x03\x04" + "\x00" * 22 + "\x05\x00\x00\x00a.txt", "archive", "zip"),
+    ("\x1f\x8b\x08\x00\x00\x00", "archive", "gzip"),
+    ("SQLite format 3\x00\x10\x00", "database", "sqlite"),
+    ("plain words, no signature", None, None),
+    ("ID3\x03\x00\x00\x00\x00\x0f\x76", "audio", "mp3"),
+)
+
+
+@query("SELECT d.doc_id AS id, v.category, v.format FROM documents d JOIN (VALUES " + ", ".join(f"({k}, {'NULL' if c is None else repr(c)}, {'NULL' if f is None else repr(f)})" for k, (_, c, f) in enumerate(_HEADS)) + f") AS v(k, category, format) ON v.k = d.doc_id % {len(_HEADS)}")
+def x18_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A head of each format in turn, before the document's own text."""
+    heads = F.array(*(F.lit(bytearray(s.encode("latin-1"))) for s, *_ in _HEADS))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.get(heads, (F.col("doc_id") % len(_HEADS)).cast("int")).alias("head"))
+    return d.withColumn("x", ft.detect_type(F.col("head"))).select("id", "x.category", "x.format")
+
+
+@query("SELECT id, CASE WHEN lower(name) LIKE '%.txt' OR lower(name) LIKE '%.pdf' OR lower(name) LIKE '%.docx' THEN 'document' WHEN lower(name) LIKE '%.mp3' THEN 'audio' WHEN lower(name) LIKE '%.gz' THEN 'archive' ELSE 'other' END AS category FROM files")
+def x20_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "files").select("id", ft.type_of_all(F.col("name")).alias("category"))
+
+
+@query("SELECT id, CASE WHEN lower(name) LIKE '%.mp3' THEN 'audio' ELSE 'image' END AS category, CASE WHEN lower(name) LIKE '%.mp3' THEN 'extension' ELSE 'content' END AS found_by FROM files WHERE lower(name) LIKE '%.mp3' OR (id % 2 = 0 AND NOT lower(name) LIKE '%.xyz')")
+def x21_renamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures under other names, but for names of a type that isn't known."""
+    head = F.when(F.col("id") % 2 == 0, F.lit(bytearray(b"\x89PNG\r\n\x1a\n\x00\x00\x00"))).otherwise(F.lit(bytearray(b"text only")))
+    x = ft.typed(F.col("name"), head, F.col("size"), ["audio", "image"])
+    return view(spark, sf_dir, "files").select("id", x.alias("x")).where("x is not null").select("id", "x.category", F.col("x.by").alias("found_by"))
+
+
+@query("SELECT id, CASE id % 4 WHEN 0 THEN 'empty' ELSE 'ok' END AS status, CASE WHEN id % 4 = 0 THEN 0 ELSE length(text) END AS chars FROM files")
+def x15_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as UTF-8, with a byte order mark, as UTF-16, or empty, read back as files."""
+    b = F.encode("text", "UTF-8")
+    content = F.when(F.col("id") % 4 == 0, F.lit(bytearray())).when(F.col("id") % 4 == 1, b).when(F.col("id") % 4 == 2, F.concat(F.lit(bytearray(b"\xef\xbb\xbf")), b)).otherwise(F.concat(F.lit(bytearray(b"\xff\xfe")), F.encode("text", "UTF-16LE")))
+    f = view(spark, sf_dir, "files").select("id", F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".txt")).alias("name"), content.alias("content"))
+    done = extract.extract(f.withColumn("size", F.length("content").cast("long")))
+    chars = F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: a + F.length(s["text"]))
+    return done.select("id", "status", chars.alias("chars"))
+
+
+@query("SELECT id, cast(least(length(text), 1000) AS bigint) AS chars FROM files")
+def x16_segment_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    half = F.floor(F.length("text") / 2).cast("int")
+    seg = lambda a, n: F.struct(F.lit("").alias("label"), F.substring("text", a, n).alias("text"))
+    parts = F.array(seg(F.lit(1), half), seg(half + 1, F.length("text")))
+    cut = extract.limited_segments(parts, 1000)
+    return view(spark, sf_dir, "files").select("id", F.aggregate(cut, F.lit(0).cast("long"), lambda a, s: a + F.length(s["text"])).alias("chars"))
+
+
+@query("SELECT conv_id AS id, count(*) AS lines FROM conversations WHERE conv_id % 3 <> 0 GROUP BY conv_id")
+def s12_tolerant_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines of which some are broken, and some glued to a broken one, which is recovered."""
+    c = table(spark, sf_dir, "conversations")
+    line = F.to_json(F.struct(F.lit("s").alias("scanId"), F.col("conv_id").alias("recordId")))
+    broken = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit('{"scanId":"s","rec'), F.lit(""))).when(F.col("conv_id") % 3 == 1, F.concat(F.lit('{"scanId":"x","recordId":7,"it'), line)).otherwise(line)
+    events = readers.parsed_log(c.select(broken.alias("value")), "scanId string, recordId long")
+    return events.groupBy(F.col("recordId").alias("id")).agg(F.count("*").alias("lines"))
+
+
+@query("SELECT id, term FROM (SELECT item_id AS id, trim(split_part(text, ' ', 1)) AS term FROM benchmark)")
+def s24_term_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark")
+    line = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit('"'), F.substring_index("text", " ", 1), F.lit('";x,y;z'))).otherwise(F.concat(F.substring_index("text", " ", 1), F.lit(" ;x;z")))
+    return b.select(F.col("item_id").alias("id"), readers.term_of_line(line, csv=True).alias("term"))
+
+
+@query("SELECT id, lower(address) AS address, concat('b', id, '@y') AS aliases FROM accounts")
+def s25_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proxies = F.array(F.concat(F.lit("SMTP:"), "address"), F.concat(F.lit("smtp:"), "address"), F.concat(F.lit("smtp:B"), F.col("id").cast("string"), F.lit("@Y")))
+    return view(spark, sf_dir, "accounts").select("id", readers.primary_address(proxies, F.lit("?")).alias("address"), F.array_join(readers.account_aliases(proxies, F.col("address")), ",").alias("aliases"))
+
+
+@query("SELECT id FROM messages WHERE role <> 'system' AND turn % 5 <> 0 AND sent >= timestamp '2024-01-10 00:00:00'")
+def s7_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = view(spark, sf_dir, "messages")
+    kind = F.when(F.col("role") == "system", "systemEvent").otherwise("message")
+    marked = m.select("id", kind.alias("message_type"), F.when(F.col("turn") % 5 == 0, F.col("sent")).alias("deleted"), F.col("sent").alias("at"), "turn", "sent")
+    marked = marked.withColumn("deleted", F.when(F.col("turn") % 5 == 0, F.coalesce("sent", F.lit("2024-01-01").cast("timestamp"))))
+    return readers.conversation_messages(marked, since=F.lit("2024-01-10").cast("timestamp")).select("id")
+
+
+@query("SELECT id FROM messages WHERE (sent IS NULL OR sent >= timestamp '2023-12-01 00:00:00') AND sent < timestamp '2024-01-15 00:00:00'")
+def s3_messages_in_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.landed_messages(view(spark, sf_dir, "messages"), since=F.lit("2023-12-01").cast("timestamp"), before=F.lit("2024-01-15").cast("timestamp")).select("id")

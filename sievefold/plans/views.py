@@ -33,7 +33,7 @@ VIEWS: dict[str, str] = {
           CASE WHEN (conv_id + turn) % 19 = 0 THEN cast(NULL AS timestamp) ELSE timestamp '2024-01-31 12:00:00' - interval '1' hour * (conv_id * 31 + turn * 7) END AS sent
         FROM {conversations}""",
     "deletions": """
-        SELECT event_id AS seq, ts AS at, cast(user_id AS bigint) AS item, cast(event_id % 5 AS bigint) AS scan,
+        SELECT event_id AS seq, ts AS done_at, cast(user_id AS bigint) AS item, cast(event_id % 5 AS bigint) AS scan,
           CASE event_id % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'missing' WHEN 2 THEN 'changed' ELSE 'deleted' END AS status,
           CASE event_id % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'retention' ELSE 'auto' END AS mode,
           CASE WHEN event_id % 4 = 0 THEN cast(NULL AS string) ELSE concat('policy', cast(event_id % 3 AS string)) END AS policy,
