@@ -1,7 +1,7 @@
 """Operator 3: toxicity by Levenshtein automata over a lexicon trie, with context windows.
 
 Training (a bounded sample of labelled rows) learns the lexicon: words, and stems with many endings,
-that mark toxic documents. A trie holds them; the Levenshtein automaton of distance 1 is intersected
+that mark toxic documents, by the contexts that they stand in. A trie holds them; the Levenshtein automaton of distance 1 is intersected
 with it and made deterministic state by state as words come, so that a word costs one step per letter
 until it dies. Exact terms, stems and misspelled terms are hits of their own kind. Each hit looks at a
 window of words and characters around it: quotation (marks, reporting words) speaks against abuse,
@@ -32,7 +32,7 @@ LEXICON = 400  # entries at most
 STEM = 4  # shortest stem
 WINDOW = 8  # words on either side
 FUZZY_FROM = 6  # shortest term that may be misspelled: at distance 1 of shorter ones stand other words
-CACHE = 500_000
+CACHE = 100_000  # words that a lexicon remembers; the memory is emptied when full
 _WORD = re.compile(WORD)
 #: Words that report or quote, words that address someone, quotation marks.
 REPORTING = frozenset("said says wrote called quote quoted word term cited dijo escribió palabra disait écrit mot sagte schrieb wort zitat".split())
@@ -152,6 +152,11 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     return [float(np.log1p(counts[TERM])), float(np.log1p(counts[STEMMED])), float(np.log1p(counts[MISSPELLED])), len(hits) / len(found), float(np.log1p(abuse)), float(np.log1p(quoted)), float(np.log1p(close))]
 
 
+def misspelt(text: str | None, lexicon: Lexicon) -> str:
+    """text with a letter doubled in each exact term that may be misspelled."""
+    return _WORD.sub(lambda m: f"{w[:3]}{w[2:]}" if len(w := m.group()) >= FUZZY_FROM and lexicon.kind(w) == TERM else w, lower_ascii(text))
+
+
 @dataclass
 class Model:
     terms: set[str] = field(default_factory=set)
@@ -197,19 +202,25 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if not n.get(0) or not n.get(1):
             return Model()
-        word = rows.select("doc_id", "toxic", F.explode(F.array_distinct("words")).alias("word")).where(F.length("word") >= STEM)
+        # Of each word the words before it: a term of abuse stands in many contexts, a word that copies of one
+        # text share in few, however many the copies are
+        before = F.concat(F.array(F.lit("")), F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))))
+        word = rows.select("doc_id", "toxic", F.explode(F.arrays_zip(F.col("words").alias("word"), before.alias("before"))).alias("x")).select("doc_id", "toxic", "x.*").where(F.length("word") >= STEM)
         toxic, clean = F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c")
+        contexts = F.countDistinct(F.when(F.col("toxic") == 1, F.col("before"))).alias("k")
         # a share of clean documents, so that the rule doesn't hang on how many of each label there are
-        marks = (F.col("t") >= max(3, n[1] // 400)) & (F.col("c") * n[1] <= 0.02 * F.col("t") * n[0])
-        terms = word.groupBy("word").agg(toxic, clean).where(marks).orderBy(F.desc("t"), "word").limit(4 * LEXICON).collect()
-        starts = word.select("doc_id", "toxic", F.explode(F.transform(F.sequence(F.lit(STEM), F.least(F.length("word"), F.lit(8))), lambda k: F.substring("word", F.lit(1), k))).alias("stem")).distinct()
-        stems = starts.groupBy("stem").agg(toxic, clean).where(marks).orderBy(F.desc("t"), F.length("stem"), "stem").limit(4 * LEXICON).collect()
+        marks = (F.col("k") >= max(3, n[1] // 200)) & (F.col("c") * n[1] <= 0.02 * F.col("t") * n[0])
+        each = word.groupBy("word", "doc_id", "toxic").agg(F.min("before").alias("before"))
+        terms = each.groupBy("word").agg(toxic, clean, contexts).where(marks).orderBy(F.desc("t"), "word").limit(4 * LEXICON).collect()
+        starts = each.select("doc_id", "toxic", "before", F.explode(F.transform(F.sequence(F.lit(STEM), F.least(F.length("word"), F.lit(8))), lambda k: F.substring("word", F.lit(1), k))).alias("stem"))
+        starts = starts.groupBy("stem", "doc_id", "toxic").agg(F.min("before").alias("before"))
+        stems = starts.groupBy("stem").agg(toxic, clean, contexts).where(marks).orderBy(F.desc("t"), F.length("stem"), "stem").limit(4 * LEXICON).collect()
         model = lexicon_of({r["word"]: r["t"] for r in terms}, {r["stem"]: r["t"] for r in stems}, n[1])
         sample = rows.select("toxic", "text")
         bare = misspelled_in_clean(sample, model)
         model.exact_only = {t for t, clean_hits in bare.items() if clean_hits}
         shared = Lexicon(model.terms, model.stems, model.exact_only)
-        xy = _features(sample, shared, "toxic").collect()
+        xy = _features(sample, shared, "toxic", variants=True).collect()
         x, y = np.array([r["x"] for r in xy]), np.array([float(r["key"]) for r in xy])
         model.weights = logistic(x, y)
         return model
@@ -249,11 +260,21 @@ def misspelled_in_clean(sample: DataFrame, model: Model) -> Counter:
     return Counter({r["term"]: r["n"] for r in sample.select("toxic", "text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()})
 
 
-def _features(docs: DataFrame, lexicon: Lexicon, key: str) -> DataFrame:
+def _features(docs: DataFrame, lexicon: Lexicon, key: str, *, variants: bool = False) -> DataFrame:
+    """key and features of each row; with variants, also those of every fourth row of key 1 with its terms misspelled."""
+
     def run(batches):
+        n = 0
         for b in slices(batches):
-            x = [features(s, lexicon) for s in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(x, pa.list_(pa.float64()))], names=["key", "x"])
+            keys, x = [], []
+            for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                keys.append(k)
+                x.append(features(s, lexicon))
+                n += k == 1
+                if variants and k == 1 and n % 4 == 0:
+                    keys.append(k)
+                    x.append(features(misspelt(s, lexicon), lexicon))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(x, pa.list_(pa.float64()))], names=["key", "x"])
 
     return docs.select(key, "text").mapInArrow(run, "key long, x array<double>")
 
