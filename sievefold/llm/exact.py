@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import if_few, lower_ascii_col, one_of_each, stored
 
-CAPACITY = 1 << 20
+CAPACITY = 1 << 17  # entries of a bucket, some 10 MB
 BITS = 16  # of the key that the histogram keeps: the driver sees at most 2**BITS counts
 
 

@@ -32,7 +32,7 @@ LENGTH = 200
 TRIGGER = 32
 SPAN = LENGTH - TRIGGER + 1  # places where a window's trigger can stand
 CHUNK = 1 << 17  # bytes that are parsed at once
-GROUP = 100_000
+GROUP = 30_000  # distinct phrases of one trigger that one task resolves
 _BITS = 20
 _rng = np.random.default_rng(20240607)
 _T1 = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -295,7 +295,8 @@ def _digest(batches):
 def repeated_ranges(docs: DataFrame, *, group: int = GROUP) -> DataFrame:
     """doc, s, e: byte ranges that repeated windows cover, not merged. docs has doc (its name) and body (bytes)."""
     rows = docs.select("doc", "body").mapInArrow(_parse_rows, "doc long, place long, trig long, phrase long")
-    shared = rows.groupBy("trig").agg(F.count("*").alias("k")).where("k > 1").select("trig")
+    # as a table, so that the join below has nothing to keep together and Spark may split a hot trigger
+    shared = stored(rows.groupBy("trig").agg(F.count("*").alias("k")).where("k > 1").select("trig"), "triggers")
     found = stored(rows.join(shared.hint("shuffle_hash"), "trig"), "parse")
     words = found.groupBy("trig", "phrase").agg(F.count("*").alias("n"), F.min("doc").alias("doc"), F.min_by("place", "doc").alias("place"))
     words = stored(words, "dictionary")
