@@ -211,6 +211,9 @@ def message_parts(data: bytes, depth: int = 0) -> tuple[list[tuple[str, str]], d
                 out.extend(message_parts(inner.as_bytes(), depth + 1)[0])
         elif part.get_filename():
             head["attachments"].append(part.get_filename())
+            if part.get_content_maintype() == "text":
+                out.append((part.get_filename(), text_of(part)))
+                return
             body = part.get_payload(decode=True) or b""
             segments = read_file(body, "." + part.get_filename().lower().rpartition(".")[2], depth + 1)[2] if depth < MAX_DEPTH else []
             out.extend((part.get_filename(), t) for _, t in segments)

@@ -18,7 +18,8 @@ DELETION = "scanId string, recordId long, status string, error string, note stri
 def files(spark: SparkSession, root: str, *, content: bool = True, exclude: list[str] = ()) -> DataFrame:
     """path, relative_path, name, size, modified and, if asked for, content of all files below root.
 
-    Without content Spark doesn't open the files. Exclusions are filters on the path.
+    Without content Spark doesn't open the files. Exclusions are filters on the path. Spark's reader
+    leaves out files of no bytes.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.sub("^file:(//)?", "", root).rstrip("/")
