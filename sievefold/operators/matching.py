@@ -179,3 +179,36 @@ def grouped_hits(groups: dict[str, DataFrame], terms: list[tuple[str, str, bool]
         every = every.unionByName(p)
     return every.groupBy("id", "location", "term_id").agg(F.sum("count").alias("count"), F.bool_or("truncated").alias("truncated"))
 
+
+
+def user_pattern_hits(docs: DataFrame, term_id: str, pattern: str, *, seconds: float = 30.0, location: str = "content") -> DataFrame:
+    """Hits of a pattern that a person wrote, with a limit on the time per document; what was found until then stays.
+
+    Matches are case-insensitive, from the left, not empty. truncated also tells of a limit that was hit.
+    """
+
+    def run(batches):
+        import regex
+
+        compiled = regex.compile(pattern, regex.IGNORECASE)
+        for b in batches:
+            rows = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n, values, cut = 0, {}, False
+                try:
+                    for m in compiled.finditer(unicodedata.normalize("NFC", text or ""), timeout=seconds):
+                        if m.group():
+                            n += 1
+                            if len(values) < MAX_VALUES:
+                                values[m.group()[:200]] = None
+                            if n >= MAX_COUNT:
+                                cut = True
+                                break
+                except TimeoutError:
+                    cut = True
+                if n or cut:
+                    rows.append((doc, location, term_id, n, list(values), cut))
+            types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["id", "location", "term_id", "count", "values", "truncated"])
+
+    return docs.select("id", "text").mapInArrow(run, HIT)

@@ -30,4 +30,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import aggregates, calendars, content, deletion_log, filters, joins, lifecycle, matching, projections, sinks  # noqa: F401
+    from . import aggregates, calendars, content, deletion_log, filters, joins, layouts, lifecycle, matching, projections, services, sinks  # noqa: F401

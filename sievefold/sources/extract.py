@@ -289,3 +289,20 @@ def limited_segments(segments: Column, most: int = MAX_CHARS) -> Column:
 def office_xml_text(xml: Column) -> Column:
     """The text of one office XML part, as a Column."""
     return xml_to_text(xml)
+
+
+MESSAGE = StructType([StructField(n, StringType()) for n in ("subject", "from", "to", "cc", "message_id", "body")] + [StructField("attachments", ArrayType(StringType())), StructField("addresses", ArrayType(StringType()))])
+
+
+@F.pandas_udf(MESSAGE)
+def read_message(content: pd.Series) -> pd.DataFrame:
+    """Headers, body and attachment names of raw messages; a broken one has empty fields."""
+    rows = []
+    for b in content:
+        try:
+            parts, head = message_parts(bytes(b or b""))
+        except Exception:  # noqa: BLE001 a broken message is a row, not the job's end
+            parts, head = [], {"attachments": [], "addresses": []}
+        body = "\n".join(t for label, t in parts if label == "body")
+        rows.append([*(head.get(k, "") for k in ("subject", "from", "to", "cc", "message-id")), body, head["attachments"], head["addresses"]])
+    return pd.DataFrame(rows, columns=[f.name for f in MESSAGE])

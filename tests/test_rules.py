@@ -178,3 +178,35 @@ def test_counts_and_ends(spark):
     assert recurrence.upcoming(spark, rule, dt.datetime(2026, 1, 1, 3), 9, remaining=4).count() == 4
     assert recurrence.count_between(spark, Rule("daily", D(2026, 1, 1)), dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 11), cap=1000) == 10
     assert recurrence.upcoming(spark, Rule("once", D(2026, 1, 1)), dt.datetime(2026, 2, 1), 1).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("rule", "want"),
+    [
+        (Rule("once", D(2026, 9, 25)), "Uma vez, em 25/09/2026 às 02:00"),
+        (Rule("daily", D(2026, 1, 1), interval=3, end="date", end_date=D(2026, 12, 31)), "A cada 3 dias, às 02:00, até 31/12/2026"),
+        (Rule("weekly", D(2026, 1, 1), weekdays=(1, 4, 6)), "Às segundas e quintas e aos sábados, às 02:00"),
+        (Rule("weekly", D(2027, 1, 1), weekdays=(1,)), "Toda segunda-feira, às 02:00, a partir de 01/01/2027"),
+        (Rule("monthly", D(2026, 1, 1), monthly_mode="weekday", week_of_month=-1, weekday=5), "Todo mês, na última sexta-feira, às 02:00"),
+        (Rule("hourly", D(2026, 1, 1), time="00:00", interval=2, weekdays=(1, 2, 3, 4, 5)), "A cada 2 horas, o dia todo, de segunda a sexta"),
+    ],
+)
+def test_rules_in_words(rule, want):
+    from sievefold.functions import describe
+
+    assert describe.rule(rule, today=D(2026, 6, 1)) == want
+
+
+def test_slow_pattern_ends(spark):
+    from sievefold.operators.matching import user_pattern_hits
+
+    docs = spark.createDataFrame([(1, "a" * 40 + "!"), (2, "xaax")], "id long, text string")
+    got = {r.id: (r["count"], r.truncated) for r in user_pattern_hits(docs, "t", "(a|aa)+$", seconds=0.2).collect()}
+    assert 2 not in got and got.get(1, (0, True))[1]
+
+
+def test_site_keys(spark):
+    from sievefold.operators.clouds import site_key
+
+    for url, want in (("https://T.x/sites/A/Shared%20Documents/b.docx?x=1", "https://t.x/sites/a"), ("https://t.x/", "https://t.x"), ("https://t.x/a/lib/Forms/All.aspx", "https://t.x/a"), ("https://t.x/sites/pages/x", "https://t.x/sites/pages/x"), ("nothing/", "nothing")):
+        assert value(spark, site_key(F.col("text")), url) == want
