@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN
+from .bpe import PATTERN, tokenizer
 from .common import new_path, slices
 
 BLOCK = 1024
@@ -120,8 +120,6 @@ def fast_encoder(content: str):
     if key not in _encoders:
         import tiktoken
 
-        from .bpe import tokenizer
-
         t = tokenizer(content)
         _encoders[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={b: i for i, b in t.bytes_of.items()}, special_tokens=t.added)
     return _encoders[key]
@@ -131,6 +129,13 @@ def _segments(rows, content: str, end_id: int):
     """rows: (part, doc_id, text) in order. Yields rows of SEGMENT_SCHEMA."""
     encoder = fast_encoder(content)
     added = set(encoder.special_tokens_set)
+
+    def encoded(text: str) -> np.ndarray:
+        try:
+            return encoder.encode_to_numpy(text, allowed_special=added).astype(np.uint32)
+        except ValueError:  # its pattern engine gives up on runs of a million spaces
+            return np.array(tokenizer(content).encode(text), np.uint32)
+
     end = np.array([end_id], np.uint32)
     part = segment = at = 0
     docs: list[tuple[int, np.ndarray]] = []
@@ -141,7 +146,7 @@ def _segments(rows, content: str, end_id: int):
         return (part, segment, at, [d for d, _ in docs], [len(x) for x in ids], held, encode_payload(np.concatenate(ids)))
 
     for p, doc, text in rows:
-        ids = np.concatenate([encoder.encode_to_numpy(text or "", allowed_special=added).astype(np.uint32), end])
+        ids = np.concatenate([encoded(text or ""), end])
         if docs and (p != part or held + len(ids) > SEGMENT):
             yield flush()
             segment, at = (segment + 1, at + held) if p == part else (0, 0)

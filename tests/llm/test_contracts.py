@@ -37,8 +37,8 @@ EDGES = [
     (16, "don't we'll I'M  double  spaces\r\n\r\n\ttabs 12345 ½ ²"),
     (17, "x" * 199),
     (18, "secret secret_key=AAAAAAAA passwd:'zzzzzzzz' PaSsWoRd==abc.def/ghi"),
+    (19, "a" + " " * 1_000_000 + "b"),
 ]
-ROWS = EDGES
 
 
 @pytest.fixture(scope="module")
