@@ -32,7 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+")
 _UNSAFE = re.compile(r"[^\t\n\r -~¡-©«-±´¶-¸»¿-ɏΑ-ΡΣ-ωА-я–—‘-„…€]")
 _FULL = regex.compile(PATTERN)
-CACHE = 600_000  # pieces that a worker remembers; the memory is emptied when full
+CACHE = 150_000  # pieces that a worker remembers; the memory is emptied when full
 
 
 def pieces(text: str) -> list[str]:
@@ -99,7 +99,7 @@ class Tokenizer:
         known = self.compatible.get((left, right))
         if known is None:
             known = self._fits(left, right)
-            if len(self.compatible) >= 4 * CACHE:
+            if len(self.compatible) >= 2 * CACHE:
                 self.compatible.clear()
             self.compatible[left, right] = known
         return known
