@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, lower_ascii, lower_ascii_col, slices
@@ -202,20 +202,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if not n.get(0) or not n.get(1):
             return Model()
-        # Of each word the words before it: a term of abuse stands in many contexts, a word that copies of one
-        # text share in few, however many the copies are
-        before = F.concat(F.array(F.lit("")), F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))))
-        word = rows.select("doc_id", "toxic", F.explode(F.arrays_zip(F.col("words").alias("word"), before.alias("before"))).alias("x")).select("doc_id", "toxic", "x.*").where(F.length("word") >= STEM)
-        toxic, clean = F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c")
-        contexts = F.countDistinct(F.when(F.col("toxic") == 1, F.col("before"))).alias("k")
-        # a share of clean documents, so that the rule doesn't hang on how many of each label there are
-        marks = (F.col("k") >= max(3, n[1] // 200)) & (F.col("c") * n[1] <= 0.02 * F.col("t") * n[0])
-        each = word.groupBy("word", "doc_id", "toxic").agg(F.min("before").alias("before"))
-        terms = each.groupBy("word").agg(toxic, clean, contexts).where(marks).orderBy(F.desc("t"), "word").limit(4 * LEXICON).collect()
-        starts = each.select("doc_id", "toxic", "before", F.explode(F.transform(F.sequence(F.lit(STEM), F.least(F.length("word"), F.lit(8))), lambda k: F.substring("word", F.lit(1), k))).alias("stem"))
-        starts = starts.groupBy("stem", "doc_id", "toxic").agg(F.min("before").alias("before"))
-        stems = starts.groupBy("stem").agg(toxic, clean, contexts).where(marks).orderBy(F.desc("t"), F.length("stem"), "stem").limit(4 * LEXICON).collect()
-        model = lexicon_of({r["word"]: r["t"] for r in terms}, {r["stem"]: r["t"] for r in stems}, n[1])
+        terms, stems = _marked(rows, n, stems=False), _marked(rows, n, stems=True)
+        model = lexicon_of(terms, stems)
         sample = rows.select("toxic", "text")
         bare = misspelled_in_clean(sample, model)
         model.exact_only = {t for t, clean_hits in bare.items() if clean_hits}
@@ -228,7 +216,35 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         rows.unpersist()
 
 
-def lexicon_of(terms: dict[str, int], stems: dict[str, int], n_toxic: int) -> Model:
+def _marked(rows: DataFrame, n: dict[int, int], *, stems: bool) -> dict[str, int]:
+    """Words (or stems) that mark toxic documents, and in how many of them they are.
+
+    They stand in few clean documents for their number in toxic ones, and after many different words: a
+    term of abuse has many contexts, a word that copies of one text share has few, however many the copies.
+    """
+
+    def starts(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(STEM), F.greatest(F.lit(STEM), F.least(F.length(w), F.lit(8)))), lambda k: F.substring(w, F.lit(1), k))
+
+    long = F.filter(F.array_distinct("words"), lambda w: F.length(w) >= STEM)
+    held = F.array_distinct(F.flatten(F.transform(long, starts))) if stems else long
+    toxic, clean = F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c")
+    # a share of clean documents, so that the rule doesn't hang on how many of each label there are
+    likely = (F.col("t") >= max(3, n[1] // 400)) & (F.col("c") * n[1] <= 0.02 * F.col("t") * n[0])
+    found = rows.select("toxic", F.explode(held).alias("term")).groupBy("term").agg(toxic, clean).where(likely)
+    counts = {r["term"]: r["t"] for r in found.orderBy(F.desc("t"), F.length("term"), "term").limit(20 * LEXICON).collect()}
+    if not counts:
+        return {}
+    listed = rows.sparkSession.createDataFrame([(k,) for k in counts], "term string")
+    before = F.concat(F.array(F.lit("")), F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))))
+    use = rows.where("toxic = 1").select("doc_id", F.explode(F.arrays_zip(F.col("words").alias("word"), before.alias("before"))).alias("x")).where(F.length("x.word") >= STEM)
+    each = use.select("doc_id", "x.before", (F.explode(starts(F.col("x.word"))) if stems else F.col("x.word")).alias("term")).join(F.broadcast(listed), "term")
+    contexts = each.groupBy("term", "doc_id").agg(F.min("before").alias("before")).groupBy("term").agg(F.countDistinct("before").alias("k"))
+    varied = {r["term"] for r in contexts.where(F.col("k") >= max(3, n[1] // 200)).collect()}
+    return {k: t for k, t in counts.items() if k in varied}
+
+
+def lexicon_of(terms: dict[str, int], stems: dict[str, int]) -> Model:
     """Stems none of whose beginnings is a stem; where one word makes up a stem, that word is a term."""
     short = [s for s in stems if not any(s[:k] in stems for k in range(STEM, len(s)))]
     model = Model()
