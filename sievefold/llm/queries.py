@@ -44,7 +44,7 @@ def op5_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
 
 
 def op7_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +64,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_toxicity, op4_pii, op5_exact_duplicates, op6_near_duplicates, op7_remove_repeats, op8_decontamination, op9_secrets, op10_bpe)}
-ORACLE: dict[str, str] = {}
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The methods' own labels, scores and spans, token ids, tilings and removed bytes are beyond SQL: the tests
+#: hold those queries against plain Python.
+ORACLE: dict[str, str] = {
+    "op5_exact_duplicates": f"""SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM (SELECT doc_id, {_LOW} AS t FROM documents) WINDOW w AS (PARTITION BY t)""",
+    # all pairs that share a shingle, by exact weighted overlap, and their transitive closure
+    "op6_near_duplicates": rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOW}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+        c AS (SELECT doc_id, g, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS m FROM c a JOIN c b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM p JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b WHERE m / (x.n + y.n - m) >= 0.8), either AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, either.b FROM r JOIN either ON r.y = either.a), k AS (SELECT x AS doc_id, min(y) AS class_id FROM r GROUP BY x)
+        SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM k""",
+}

@@ -109,6 +109,17 @@ def test_token_files(spark, sf, edges, real, library):
         assert {d: (r.start, r.n_tokens, r.ids_crc32) for d, r in got.items()} == want
 
 
+def test_cuts(spark):
+    from pyspark.sql import functions as F
+
+    from sievefold.llm.tokenfiles import cuts_below
+
+    for n in (0, 1, 63, 64, 65, 1000):
+        cuts = [3 * k for k in range(n)]
+        got = spark.range(-2, 3 * n + 4).select("id", cuts_below(F.col("id"), cuts).alias("part")).collect()
+        assert all(r.part == sum(c < r.id for c in cuts) for r in got)
+
+
 def test_payload_round_trip():
     import numpy as np
 

@@ -165,3 +165,23 @@ def test_pipeline(spark, sf):
         held = out
     last = corpus_pipeline.run(spark, sf)
     assert {x.doc_id for x in last.collect()} == {x.doc_id for x in held.select("doc_id").collect()}
+
+
+def test_stages_keep_clashing_columns(spark, sf):
+    from pyspark.sql import functions as F
+
+    from sievefold.llm.exact import drop_exact_duplicates
+    from sievefold.llm.tiling import drop_contaminated
+    from sievefold.llm.toxicity import drop_toxic
+
+    names = ("key", "n", "node", "body", "sha", "item_id", "toxic", "words", "class_id", "copies")
+    docs = q.documents(spark, sf).select("*", *(F.col("doc_id").alias(c) for c in names))
+    docs = docs.unionByName(docs.where("doc_id < 3")).unionByName(docs.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(None).cast("string")))
+    labels, items = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    plain = docs.select("doc_id", "text")
+    for stage in (drop_exact_duplicates, drop_near_duplicates, lambda d: drop_toxic(d, labels), lambda d: drop_contaminated(d, items)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        kept = out.select("doc_id", "n").collect()
+        assert all(r.n == r.doc_id or r.doc_id is None for r in kept)
+        assert sorted(str(r.doc_id) for r in kept) == sorted(str(r.doc_id) for r in stage(plain).select("doc_id").collect())
