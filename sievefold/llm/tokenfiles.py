@@ -21,7 +21,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN, tokenizer
@@ -31,6 +31,7 @@ BLOCK = 1024
 LANES = 32  # ids of a block lie in 32 lanes of 32; each lane is packed on its own
 PERCENTILE = 0.9
 SEGMENT = 1 << 16  # ids of a segment at most, but for one longer document
+PART_ROWS, MOST_PARTS = 20_000, 4096  # documents of a part, about; parts that the driver keeps a sum of
 SEGMENT_SCHEMA = "part int, segment int, at long, doc_ids array<long>, counts array<long>, n_ids long, payload binary"
 
 
@@ -158,6 +159,17 @@ def _segments(rows, content: str, end_id: int):
         yield flush()
 
 
+def cuts_below(value: Column, cuts: list[int], width: int = 64) -> Column:
+    """How many of the sorted cuts are below value, by way of every width-th cut; null counts as the smallest."""
+    if not cuts:
+        return F.lit(0)
+    groups = [cuts[k : k + width] for k in range(0, len(cuts), width)]
+    below = lambda listed: F.array_size(F.filter(listed, lambda c: c < value))
+    group = below(F.lit([g[0] for g in groups])) - 1
+    within = below(F.get(F.array(*map(F.lit, groups)), group))
+    return F.coalesce(F.when(group >= 0, group * width + within), F.lit(0)).cast("int")
+
+
 def write(docs: DataFrame, path: str, content: str, *, end_id: int = 0, parts: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encodes docs and writes them in ascending doc_id order.
 
@@ -165,8 +177,9 @@ def write(docs: DataFrame, path: str, content: str, *, end_id: int = 0, parts: i
     are shuffled once and encoded once. A retried task encodes the same rows to the same segments.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if parts is None:
+        parts = min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ids.select("doc_id").count() // PART_ROWS)))
     cuts = ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
     cuts = sorted({int(x) for x in cuts})
     shared = spark.sparkContext.broadcast(content)
@@ -178,9 +191,8 @@ def write(docs: DataFrame, path: str, content: str, *, end_id: int = 0, parts: i
         for s in _segments(rows, shared.value, end_id):
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(s, types, strict=True)], names=names)
 
-    part = F.array_size(F.filter(F.lit(cuts), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
     (
-        ids.withColumn("part", F.coalesce(part, F.lit(0)))
+        ids.withColumn("part", cuts_below(F.col("doc_id"), cuts))
         .repartition(len(cuts) + 1, "part")
         .sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), F.crc32(F.coalesce("text", F.lit(""))))
         .select("part", "doc_id", "text")
