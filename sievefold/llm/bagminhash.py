@@ -11,7 +11,9 @@ fills all slots are not drawn.
 Documents of one bag are one node. Nodes that agree in a band of slots meet in a bucket; each is linked
 to the bucket's smallest node and to the smallest that also agrees in the next band, links are verified
 by exact overlap, and components give classes. While buckets hold different classes, neighbouring ones
-are compared too, until no new link is found. So no bucket, however large, is gathered or paired up.
+are compared too, until no new link is found. Then members that share a bucket with another class are made
+leads, some of each bucket at a time, and compared with all of the bucket's other classes, until no pair
+of different classes in a bucket is untested. So no bucket, however large, is gathered in one task.
 
 Texts of fewer than five words are one shingle. Texts without words, and rows without doc_id, are in
 a class of their own. Rows that share a doc_id share a class. Null texts count as empty.
@@ -31,6 +33,7 @@ from .components import components
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
+LEADS = 64  # members of a bucket that are compared with all of its others at once, at first
 CACHE = 100_000  # words whose hashes a worker remembers; the memory is emptied when full
 _U = np.uint64
 _known: dict[str, int] = {}
@@ -190,22 +193,35 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     links = stored(_verified(pairs, needed(pairs)), "verified")
     # documents that share an id share a class
     shared_ids = member.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("u")).where("u <> v")
-    tested = pairs
+    tested, new, leads = pairs, None, 0
     while True:
-        roots = components(links.unionByName(shared_ids.select("u", "v")))
+        if new is None or not new.isEmpty():
+            roots = components(links.unionByName(shared_ids.select("u", "v")))
         classes = bucket.select("key", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        each = classes.groupBy("key", "root").agg(F.min("node").alias("node"), F.min_by("size", "node").alias("size"))
-        order = Window.partitionBy("key").orderBy("root")
-        beside = each.withColumn("v", F.lag("node").over(order)).withColumn("lead_size", F.lag("size").over(order)).where("v is not null")
-        ratio = F.least("size", "lead_size") >= SIMILARITY * F.greatest("size", "lead_size")
-        more = beside.where(ratio).select(F.col("node").alias("u"), "v").distinct().join(tested, ["u", "v"], "left_anti")
-        more = stored(more, "pairs")
-        if more.isEmpty():
+        classes = stored(classes, "classes")
+        mixed = classes.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).where("low <> high").select("key", "k")
+        mixed = stored(classes.join(stored(mixed, "mixed"), "key"), "mixed")
+        if not leads:
+            each = mixed.groupBy("key", "root").agg(F.min("node").alias("node"), F.min_by("size", "node").alias("size"))
+            order = Window.partitionBy("key").orderBy("root")
+            beside = each.withColumn("v", F.lag("node").over(order)).withColumn("lead_size", F.lag("size").over(order)).where("v is not null")
+        elif mixed.isEmpty():
             break
+        else:
+            # a lead leaves its buckets, as all others there are compared with it now, or are in its class
+            part = F.when(F.col("k") <= leads, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(leads)))
+            lead = mixed.groupBy("key", part.alias("part")).agg(F.min("node").alias("v"), F.min_by("size", "node").alias("lead_size"), F.min_by("root", "node").alias("lead_root"))
+            lead = stored(lead.drop("part"), "leads")
+            beside = mixed.join(lead, "key").where("root <> lead_root")
+            bucket = stored(mixed.select("key", "node", "size").join(lead.select("key", F.col("v").alias("node")), ["key", "node"], "left_anti"), "buckets")
+            leads *= 2
+        ratio = F.least("size", "lead_size") >= SIMILARITY * F.greatest("size", "lead_size")
+        more = beside.where(ratio).select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
+        more = stored(more.join(tested, ["u", "v"], "left_anti"), "pairs")
         new = stored(_verified(more, needed(more)), "verified")
-        if new.isEmpty():
-            break
         links, tested = links.unionByName(new), tested.unionByName(more)
+        if not leads and new.isEmpty():
+            leads = LEADS
     degree = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = stored(roots.join(degree, "node", "left"), "linked")
     known = member.join(linked, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))

@@ -105,6 +105,21 @@ def test_contamination(spark):
         assert sorted((x.doc_id, x.contaminated) for x in got) == [(1, True), (2, True), (3, False), (4, False), (5, False), (5, True)]
 
 
+def test_family_below_the_threshold(spark):
+    """Texts of one template, most of whose pairs are just below the threshold: the few links are found all the same."""
+    rows, base = [], prose(400, 77)
+    for k in range(240):
+        g, w = random.Random(1000 + k), list(base)
+        for at in g.sample(range(400), 6):
+            w[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(w)))
+    pairs = brute.near_pairs(rows)
+    assert 50 < len(pairs) < 2000
+    want = dict(enumerate(brute.classes(rows, pairs)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {x.doc_id: x.class_id for x in got} == want
+
+
 def test_automaton():
     lexicon = Lexicon({"stupid", "scum"}, {"idio"})
     assert [lexicon.kind(w) for w in ("stupid", "scum", "idiots", "stupd", "stupiid", "stuqid", "stup", "scam", "stpid", "stupidly", "")] == [TERM, TERM, STEMMED, MISSPELLED, MISSPELLED, MISSPELLED, NONE, NONE, MISSPELLED, NONE, NONE]
