@@ -3,7 +3,7 @@
 Base kinds are exact patterns. A further generator proposes long mixed-case strings with digits. The
 hashes of all candidates' values are counted over the whole corpus: rows of one value, repository and
 owner are first made distinct (Spark pre-aggregates in each task), then distinct repositories and owners
-are counted per value. A value that many owners hold is a copied example; one that few hold looks live.
+are counted per value. A value that many owners of several repositories hold is a copied example; another looks live.
 Base spans stay either way; further spans are added only if they look live.
 
 Null texts count as empty; a null repository or owner is one of its own. Repeated rows are counted once
@@ -25,9 +25,10 @@ VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"[0-9a-f]{32,}+"
 KINDS = ("assign", "access", "hex")
-#: A run of 24 to 200 characters with a digit and letters of both cases.
-MIXED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,199}[0-9])(?=[A-Z0-9+/_-]{0,199}[a-z])(?=[a-z0-9+/_-]{0,199}[A-Z])[A-Za-z0-9+/_-]{24,200}+={0,2}(?![A-Za-z0-9+/_=-])"
-OWNERS = 3  # owners from which on a value is a copied example
+#: A run of 24 characters or more with a digit and letters of both cases; it may follow the = of an assignment.
+MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_=-])"
+OWNERS = 3  # owners from which on a value is a copied example,
+REPOSITORIES = 2  # if so many repositories hold it, too: what one repository alone repeats is its own
 ENTROPY_KINDS = 14  # different characters that a further candidate has at least
 
 
@@ -38,7 +39,7 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {"assign": assign, "access": found(text, ACCESS, text.contains("AKIA")), "hex": found(text, HEX, text.rlike(HEX))}
 
 
-def secret_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", repository: str = "source", owner: str = "lang", owners: int = OWNERS) -> DataFrame:
+def secret_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", repository: str = "source", owner: str = "lang", owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
     """doc_id, counts of base kinds, base_sha256, spans, n_live, n_copied of every row of docs.
 
     An owner is a repository's owner: the pair of both columns counts. n_live and n_copied tell the
@@ -67,7 +68,7 @@ def secret_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     holders = each.select("value", "repo", "owner").distinct().groupBy("value", "repo").agg(F.count("*").alias("owners"))
     spread = holders.groupBy("value").agg(F.count("*").alias("repos"), F.sum("owners").alias("owners"))
     verdict = each.select("row", "value").distinct().join(spread, "value")
-    live = verdict.groupBy("row").agg(F.collect_set(F.when(F.col("owners") < owners, F.col("value"))).alias("live"))
+    live = verdict.groupBy("row").agg(F.collect_set(F.when((F.col("owners") < owners) | (F.col("repos") < repositories), F.col("value"))).alias("live"))
     judged = some.join(live, "row").select("doc_id", "found", "live")
     return judged.unionByName(plain.select("doc_id", "found", F.array().cast("array<bigint>").alias("live"))).select("doc_id", *_digest())
 

@@ -90,6 +90,19 @@ def test_further_spans_keep_base_ones(spark, sf):
             assert len(spans) >= sum(r[c] for c in r.asDict() if c.startswith("n_") and c not in ("n_live", "n_copied"))
 
 
+def test_mixed_secrets(spark):
+    """Unquoted and long values are candidates; what one repository alone holds is no copied example."""
+    key, long = "Ab3dEf6hIj9lMn2pQr5tUv8xYz1B", "Ab3dEf6hIj9lMn2pQr5tUv8xYz1C" * 8
+    own, copied = "Zb3dEf6hIj9lMn2pQr5tUv8xYz1D", "Yb3dEf6hIj9lMn2pQr5tUv8xYz1E"
+    rows = [(1, f"STRIPE_KEY={key}", "a", "x"), (2, f"k {long} k", "a", "x")]
+    rows += [(10 + k, f"k {own} k", "a", f"o{k}") for k in range(3)] + [(20 + k, f"k {copied} k", f"r{k}", "x") for k in range(3)]
+    got = by_id(secret_spans(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")))
+    assert got[1].spans == f"mixed:11:{11 + len(key)}"
+    assert got[2].spans == "mixed:2:226"
+    assert all((got[10 + k].n_live, got[10 + k].n_copied) == (1, 0) for k in range(3))
+    assert all((got[20 + k].n_live, got[20 + k].n_copied) == (0, 1) for k in range(3))
+
+
 def test_bpe(spark, sf, edges, real, library):
     columns = ("n_tokens", "ids_sha256", "decoded_sha256")
     same(q.op10_bpe(spark, sf), real, columns, lambda t: brute.bpe(t, library))
