@@ -48,7 +48,7 @@ def distinct_terms(terms: DataFrame) -> DataFrame:
     key = F.when(F.col("type") == "text", fold_text(F.col("value"))).otherwise(F.col("value"))
     keyed = terms.withColumn("_key", key).withColumn("_validator", F.coalesce("validator", F.lit("")))
     first = keyed.groupBy("type", "_key", "wholeWord", "_validator").agg(F.min_by(F.struct(*terms.columns), "seq").alias("t"))
-    return first.select("t.*").orderBy("seq").limit(MAX_TERMS)
+    return first.select("t.*").orderBy("seq")
 
 
 def quoted(text: str) -> str:

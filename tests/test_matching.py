@@ -95,3 +95,21 @@ def test_samples(spark):
 @pytest.mark.parametrize(("value", "kind", "want"), [("a*", "regex", "matches-empty"), ("(", "regex", "pattern"), (" ", "text", "empty"), ("x", "text", None), ("x", "other", "type")])
 def test_term_errors(value, kind, want):
     assert m.term_error(value, kind) == want
+
+
+def test_many_distinct_terms(spark):
+    """No term is cut off, however many lists together hold."""
+    from sievefold.operators.matching import MAX_TERMS, distinct_terms
+
+    terms = spark.range(MAX_TERMS + 5).selectExpr("id as seq", "'text' as type", "concat('t', id) as value", "false as wholeWord", "cast(null as string) as validator")
+    assert distinct_terms(terms).count() == MAX_TERMS + 5
+
+
+def test_too_long_a_list(spark, sf, monkeypatch):
+    import pytest
+
+    from sievefold.plans import matching as plans
+
+    monkeypatch.setattr(plans.m, "MAX_TERMS", 3)
+    with pytest.raises(ValueError):
+        plans.m2_many_terms(spark, sf)
