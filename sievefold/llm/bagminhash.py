@@ -8,15 +8,25 @@ keeps its earliest point. Two documents then agree in a slot with the probabilit
 Jaccard similarity, the sum of smaller weights over the sum of larger ones. Points later than what
 fills all slots are not drawn.
 
-Documents of one bag are one node. Nodes that agree in a band of slots meet in a bucket; each is linked
-to the bucket's smallest node and to the smallest that also agrees in the next band, links are verified
-by exact overlap, and components give classes. While buckets hold different classes, neighbouring ones
-are compared too, until no new link is found. Then members that share a bucket with another class are made
-leads, some of each bucket at a time, and compared with all of the bucket's other classes, until no pair
-of different classes in a bucket is untested. So no bucket, however large, is gathered in one task.
+Blocks take the place of the hierarchical splitting that
+BagMinHash uses to draw the earliest points first: the process is the same, and points that come too
+late to count are left out by a time limit.
+
+A slot is kept as 16 bits of its time, four slots make a band of 64 bits, and the bands together are the
+signature. Documents of one bag are one node. Nodes that agree in a band meet in a bucket:
+
+* First each is linked to its bucket's smallest node and to the smallest that also agrees in the next
+  band; links are verified by exact overlap, and components give classes.
+* Then, in each bucket that holds several classes, all members outside its largest class are compared with
+  all members of other classes. Blocks of both sides are brought together, so that no task sees a whole
+  bucket. Pairs that agree in fewer than SCREEN slots are out (for texts that are alike enough that is as unlikely
+  as sharing no band); the rest are verified by exact overlap. No pair of different classes in a bucket stays untested.
+
+To verify a unit of pairs (a lead with some members, or two blocks), each of its texts is sent to it once.
 
 Texts of fewer than five words are one shingle. Texts without words, and rows without doc_id, are in
-a class of their own. Rows that share a doc_id share a class. Null texts count as empty.
+a class of their own. Rows that share a doc_id share a class. Null texts count as empty; very long texts
+are sketched whole, few at a time; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,16 +34,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_few, one_of_each, stored, words
+from .common import if_few, one_of_each, slices, stored, whole_groups, words
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
-LEADS = 64  # members of a bucket that are compared with all of its others at once, at first
+SCREEN = 76  # slots that compared signatures have in common at least; at similarity 0.8 it is 102 on average, give or take 4.5
+LEFT, RIGHT = 32, 128  # members of the two blocks of a unit, about,
+LEFT_SIZE, RIGHT_SIZE = 1 << 18, 1 << 19  # and their shingles
 CACHE = 100_000  # words whose hashes a worker remembers; the memory is emptied when full
 _U = np.uint64
 _known: dict[str, int] = {}
@@ -111,27 +123,27 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) ->
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
-    """(bags, BANDS) hashes of the bands' times."""
-    bits = sig.view(np.uint64).reshape(len(sig), BANDS, ROWS)
-    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sig), BANDS))
-    for r in range(ROWS):
-        out = _mix(out + bits[:, :, r])
-    return out
+    """(bags, BANDS): each band's ROWS times, cut to 16 bits each."""
+    cut = _mix(sig.view(np.uint64)).astype("<u2")
+    return cut.view("<u8").view(np.int64)
+
+
+def bag_name(own: tuple[np.ndarray, np.ndarray], seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(own[0].tobytes() + own[1].astype(np.int64).tobytes(), seed)
 
 
 def _sketch(batches):
-    for b in batches:
-        for at in range(0, b.num_rows, 128):
-            part = b.slice(at, 128)
-            bags = [bag(s) for s in part.column(1).to_pylist()]
-            full = [k for k, (h, _) in enumerate(bags) if len(h)]
-            found = bands(signatures([bags[k] for k in full])).view(np.int64) if full else []
-            rows: list = [None] * len(bags)
-            for k, x in zip(full, found, strict=True):
-                rows[k] = x
-            name = [(xxhash.xxh64_intdigest(m := h.tobytes() + c.astype(np.int64).tobytes()), xxhash.xxh64_intdigest(m, 1)) for h, c in bags]
-            cols = [part.column(0).cast(pa.int64()), *(pa.array(np.array([n[k] for n in name], np.uint64).view(np.int64)) for k in (0, 1)), pa.array([int(c.sum()) for _, c in bags], pa.int64()), pa.array(rows, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "bag1", "bag2", "size", "bands"])
+    for part in slices(batches, 128, column=1):
+        bags = [bag(s) for s in part.column(1).to_pylist()]
+        full = [k for k, (h, _) in enumerate(bags) if len(h)]
+        found = bands(signatures([bags[k] for k in full])) if full else []
+        rows: list = [None] * len(bags)
+        for k, x in zip(full, found, strict=True):
+            rows[k] = x
+        names = (pa.array(np.array([bag_name(x, seed) for x in bags], np.uint64).view(np.int64)) for seed in (0, 1))
+        cols = [part.column(0).cast(pa.int64()), *names, pa.array([int(c.sum()) for _, c in bags], pa.int64()), pa.array(rows, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "bag1", "bag2", "size", "bands"])
+    _known.clear()
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -142,93 +154,131 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _verify(batches):
-    last: dict[int, tuple] = {}
-
-    def own(node, text):
-        if node not in last:
-            if len(last) >= 64:
-                last.clear()
-            last[node] = bag(text)
-        return last[node]
-
-    for b in batches:
-        u, v, tu, tv = (b.column(k).to_pylist() for k in range(4))
-        s = [overlap(own(x, p), own(y, q)) for x, y, p, q in zip(u, v, tu, tv, strict=True)]
-        keep = [k for k, x in enumerate(s) if x >= SIMILARITY]
-        yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in keep], pa.int64()), pa.array([v[k] for k in keep], pa.int64())], names=["u", "v"])
+    """Rows (unit, node, bag1, partners, text), sorted by unit: the pairs that overlap enough."""
+    for unit in whole_groups(batches, "unit"):
+        bags = {}
+        name = list(zip(unit.column("node").to_pylist(), unit.column("bag1").to_pylist(), strict=True))
+        for own, text in zip(name, unit.column("text").to_pylist(), strict=True):
+            if own not in bags:
+                b = bag(text)
+                if bag_name(b) == own[1] % (1 << 64):  # else a text of the same id with another bag
+                    bags[own] = b
+        pairs = {(own, (p["node"], p["bag1"])) for own, ps in zip(name, unit.column("partners").to_pylist(), strict=True) for p in ps}
+        good = [(u[0], v[0]) for u, v in pairs if overlap(bags[u], bags[v]) >= SIMILARITY]
+        yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in (0, 1)], names=["u", "v"])
+    _known.clear()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (u, v) whose bags overlap enough."""
-    left = texts.select(F.col("node").alias("u"), F.col("text").alias("tu"))
-    right = texts.select(F.col("node").alias("v"), F.col("text").alias("tv"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "tu", "tv").mapInArrow(_verify, "u long, v long")
+    """u, v of those of pairs (unit, u, ubag, v, vbag) whose bags overlap enough. A unit has a bounded number of texts."""
+    partner = F.struct(F.col("v").alias("node"), F.col("vbag").alias("bag1"))
+    ends = pairs.select("unit", F.col("u").alias("node"), F.col("ubag").alias("bag1"), F.array(partner).alias("p"))
+    ends = ends.unionByName(pairs.select("unit", F.col("v").alias("node"), F.col("vbag").alias("bag1"), F.expr("slice(array(struct(v as node, vbag as bag1)), 1, 0)").alias("p")))
+    needs = stored(ends.groupBy("unit", "node", "bag1").agg(F.flatten(F.collect_list("p")).alias("partners")), "needs")
+    rows = texts.join(if_few(needs), "node").select("unit", "node", "bag1", "partners", "text")
+    return stored(rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify, "u long, v long"), "links")
+
+
+def _screen(batches):
+    """Rows of units, sorted: pairs of a left and a right member that may be alike enough."""
+    for unit in whole_groups(batches, "nth", "key", "i", "j"):
+        sig = np.array(unit.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
+        node, name, size, root, side = (unit.column(c).to_numpy() for c in ("node", "bag1", "size", "root", "side"))
+        left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+        both = {(int(node[k]), int(name[k])) for k in np.flatnonzero(side == 1)}
+        in_left = np.array([(int(node[k]), int(name[k])) in both for k in right])
+        nth = int(unit.column("nth")[0].as_py())
+        us, vs = [], []
+        lanes = sig[right].view("<u2")
+        for k in left:
+            fits = (root[right] != root[k]) & (np.minimum(size[right], size[k]) >= SIMILARITY * np.maximum(size[right], size[k]))
+            fits &= ~in_left | (node[right] < node[k])
+            at = np.flatnonzero(fits)
+            at = at[(lanes[at] == sig[k].view("<u2")).sum(axis=1) >= SCREEN]
+            at = right[at]
+            at = at[(sig[at] == sig[k]).argmax(axis=1) == nth]  # a pair belongs to the first bucket that it shares
+            us += [k] * len(at)
+            vs += at.tolist()
+        cols = [pa.array(x, pa.int64()) for x in (node[us], name[us], node[vs], name[vs])] if us else [pa.array([], pa.int64())] * 4
+        unit_id = xxhash.xxh64_intdigest(repr([unit.column(c)[0].as_py() for c in ("nth", "key", "i", "j")])) - (1 << 63)
+        yield pa.RecordBatch.from_arrays([pa.array([unit_id] * len(us), pa.int64()), *cols], names=["unit", "u", "ubag", "v", "vbag"])
+
+
+def _blocks(rows: Column, size: Column, most: int, most_size: int) -> Column:
+    return F.ceil(F.greatest(rows / most, size / most_size)).cast("int")
+
+
+def _similar_size(a: str, b: str) -> Column:
+    return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
+
+
+def _leads(bucket: DataFrame) -> DataFrame:
+    """unit, u, ubag, v, vbag: each member with its bucket's smallest, and with the smallest that agrees in the next band, too."""
+    closer = bucket.groupBy("nth", "key", "next").agg(F.min_by(F.struct("node", "bag1", "size"), F.struct("node", "bag1")).alias("lead"), F.count("*").alias("k"), F.sum("size").alias("all")).where("k > 1")
+    closer = bucket.drop("lead", "k", "all").join(stored(closer, "closer"), ["nth", "key", "next"])
+    near = bucket.select(closer.columns).unionByName(closer)
+    fits = (F.struct("node", "bag1") != F.struct("lead.node", "lead.bag1")) & _similar_size("size", "lead.size")
+    part = F.pmod(F.xxhash64("node", "bag1"), _blocks(F.col("k"), F.col("all"), RIGHT, RIGHT_SIZE))
+    pairs = near.where(fits).select(F.xxhash64("lead.node", "lead.bag1", part).alias("unit"), F.col("node").alias("u"), F.col("bag1").alias("ubag"), F.col("lead.node").alias("v"), F.col("lead.bag1").alias("vbag"))
+    # a unit of a lead has as many members as its bucket gives it; of a pair in several buckets the smallest unit stays
+    return stored(pairs.groupBy("u", "ubag", "v", "vbag").agg(F.min("unit").alias("unit")), "pairs")
+
+
+def _rest(bucket: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """unit, u, ubag, v, vbag: pairs of different classes in a bucket that pass the screen."""
+    classes = bucket.select("nth", "key", "node", "bag1", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = stored(classes, "classes")
+    each = classes.groupBy("nth", "key", "root").agg(F.count("*").alias("k"), F.sum("size").alias("all"))
+    mixed = each.groupBy("nth", "key").agg(F.max_by("root", F.struct("k", "root")).alias("big"), F.sum("k").alias("k"), F.sum("all").alias("all"), (F.sum("k") - F.max("k")).alias("m"), (F.sum("all") - F.max_by("all", F.struct("k", "root"))).alias("part"), F.count("*").alias("n")).where("n > 1")
+    mixed = mixed.select("nth", "key", "big", _blocks(F.col("m"), F.col("part"), LEFT, LEFT_SIZE).alias("lefts"), _blocks(F.col("k"), F.col("all"), RIGHT, RIGHT_SIZE).alias("rights"))
+    rows = stored(classes.join(stored(mixed, "mixed"), ["nth", "key"]), "members")
+    rows = rows.join(if_few(stored(nodes.select("node", "bag1", "bands"), "sketches"), 100_000), ["node", "bag1"])
+    name = F.xxhash64("node", "bag1")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = ["nth", "key", "node", "bag1", "size", "root", "bands"]
+    left = rows.where("root <> big").select(*own, F.pmod(name, F.col("lefts")).cast("int").alias("i"), every("rights").alias("j"), F.lit(1).alias("side"))
+    right = rows.select(*own, every("lefts").alias("i"), F.pmod(name, F.col("rights")).cast("int").alias("j"), F.lit(2).alias("side"))
+    unit = ["nth", "key", "i", "j"]
+    ready = left.unionByName(right).repartition(*unit).sortWithinPartitions(*unit)
+    return stored(ready.mapInArrow(_screen, "unit long, u long, ubag long, v long, vbag long"), "pairs")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id (the class's smallest doc_id), class_size, n_links (of the row's bag) of every row."""
+    """doc_id, class_id (the class's smallest doc_id) and class_size of every row."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketch = stored(own.mapInArrow(_sketch, "doc_id long, bag1 long, bag2 long, size long, bands array<long>"), "sketch")
     real = sketch.where("size > 0 and doc_id is not null")
     # as a table, so that the joins with it may be split where one bag has very many copies
     bags = stored(real.groupBy("bag1", "bag2").agg(F.min("doc_id").alias("node")), "bags")
-    member = stored(real.select("doc_id", "bag1", "bag2").join(bags, ["bag1", "bag2"]).select("doc_id", "node").distinct(), "members")
+    member = stored(real.select("doc_id", "bag1", "bag2").join(bags, ["bag1", "bag2"]).select("doc_id", "node").distinct(), "nodes")
     first = bags.select(F.col("node").alias("doc_id"), "bag1", "bag2")
-    nodes = real.join(first, ["doc_id", "bag1", "bag2"], "left_semi").dropDuplicates(["doc_id", "bag1", "bag2"]).select(F.col("doc_id").alias("node"), "size", "bands")
-    at = F.posexplode(F.transform("bands", lambda x, i: F.struct(x.alias("key"), F.try_element_at("bands", (i + 1) % BANDS + 1).alias("next"))))
-    rows = nodes.select("node", "size", at.alias("nth", "b")).select("node", "size", F.col("b.key").alias("key"), F.col("b.next").alias("next"))
-    shared = rows.groupBy("key").agg(F.min(F.col("node")).alias("lead"), F.min_by("size", "node").alias("lead_size"), F.count("*").alias("k")).where("k > 1").drop("k")
-    bucket = stored(rows.join(shared, "key"), "buckets")
-    closer = bucket.groupBy("key", "next").agg(F.min("node").alias("lead"), F.min_by("size", "node").alias("lead_size"), F.count("*").alias("k")).where("k > 1").drop("k")
-    near = bucket.select("node", "size", "lead", "lead_size").unionByName(bucket.drop("lead", "lead_size").join(closer, ["key", "next"]).select("node", "size", "lead", "lead_size"))
-    fits = (F.col("node") != F.col("lead")) & (F.least("size", "lead_size") >= SIMILARITY * F.greatest("size", "lead_size"))
-    pairs = stored(near.where(fits).select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct(), "pairs")
+    nodes = real.join(first, ["doc_id", "bag1", "bag2"], "left_semi").dropDuplicates(["doc_id", "bag1", "bag2"]).select(F.col("doc_id").alias("node"), "bag1", "size", "bands")
+    rows = nodes.select("node", "bag1", "size", F.posexplode("bands").alias("nth", "key"), F.col("bands").alias("b"))
+    rows = rows.select("node", "bag1", "size", "nth", "key", F.try_element_at("b", (F.col("nth") + 1) % BANDS + 1).alias("next"))
+    shared = rows.groupBy("nth", "key").agg(F.min_by(F.struct("node", "bag1", "size"), F.struct("node", "bag1")).alias("lead"), F.count("*").alias("k"), F.sum("size").alias("all")).where("k > 1")
+    bucket = stored(rows.join(stored(shared, "shared"), ["nth", "key"]), "buckets")
     texts = own.where("doc_id is not null").withColumnRenamed("doc_id", "node")
-
-    def needed(pairs: DataFrame) -> DataFrame:
-        # only texts that are compared are shuffled
-        ids = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "compared")
-        return texts.join(if_few(ids), "node", "left_semi").dropDuplicates(["node"])
-
-    links = stored(_verified(pairs, needed(pairs)), "verified")
     # documents that share an id share a class
-    shared_ids = member.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("u")).where("u <> v")
-    tested, new, leads = pairs, None, 0
-    while True:
-        if new is None or not new.isEmpty():
-            roots = components(links.unionByName(shared_ids.select("u", "v")))
-        classes = bucket.select("key", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        classes = stored(classes, "classes")
-        mixed = classes.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).where("low <> high").select("key", "k")
-        mixed = stored(classes.join(stored(mixed, "mixed"), "key"), "mixed")
-        if not leads:
-            each = mixed.groupBy("key", "root").agg(F.min("node").alias("node"), F.min_by("size", "node").alias("size"))
-            order = Window.partitionBy("key").orderBy("root")
-            beside = each.withColumn("v", F.lag("node").over(order)).withColumn("lead_size", F.lag("size").over(order)).where("v is not null")
-        elif mixed.isEmpty():
-            break
-        else:
-            # a lead leaves its buckets, as all others there are compared with it now, or are in its class
-            part = F.when(F.col("k") <= leads, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(leads)))
-            lead = mixed.groupBy("key", part.alias("part")).agg(F.min("node").alias("v"), F.min_by("size", "node").alias("lead_size"), F.min_by("root", "node").alias("lead_root"))
-            lead = stored(lead.drop("part"), "leads")
-            beside = mixed.join(lead, "key").where("root <> lead_root")
-            bucket = stored(mixed.select("key", "node", "size").join(lead.select("key", F.col("v").alias("node")), ["key", "node"], "left_anti"), "buckets")
-            leads *= 2
-        ratio = F.least("size", "lead_size") >= SIMILARITY * F.greatest("size", "lead_size")
-        more = beside.where(ratio).select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
-        more = stored(more.join(tested, ["u", "v"], "left_anti"), "pairs")
-        new = stored(_verified(more, needed(more)), "verified")
-        links, tested = links.unionByName(new), tested.unionByName(more)
-        if not leads and new.isEmpty():
-            leads = LEADS
-    degree = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count("*").alias("n_links"))
-    linked = stored(roots.join(degree, "node", "left"), "linked")
-    known = member.join(linked, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    ids = member.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("u")).where("u <> v").select("u", "v")
+    roots = components(_verified(_leads(bucket), texts).unionByName(ids))
+    more = _verified(_rest(bucket, nodes, roots), texts)
+    if not more.isEmpty():
+        roots = _joined(roots, more)
+    known = stored(member.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("class_id")), "known")
     # as a table, so that the join below may be split where one class is large
-    sizes = stored(sketch.select("doc_id").join(known, "doc_id").groupBy("class_id").agg(F.count("*").alias("class_size")).where("class_size > 1"), "sizes")
-    out = sketch.select("doc_id").join(known, "doc_id", "left").join(sizes, "class_id", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    each = stored(sketch.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "each")
+    sizes = stored(each.where("class_id is not null").groupBy("class_id").agg(F.count("*").alias("class_size")).where("class_size > 1"), "sizes")
+    return each.join(sizes, "class_id", "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+
+
+def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """roots after links (u, v) are added: only the classes that they touch are connected anew."""
+    name = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    ends = more.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+    top = components(ends).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    alone = top.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return stored(moved.unionByName(alone), "roots")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

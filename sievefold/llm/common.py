@@ -6,6 +6,9 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,8 +81,40 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(lower_ascii(text))
 
 
-def slices(batches, rows: int = 512):
-    """Arrow batches cut to few rows, so that a worker holds few texts as Python objects at once."""
+def slices(batches, rows: int = 512, *, column: int | None = None, size: int = 2 << 20):
+    """Arrow batches cut to few rows, and to about size bytes of a column of texts (or one text, if it is longer),
+    so that a worker holds little as Python objects at once, however long the texts are."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if column is None:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+            continue
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = total[at - 1] if at else 0
+            end = max(at + 1, min(at + rows, int(np.searchsorted(total, before + size, side="right"))))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def whole_groups(batches, *keys: str):
+    """Tables of all rows that share keys, one after another; the rows come sorted by them, and each group is small."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        table = pa.Table.from_batches([batch])
+        for s, e in zip(starts, starts[1:], strict=False):
+            part = table.slice(s, e - s)
+            if held and any(held[0].column(k)[0] != part.column(k)[0] for k in keys):
+                yield pa.concat_tables(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.concat_tables(held)
