@@ -220,7 +220,7 @@ def bpe(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text
 
     def run(batches):
         t = tokenizer(content.value)
-        for b in slices(batches):
+        for b in slices(batches, column=1):
             n, sha, back, all_ids, texts = [], [], [], [], []
             for s in b.column(1).to_pylist():
                 joined = t.encode_joined(s or "")

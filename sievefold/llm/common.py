@@ -98,6 +98,13 @@ def slices(batches, rows: int = 512, *, column: int | None = None, size: int = 2
             at = end
 
 
+def verdicts(texts: pa.Array, judge) -> pa.Array:
+    """judge's booleans for texts, which it gets a slice at a time."""
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    found = [pa.array(judge(own.column(0).to_pylist()), pa.bool_()) for own in slices([batch], column=0)]
+    return pa.concat_arrays(found) if found else pa.array([], pa.bool_())
+
+
 def whole_groups(batches, *keys: str):
     """Tables of all rows that share keys, one after another; the rows come sorted by them, and each group is small."""
     held: list[pa.Table] = []

@@ -66,7 +66,7 @@ def document_counts(docs: DataFrame, vocabulary: set[str], *, text: str = "text"
     def run(batches):
         seen: Counter[str] = Counter()
         n = 0
-        for b in slices(batches):
+        for b in slices(batches, column=0):
             for s in b.column(0).to_pylist():
                 n += 1
                 seen.update(vocabulary.intersection(words(s)))
@@ -127,7 +127,7 @@ def license_scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, column=1):
             found = [scan(s, known, index, need) for s in b.column(1).to_pylist()]
             cols = [pa.array([f[k] for f in found], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *cols], names=["doc_id", *names])

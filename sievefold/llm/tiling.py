@@ -21,13 +21,12 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, words
+from .common import slices, verdicts, words
 
 MATCH, COVERAGE = 5, 0.5
 BLOCK = 4_000_000
@@ -164,7 +163,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, coverage: float = CO
 def _pass(shared, last: bool):
     def run(batches):
         items = Items(shared.value)
-        for b in slices(batches):
+        for b in slices(batches, column=1):
             found = []
             for text, *before in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True):
                 now = best_item(text, items)
@@ -177,11 +176,11 @@ def _pass(shared, last: bool):
 
 
 def _marks(shared: Broadcast, coverage: float):
-    @F.pandas_udf("boolean")
-    def marked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def marked(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         items = Items(shared.value)
         for s in texts:
-            yield pd.Series([best_item(x, items)[1] >= coverage for x in s], dtype=bool)
+            yield verdicts(s, lambda own: [best_item(x, items)[1] >= coverage for x in own])
 
     return marked
 

@@ -185,7 +185,7 @@ def write(docs: DataFrame, path: str, content: str, *, end_id: int = 0, parts: i
     shared = spark.sparkContext.broadcast(content)
 
     def run(batches):
-        rows = (r for b in slices(batches) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+        rows = (r for b in slices(batches, column=2) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
         names = [x.split(" ")[0] for x in SEGMENT_SCHEMA.split(", ")]
         types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
         for s in _segments(rows, shared.value, end_id):

@@ -20,12 +20,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, lower_ascii, lower_ascii_col, slices
+from .common import WORD, lower_ascii, lower_ascii_col, slices, verdicts
 
 SAMPLE = 8_000  # labelled rows that training reads at most, for each label
 LEXICON = 400  # entries at most
@@ -265,7 +264,7 @@ def misspelled_in_clean(sample: DataFrame, model: Model) -> Counter:
 
     def run(batches):
         out: Counter[str] = Counter()
-        for b in slices(batches):
+        for b in slices(batches, column=1):
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if toxic == 0:
                     for w in set(_WORD.findall(lower_ascii(text))):
@@ -281,7 +280,7 @@ def _features(docs: DataFrame, lexicon: Lexicon, key: str, *, variants: bool = F
 
     def run(batches):
         n = 0
-        for b in slices(batches):
+        for b in slices(batches, column=1):
             keys, x = [], []
             for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 keys.append(k)
@@ -301,7 +300,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, model: Model | None = None)
     lexicon = Lexicon(model.terms, model.stems, model.exact_only)
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, column=1):
             x = np.array([features(s, lexicon) for s in b.column(1).to_pylist()]).reshape(-1, FEATURES)
             s = model.score(x)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(s, pa.float64()), pa.array((s >= 0.7).astype(np.int32), pa.int32())], names=["doc_id", "score", "predicted"])
@@ -315,10 +314,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     lexicon = Lexicon(model.terms, model.stems, model.exact_only)
 
-    @F.pandas_udf("boolean")
-    def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def toxic(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in texts:
-            x = np.array([features(t, lexicon) for t in s]).reshape(-1, FEATURES)
-            yield pd.Series(model.score(x) >= 0.7, dtype=bool)
+            yield verdicts(s, lambda own: model.score(np.array([features(t, lexicon) for t in own]).reshape(-1, FEATURES)) >= 0.7)
 
     return docs.where(~toxic(F.col("text")))
