@@ -17,7 +17,10 @@ signature. Documents of one bag are one node. Nodes that agree in a band meet in
 
 * First each is linked to its bucket's smallest node and to the smallest that also agrees in the next
   band; links are verified by exact overlap, and components give classes.
-* Then, in each bucket that holds several classes, all members outside its largest class are compared with
+* Then, in each bucket that holds several classes, every member outside its largest class is compared with HEADS
+  members of that class, which a hash picks anew for each bucket and round; signatures choose the likely pairs. That
+  goes on while it finds links.
+* Last, in what buckets still hold several classes, all members outside the largest are compared with
   all members of other classes. Blocks of both sides are brought together, so that no task sees a whole
   bucket. Pairs that agree in fewer than SCREEN slots are out (for texts that are alike enough that is as unlikely
   as sharing no band); the rest are verified by exact overlap. No pair of different classes in a bucket stays untested.
@@ -33,6 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +48,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 SCREEN = 76  # slots that compared signatures have in common at least; at similarity 0.8 it is 102 on average, give or take 4.5
-LEFT, RIGHT = 32, 128  # members of the two blocks of a unit, about,
-LEFT_SIZE, RIGHT_SIZE = 1 << 18, 1 << 19  # and their shingles
+HEADS, BEST = 4, 8  # members of the largest class that others are compared with in a bucket; likeliest of all these pairs that are verified
+LEFT, RIGHT = 512, 2048  # members of the two blocks of a unit, about,
+LEFT_SIZE, RIGHT_SIZE = 1 << 18, 1 << 20  # and their shingles
+FEW = 300_000  # rows of 24 bytes, or signatures, that are broadcast at most
 CACHE = 100_000  # words whose hashes a worker remembers; the memory is emptied when full
 _U = np.uint64
 _known: dict[str, int] = {}
@@ -154,29 +160,40 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _verify(batches):
-    """Rows (unit, node, bag1, partners, text), sorted by unit: the pairs that overlap enough."""
+    """Rows (unit, node, bag1, text, v, vbag), sorted by unit; a row has a text, or says that node is paired with v: the pairs that overlap enough."""
     for unit in whole_groups(batches, "unit"):
+        texts, pairs = unit.filter(pc.is_null(unit.column("v"))), unit.filter(pc.is_valid(unit.column("v")))
         bags = {}
-        name = list(zip(unit.column("node").to_pylist(), unit.column("bag1").to_pylist(), strict=True))
-        for own, text in zip(name, unit.column("text").to_pylist(), strict=True):
-            if own not in bags:
-                b = bag(text)
-                if bag_name(b) == own[1] % (1 << 64):  # else a text of the same id with another bag
-                    bags[own] = b
-        pairs = {(own, (p["node"], p["bag1"])) for own, ps in zip(name, unit.column("partners").to_pylist(), strict=True) for p in ps}
-        good = [(u[0], v[0]) for u, v in pairs if overlap(bags[u], bags[v]) >= SIMILARITY]
-        yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        for part in slices(texts.to_batches(), column=texts.column_names.index("text")):
+            for own, text in zip(zip(part.column("node").to_pylist(), part.column("bag1").to_pylist(), strict=True), part.column("text").to_pylist(), strict=True):
+                if own not in bags:
+                    b = bag(text)
+                    if bag_name(b) == own[1] % (1 << 64):  # else a text of the same id with another bag
+                        bags[own] = b
+        us, ubags, vs, vbags = (pairs.column(c).to_pylist() for c in ("node", "bag1", "v", "vbag"))
+        good = [k for k in range(len(us)) if overlap(bags[us[k], ubags[k]], bags[vs[k], vbags[k]]) >= SIMILARITY]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in good], pa.int64()) for x in (us, vs)], names=["u", "v"])
     _known.clear()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """u, v of those of pairs (unit, u, ubag, v, vbag) whose bags overlap enough. A unit has a bounded number of texts."""
-    partner = F.struct(F.col("v").alias("node"), F.col("vbag").alias("bag1"))
-    ends = pairs.select("unit", F.col("u").alias("node"), F.col("ubag").alias("bag1"), F.array(partner).alias("p"))
-    ends = ends.unionByName(pairs.select("unit", F.col("v").alias("node"), F.col("vbag").alias("bag1"), F.expr("slice(array(struct(v as node, vbag as bag1)), 1, 0)").alias("p")))
-    needs = stored(ends.groupBy("unit", "node", "bag1").agg(F.flatten(F.collect_list("p")).alias("partners")), "needs")
-    rows = texts.join(if_few(needs), "node").select("unit", "node", "bag1", "partners", "text")
-    return stored(rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify, "u long, v long"), "links")
+    ends = pairs.select("unit", F.col("u").alias("node"), F.col("ubag").alias("bag1")).union(pairs.select("unit", "v", "vbag"))
+    needs = stored(ends.distinct(), "needs")
+    own = texts.join(if_few(needs, FEW), "node").select("unit", "node", "bag1", "text", F.lit(None).cast("long").alias("v"), F.lit(None).cast("long").alias("vbag"))
+    listed = pairs.select("unit", F.col("u").alias("node"), F.col("ubag").alias("bag1"), F.lit(None).cast("string").alias("text"), "v", "vbag")
+    rows = own.unionByName(listed).repartition("unit").sortWithinPartitions("unit")
+    return stored(rows.mapInArrow(_verify, "u long, v long"), "links")
+
+
+def _nearest(batches):
+    """Members with heads of their bucket's largest class: the pairs that may be alike enough, with the slots that agree."""
+    for b in batches:
+        table = pa.Table.from_batches([b])
+        sig = np.array(table.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
+        head = np.array(table.column("vbands").to_pylist(), np.int64).reshape(-1, BANDS)
+        agree = (sig.view("<u2") == head.view("<u2")).sum(axis=1)
+        yield table.select(["unit", "u", "ubag", "v", "vbag"]).append_column("agree", pa.array(agree, pa.int64())).filter(pa.array(agree >= SCREEN)).combine_chunks().to_batches()[0] if (agree >= SCREEN).any() else pa.RecordBatch.from_pylist([], schema=pa.schema([(c, pa.int64()) for c in ("unit", "u", "ubag", "v", "vbag", "agree")]))
 
 
 def _screen(batches):
@@ -224,20 +241,40 @@ def _leads(bucket: DataFrame) -> DataFrame:
     return stored(pairs.groupBy("u", "ubag", "v", "vbag").agg(F.min("unit").alias("unit")), "pairs")
 
 
-def _rest(bucket: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """unit, u, ubag, v, vbag: pairs of different classes in a bucket that pass the screen."""
+def _mixed(bucket: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of buckets of several classes, with their class, the bucket's largest class, and the counts of blocks."""
     classes = bucket.select("nth", "key", "node", "bag1", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = stored(classes, "classes")
     each = classes.groupBy("nth", "key", "root").agg(F.count("*").alias("k"), F.sum("size").alias("all"))
-    mixed = each.groupBy("nth", "key").agg(F.max_by("root", F.struct("k", "root")).alias("big"), F.sum("k").alias("k"), F.sum("all").alias("all"), (F.sum("k") - F.max("k")).alias("m"), (F.sum("all") - F.max_by("all", F.struct("k", "root"))).alias("part"), F.count("*").alias("n")).where("n > 1")
+    largest = F.struct("k", "root")
+    mixed = each.groupBy("nth", "key").agg(F.max_by("root", largest).alias("big"), F.sum("k").alias("k"), F.sum("all").alias("all"), (F.sum("k") - F.max("k")).alias("m"), (F.sum("all") - F.max_by("all", largest)).alias("part"), F.count("*").alias("n")).where("n > 1")
     mixed = mixed.select("nth", "key", "big", _blocks(F.col("m"), F.col("part"), LEFT, LEFT_SIZE).alias("lefts"), _blocks(F.col("k"), F.col("all"), RIGHT, RIGHT_SIZE).alias("rights"))
     rows = stored(classes.join(stored(mixed, "mixed"), ["nth", "key"]), "members")
-    rows = rows.join(if_few(stored(nodes.select("node", "bag1", "bands"), "sketches"), 100_000), ["node", "bag1"])
+    return stored(rows.join(if_few(nodes, FEW // 3), ["node", "bag1"]), "members")
+
+
+def _heads(members: DataFrame, turn: int) -> DataFrame:
+    """unit, u, ubag, v, vbag: members outside the largest class of their bucket, with the likeliest of its heads."""
+    picks = [F.min_by(F.struct(F.col("node").alias("v"), F.col("bag1").alias("vbag"), F.col("size").alias("vsize"), F.col("bands").alias("vbands")), F.xxhash64("node", F.lit(turn * HEADS + k))) for k in range(HEADS)]
+    heads = stored(members.where("root = big").groupBy("nth", "key").agg(F.array_distinct(F.array(*picks)).alias("heads")), "heads")
+    rows = members.where("root <> big").join(heads, ["nth", "key"]).withColumn("h", F.explode("heads")).where(_similar_size("size", "h.vsize"))
+    # of a head's members as many as a block has make up a unit
+    unit = F.xxhash64("h.v", "h.vbag", F.pmod(F.xxhash64("node", "bag1"), F.col("lefts")))
+    rows = rows.select(unit.alias("unit"), F.col("node").alias("u"), F.col("bag1").alias("ubag"), "h.v", "h.vbag", "bands", "h.vbands")
+    likely = rows.mapInArrow(_nearest, "unit long, u long, ubag long, v long, vbag long, agree long")
+    once = likely.groupBy("u", "ubag", "v", "vbag").agg(F.min("unit").alias("unit"), F.first("agree").alias("agree"))
+    best = once.groupBy("u", "ubag").agg(F.slice(F.sort_array(F.collect_list(F.struct("agree", "v", "vbag", "unit")), False), 1, BEST).alias("best"))  # of BANDS * HEADS at most
+    best = best.select("u", "ubag", F.explode("best").alias("b"))
+    return stored(best.select("b.unit", "u", "ubag", "b.v", "b.vbag"), "pairs")
+
+
+def _rest(members: DataFrame) -> DataFrame:
+    """unit, u, ubag, v, vbag: all pairs of different classes in a bucket that pass the screen."""
     name = F.xxhash64("node", "bag1")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = ["nth", "key", "node", "bag1", "size", "root", "bands"]
-    left = rows.where("root <> big").select(*own, F.pmod(name, F.col("lefts")).cast("int").alias("i"), every("rights").alias("j"), F.lit(1).alias("side"))
-    right = rows.select(*own, every("lefts").alias("i"), F.pmod(name, F.col("rights")).cast("int").alias("j"), F.lit(2).alias("side"))
+    left = members.where("root <> big").select(*own, F.pmod(name, F.col("lefts")).cast("int").alias("i"), every("rights").alias("j"), F.lit(1).alias("side"))
+    right = members.select(*own, every("lefts").alias("i"), F.pmod(name, F.col("rights")).cast("int").alias("j"), F.lit(2).alias("side"))
     unit = ["nth", "key", "i", "j"]
     ready = left.unionByName(right).repartition(*unit).sortWithinPartitions(*unit)
     return stored(ready.mapInArrow(_screen, "unit long, u long, ubag long, v long, vbag long"), "pairs")
@@ -261,9 +298,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # documents that share an id share a class
     ids = member.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("u")).where("u <> v").select("u", "v")
     roots = components(_verified(_leads(bucket), texts).unionByName(ids))
-    more = _verified(_rest(bucket, nodes, roots), texts)
-    if not more.isEmpty():
-        roots = _joined(roots, more)
+    sketches, turn = stored(nodes.select("node", "bag1", "bands"), "sketches"), 0
+    while True:
+        members = _mixed(bucket, sketches, roots)
+        if members.isEmpty():
+            break
+        more = _verified(_heads(members, turn), texts)
+        if more.isEmpty():
+            more = _verified(_rest(members), texts)
+            roots = roots if more.isEmpty() else _joined(roots, more)
+            break
+        # classes only grow together: a bucket of one class stays one
+        roots, bucket, turn = _joined(roots, more), members, turn + 1
     known = stored(member.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("class_id")), "known")
     # as a table, so that the join below may be split where one class is large
     each = stored(sketch.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "each")

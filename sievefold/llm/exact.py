@@ -1,77 +1,117 @@
 """Operator 5: exact duplicates through an extendible-hash index on shared files; DataFrame functions only.
 
-A text's key is the 64-bit hash of its normalised form. The directory addresses buckets by leading
-bits of the key: while a bucket holds more than CAPACITY keys, the directory doubles and the bucket
-splits. Each owner task writes the buckets of its key range to the shared folder, one entry per
-distinct text; texts that share a key are chained as entries of their own, because entries are formed
-by comparing whole normalised texts, not hashes. Copies are pre-aggregated where they are read, so that
-a text that a third of the rows hold reaches the shuffle once per task; rows then look their entry up.
+A text's key is the 64-bit hash of its normalised form. The directory addresses buckets by leading bits of the key:
+while a bucket holds more than CAPACITY distinct keys, the directory doubles and the bucket splits, as deep as it
+takes. Every row finds its bucket in the directory. Owner tasks each hold a range of buckets and keys: they sort
+the texts of a key, compare them byte by byte, and chain those that differ as entries of their own. A row then reads
+its bucket's chain and takes the entry of its text; no other way leads to an entry.
+
+Only keys that several rows share have texts to compare, so only those texts are shuffled, and copies are
+pre-aggregated where they are read: a text that a third of the rows hold reaches the shuffle once per task.
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty. The row with the largest
 doc_id stays; a null doc_id is smaller than any. Of rows equal in id and text one stays, the others
-are copies like any other. An empty table gives an empty result.
+are copies like any other. Very long texts are compared whole. An empty table gives an empty result. Columns other
+than id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections import defaultdict
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import if_few, lower_ascii_col, one_of_each, stored
 
-CAPACITY = 1 << 17  # entries of a bucket, some 10 MB
-BITS = 16  # of the key that the histogram keeps: the driver sees at most 2**BITS counts
+CAPACITY = 1 << 17  # keys of a bucket, some 10 MB of entries
+OWNERS = 4096  # owner tasks at most; each then holds more buckets
 
 
-def directory(counts: dict[int, int], capacity: int = CAPACITY) -> dict[int, tuple[int, int]]:
-    """leading bits -> (bucket, local depth), for all prefixes that have keys.
+def split(counts: dict[int, int], bits: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
+    """Buckets (depth, leading bits at that depth) in the order of their keys; counts: leading bits -> keys.
 
-    A bucket is (depth, leading bits at that depth). Buckets that BITS bits can't split further stay
-    overfull; their owner task sorts and spills.
+    A bucket that bits bits can't split further stays overfull.
     """
-    depth, buckets = 0, {(0, 0): sum(counts.values())}
-    while depth < BITS and any(d == depth and n > capacity for (d, _), n in buckets.items()):
-        depth += 1
-        full = {b for b, n in buckets.items() if b[0] == depth - 1 and n > capacity}
-        for d, bits in full:
-            del buckets[d, bits]
-            for half in (2 * bits, 2 * bits + 1):
-                buckets[depth, half] = sum(n for p, n in counts.items() if p >> (BITS - depth) == half)
-    number = {b: k for k, b in enumerate(sorted(buckets, key=lambda b: (b[1] << (BITS - b[0]), b[0])))}
-    out = {}
-    for p in counts:
-        d = next(d for d in range(depth + 1) if (d, p >> (BITS - d)) in buckets)
-        out[p] = (number[d, p >> (BITS - d)], d)
+    levels: list[dict[int, int]] = [defaultdict(int) for _ in range(bits)] + [counts]
+    for d in range(bits, 0, -1):
+        for p, n in levels[d].items():
+            levels[d - 1][p >> 1] += n
+    out, todo = [], [(0, 0)]
+    while todo:
+        d, p = todo.pop()
+        if d < bits and levels[d].get(p, 0) > capacity:
+            todo += [(d + 1, 2 * p + 1), (d + 1, 2 * p)]
+        else:
+            out.append((d, p))
     return out
 
 
-def build_index(docs: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
-    """bucket, depth, key, sha, keep_id, n: an entry per distinct text, on shared files. docs: doc_id, text."""
-    spark = docs.sparkSession
+@dataclass
+class Directory:
+    """2**depth slots, each the address of a bucket; a bucket of less depth has several slots."""
+
+    depth: int
+    slots: DataFrame  # slot, bucket, local_depth
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """rows (with key) and the bucket that each key belongs to."""
+        slot = F.shiftrightunsigned("key", 64 - self.depth) if self.depth else F.lit(0).cast("long")
+        return rows.withColumn("slot", slot).join(F.broadcast(self.slots), "slot").drop("slot")
+
+
+def directory(keys: DataFrame, capacity: int = CAPACITY) -> Directory:
+    """From a table of distinct keys. The driver gets the counts of about twice as many prefixes as there are buckets."""
+    bits = max(1, math.ceil(math.log2(max(1, keys.count() / capacity))) + 1)
+    while True:
+        lead = F.shiftrightunsigned("key", 64 - bits)
+        counts = {r["lead"]: r["n"] for r in keys.groupBy(lead.alias("lead")).agg(F.count("*").alias("n")).collect()}
+        buckets = split(counts, bits, capacity)
+        # keys are hashes: a few more bits split any bucket but one of keys that are the same in all bits
+        if bits >= 62 or not any(d == bits and counts.get(p, 0) > capacity for d, p in buckets):
+            break
+        bits += 1
+    depth = max(d for d, _ in buckets)
+    rows = [(k, d, p << (depth - d), ((p + 1) << (depth - d)) - 1) for k, (d, p) in enumerate(buckets)]
+    slots = keys.sparkSession.createDataFrame(rows, "bucket int, local_depth int, low long, high long")
+    return Directory(depth, slots.select(F.explode(F.sequence("low", "high")).alias("slot"), "bucket", "local_depth"))
+
+
+@dataclass
+class Index:
+    directory: Directory
+    entries: DataFrame  # bucket, local_depth, key, nth (place in the key's chain), sha (null for a chain of one row), keep_id, n
+
+
+def build_index(docs: DataFrame, *, capacity: int = CAPACITY) -> Index:
+    """An entry per distinct text, on shared files. docs: doc_id, text."""
     norm = docs.select("doc_id", lower_ascii_col(F.col("text")).alias("body")).select("doc_id", F.xxhash64("body").alias("key"), "body")
-    chains = norm.groupBy("key", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    entries = stored(chains.select("key", F.sha2("body", 256).alias("sha"), "keep_id", "n"), "entries")
-    lead = F.shiftrightunsigned("key", 64 - BITS).cast("int")
-    counts = {r["lead"]: r["n"] for r in entries.groupBy(lead.alias("lead")).agg(F.count("*").alias("n")).collect()}
-    buckets = directory(counts, capacity)
-    table = spark.createDataFrame([(p, b, d) for p, (b, d) in buckets.items()], "lead int, bucket int, depth int")
-    placed = entries.withColumn("lead", lead).join(F.broadcast(table), "lead").drop("lead")
-    owners = max(1, min(len(set(buckets.values())), 4096))
-    return stored(placed.repartitionByRange(owners, "bucket", "key").sortWithinPartitions("bucket", "key", "sha"), "index")
+    keys = stored(norm.groupBy("key").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")), "keys")
+    known = directory(keys, capacity)
+    owners = max(1, min(known.slots.select("bucket").distinct().count(), OWNERS))
+    # all texts of keys that several rows share, one row per distinct text
+    several = if_few(stored(keys.where("n > 1").select("key"), "several"))
+    texts = norm.join(several, "key").groupBy("key", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    owned = known.placed(texts).repartitionByRange(owners, "bucket", "key")
+    chain = Window.partitionBy("bucket", "key").orderBy("body")  # by owner tasks: nothing is shuffled again
+    chained = owned.withColumn("nth", F.dense_rank().over(chain) - 1)
+    cols = ["bucket", "local_depth", "key", "nth", "sha", "keep_id", "n"]
+    single = known.placed(keys.where("n = 1")).withColumns({"nth": F.lit(0), "sha": F.lit(None).cast("string")}).repartitionByRange(owners, "bucket", "key")
+    entries = single.select(cols).unionByName(chained.withColumn("sha", F.sha2("body", 256)).select(cols))
+    return Index(known, stored(entries.sortWithinPartitions("bucket", "key", "nth"), "index"))
 
 
-def exact_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every row of docs."""
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    body = lower_ascii_col(F.col("text"))
-    rows = own.select("doc_id", body.alias("body")).select("doc_id", F.xxhash64("body").alias("key"), F.sha2("body", 256).alias("sha"))
-    index = build_index(own, capacity=capacity).where("n > 1").select("key", "sha", "keep_id", "n")
+def look_up(docs: DataFrame, index: Index) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every row of docs (doc_id, text), by the entries of its bucket."""
+    rows = docs.select("doc_id", lower_ascii_col(F.col("text")).alias("body")).select("doc_id", F.xxhash64("body").alias("key"), F.sha2("body", 256).alias("sha"))
     # copies of one text under one id go as one row with their number: all but one are dropped. The join
     # is left with nothing above it that needs a key's rows together, so that Spark may split a hot text
-    rows = rows.groupBy("doc_id", "key", "sha").agg(F.count("*").alias("copies"))
-    rows = rows.join(index, ["key", "sha"], "left").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    shared = F.col("n").isNotNull()
-    keep = F.when(shared, F.col("keep_id")).otherwise(F.col("doc_id"))
+    rows = index.directory.placed(rows.groupBy("doc_id", "key", "sha").agg(F.count("*").alias("copies")))
+    shared = index.entries.where("sha is not null").select("bucket", "key", "sha", "keep_id", "n")
+    rows = rows.join(shared, ["bucket", "key", "sha"], "left").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    keep = F.when(F.col("n").isNotNull(), F.col("keep_id")).otherwise(F.col("doc_id"))
     return rows.select(
         "doc_id",
         keep.alias("keep_id"),
@@ -81,6 +121,12 @@ def exact_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     )
 
 
+def exact_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every row of docs."""
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return look_up(own, build_index(own, capacity=capacity))
+
+
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_duplicates drops; all columns stay."""
     id_, sha = F.col("doc_id").cast("long"), F.sha2(lower_ascii_col(F.col("text")), 256)

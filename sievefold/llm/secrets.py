@@ -1,14 +1,19 @@
 """Operator 9: secrets, told from copied examples by how many repositories and owners hold them; DataFrame functions only.
 
-Base kinds are exact patterns. A further generator proposes long mixed-case strings with digits. The
-hashes of all candidates' values are counted over the whole corpus: rows of one value, repository and
-owner are first made distinct (Spark pre-aggregates in each task), then distinct repositories and owners
-are counted per value. A value that many owners of several repositories hold is a copied example; another looks live.
-Base spans stay either way; further spans are added only if they look live.
-
-Null texts count as empty; a null repository or owner is one of its own. Repeated rows are counted once
-for their owner, and each gives a row. Documents without candidates take no part in the shuffle of
-candidates.
+Base kinds are exact patterns. A further generator proposes long mixed-case strings with digits that touch no base
+span. The 128-bit hashes of all candidates' values are counted over the whole corpus: rows of one value,
+repository and owner are first made distinct (Spark pre-aggregates in each task), then distinct repositories and
+owners are counted per value. A value that OWNERS owners of REPOSITORIES repositories or more hold is a copied example;
+another looks live. Base spans stay either way; further spans are added only if they look live.
+
+Whom a document belongs to is up to the caller: repository and owner name columns of docs. Without such columns the
+query takes `source` as repository and (`source`, `lang`) as owner, so that its verdicts say how widely a value is
+spread over sources and languages, not over people.
+
+Null texts count as empty; a null repository or owner is one of its own. Repeated rows are counted once for their
+owner, and each gives a row. Very long texts cost time in proportion to their length. Values that are held equally
+often get the same verdict. An empty table gives an empty result; other columns, whatever their names, are not read.
+Documents without candidates take no part in the shuffles.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .spans import found, joined
+from .spans import as_taken, best_apart, found, item, joined
 
 #: Equal to the contract's patterns, and checks, in what they match from the left.
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]++"""
@@ -45,32 +50,39 @@ def secret_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     An owner is a repository's owner: the pair of both columns counts. n_live and n_copied tell the
     candidates of all kinds apart.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("body"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repo"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), name(text).alias("body"), name(repository).alias("repo"), name(owner).alias("owner"))
     t = F.col("body")
     kinds = base_spans(t) | {"mixed": found(t, MIXED, t.rlike(r"[A-Za-z0-9+/_-]{24}"))}
     own = own.select("doc_id", "repo", "owner", *(c.alias(k) for k, c in kinds.items()))
-    clear = lambda x: ~F.exists(F.concat(*(F.col(k) for k in KINDS)), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    varied = lambda x: F.size(F.array_distinct(F.split(x["m"], ""))) >= ENTROPY_KINDS
-    own = own.withColumn("mixed", F.filter("mixed", lambda x: varied(x) & clear(x)))
+    varied = F.filter("mixed", lambda x: F.size(F.array_distinct(F.split(x["m"], ""))) >= ENTROPY_KINDS)
+    own = own.withColumn("mixed", varied)
+    taken = F.concat(*map(as_taken, KINDS))
+    apart = best_apart(taken, F.transform("mixed", lambda x: item(x, "mixed", taken=False)))
+    own = own.withColumn("mixed", F.when(F.size("mixed") > 0, F.transform(apart, lambda x: F.struct(x["s"], x["e"], x["m"]))).otherwise(F.col("mixed")))
 
     def entries(order: int, kind: str) -> Column:
         value = (lambda m: F.regexp_extract(m, VALUE, 1)) if kind == "assign" else (lambda m: m)
-        return F.transform(F.col(kind), lambda x: F.struct(x["s"], F.lit(order).alias("o"), x["e"], F.lit(kind).alias("kind"), F.xxhash64(value(x["m"])).alias("value")))
+        both = lambda v: F.struct(F.xxhash64(v).alias("a"), F.xxhash64(F.lit(1), v).alias("b"))
+        return F.transform(F.col(kind), lambda x: F.struct(x["s"], F.lit(order).alias("o"), x["e"], F.lit(kind).alias("kind"), both(value(x["m"])).alias("value")))
 
     every = F.concat(*(entries(o, k) for o, k in enumerate((*KINDS, "mixed"))))
     own = own.select("doc_id", "repo", "owner", F.array_sort(every).alias("found"))
-    # a name for the row, so that repeated rows share their verdicts
-    own = stored(own.withColumn("row", F.xxhash64("doc_id", "repo", "owner", "found")), "candidates")
+    # a name of 128 bits for the row, so that repeated rows share their verdicts
+    own = stored(own.withColumns({"row": F.xxhash64("doc_id", "repo", "owner", "found"), "row2": F.xxhash64("found", "owner", "repo", "doc_id")}), "candidates")
     plain = own.where(F.size("found") == 0)
     some = own.where(F.size("found") > 0)
-    each = some.select("row", "repo", "owner", F.explode("found").alias("x")).select("row", "repo", "owner", F.col("x.value").alias("value"))
+    each = some.select("row", "row2", "repo", "owner", F.explode("found").alias("x")).select("row", "row2", "repo", "owner", F.col("x.value").alias("value"))
     holders = each.select("value", "repo", "owner").distinct().groupBy("value", "repo").agg(F.count("*").alias("owners"))
     spread = holders.groupBy("value").agg(F.count("*").alias("repos"), F.sum("owners").alias("owners"))
-    verdict = each.select("row", "value").distinct().join(spread, "value")
-    live = verdict.groupBy("row").agg(F.collect_set(F.when((F.col("owners") < owners) | (F.col("repos") < repositories), F.col("value"))).alias("live"))
-    judged = some.join(live, "row").select("doc_id", "found", "live")
-    return judged.unionByName(plain.select("doc_id", "found", F.array().cast("array<bigint>").alias("live"))).select("doc_id", *_digest())
+    lives = ((F.col("owners") < owners) | (F.col("repos") < repositories)).alias("lives")
+    # both aggregates are tables, so that the joins with them may be split where very many rows hold one value, or are one row
+    spread = stored(spread.select("value", lives), "spread")
+    used = stored(each.select("row", "row2", "value").distinct(), "used")
+    live = used.join(spread, "value").groupBy("row", "row2").agg(F.collect_set(F.when(F.col("lives"), F.col("value"))).alias("live"))
+    judged = some.join(stored(live, "live"), ["row", "row2"]).select("doc_id", "found", "live")
+    nothing = F.array().cast(live.schema["live"].dataType).alias("live")
+    return judged.unionByName(plain.select("doc_id", "found", nothing)).select("doc_id", *_digest())
 
 
 def _digest() -> list[Column]:

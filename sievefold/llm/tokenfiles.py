@@ -4,14 +4,18 @@ A dataset is a folder of Parquet files with one row per segment: the part (a ran
 segment's number and first place in it, the documents' ids and token counts, and a payload. The payload holds blocks
 of BLOCK ids: each block subtracts its minimum, keeps the low bits of every offset at the width that
 the PERCENTILE of its offsets needs, and lists the rest as exceptions (position, value). A block
-index in front (start of each block's words and exceptions) lets a reader decode one block alone.
+index in front (start of each block's words and exceptions) lets a reader decode one block alone; read_ids does.
 Spark's writer commits the files, so that a lost executor leaves none half written, on any store.
 
 Payload, little-endian: u32 ids, u32 blocks; per block u32 minimum, u8 width; then for blocks + 1
 the u32 starts of words and of exceptions; u32 words; u16 positions and u32 values of exceptions.
 
-Null texts count as empty; every document ends with the end id, so that none is empty. Rows of equal
-doc_id are kept, ordered by crc32 of their texts. An empty table gives an empty folder.
+The tokenizers library encodes. A text's ids are those of the pieces that the tokenizer's pattern cuts it into, one
+after another, so that each worker has the library encode a piece once and remembers it.
+
+Null texts count as empty; every document ends with the end id, so that none is empty. Rows of equal doc_id are kept,
+ordered by crc32 of their texts; a null doc_id comes first. Very long texts make a segment of their own. An empty table
+gives an empty folder. Columns other than id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,17 +25,19 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN, tokenizer
+from .bpe import CACHE, pieces, tokenizer
 from .common import new_path, slices
 
 BLOCK = 1024
 LANES = 32  # ids of a block lie in 32 lanes of 32; each lane is packed on its own
 PERCENTILE = 0.9
 SEGMENT = 1 << 16  # ids of a segment at most, but for one longer document
-PART_ROWS, MOST_PARTS = 20_000, 4096  # documents of a part, about; parts that the driver keeps a sum of
+PART_ROWS = 20_000  # documents of a part, about
+MOST_PARTS = 1 << 15  # the driver samples 100 ids for each part's bounds and keeps a sum of each: at 100 TB 3 GB of text a part
 SEGMENT_SCHEMA = "part int, segment int, at long, doc_ids array<long>, counts array<long>, n_ids long, payload binary"
 
 
@@ -89,126 +95,159 @@ def encode_payload(ids: np.ndarray) -> bytes:
     return b"".join(x.tobytes() for x in (np.array([n, blocks], "<u4"), low.astype("<u4"), width, words_at, over_at, words, over_p.astype("<u2"), off[over_b, over_p].astype("<u4")))
 
 
-def decode_payload(payload: bytes) -> np.ndarray:
-    n, blocks = np.frombuffer(payload, "<u4", 2)
-    at = 8
-
-    def take(kind: str, count: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(payload, kind, count, at)
-        at += out.nbytes
-        return out
-
-    low, width = take("<u4", blocks), take("u1", blocks)
-    words_at, over_at = take("<u4", blocks + 1), take("<u4", blocks + 1)
-    words = take("<u4", words_at[-1])
-    positions, values = take("<u2", over_at[-1]), take("<u4", over_at[-1])
-    off = np.zeros((blocks, BLOCK), np.uint32)
+def decode_range(payload: bytes, first: int, last: int) -> np.ndarray:
+    """Ids first to last (exclusive) of a payload; only the blocks that hold them are unpacked."""
+    n, blocks = (int(x) for x in np.frombuffer(payload, "<u4", 2))
+    first, last = max(0, first), min(n, last)
+    if first >= last:
+        return np.zeros(0, np.uint32)
+    low_at = 8
+    width_at = low_at + 4 * blocks
+    index_at = width_at + blocks
+    words_at = np.frombuffer(payload, "<u4", blocks + 1, index_at)
+    over_at = np.frombuffer(payload, "<u4", blocks + 1, index_at + 4 * (blocks + 1))
+    data_at = index_at + 8 * (blocks + 1)
+    positions_at = data_at + 4 * int(words_at[-1])
+    values_at = positions_at + 2 * int(over_at[-1])
+    b0, b1 = first // BLOCK, -(-last // BLOCK)
+    low = np.frombuffer(payload, "<u4", b1 - b0, low_at + 4 * b0)
+    width = np.frombuffer(payload, "u1", b1 - b0, width_at + b0)
+    begin, end = int(words_at[b0]), int(words_at[b1])
+    words = np.frombuffer(payload, "<u4", end - begin, data_at + 4 * begin)
+    off = np.zeros((b1 - b0, BLOCK), np.uint32)
     for w in np.unique(width):
         where = np.flatnonzero(width == w)
-        index = words_at[where][:, None] + np.arange(int(w) * LANES, dtype=np.uint32)
+        index = (words_at[b0 + where] - begin)[:, None] + np.arange(int(w) * LANES, dtype=np.uint32)
         off[where] = unpack(words[index], int(w))
-    off[np.repeat(np.arange(blocks), np.diff(over_at)), positions] = values
-    return (off + low[:, None]).reshape(-1)[:n]
+    begin, end = int(over_at[b0]), int(over_at[b1])
+    positions = np.frombuffer(payload, "<u2", end - begin, positions_at + 2 * begin)
+    values = np.frombuffer(payload, "<u4", end - begin, values_at + 4 * begin)
+    off[np.repeat(np.arange(b1 - b0), np.diff(over_at[b0 : b1 + 1])), positions] = values
+    return (off + low[:, None]).reshape(-1)[first - b0 * BLOCK : last - b0 * BLOCK]
+
+
+def decode_payload(payload: bytes) -> np.ndarray:
+    return decode_range(payload, 0, int(np.frombuffer(payload, "<u4", 1)[0]))
+
+
+class Encoder:
+    """The tokenizers library's tokenizer, with the ids of pieces that it has encoded."""
+
+    def __init__(self, content: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(content)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.split_added, self.added = tokenizer(content).split_added, tokenizer(content).added
+        self.known: dict[str, bytes] = {}
+
+    def _pieces(self, text: str) -> list[str]:
+        if self.split_added is None:
+            return pieces(text)
+        out, at = [], 0
+        for m in self.split_added.finditer(text):
+            out += [*pieces(text[at : m.start()]), m.group()]
+            at = m.end()
+        return out + pieces(text[at:])
+
+    def encode(self, text: str) -> np.ndarray:
+        own, known = self._pieces(text), self.known
+        if len(known) > CACHE:
+            known.clear()
+        new = [p for p in dict.fromkeys(own) if p not in known]
+        for at in range(0, len(new), 4096):
+            batch = new[at : at + 4096]
+            for p, e in zip(batch, self.library.encode_batch_fast(batch, add_special_tokens=False), strict=True):
+                known[p] = np.array(e.ids, "<u4").tobytes()
+        out = np.frombuffer(b"".join([known[p] for p in own]), "<u4")
+        for p in new:
+            if len(p) > 64:
+                del known[p]
+        return out
 
 
-_encoders: dict[int, object] = {}
+_encoders: dict[int, Encoder] = {}
 
 
-def fast_encoder(content: str):
-    """The tokenizer's vocabulary as merge ranks, with its added tokens; the same ids as the library's."""
+def encoder(content: str) -> Encoder:
     key = hash(content)
     if key not in _encoders:
-        import tiktoken
-
-        t = tokenizer(content)
-        _encoders[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={b: i for i, b in t.bytes_of.items()}, special_tokens=t.added)
+        _encoders[key] = Encoder(content)
     return _encoders[key]
 
 
-def _segments(rows, content: str, end_id: int):
-    """rows: (part, doc_id, text) in order. Yields rows of SEGMENT_SCHEMA."""
-    encoder = fast_encoder(content)
-    added = set(encoder.special_tokens_set)
-
-    def encoded(text: str) -> np.ndarray:
-        try:
-            return encoder.encode_to_numpy(text, allowed_special=added).astype(np.uint32)
-        except ValueError:  # its pattern engine gives up on runs of a million spaces
-            return np.array(tokenizer(content).encode(text), np.uint32)
-
-    end = np.array([end_id], np.uint32)
-    part = segment = at = 0
+def _segments(rows, part: int, content: str, end_id: int):
+    """rows: (doc_id, text) in order. Yields rows of SEGMENT_SCHEMA."""
+    own, end = encoder(content), np.array([end_id], np.uint32)
+    segment = at = held = 0
     docs: list[tuple[int, np.ndarray]] = []
-    held = 0
 
     def flush():
         ids = [x for _, x in docs]
         return (part, segment, at, [d for d, _ in docs], [len(x) for x in ids], held, encode_payload(np.concatenate(ids)))
 
-    for p, doc, text in rows:
-        ids = np.concatenate([encoded(text or ""), end])
-        if docs and (p != part or held + len(ids) > SEGMENT):
+    for doc, text in rows:
+        ids = np.concatenate([own.encode(text or ""), end])
+        if docs and held + len(ids) > SEGMENT:
             yield flush()
-            segment, at = (segment + 1, at + held) if p == part else (0, 0)
-            docs, held = [], 0
-        part = p
+            segment, at, docs, held = segment + 1, at + held, [], 0
         docs.append((doc, ids))
         held += len(ids)
     if docs:
         yield flush()
 
 
-def cuts_below(value: Column, cuts: list[int], width: int = 64) -> Column:
-    """How many of the sorted cuts are below value, by way of every width-th cut; null counts as the smallest."""
-    if not cuts:
-        return F.lit(0)
-    groups = [cuts[k : k + width] for k in range(0, len(cuts), width)]
-    below = lambda listed: F.array_size(F.filter(listed, lambda c: c < value))
-    group = below(F.lit([g[0] for g in groups])) - 1
-    within = below(F.get(F.array(*map(F.lit, groups)), group))
-    return F.coalesce(F.when(group >= 0, group * width + within), F.lit(0)).cast("int")
-
-
 def write(docs: DataFrame, path: str, content: str, *, end_id: int = 0, parts: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encodes docs and writes them in ascending doc_id order.
 
-    Parts are ranges of doc_id, cut at quantiles that a pass over doc_id alone finds, so that texts
-    are shuffled once and encoded once. A retried task encodes the same rows to the same segments.
+    Parts are ranges of doc_id and, where many rows share one, of their texts' crc32: Spark finds the bounds from a
+    sample, sends each text once, and a retried task encodes the same rows to the same segments.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.crc32(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("crc"))
     if parts is None:
-        parts = min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ids.select("doc_id").count() // PART_ROWS)))
-    cuts = ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
-    cuts = sorted({int(x) for x in cuts})
+        parts = min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PART_ROWS)))
     shared = spark.sparkContext.broadcast(content)
 
     def run(batches):
-        rows = (r for b in slices(batches, column=2) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+        rows = (r for b in slices(batches, column=1) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         names = [x.split(" ")[0] for x in SEGMENT_SCHEMA.split(", ")]
         types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-        for s in _segments(rows, shared.value, end_id):
+        for s in _segments(rows, TaskContext.get().partitionId(), shared.value, end_id):
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(s, types, strict=True)], names=names)
 
-    (
-        ids.withColumn("part", cuts_below(F.col("doc_id"), cuts))
-        .repartition(len(cuts) + 1, "part")
-        .sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), F.crc32(F.coalesce("text", F.lit(""))))
-        .select("part", "doc_id", "text")
-        .mapInArrow(run, SEGMENT_SCHEMA)
-        .write.parquet(path)
-    )
+    order = [F.col("doc_id").asc_nulls_first(), F.col("crc")]
+    ids.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, SEGMENT_SCHEMA).write.parquet(path)
 
 
-def read(spark, path: str, *, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids, of every document in the files.
+def _before(files: DataFrame) -> dict[int, int]:
+    """Ids before each part: a sum per part on the driver, of MOST_PARTS parts at most."""
+    sums = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    return dict(zip([p for p, _ in sums], accumulate([0, *(n for _, n in sums)]), strict=False))
 
-    start needs one sum per part on the driver; parts don't grow in number beyond what was asked for.
-    """
+
+def read_ids(spark, path: str, first: int, last: int) -> DataFrame:
+    """start and ids of the stretches that make up ids first to last (exclusive) of all; only their blocks are decoded."""
     files = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
-    sums = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
-    before = dict(zip([p for p, _ in sums], accumulate([0, *(n for _, n in sums)]), strict=False))
+    before = _before(files)
+    parts = [p for p in before if before[p] < last]
+
+    def run(batches):
+        for b in slices(batches, 8):
+            for part, at, n, payload in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                at += before[part]
+                if at < last and at + n > first:
+                    ids = decode_range(payload, first - at, last - at)
+                    yield pa.RecordBatch.from_arrays([pa.array([max(at, first)], pa.int64()), pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))], names=["start", "ids"])
+
+    return files.where(F.col("part").isin(parts)).select("part", "at", "n_ids", "payload").mapInArrow(run, "start long, ids array<int>")
+
+
+def read(spark, path: str, *, with_ids: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids, of every document in the files."""
+    files = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
+    before = _before(files)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches):

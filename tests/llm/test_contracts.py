@@ -8,6 +8,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
+from sievefold.llm import common
 from sievefold.llm import queries as q
 from sievefold.llm.bpe import bpe, tokenizer, vocabulary
 from sievefold.llm.exact import exact_duplicates
@@ -122,15 +123,30 @@ def test_token_files(spark, sf, edges, real, library):
         assert {d: (r.start, r.n_tokens, r.ids_crc32) for d, r in got.items()} == want
 
 
-def test_cuts(spark):
-    from pyspark.sql import functions as F
-
-    from sievefold.llm.tokenfiles import cuts_below
+def test_reading_a_range_of_ids(spark, edges, library):
+    import numpy as np
 
-    for n in (0, 1, 63, 64, 65, 1000):
-        cuts = [3 * k for k in range(n)]
-        got = spark.range(-2, 3 * n + 4).select("id", cuts_below(F.col("id"), cuts).alias("part")).collect()
-        assert all(r.part == sum(c < r.id for c in cuts) for r in got)
+    from sievefold.llm.tokenfiles import decode_range, read_ids, write
+
+    content, path = vocabulary(q.tokenizer_path()), common.new_path(spark, "range")
+    write(edges, path, content, parts=3)
+    want = [i for _, t in sorted(EDGES, key=lambda r: r[0]) for i in [*library.encode(t or "", add_special_tokens=False).ids, 0]]
+    for first, last in ((0, 10), (5, 4000), (1023, 1025), (len(want) - 3, len(want) + 9), (7, 7)):
+        got = sorted((r.start, r.ids) for r in read_ids(spark, path, first, last).collect())
+        assert [i for _, ids in got for i in ids] == want[first:last]
+    ids = np.arange(5000, dtype=np.uint32) ** 2
+    payload = encode_payload(ids)
+    assert all((decode_range(payload, a, b) == ids[a:b]).all() for a, b in ((0, 1), (1000, 1030), (1024, 2048), (4999, 5000), (2047, 4100)))
+
+
+def test_token_files_of_one_id(spark, library):
+    """Rows of one doc_id may be split among parts; null ids come first."""
+    rows = [(7, f"text {k}") for k in range(40)] + [(None, "first"), (None, None), (9, "last")]
+    got = token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), vocabulary(q.tokenizer_path())).collect()
+    order = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in order] == [None] * 2 + [7] * 40 + [9]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(order, order[1:]))
+    assert sorted(r.n_tokens for r in got) == sorted(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
 
 
 def test_payload_round_trip():
