@@ -18,11 +18,11 @@ signature. Documents of one bag are one node. Nodes that agree in a band meet in
 * First each is linked to its bucket's smallest node and to the smallest that also agrees in the next
   band; links are verified by exact overlap, and components give classes.
 * Then, in each bucket that holds several classes, every member outside its largest class is compared with HEADS
-  members of that class, which a hash picks anew for each bucket and round; signatures choose the likely pairs. That
-  goes on while it finds links.
+  members of that class, which a hash picks anew for each bucket and turn; signatures choose the likely pairs. Turns
+  go on while they find many links.
 * Last, in what buckets still hold several classes, all members outside the largest are compared with
-  all members of other classes. Blocks of both sides are brought together, so that no task sees a whole
-  bucket. Pairs that agree in fewer than SCREEN slots are out (for texts that are alike enough that is as unlikely
+  all members of other classes. Blocks of both sides are brought together, first as signatures, then with the
+  texts that have a likely partner, so that no task sees a whole bucket and no pair leaves its task but as a link. Pairs that agree in fewer than SCREEN slots are out (for texts that are alike enough that is as unlikely
   as sharing no band); the rest are verified by exact overlap. No pair of different classes in a bucket stays untested.
 
 To verify a unit of pairs (a lead with some members, or two blocks), each of its texts is sent to it once.
@@ -49,8 +49,9 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 SCREEN = 76  # slots that compared signatures have in common at least; at similarity 0.8 it is 102 on average, give or take 4.5
 HEADS, BEST = 4, 8  # members of the largest class that others are compared with in a bucket; likeliest of all these pairs that are verified
-LEFT, RIGHT = 512, 2048  # members of the two blocks of a unit, about,
-LEFT_SIZE, RIGHT_SIZE = 1 << 18, 1 << 20  # and their shingles
+FOUND = 20  # of so many likely pairs one has to be a link for another turn of heads
+LEFT, RIGHT = 1024, 4096  # members of the two blocks of a unit, about,
+LEFT_SIZE, RIGHT_SIZE = 1 << 19, 1 << 21  # and their shingles
 FEW = 300_000  # rows of 24 bytes, or signatures, that are broadcast at most
 CACHE = 100_000  # words whose hashes a worker remembers; the memory is emptied when full
 _U = np.uint64
@@ -196,29 +197,64 @@ def _nearest(batches):
         yield table.select(["unit", "u", "ubag", "v", "vbag"]).append_column("agree", pa.array(agree, pa.int64())).filter(pa.array(agree >= SCREEN)).combine_chunks().to_batches()[0] if (agree >= SCREEN).any() else pa.RecordBatch.from_pylist([], schema=pa.schema([(c, pa.int64()) for c in ("unit", "u", "ubag", "v", "vbag", "agree")]))
 
 
+def _likely(unit: pa.Table):
+    """Of a unit's rows: each left row with the right rows that may be alike enough and belong to this bucket."""
+    sig = np.array(unit.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
+    node, name, size, root, side = (unit.column(c).to_numpy() for c in ("node", "bag1", "size", "root", "side"))
+    left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+    lefts = {(int(node[k]), int(name[k])) for k in left}
+    in_left = np.array([(int(node[k]), int(name[k])) in lefts for k in right], bool)
+    nth, lanes = int(unit.column("nth")[0].as_py()), sig[right].view("<u2")
+    for k in left:
+        fits = (root[right] != root[k]) & (np.minimum(size[right], size[k]) >= SIMILARITY * np.maximum(size[right], size[k]))
+        at = np.flatnonzero(fits & (~in_left | (node[right] < node[k])))
+        at = at[(lanes[at] == sig[k].view("<u2")).sum(axis=1) >= SCREEN]
+        at = right[at]
+        at = at[(sig[at] == sig[k]).argmax(axis=1) == nth]  # a pair belongs to the first bucket that it shares
+        if len(at):
+            yield k, at
+
+
+UNIT = ("nth", "key", "i", "j")
+
+
 def _screen(batches):
-    """Rows of units, sorted: pairs of a left and a right member that may be alike enough."""
-    for unit in whole_groups(batches, "nth", "key", "i", "j"):
-        sig = np.array(unit.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
-        node, name, size, root, side = (unit.column(c).to_numpy() for c in ("node", "bag1", "size", "root", "side"))
-        left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
-        both = {(int(node[k]), int(name[k])) for k in np.flatnonzero(side == 1)}
-        in_left = np.array([(int(node[k]), int(name[k])) in both for k in right])
-        nth = int(unit.column("nth")[0].as_py())
-        us, vs = [], []
-        lanes = sig[right].view("<u2")
-        for k in left:
-            fits = (root[right] != root[k]) & (np.minimum(size[right], size[k]) >= SIMILARITY * np.maximum(size[right], size[k]))
-            fits &= ~in_left | (node[right] < node[k])
-            at = np.flatnonzero(fits)
-            at = at[(lanes[at] == sig[k].view("<u2")).sum(axis=1) >= SCREEN]
-            at = right[at]
-            at = at[(sig[at] == sig[k]).argmax(axis=1) == nth]  # a pair belongs to the first bucket that it shares
-            us += [k] * len(at)
-            vs += at.tolist()
-        cols = [pa.array(x, pa.int64()) for x in (node[us], name[us], node[vs], name[vs])] if us else [pa.array([], pa.int64())] * 4
-        unit_id = xxhash.xxh64_intdigest(repr([unit.column(c)[0].as_py() for c in ("nth", "key", "i", "j")])) - (1 << 63)
-        yield pa.RecordBatch.from_arrays([pa.array([unit_id] * len(us), pa.int64()), *cols], names=["unit", "u", "ubag", "v", "vbag"])
+    """Rows of units, sorted: those that have a likely partner in their unit."""
+    for unit in whole_groups(batches, *UNIT):
+        wanted = np.zeros(unit.num_rows, bool)
+        for k, at in _likely(unit):
+            wanted[k] = wanted[at] = True
+        if wanted.any():
+            yield from unit.filter(pa.array(wanted)).combine_chunks().to_batches()
+
+
+def _links(batches):
+    """Rows of units with their texts, sorted: pairs of left and right rows that overlap enough."""
+    for unit in whole_groups(batches, *UNIT):
+        bags: list = [None] * unit.num_rows
+        name, at = unit.column("bag1").to_pylist(), 0
+        for part in slices(unit.to_batches(), column=unit.column_names.index("text")):
+            for text in part.column("text").to_pylist():
+                own = bag(text)
+                bags[at] = own if bag_name(own) == name[at] % (1 << 64) else None  # a text of the same id with another bag
+                at += 1
+        unit = unit.drop_columns("text").append_column("at", pa.array(np.arange(unit.num_rows))).filter(pa.array([b is not None for b in bags]))
+        own = unit.column("at").to_numpy()
+        node, us, vs = unit.column("node").to_numpy(), [], []
+        for k, at in _likely(unit) if unit.num_rows else ():
+            h, c = bags[own[k]]
+            others = [bags[own[x]] for x in at]
+            all_h, all_c = np.concatenate([o[0] for o in others]), np.concatenate([o[1] for o in others])
+            place = np.minimum(np.searchsorted(h, all_h), len(h) - 1)
+            both = np.where(h[place] == all_h, np.minimum(c[place], all_c), 0)
+            starts = np.cumsum([0] + [len(o[0]) for o in others[:-1]])
+            both = np.add.reduceat(both, starts)
+            sums = c.sum() + np.add.reduceat(all_c, starts)
+            good = at[both >= SIMILARITY * (sums - both)]
+            us += [node[k]] * len(good)
+            vs += node[good].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+    _known.clear()
 
 
 def _blocks(rows: Column, size: Column, most: int, most_size: int) -> Column:
@@ -268,16 +304,18 @@ def _heads(members: DataFrame, turn: int) -> DataFrame:
     return stored(best.select("b.unit", "u", "ubag", "b.v", "b.vbag"), "pairs")
 
 
-def _rest(members: DataFrame) -> DataFrame:
-    """unit, u, ubag, v, vbag: all pairs of different classes in a bucket that pass the screen."""
+def _rest(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """u, v of all links between different classes in a bucket."""
     name = F.xxhash64("node", "bag1")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = ["nth", "key", "node", "bag1", "size", "root", "bands"]
     left = members.where("root <> big").select(*own, F.pmod(name, F.col("lefts")).cast("int").alias("i"), every("rights").alias("j"), F.lit(1).alias("side"))
     right = members.select(*own, every("lefts").alias("i"), F.pmod(name, F.col("rights")).cast("int").alias("j"), F.lit(2).alias("side"))
-    unit = ["nth", "key", "i", "j"]
-    ready = left.unionByName(right).repartition(*unit).sortWithinPartitions(*unit)
-    return stored(ready.mapInArrow(_screen, "unit long, u long, ubag long, v long, vbag long"), "pairs")
+    in_units = lambda rows: rows.repartition(*UNIT).sortWithinPartitions(*UNIT)
+    both = left.unionByName(right)
+    wanted = stored(in_units(both).mapInArrow(_screen, both.schema), "wanted")
+    held = texts.join(if_few(stored(wanted.select("node").distinct(), "held")), "node", "left_semi")
+    return stored(in_units(wanted.join(held, "node")).mapInArrow(_links, "u long, v long"), "links")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -303,13 +341,16 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         members = _mixed(bucket, sketches, roots)
         if members.isEmpty():
             break
-        more = _verified(_heads(members, turn), texts)
-        if more.isEmpty():
-            more = _verified(_rest(members), texts)
+        likely = _heads(members, turn)
+        more = _verified(likely, texts)
+        found = more.count()
+        roots = _joined(roots, more) if found else roots
+        # classes only grow together: a bucket of one class stays one
+        bucket, turn = members, turn + 1
+        if FOUND * found < likely.count():
+            more = _rest(_mixed(bucket, sketches, roots) if found else members, texts)
             roots = roots if more.isEmpty() else _joined(roots, more)
             break
-        # classes only grow together: a bucket of one class stays one
-        roots, bucket, turn = _joined(roots, more), members, turn + 1
     known = stored(member.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("class_id")), "known")
     # as a table, so that the join below may be split where one class is large
     each = stored(sketch.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "each")

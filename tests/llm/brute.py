@@ -120,7 +120,17 @@ def similarity(a, b):
 def near_pairs(rows, least=0.8):
     """All pairs of places in rows whose bags are alike enough."""
     bags = [bag(t) for _, t in rows]
-    return [(i, j) for i in range(len(rows)) for j in range(i) if similarity(bags[i], bags[j]) >= least]
+    sizes = [sum(b.values()) for b in bags]
+    holders = defaultdict(list)
+    out = []
+    for i, b in enumerate(bags):
+        both = Counter()
+        for s, n in b.items():
+            for j, m in holders[s]:
+                both[j] += min(n, m)
+            holders[s].append((i, n))
+        out += [(i, j) for j, n in both.items() if n >= least * (sizes[i] + sizes[j] - n)]
+    return out
 
 
 def classes(rows, pairs):

@@ -200,3 +200,29 @@ def test_stages_keep_clashing_columns(spark, sf):
         kept = out.select("doc_id", "n").collect()
         assert all(r.n == r.doc_id or r.doc_id is None for r in kept)
         assert sorted(str(r.doc_id) for r in kept) == sorted(str(r.doc_id) for r in stage(plain).select("doc_id").collect())
+
+
+def test_one_true_pair_in_a_large_family(spark):
+    """402 variants of one text, of which a single pair is alike enough; then as many that link in part."""
+    rows, base = [], prose(400, 78)
+    for k in range(402):
+        g, w = random.Random(2000 + k), list(base)
+        for at in g.sample(range(400), 8):
+            w[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(w)))
+    w = rows[150][1].split()
+    for at in (3, 90, 200, 333, 371):
+        w[at] = "other"
+    rows[401] = (401, " ".join(w))
+    g = random.Random(9)
+    for k in range(402, 560):
+        w = list(base)
+        for at in g.sample(range(400), g.randint(1, 9)):
+            w[at] = f"z{g.randint(0, 3)}"
+        rows.append((k, " ".join(w)))
+    for part in (rows[:402], rows[300:]):
+        pairs = brute.near_pairs(part)
+        assert len(pairs) == 1 or part[0][0] == 300
+        want = dict(zip((d for d, _ in part), brute.classes(part, pairs), strict=True))
+        got = near_duplicates(spark.createDataFrame(part, "doc_id long, text string").repartition(3)).collect()
+        assert {x.doc_id: x.class_id for x in got} == want
