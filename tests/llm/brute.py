@@ -171,3 +171,49 @@ def tiling(doc, item, least=5):
             if not any(marked_a[i : i + best]) and not any(marked_b[j : j + best]):
                 marked_a[i : i + best] = marked_b[j : j + best] = [True] * best
                 covered += best
+
+
+def distance(a, b):
+    """Levenshtein distance."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def toxicity(text, terms, stems, ordinary, weights, fuzzy_from=5, window=8):
+    """Score of a text by the terms' and stems' hits and what stands around them."""
+    from math import exp, log1p
+
+    quotes = "\"\u201c\u201d\u201e\u00ab\u00bb\u2018\u2019'"
+    reporting = set("said says wrote called quote quoted word term cited dijo escribi\u00f3 palabra disait \u00e9crit mot sagte schrieb wort zitat".split())
+    address = set("you your youre u tu vous toi du dich ihr sie usted eres".split())
+    memory = {}
+
+    def kind(w):
+        if w not in memory:
+            near = any(len(t) >= fuzzy_from and abs(len(t) - len(w)) <= 1 and distance(w, t) <= 1 for t in terms)
+            near = near or any(len(s) >= fuzzy_from and distance(w[:k], s) <= 1 for s in stems for k in range(max(0, len(s) - 1), min(len(w), len(s) + 1) + 1))
+            memory[w] = 2 if any(w.startswith(s) for s in stems) else 1 if w in terms else 3 if near and w not in ordinary else 0
+        return memory[w]
+
+    lower = low(text)
+    places = [(m.group(), *m.span()) for m in WORD.finditer(lower)]
+    hits = [(i, kind(w)) for i, (w, _, _) in enumerate(places) if kind(w)]
+    x = [0.0] * 7
+    if hits:
+        n = Counter(k for _, k in hits)
+        abuse = quoted = close = 0
+        for h, (i, _) in enumerate(hits):
+            around = {w for w, _, _ in places[max(0, i - window) : i + window + 1]}
+            _, s, e = places[i]
+            if (set(lower[max(0, s - 2) : s]) & set(quotes) and set(lower[e : e + 2]) & set(quotes)) or around & reporting:
+                quoted += 1
+            else:
+                abuse += 2 if around & address else 1
+            close += h > 0 and i - hits[h - 1][0] <= window
+        x = [log1p(n[1]), log1p(n[2]), log1p(n[3]), len(hits) / len(places), log1p(abuse), log1p(quoted), log1p(close)]
+    z = weights[0] + sum(a * b for a, b in zip(weights[1:], x, strict=True))
+    return 1 / (1 + exp(-max(-30, min(30, z))))

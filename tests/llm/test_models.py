@@ -14,7 +14,7 @@ from sievefold.llm import queries as q
 from sievefold.llm.bagminhash import bag, bands, drop_near_duplicates, near_duplicates, signatures
 from sievefold.llm.components import components
 from sievefold.llm.tiling import Items, best_item, contamination, tile
-from sievefold.llm.toxicity import MISSPELLED, NONE, STEMMED, TERM, Lexicon, features, toxicity
+from sievefold.llm.toxicity import MISSPELLED, NONE, STEMMED, TERM, Lexicon, features, toxicity, train
 
 r = random.Random(5)
 WORDS = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(600)]
@@ -103,6 +103,19 @@ def test_contamination(spark):
     for block in (4_000_000, 50):
         got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), items, block=block).collect()
         assert sorted((x.doc_id, x.contaminated) for x in got) == [(1, True), (2, True), (3, False), (4, False), (5, False), (5, True)]
+    short = spark.createDataFrame([(9, "nothing HERE"), (8, "here")], "item_id long, text string")
+    got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), short).where("contaminated").collect()
+    assert [(x.doc_id, x.item_id, x.coverage) for x in got] == [(5, 8, 1.0)]
+
+
+def test_places_of_repeated_seeds_in_parts(monkeypatch):
+    from sievefold.llm import tiling
+
+    item, doc = "a a b " * 12, "a a b a a a b " * 9 + "a " * 30
+    whole = best_item(doc, Items([(1, item)]))
+    monkeypatch.setattr(tiling, "EXPAND", 7)
+    assert best_item(doc, Items([(1, item)])) == whole
+    assert round(whole[1] * 36) == brute.tiling(doc, item)
 
 
 def test_family_below_the_threshold(spark):
@@ -121,8 +134,9 @@ def test_family_below_the_threshold(spark):
 
 
 def test_automaton():
-    lexicon = Lexicon({"stupid", "scum"}, {"idio"})
-    assert [lexicon.kind(w) for w in ("stupid", "scum", "idiots", "stupd", "stupiid", "stuqid", "stup", "scam", "stpid", "stupidly", "")] == [TERM, TERM, STEMMED, MISSPELLED, MISSPELLED, MISSPELLED, NONE, NONE, MISSPELLED, NONE, NONE]
+    lexicon = Lexicon({"stupid", "scum", "idiot"}, {"moron", "dulla"}, {"idiom"})
+    for word, kind in {"stupid": TERM, "scum": TERM, "morons": STEMMED, "stupd": MISSPELLED, "stupiid": MISSPELLED, "stuqid": MISSPELLED, "stup": NONE, "scam": NONE, "stpid": MISSPELLED, "stupidly": NONE, "": NONE, "idot": MISSPELLED, "idiom": NONE, "ixiot": MISSPELLED, "mor0nish": MISSPELLED, "mronic": MISSPELLED, "dulards": MISSPELLED, "dullards": STEMMED, "dxyards": NONE}.items():
+        assert lexicon.kind(word) == kind, word
 
 
 def test_every_edit_of_distance_one():
@@ -160,6 +174,20 @@ def test_toxicity_held_out(spark):
     assert {x.doc_id: x.score for x in toxicity(docs, flipped).collect()} == {k: x.score for k, x in got.items()}
 
 
+def test_scores_against_plain_loops(spark, sf):
+    """Every hit by edit distance to each term, every window by hand, and the model's weights."""
+    docs = q.documents(spark, sf)
+    model = train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    model.terms |= {"market", "about"}
+    model.stems |= {"consid"}
+    model.weights = model.weights or [-3.0, 1.0, 1.0, 1.0, 5.0, 1.0, -1.0, 0.5]
+    got = {x.doc_id: x.score for x in toxicity(docs, None, model=model).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for x in rows:
+        assert got[x.doc_id] == pytest.approx(brute.toxicity(x.text, model.terms, model.stems, model.ordinary, model.weights), abs=1e-9)
+
+
 def test_pipeline(spark, sf):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = q.documents(spark, sf)
