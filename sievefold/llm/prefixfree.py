@@ -5,16 +5,21 @@ hash, the rightmost of equals, is the window's trigger; as it hangs on the windo
 windows anywhere have their trigger at the same place. Consecutive windows of one trigger form a
 phrase; phrases overlap by LENGTH - 1 bytes, so that the windows of a document are dealt out among its
 phrases exactly once. The corpus is then a dictionary of distinct phrases and a parse, the list of
-their occurrences. Of corpus order, the question asks only which suffixes share LENGTH bytes:
+their occurrences. The question asks of corpus order only which suffixes share LENGTH bytes, and no window leaves its
+phrase. So of the parse's order the number of a phrase's occurrences is enough, and the dictionary's suffixes have
+to be sorted by LENGTH bytes only, within a trigger and a distance from it:
 
-* a phrase that occurs twice repeats in all its windows;
+* a phrase that the parse holds twice repeats in all its windows;
 * else a window can only equal one of another dictionary phrase with the same trigger, and aligned on
-  it. Those few phrases are brought together, and their suffixes grouped by their first LENGTH bytes.
+  it. Those few phrases are brought together by ranges of triggers. Karp-Rabin hashes leave out suffixes that equal no
+  other; the rest are sorted by their bytes into the suffix array of the range, and neighbours in it that share LENGTH
+  bytes repeat.
 
-Phrases are named by two 64-bit hashes (of the trigger and of all bytes), documents by a hash of id and
+Phrases are named by two 64-bit hashes (of the trigger and of all bytes), documents by id and a 64-bit hash of id and
 text; rows equal in both are removed alike, and count as occurrences of their own. Null texts count as
-empty. Nothing of a hot phrase is gathered: counting pre-aggregates, joins can be split by Spark, and
-triggers with more than GROUP distinct phrases are resolved window by window with Spark's own grouping.
+empty; very long texts are parsed in overlapping pieces; an empty table gives an empty result; other columns are not
+read. Nothing of a hot phrase is gathered: counting pre-aggregates, joins can be split by Spark, and
+triggers with more than GROUP distinct phrases are resolved window by window, by 128-bit hashes, with Spark's own grouping.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 
 LENGTH = 200
 TRIGGER = 32
@@ -158,41 +163,57 @@ def unpacked(place):
 
 def _parse_rows(batches):
     for b in batches:
-        for s in range(0, b.num_rows, 256):
-            part = b.slice(s, 256)
-            texts = [x or b"" for x in part.column(1).to_pylist()]
+        for part in slices([b], 256, column=2):
+            texts = [x or b"" for x in part.column(2).to_pylist()]
             k, lo, count, off, trig, phrase = phrases(texts)
-            docs = part.column(0).to_numpy(zero_copy_only=False)[k]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, packed(lo, count, off), trig, phrase)], names=["doc", "place", "trig", "phrase"])
+            doc, id_ = (part.column(c).to_numpy(zero_copy_only=False)[k] for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, id_, packed(lo, count, off), trig, phrase)], names=["doc", "id", "place", "trig", "phrase"])
 
 
 def _phrase_bytes(batches):
     """Rows with text and a document's phrases: each phrase's bytes."""
     for b in batches:
-        for s in range(0, b.num_rows, 256):
-            rows = b.slice(s, 256).to_pylist()
-            out = [(r["doc"], x["place"], x["trig"], x["n"], r["body"][(lo := x["place"] >> 16) : lo + (x["place"] >> 8 & 0xFF) + LENGTH - 1]) for r in rows for x in r["wanted"]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc", "place", "trig", "n", "bytes"])
+        for part in slices([b], 256, column=2):
+            rows = part.to_pylist()
+            out = [(r["doc"], r["id"], x["place"], x["trig"], x["n"], r["body"][(lo := x["place"] >> 16) : lo + (x["place"] >> 8 & 0xFF) + LENGTH - 1]) for r in rows for x in r["wanted"]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((*[pa.int64()] * 5, pa.binary()))], names=["doc", "id", "place", "trig", "n", "bytes"])
+
+
+WIDTH = LENGTH + 2 * SPAN
 
 
 def aligned(body: list[bytes], off: np.ndarray) -> np.ndarray:
-    """Prefix hashes of phrases that are laid out so that their triggers stand in one column."""
-    width = LENGTH + 2 * SPAN
-    m = np.zeros((len(off), width), np.uint8)
+    """Phrases laid out so that their triggers stand in one column."""
+    m = np.zeros((len(off), WIDTH), np.uint8)
     for k, (x, o) in enumerate(zip(body, off, strict=True)):
         m[k, SPAN - 1 - o : SPAN - 1 - o + len(x)] = np.frombuffer(x, np.uint8)
-    out = np.zeros((len(off), width + 1), np.uint64)
-    np.cumsum(_T2[m] * _P2[:width], axis=1, out=out[:, 1:])
+    return m
+
+
+def prefix_hashes(m: np.ndarray, table: np.ndarray = _T2, power: np.ndarray = _P2) -> np.ndarray:
+    out = np.zeros((len(m), WIDTH + 1), np.uint64)
+    np.cumsum(table[m] * power[:WIDTH], axis=1, out=out[:, 1:])
+    return out
+
+
+def equal_neighbours(suffixes: np.ndarray) -> np.ndarray:
+    """Which rows of (n, LENGTH) bytes equal another: they are sorted, and neighbours compared."""
+    text = np.ascontiguousarray(suffixes).view(f"S{LENGTH}").ravel()
+    order = np.argsort(text, kind="stable")
+    same = text[order][1:] == text[order][:-1]
+    out = np.zeros(len(text), bool)
+    out[order[1:]] |= same
+    out[order[:-1]] |= same
     return out
 
 
 def repeated_windows(trig: np.ndarray, off: np.ndarray, count: np.ndarray, body: list[bytes]) -> np.ndarray:
     """(phrases, SPAN) booleans: window d bytes before the trigger equals one of another phrase here."""
     n = len(off)
-    hashes = np.zeros((n, SPAN), np.uint64)
+    hashes, m = np.zeros((n, SPAN), np.uint64), aligned(body, off)
     for at in range(0, n, 4096):
         rows = slice(at, min(n, at + 4096))
-        p = aligned(body[rows], off[rows])
+        p = prefix_hashes(m[rows])
         for d in range(SPAN):
             c = SPAN - 1 - d
             hashes[rows, d] = p[:, c + LENGTH] - p[:, c]
@@ -208,7 +229,10 @@ def repeated_windows(trig: np.ndarray, off: np.ndarray, count: np.ndarray, body:
         hit = np.zeros(len(own), bool)
         hit[1:] |= same
         hit[:-1] |= same
-        out[own[order[hit]], d] = True
+        likely = own[order[hit]]
+        if len(likely):
+            c = SPAN - 1 - d
+            out[likely[equal_neighbours(m[likely, c : c + LENGTH])], d] = True
     return out
 
 
@@ -229,17 +253,17 @@ def _resolve(batches):
     held: list[tuple] = []
 
     def done(rows):
-        doc, place, trig, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+        doc, id_, place, trig, n = (np.array([r[k] for r in rows], np.int64) for k in range(5))
         lo, count, off = unpacked(place)
-        marks = repeated_windows(trig, off, count, [r[4] for r in rows])
-        found = [(doc[k], s, e) for k in np.flatnonzero(marks.any(axis=1) & (n == 1)) for s, e in intervals(int(off[k]), int(lo[k]), marks[k])]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], names=["doc", "s", "e"])
+        marks = repeated_windows(trig, off, count, [r[5] for r in rows])
+        found = [(doc[k], id_[k], s, e) for k in np.flatnonzero(marks.any(axis=1) & (n == 1)) for s, e in intervals(int(off[k]), int(lo[k]), marks[k])]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(4)], names=["doc", "id", "s", "e"])
 
     for b in batches:
-        held += zip(*(b.column(k).to_pylist() for k in range(5)), strict=True)
+        held += zip(*(b.column(k).to_pylist() for k in range(6)), strict=True)
         if len(held) >= 10_000:
             cut = len(held)
-            while cut and held[cut - 1][2] == held[-1][2]:
+            while cut and held[cut - 1][3] == held[-1][3]:
                 cut -= 1
             if cut:
                 yield done(held[:cut])
@@ -251,18 +275,19 @@ def _resolve(batches):
 def _windows(batches):
     """Window hashes of phrases, one row each: for triggers whose phrases don't fit one task."""
     for b in batches:
-        rows = list(zip(*(b.column(k).to_pylist() for k in range(5)), strict=True))
+        rows = list(zip(*(b.column(k).to_pylist() for k in range(6)), strict=True))
         for at in range(0, len(rows), 1024):
             part = rows[at : at + 1024]
-            doc, place, trig, n = (np.array([r[k] for r in part], np.int64) for k in range(4))
+            doc, id_, place, trig, n = (np.array([r[k] for r in part], np.int64) for k in range(5))
             lo, count, off = unpacked(place)
-            p = aligned([r[4] for r in part], off)
+            m = aligned([r[5] for r in part], off)
+            p, p1 = prefix_hashes(m), prefix_hashes(m, _T1, _P1)
             cols = []
             for d in range(SPAN):
                 k = np.flatnonzero((d <= off) & (d > off - count))
                 c = SPAN - 1 - d
-                cols.append((doc[k], lo[k] + off[k] - d, trig[k], np.full(len(k), d), _mix(p[k, c + LENGTH] - p[k, c]).view(np.int64), n[k]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*cols, strict=True)], names=["doc", "s", "trig", "d", "h", "n"])
+                cols.append((doc[k], id_[k], lo[k] + off[k] - d, trig[k], np.full(len(k), d), *(_mix(x[k, c + LENGTH] - x[k, c]).view(np.int64) for x in (p, p1)), n[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*cols, strict=True)], names=["doc", "id", "s", "trig", "d", "h", "h1", "n"])
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -277,9 +302,9 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _digest(batches):
     for b in batches:
-        for at in range(0, b.num_rows, 256):
+        for part in slices([b], 256, column=1):
             cols = [[], [], [], [], []]
-            for doc_id, body, ranges in zip(*(b.slice(at, 256).column(k).to_pylist() for k in range(3)), strict=True):
+            for doc_id, body, ranges in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
                 body = body or b""
                 spans = merge([(r["s"], r["e"]) for r in ranges or ()])
                 kept, last = hashlib.sha256(), 0
@@ -293,34 +318,35 @@ def _digest(batches):
 
 
 def repeated_ranges(docs: DataFrame, *, group: int = GROUP) -> DataFrame:
-    """doc, s, e: byte ranges that repeated windows cover, not merged. docs has doc (its name) and body (bytes)."""
-    rows = docs.select("doc", "body").mapInArrow(_parse_rows, "doc long, place long, trig long, phrase long")
+    """doc, id, s, e: byte ranges that repeated windows cover, not merged. docs has doc and id (its name) and body (bytes)."""
+    rows = docs.select("doc", "id", "body").mapInArrow(_parse_rows, "doc long, id long, place long, trig long, phrase long")
     # as a table, so that the join below has nothing to keep together and Spark may split a hot trigger
     shared = stored(rows.groupBy("trig").agg(F.count("*").alias("k")).where("k > 1").select("trig"), "triggers")
     found = stored(rows.join(shared.hint("shuffle_hash"), "trig"), "parse")
-    words = found.groupBy("trig", "phrase").agg(F.count("*").alias("n"), F.min("doc").alias("doc"), F.min_by("place", "doc").alias("place"))
+    words = found.groupBy("trig", "phrase").agg(F.count("*").alias("n"), F.min("doc").alias("doc"), F.min_by("id", "doc").alias("id"), F.min_by("place", "doc").alias("place"))
     words = stored(words, "dictionary")
     lo, windows = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255))
     whole = found.join(words.where("n > 1").select("trig", "phrase"), ["trig", "phrase"], "left_semi")
-    whole = whole.select("doc", lo.alias("s"), (lo + windows + (LENGTH - 1)).alias("e"))
-    sizes = words.groupBy("trig").agg(F.count("*").alias("k")).where("k > 1")
+    whole = whole.select("doc", "id", lo.alias("s"), (lo + windows + (LENGTH - 1)).alias("e"))
+    # as a table, too: of a hot trigger there may be very many phrases
+    sizes = stored(words.groupBy("trig").agg(F.count("*").alias("k")).where("k > 1"), "sizes")
 
     def with_bytes(which: str) -> DataFrame:
-        wanted = words.join(sizes.where(which).select("trig"), "trig").groupBy("doc").agg(F.collect_list(F.struct("place", "trig", "n")).alias("wanted"))
-        return docs.join(wanted, "doc").select("doc", "body", "wanted").mapInArrow(_phrase_bytes, "doc long, place long, trig long, n long, bytes binary")
+        wanted = words.join(sizes.where(which).select("trig"), "trig").groupBy("doc", "id").agg(F.collect_list(F.struct("place", "trig", "n")).alias("wanted"))
+        return docs.join(wanted, ["doc", "id"]).select("doc", "id", "body", "wanted").mapInArrow(_phrase_bytes, "doc long, id long, place long, trig long, n long, bytes binary")
 
-    partial = with_bytes(f"k <= {group}").repartition("trig").sortWithinPartitions("trig").mapInArrow(_resolve, "doc long, s long, e long")
+    partial = with_bytes(f"k <= {group}").repartition("trig").sortWithinPartitions("trig").mapInArrow(_resolve, "doc long, id long, s long, e long")
     out = whole.unionByName(partial)
     if sizes.where(f"k > {group}").limit(1).count():
-        each = with_bytes(f"k > {group}").mapInArrow(_windows, "doc long, s long, trig long, d long, h long, n long")
-        again = each.groupBy("trig", "d", "h").agg(F.count("*").alias("times")).where("times > 1")
-        out = out.unionByName(each.where("n = 1").join(again, ["trig", "d", "h"], "left_semi").select("doc", "s", (F.col("s") + LENGTH).alias("e")))
+        each = with_bytes(f"k > {group}").mapInArrow(_windows, "doc long, id long, s long, trig long, d long, h long, h1 long, n long")
+        again = each.groupBy("trig", "d", "h", "h1").agg(F.count("*").alias("times")).where("times > 1")
+        out = out.unionByName(each.where("n = 1").join(again, ["trig", "d", "h", "h1"], "left_semi").select("doc", "id", "s", (F.col("s") + LENGTH).alias("e")))
     return out
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs."""
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"), F.xxhash64(doc_id, text).alias("doc"))
-    ranges = repeated_ranges(own, group=group).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"), F.xxhash64(doc_id, text).alias("doc"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).cast("long").alias("id"))
+    ranges = repeated_ranges(own, group=group).groupBy("doc", "id").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return own.join(ranges, "doc", "left").select("doc_id", "body", "ranges").mapInArrow(_digest, schema)
+    return own.join(ranges, ["doc", "id"], "left").select("doc_id", "body", "ranges").mapInArrow(_digest, schema)
