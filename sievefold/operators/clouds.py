@@ -13,9 +13,9 @@ CONTENT = ("shared documents", "documentos compartilhados", "documents", "docume
 
 def site_key(url: Column) -> Column:
     """Comparable address of a site: host and path without pages and libraries, lower-cased, decoded."""
-    clean = F.regexp_replace(F.coalesce(url, F.lit("")), r"[?#].*$", "")
-    host = F.lower(F.regexp_extract(clean, r"^[A-Za-z]+://([^/]+)", 1))
-    raw = F.regexp_extract(clean, r"^[A-Za-z]+://[^/]+/?(.*)$", 1)
+    bare = F.regexp_replace(F.coalesce(url, F.lit("")), r"[?#].*$", "")
+    host = F.lower(F.regexp_extract(bare, r"^[A-Za-z]+://([^/]+)", 1))
+    raw = F.regexp_extract(bare, r"^[A-Za-z]+://[^/]+/?(.*)$", 1)
     parts = F.filter(F.split(F.lower(F.coalesce(F.try_url_decode(raw), raw)), "/"), lambda s: s != "")
     first = F.when(F.get(parts, F.lit(0)).isin("sites", "teams"), 2).otherwise(0)
     # the first part that is content ends the name; a form ends it one part earlier
@@ -23,7 +23,7 @@ def site_key(url: Column) -> Column:
     size = F.coalesce(F.get(F.filter(ends, lambda e: e.isNotNull()), F.lit(0)), F.size(parts))
     name = F.array_join(F.slice(parts, F.lit(1), F.greatest(size, F.lit(0))), "/")
     key = F.when(name == "", F.concat(F.lit("https://"), host)).otherwise(F.concat(F.lit("https://"), host, F.lit("/"), name))
-    return F.when(host == "", F.lower(F.regexp_replace(clean, "/+$", ""))).otherwise(key)
+    return F.when(host == "", F.lower(F.regexp_replace(bare, "/+$", ""))).otherwise(key)
 
 
 def site_ancestors(key: Column) -> Column:
@@ -38,8 +38,10 @@ def site_ancestors(key: Column) -> Column:
 def covered_sites(items: DataFrame, sites: DataFrame, *, site: str = "site") -> DataFrame:
     """items of a listed site or one below it. sites: site."""
     listed = sites.select(site_key(F.col("site")).alias("_up")).distinct()
-    found = items.withColumn("_row", F.monotonically_increasing_id()).withColumn("_up", F.explode(site_ancestors(site_key(F.col(site)))))
-    return found.join(listed, "_up", "left_semi").dropDuplicates(["_row"]).drop("_up", "_row")
+    # by distinct sites: numbers given to rows could differ from one computation to the next
+    sites_of = items.select(F.col(site).alias("_site")).distinct()
+    found = sites_of.select("_site", F.explode(site_ancestors(site_key(F.col("_site")))).alias("_up")).join(listed, "_up", "left_semi").select("_site").distinct()
+    return items.join(found, items[site] == F.col("_site"), "left_semi")
 
 
 def protected_sites(items: DataFrame, guards: DataFrame, *, site: str = "site") -> DataFrame:

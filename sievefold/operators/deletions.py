@@ -90,3 +90,55 @@ def decide(files: DataFrame, now: DataFrame) -> DataFrame:
         .otherwise("deleted")
     )
     return files.join(current, "id", "left").select("id", plan.alias("plan"))
+
+
+#: What parts of an item's text are joined by, and how the actor of a scheduled run is written.
+SEPARATOR = " › "
+SCHEDULED = r'(política de retenção|agendamento) "([^"]+)"'
+KINDS = ("local", "onedrive", "sharepoint", "mail", "teams")
+
+
+def normalised(events: DataFrame) -> DataFrame:
+    """events with kind, mailbox, folder, purpose and schedule_name as they are shown, also of rows that lack them.
+
+    events: item, actor, mode, method, and, null where they are not known, scan_kind, target_type, target_mailbox,
+    target_folder, schedule, recorded_purpose, and clouds (the kinds of cloud storage that the row's scan holds).
+    An item is a path, an address, or parts joined by SEPARATOR: mailbox, folder and subject of a message.
+    """
+    item, actor = F.coalesce("item", F.lit("")), F.coalesce("actor", F.lit(""))
+    parts = F.split(item, SEPARATOR)
+    several = F.size(parts) > 1
+    single = F.when(F.size(F.array_distinct("clouds")) == 1, F.get("clouds", F.lit(0)))
+    personal = item.rlike(r"(?i)-my\.sharepoint\.[a-z.]+/personal/")
+    cloud = F.coalesce(single, F.when(personal, "onedrive").when(item.rlike(r"(?i)^https?://[^/]*sharepoint\."), "sharepoint").otherwise("cloud"))
+    unscanned = F.col("scan_kind").isNull() & several
+    message = (F.size(parts) >= 3) & F.get(parts, F.lit(0)).rlike(r"^[^\s@]+@[^\s@]+$")
+    kind = (
+        F.when(F.col("target_type").isin(*KINDS), F.col("target_type"))
+        .when(F.col("target_type") == "cloud", cloud)
+        .when(F.col("scan_kind") == "mail", "mail")
+        .when((F.col("scan_kind") == "teams") | (F.col("method") == "teams"), "teams")
+        .when(item.rlike("(?i)^https?://"), cloud)
+        .when((F.col("method") == "file") | item.rlike(r"(?i)^([a-z]:[\\/]|\\\\|/)"), "local")
+        .when(unscanned & message, "mail")
+        .when(unscanned, F.when(F.get(parts, F.lit(0)).rlike("(?i)^OneDrive de "), "onedrive").otherwise("cloud"))
+        .when(F.col("scan_kind") == "files", F.when(F.size(F.coalesce("clouds", F.array().cast("array<string>"))) == 0, "local").otherwise(cloud))
+        .otherwise("")
+    )
+    known = events.withColumn("kind", kind)
+    mail, deep = F.col("kind") == "mail", F.size(parts) > 2
+    mailbox = F.coalesce("target_mailbox", F.when(mail & deep, F.get(parts, F.lit(0))), F.lit(""))
+    path = F.when(mail, F.when(deep, F.get(parts, F.lit(1)))).when(F.col("kind") == "teams", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), SEPARATOR))
+    named = F.nullif(F.regexp_extract(actor, SCHEDULED, 2), F.lit(""))
+    retention = F.regexp_extract(actor, SCHEDULED, 1) == "política de retenção"
+    purpose = F.coalesce("recorded_purpose", F.when(F.col("schedule").isNull() & retention, "retention"), F.when(F.col("mode") == "retention", "retention"), F.lit(""))
+    shown = {"mailbox": mailbox, "folder": F.coalesce("target_folder", path, F.lit("")), "purpose": purpose, "schedule_name": F.coalesce("schedule", named)}
+    return known.withColumns(shown)
+
+
+def bulk_candidates(records: DataFrame, repositories: DataFrame) -> DataFrame:
+    """Number of records of a slice that a bulk run may still delete. records: repository, status of the last deletion
+    or null; repositories: repository, allow_delete."""
+    open_ = ~F.coalesce("status", F.lit("")).isin("deleted", "missing")
+    held = records.join(repositories, "repository", "left")
+    return held.agg(F.count_if(open_ & F.coalesce("allow_delete", F.lit(False))).alias("candidates"))

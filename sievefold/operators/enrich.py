@@ -29,14 +29,13 @@ def last_accesses(audit: DataFrame) -> DataFrame:
 def longest_prefix(items: DataFrame, roots: DataFrame, *, path: str = "path", root: str = "root") -> DataFrame:
     """items with the columns of the root that contains them most closely, nulls without one.
 
-    Each item looks its ancestors up by equality, so that the join can be hashed; the deepest hit stays.
+    Each distinct path looks its ancestors up by equality, so that the join can be hashed; the deepest hit stays.
     """
     name = [c for c in roots.columns if c != root]
     known = roots.select(F.col(root).alias("_root"), F.struct(*name).alias("_x"))
-    each = items.withColumn("_row", F.monotonically_increasing_id())
-    ups = each.select("_row", F.explode(ancestors(F.col(path))).alias("_root"))
-    best = ups.join(known, "_root").groupBy("_row").agg(F.max_by(F.struct("_root", "_x"), F.length("_root")).alias("_b"))
-    return each.join(best, "_row", "left").select(*items.columns, F.col("_b._root").alias(root), *(F.col(f"_b._x.{c}").alias(c) for c in name))
+    ups = items.select(F.col(path).alias("_path")).distinct().select("_path", F.explode(ancestors(F.col("_path"))).alias("_root"))
+    best = ups.join(known, "_root").groupBy("_path").agg(F.max_by(F.struct("_root", "_x"), F.length("_root")).alias("_b"))
+    return items.join(best, items[path] == F.col("_path"), "left").select(*items.columns, F.col("_b._root").alias(root), *(F.col(f"_b._x.{c}").alias(c) for c in name))
 
 
 def only_owner(items: DataFrame, holders: DataFrame, key: str, value: str) -> DataFrame:

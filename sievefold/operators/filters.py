@@ -46,8 +46,12 @@ def large_enough(size: Column, megabytes: float) -> Column:
 
 def ordered(df: DataFrame, keys: dict[str, Column], sort: str | None, *, default: str, descending: bool = False, tie: str = "id") -> DataFrame:
     """By a key, or the default one if there is no such key; descending reverses ties too."""
+    return df.orderBy(*order_of(keys, sort, default=default, descending=descending, tie=tie))
+
+
+def order_of(keys: dict[str, Column], sort: str | None, *, default: str, descending: bool = False, tie: str = "id") -> list[Column]:
     key = keys.get(sort or "", keys[default])
-    return df.orderBy(key.desc_nulls_last(), F.col(tie).desc()) if descending else df.orderBy(key.asc_nulls_first(), F.col(tie).asc())
+    return [key.desc_nulls_last(), F.col(tie).desc()] if descending else [key.asc_nulls_first(), F.col(tie).asc()]
 
 
 def page(df: DataFrame, number: int, *, size: int = PAGE) -> DataFrame:
@@ -90,10 +94,33 @@ def outermost_folders(folders: DataFrame, *, owner: str = "repository", path: st
 def in_folders(files: DataFrame, folders: DataFrame, *, owner: str = "repository", path: str = "path") -> DataFrame:
     """Files inside a chosen folder of their owner, by equality on their ancestors; without folders none."""
     keyed = folders.select(owner, folder_key(F.col("path")).alias("up")).where("up <> ''").distinct()
-    wide = files.withColumn("_up", ancestors(folder_key(F.col(path))))
-    named = keyed.groupBy(owner).agg(F.collect_set("up").alias("_chosen"))
-    inside = F.exists("_up", lambda u: F.array_contains("_chosen", u) & (u != F.element_at("_up", -1)))
-    return wide.join(named, owner).where(inside).drop("_up", "_chosen")
+    paths = files.select(owner, F.col(path).alias("_path")).distinct()
+    above = F.filter(ancestors(folder_key(F.col("_path"))), lambda u: u != folder_key(F.col("_path")))
+    inside = paths.select(owner, "_path", F.explode(above).alias("up")).join(keyed, [owner, "up"], "left_semi").select(owner, "_path").distinct()
+    return files.join(inside.withColumnRenamed(owner, "_owner"), (files[owner] == F.col("_owner")) & (files[path] == F.col("_path")), "left_semi")
+
+
+def export_order() -> list[Column]:
+    """The order of exports: repository, then path, without regard to case."""
+    return [F.lower("repository"), F.lower("path"), F.col("id")]
+
+
+def default_sort(*, retention: bool, types: bool, sort: str | None = None, descending: bool = False) -> tuple[str | None, bool]:
+    """Sort key and direction: what was asked for; else the oldest first for retention, the largest first for types."""
+    if sort:
+        return sort, descending
+    if types:
+        return "size", True
+    return ("oldest", descending) if retention else (None, descending)
+
+
+def natural_key(text: Column, width: int = 20) -> Column:
+    """Sort key of a text in which runs of digits compare as numbers (of up to width digits) and letters without case.
+
+    Runs of digits are padded to one width; between them the text stays as it is.
+    """
+    padded = F.regexp_replace(F.lower(text), "([0-9]+)", F.lit("0" * width + "$1"))
+    return F.regexp_replace(padded, f"0*([0-9]{{{width}}})(?![0-9])", F.lit("$1"))
 
 
 def trashed(path: Column, trash: list[str]) -> Column:

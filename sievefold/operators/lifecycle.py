@@ -20,7 +20,7 @@ def signature(*parts: Column) -> Column:
 def baselines(runs: DataFrame, *, every: int = FULL_EVERY) -> DataFrame:
     """For each run: where its incremental scan may start, and whether it has to be full.
 
-    runs: schedule, seq, started, signature, ok (clean and complete), full. The base is the start of the
+    runs: schedule, seq, started, signature, ok (without errors and complete), full. The base is the start of the
     last good run of the same signature, less a margin; after every runs without a full one, a full one is due.
     """
     order = Window.partitionBy("schedule").orderBy("seq")

@@ -66,13 +66,13 @@ def overlapping_count(folded: Column, term: str, *, whole_word: bool = False) ->
     return F.when(folded.contains(term), F.regexp_count(folded, F.lit(f"{before}(?={body}{after})"))).otherwise(0).cast("long")
 
 
-def text_hits(docs: DataFrame, terms: list[tuple[str, str, bool]], *, location: str = "content") -> DataFrame:
+def text_hits(docs: DataFrame, terms: list[tuple[str, str, bool]], *, location: str = "content", few: int = FEW_TERMS) -> DataFrame:
     """Counts of each text term (id, value, wholeWord) in each document; rows without a hit are left out.
 
     Few terms are look-ahead patterns over the folded column, inside the JVM; many share one automaton.
     """
     folded = docs.select("id", fold_text(F.col("text")).alias("folded"))
-    if len(terms) <= FEW_TERMS:
+    if len(terms) <= few:
         counts = F.array(*(F.struct(F.lit(t).alias("term_id"), overlapping_count(F.col("folded"), plain_fold(v), whole_word=w).alias("count")) for t, v, w in terms))
         each = folded.select("id", F.explode(F.filter(counts, lambda x: x["count"] > 0)).alias("x"))
         each = each.select("id", "x.term_id", F.col("x.count").alias("count"))
@@ -139,7 +139,7 @@ def preset_hits(docs: DataFrame, presets: list[str] | None = None, *, location:
 
 
 def hit_columns(found: Column) -> list[Column]:
-    """count (capped), the first distinct values cleaned for display, and whether the cap was passed."""
+    """count (capped), the first distinct values as they are displayed, and whether the cap was passed."""
     values = F.slice(F.array_distinct(F.transform(found, lambda v: F.substring(display_text(v), 1, 200))), 1, MAX_VALUES)
     n = F.size(found).cast("long")
     return [F.least(n, F.lit(MAX_COUNT)).alias("count"), values.alias("values"), (n > MAX_COUNT).alias("truncated")]
@@ -160,14 +160,14 @@ def first_samples(text: Column, pattern: str) -> Column:
         start = F.aggregate(F.slice(gaps, 1, k + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(found, 1, k), F.lit(0), lambda a, m: a + F.length(m))
         end = start + F.length(match)
         low = F.greatest(start - CONTEXT, F.lit(0))
-        before = F.concat(F.when(low > 0, "…").otherwise(""), F.ltrim(_clean(F.substring(text, low + 1, start - low))))
-        after = F.concat(F.rtrim(_clean(F.substring(text, end + 1, F.lit(CONTEXT)))), F.when(end + CONTEXT < F.length(text), "…").otherwise(""))
-        return F.struct(before.alias("before"), F.substring(_clean(match), 1, 300).alias("match"), after.alias("after"), line_number(text, start).alias("line"))
+        before = F.concat(F.when(low > 0, "…").otherwise(""), F.ltrim(_shown(F.substring(text, low + 1, start - low))))
+        after = F.concat(F.rtrim(_shown(F.substring(text, end + 1, F.lit(CONTEXT)))), F.when(end + CONTEXT < F.length(text), "…").otherwise(""))
+        return F.struct(before.alias("before"), F.substring(_shown(match), 1, 300).alias("match"), after.alias("after"), line_number(text, start).alias("line"))
 
     return F.transform(found, one)
 
 
-def _clean(text: Column) -> Column:
+def _shown(text: Column) -> Column:
     return F.regexp_replace(text, r"[\u0000- \u007f- �]+", " ")
 
 

@@ -128,3 +128,46 @@ def w2_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def w3_breakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.breakers(attempts(spark, sf_dir), run=7, folder_run=3).select("seq", "stopped", "skipped")
+
+
+# an item of each shape; scans that are known, of each kind, and rows with and without a recorded target
+_RAW = """SELECT event_id AS seq,
+      CASE event_id % 9 WHEN 0 THEN concat('C:\\\\dir\\\\a', event_id, '.txt') WHEN 1 THEN concat('\\\\\\\\srv\\\\x', event_id) WHEN 2 THEN concat('https://t-my.sharepoint.com/personal/u', event_id) WHEN 3 THEN concat('https://t.sharepoint.com/sites/s', event_id)
+        WHEN 4 THEN concat('u', event_id, '@x.com › Inbox › hi') WHEN 5 THEN concat('OneDrive de u', event_id, '@x.com › p/a') WHEN 6 THEN concat('grupo › arquivo', event_id) WHEN 7 THEN concat('/srv/a', event_id) ELSE concat('nome', event_id) END AS item,
+      CASE event_id % 7 WHEN 0 THEN 'ana' WHEN 1 THEN concat('política de retenção "P', event_id % 3, '"') WHEN 2 THEN concat('agendamento "S', event_id % 4, '" (auto)') ELSE NULL END AS actor,
+      CASE event_id % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'retention' ELSE 'auto' END AS mode, CASE event_id % 11 WHEN 0 THEN 'file' WHEN 1 THEN 'teams' ELSE NULL END AS method,
+      CASE event_id % 5 WHEN 0 THEN 'files' WHEN 1 THEN 'mail' WHEN 2 THEN 'teams' ELSE NULL END AS scan_kind,
+      CASE event_id % 13 WHEN 0 THEN 'local' WHEN 1 THEN 'cloud' WHEN 2 THEN 'mail' ELSE NULL END AS target_type, CASE WHEN event_id % 10 = 0 THEN 'box@x.com' ELSE NULL END AS target_mailbox, CASE WHEN event_id % 15 = 0 THEN 'Pasta' ELSE NULL END AS target_folder,
+      CASE WHEN event_id % 8 = 0 THEN 'Plano' ELSE NULL END AS schedule, CASE WHEN event_id % 17 = 0 THEN 'types' ELSE NULL END AS recorded_purpose, CASE event_id % 6 WHEN 0 THEN 'onedrive' WHEN 1 THEN 'sharepoint' ELSE NULL END AS cloud
+    FROM {events}"""
+_DUCK_RAW = _RAW.replace("{events}", "events").replace("\\\\", "\\")
+
+
+@query(
+    f"""WITH r AS (SELECT *, string_split(item, ' › ') AS p FROM ({_DUCK_RAW})),
+    c AS (SELECT *, CASE WHEN cloud IS NOT NULL THEN cloud WHEN item LIKE '%-my.sharepoint.%/personal/%' THEN 'onedrive' WHEN item LIKE 'https://%sharepoint.%' THEN 'sharepoint' ELSE 'cloud' END AS by_item FROM r),
+    k AS (SELECT *, CASE WHEN target_type IN ('local', 'mail') THEN target_type WHEN target_type = 'cloud' THEN by_item WHEN scan_kind = 'mail' THEN 'mail' WHEN scan_kind = 'teams' OR method = 'teams' THEN 'teams'
+      WHEN starts_with(item, 'http') THEN by_item WHEN method = 'file' OR starts_with(item, 'C:') OR starts_with(item, '\\\\') OR starts_with(item, '/') THEN 'local'
+      WHEN scan_kind IS NULL AND len(p) >= 3 THEN 'mail' WHEN scan_kind IS NULL AND starts_with(item, 'OneDrive de') THEN 'onedrive' WHEN scan_kind IS NULL AND len(p) = 2 THEN 'cloud'
+      WHEN scan_kind = 'files' THEN CASE WHEN cloud IS NULL THEN 'local' ELSE by_item END ELSE '' END AS kind FROM c)
+    SELECT seq, kind, coalesce(target_mailbox, CASE WHEN kind = 'mail' AND len(p) > 2 THEN p[1] END, '') AS mailbox,
+      coalesce(target_folder, CASE WHEN kind = 'mail' AND len(p) > 2 THEN p[2] WHEN kind = 'teams' THEN array_to_string(p[1:len(p) - 1], ' › ') END, '') AS folder,
+      coalesce(recorded_purpose, CASE WHEN schedule IS NULL AND starts_with(actor, 'política') THEN 'retention' END, CASE WHEN mode = 'retention' THEN 'retention' END, '') AS purpose,
+      coalesce(schedule, CASE WHEN actor LIKE '%"%' THEN split_part(actor, '"', 2) END) AS schedule_name FROM k"""
+)
+def p12_normalised_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rows of the log lack is told from the item's shape, the scan and the text about who ran it."""
+    raw = spark.sql(_RAW, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    clouds = F.when(F.col("cloud").isNull(), F.array().cast("array<string>")).otherwise(F.array("cloud"))
+    return d.normalised(raw.withColumn("clouds", clouds)).select("seq", "kind", "mailbox", "folder", "purpose", "schedule_name")
+
+
+@query(
+    """WITH l AS (SELECT item, coalesce(max(CASE WHEN status = 'deleted' THEN 'deleted' END), max_by(status, seq)) AS status FROM deletions GROUP BY item)
+    SELECT count(*) FILTER (WHERE coalesce(l.status, '') NOT IN ('deleted', 'missing') AND f.repository IN ('src1', 'src2', 'src7', 'src13')) AS candidates FROM files f LEFT JOIN l ON l.item = f.id"""
+)
+def a21_bulk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = d.final_states(view(spark, sf_dir, "deletions"), "item").select(F.col("item").alias("id"), "status")
+    records = view(spark, sf_dir, "files").select("id", "repository").join(last, "id", "left")
+    repositories = spark.createDataFrame([(f"src{k}", k in (1, 2, 7, 13)) for k in range(15)], "repository string, allow_delete boolean")
+    return d.bulk_candidates(records, repositories)

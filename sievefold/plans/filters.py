@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, globs
 from ..functions import text as t
 from ..operators import deletions, enrich, filters, lifecycle
 from ..operators.reports import top_in_group
+from ..sources import sinks
 from .catalog import query
 from .matching import FOLD
 from .views import table, view
@@ -87,8 +88,8 @@ def f8_deletion_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.explode(wanted).alias("wanted")).groupBy("wanted").agg(F.count("*").alias("n"))
 
 
-FOLDERS = (("web", "DIR1/sub 0"), ("web", "dir2"), ("books", "dir3/Sub 1/"), ("code", "dir"), ("news", ""))
-_FOLDER_SQL = "SELECT * FROM (VALUES ('web', 'DIR1/sub 0'), ('web', 'dir2'), ('books', 'dir3/Sub 1/'), ('code', 'dir'), ('news', '')) AS t(repository, path)"
+FOLDERS = (("src1", "DIR1/sub 0"), ("src7", "dir2"), ("src13", "dir3/Sub 1/"), ("src2", "dir"), ("src14", ""), *((f"src{k}", f"Dir{k % 7}") for k in range(2, 20)))
+_FOLDER_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{p}')" for r, p in FOLDERS) + ") AS t(repository, path)"
 
 
 @query(f"WITH c AS ({_FOLDER_SQL}), k AS (SELECT DISTINCT repository, lower(regexp_replace(path, '/+$', '')) AS p FROM c) SELECT f.id FROM files f WHERE EXISTS (SELECT 1 FROM k WHERE k.repository = f.repository AND k.p <> '' AND starts_with(lower(concat(f.folder, '/', f.name)), concat(k.p, '/')))")
@@ -126,11 +127,11 @@ def f14_expired_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT seq FROM deletions WHERE done_at >= timestamp '2024-01-05 00:00:00' AND done_at < timestamp '2024-01-12 00:00:00' AND status IN ('failed', 'changed') AND mode = 'retention' AND kind IN ('onedrive', 'sharepoint', 'cloud') AND policy IS NULL"""
+    """SELECT seq FROM deletions WHERE done_at >= timestamp '2024-01-05 00:00:00' AND done_at < timestamp '2024-01-12 00:00:00' AND status IN ('failed', 'changed') AND mode = 'manual' AND kind IN ('onedrive', 'sharepoint', 'cloud', 'local') AND policy = 'policy0'"""
 )
 def f15_log_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = view(spark, sf_dir, "deletions")
-    wanted = dates.within_days(F.col("done_at"), "2024-01-05", "2024-01-11") & F.col("status").isin("failed", "changed") & filters.equals(mode="retention") & F.col("kind").isin("onedrive", "sharepoint", "cloud") & F.col("policy").isNull()
+    wanted = dates.within_days(F.col("done_at"), "2024-01-05", "2024-01-11") & F.col("status").isin("failed", "changed") & filters.equals(mode="manual", policy="policy0") & F.col("kind").isin("onedrive", "sharepoint", "cloud", "local")
     return d.where(wanted).select("seq")
 
 
@@ -159,10 +160,10 @@ def f18_internal_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY sent DESC NULLS LAST, id DESC) AS nth FROM messages)
-    SELECT id FROM r WHERE nth <= 5 AND contains({FOLD.format("concat_ws(' | ', sender, text)")}, 'que') ORDER BY sent DESC NULLS LAST, id DESC LIMIT 60"""
+    SELECT id FROM r WHERE nth <= 100 AND contains({FOLD.format("concat_ws(' | ', sender, text)")}, 'que') ORDER BY sent DESC NULLS LAST, id DESC LIMIT 60"""
 )
 def f19_live_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recent = recent_messages(view(spark, sf_dir, "messages"), 5)
+    recent = recent_messages(view(spark, sf_dir, "messages"), 100)
     return recent.where(filters.searched("quê", "sender", "text")).orderBy(F.desc_nulls_last("sent"), F.desc("id")).limit(60).select("id")
 
 
@@ -233,6 +234,11 @@ def t1_largest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(top.select("id"))
 
 
+def placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """All rows with their place (nth, from 1) in an order, by ranges; nothing meets in one task."""
+    return sinks.sheet_numbers(df, order, max_rows=1 << 40).withColumnRenamed("row", "nth").drop("sheet")
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """The rows of a page (at most some hundreds) with their place in it."""
     one = df.coalesce(1).withColumn("_m", F.monotonically_increasing_id())
@@ -283,3 +289,20 @@ def u4_equal_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users of the same set of event types: sets are compared in sorted form."""
     sets = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "|").alias("kinds"))
     return sets.groupBy("kinds").agg(F.count("*").alias("users"))
+
+
+@query("SELECT row_number() OVER (ORDER BY lower(repository), lower(path), id) AS nth, id FROM (SELECT id, repository, concat(folder, '/', name) AS path FROM files)")
+def t4_export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = view(spark, sf_dir, "files").select("id", "repository", F.concat_ws("/", "folder", "name").alias("path"))
+    return placed(files, filters.export_order()).select("nth", "id")
+
+
+@query("SELECT 'retention' AS scan, row_number() OVER (ORDER BY used NULLS FIRST, id) AS nth, id FROM retained UNION ALL SELECT 'types', row_number() OVER (ORDER BY size DESC NULLS LAST, id DESC), id FROM retained")
+def t5_default_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = {"oldest": F.col("used"), "size": F.col("size"), "id": F.col("id")}
+    items, out = view(spark, sf_dir, "retained"), []
+    for name in ("retention", "types"):
+        sort, descending = filters.default_sort(retention=name == "retention", types=name == "types")
+        rows = placed(items, filters.order_of(keys, sort, default="id", descending=descending))
+        out.append(rows.select(F.lit(name).alias("scan"), "nth", "id"))
+    return out[0].unionByName(out[1])

@@ -85,12 +85,12 @@ def j6_only_connection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.only_owner(m.select("mailbox").distinct(), m.where("conv_id % 4 = 1").select("mailbox", "source"), "mailbox", "source")
 
 
-@query("SELECT id FROM files WHERE id IN (SELECT item FROM deletions WHERE kind = 'local') AND id NOT IN (SELECT item FROM deletions WHERE status = 'deleted') AND NOT starts_with(folder, 'dir3/')")
+@query("SELECT id FROM files WHERE id IN (SELECT item FROM deletions WHERE kind = 'local') AND id NOT IN (SELECT item FROM deletions WHERE status = 'deleted' AND scan = 1 AND mode = 'auto' AND item % 4 > 0) AND NOT starts_with(folder, 'dir3/')")
 def j9_bulk_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = view(spark, sf_dir, "deletions").withColumnRenamed("item", "id")
     guards = spark.createDataFrame([("dir3", None)], "guard string, except array<string>")
     chosen = view(spark, sf_dir, "files").select("id", F.concat_ws("/", "folder", "name").alias("path")).join(log.where("kind = 'local'").select("id"), "id", "left_semi")
-    return enrich.unprotected(chosen.join(log.where("status = 'deleted'").select("id"), "id", "left_anti"), guards).select("id")
+    return enrich.unprotected(chosen.join(log.where("status = 'deleted' and scan = 1 and mode = 'auto' and id % 4 > 0").select("id"), "id", "left_anti"), guards).select("id")
 
 
 @query("SELECT k.seq, f.name FROM (SELECT * FROM deletions WHERE item % 10 <> 0) k LEFT JOIN files f ON f.id = k.item")

@@ -76,8 +76,8 @@ def p10_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "messages").select(*((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()))
 
 
-@query("SELECT id, name, repository FROM files WHERE id % 2 = 0")
+@query("SELECT id, name, repository FROM files")
 def p11_public(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Internal fields, which start with an underscore, stay inside."""
-    f = view(spark, sf_dir, "files").where("id % 2 = 0").select("id", "name", "repository", F.lower("text").alias("_search"))
+    f = view(spark, sf_dir, "files").select("id", "name", "repository", F.lower("text").alias("_search"))
     return f.drop(*(c for c in f.columns if c.startswith("_")))

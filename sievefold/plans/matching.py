@@ -88,7 +88,7 @@ def m2_many_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = words.where((F.length("word") >= 6) & ~F.expr("contains(substr(word, 2), substr(word, 1, 1))")).limit(m.MAX_TERMS + 1).collect()
     if len(listed) > m.MAX_TERMS:
         raise ValueError(f"more than {m.MAX_TERMS} terms in the list")
-    hits = m.text_hits(view(spark, sf_dir, "files"), [(r["word"], r["word"], False) for r in listed] * 1 + [(f"#{k}", f"#{k}#{k}", False) for k in range(m.FEW_TERMS + 1)])
+    hits = m.text_hits(view(spark, sf_dir, "files"), [(r["word"], r["word"], False) for r in listed], few=0)
     return hits.groupBy(F.col("term_id").alias("word")).agg(F.count("*").alias("files"), F.sum("count").alias("occurrences"))
 
 

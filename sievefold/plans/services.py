@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import clouds, filters, matching
 from ..sources import extract
 from .catalog import query
-from .filters import numbered
+from ..operators.filters import natural_key
+from .filters import numbered, placed
 from .views import table, view
 
 
@@ -92,10 +93,10 @@ def x43_attachment_in_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.exists("parts", lambda p: F.coalesce(p["disposition"] == "attachment", F.lit(False))).alias("attached"))
 
 
-@query("SELECT conv_id, turn, concat(role, ' ', turn) AS subject, 'a.txt' AS attachments, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS body FROM conversations WHERE conv_id % 5 = 0")
+@query("SELECT conv_id, turn, concat(role, ' ', turn) AS subject, 'a.txt' AS attachments, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS body FROM conversations")
 def x7_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw messages with an attachment, made of the conversations, and read again."""
-    c = table(spark, sf_dir, "conversations").where("conv_id % 5 = 0")
+    c = table(spark, sf_dir, "conversations")
     raw = F.concat(
         F.lit("Subject: "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\r\nFrom: a@x.org\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=B\r\n\r\n--B\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"),
         F.base64(F.encode("text", "UTF-8")), F.lit("\r\n--B\r\nContent-Type: text/plain\r\nContent-Disposition: attachment; filename=a.txt\r\n\r\nx\r\n--B--\r\n"),
@@ -110,11 +111,10 @@ def m11_limited_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.user_pattern_hits(view(spark, sf_dir, "files"), "t", "[A-Za-z]+ing", seconds=5.0).select("id", "count")
 
 
-@query("SELECT row_number() OVER () AS nth, name FROM (SELECT DISTINCT name, cast(regexp_extract(name, '([0-9]+)', 1) AS bigint) AS n FROM files ORDER BY n, name LIMIT 100)")
+@query("SELECT row_number() OVER () AS nth, name FROM (SELECT DISTINCT name, cast(regexp_extract(name, '([0-9]+)', 1) AS bigint) AS n FROM files ORDER BY n, name)")
 def t6_natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers within names compare as numbers."""
-    n = F.regexp_extract("name", "([0-9]+)", 1).cast("long")
-    return numbered(view(spark, sf_dir, "files").select("name").distinct().orderBy(F.regexp_extract("name", "^([^0-9]*)", 1), n, "name").limit(100))
+    return placed(view(spark, sf_dir, "files").select("name").distinct(), [natural_key(F.col("name")), F.col("name")])
 
 
 @query("SELECT row_number() OVER () AS nth, n_name AS name FROM (SELECT n_name FROM nation ORDER BY lower(n_name))")
