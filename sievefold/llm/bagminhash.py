@@ -50,6 +50,7 @@ SLOTS = BANDS * ROWS
 SCREEN = 76  # slots that compared signatures have in common at least; at similarity 0.8 it is 102 on average, give or take 4.5
 HEADS, BEST = 4, 8  # members of the largest class that others are compared with in a bucket; likeliest of all these pairs that are verified
 FOUND = 20  # of so many likely pairs one has to be a link for another turn of heads
+STAR, STAR_SIZE = 256, 1 << 18  # members that are verified with one lead in a unit, about, and their shingles
 LEFT, RIGHT = 1024, 4096  # members of the two blocks of a unit, about,
 LEFT_SIZE, RIGHT_SIZE = 1 << 19, 1 << 21  # and their shingles
 FEW = 300_000  # rows of 24 bytes, or signatures, that are broadcast at most
@@ -271,7 +272,7 @@ def _leads(bucket: DataFrame) -> DataFrame:
     closer = bucket.drop("lead", "k", "all").join(stored(closer, "closer"), ["nth", "key", "next"])
     near = bucket.select(closer.columns).unionByName(closer)
     fits = (F.struct("node", "bag1") != F.struct("lead.node", "lead.bag1")) & _similar_size("size", "lead.size")
-    part = F.pmod(F.xxhash64("node", "bag1"), _blocks(F.col("k"), F.col("all"), RIGHT, RIGHT_SIZE))
+    part = F.pmod(F.xxhash64("node", "bag1"), _blocks(F.col("k"), F.col("all"), STAR, STAR_SIZE))
     pairs = near.where(fits).select(F.xxhash64("lead.node", "lead.bag1", part).alias("unit"), F.col("node").alias("u"), F.col("bag1").alias("ubag"), F.col("lead.node").alias("v"), F.col("lead.bag1").alias("vbag"))
     # a unit of a lead has as many members as its bucket gives it; of a pair in several buckets the smallest unit stays
     return stored(pairs.groupBy("u", "ubag", "v", "vbag").agg(F.min("unit").alias("unit")), "pairs")
@@ -294,8 +295,7 @@ def _heads(members: DataFrame, turn: int) -> DataFrame:
     picks = [F.min_by(F.struct(F.col("node").alias("v"), F.col("bag1").alias("vbag"), F.col("size").alias("vsize"), F.col("bands").alias("vbands")), F.xxhash64("node", F.lit(turn * HEADS + k))) for k in range(HEADS)]
     heads = stored(members.where("root = big").groupBy("nth", "key").agg(F.array_distinct(F.array(*picks)).alias("heads")), "heads")
     rows = members.where("root <> big").join(heads, ["nth", "key"]).withColumn("h", F.explode("heads")).where(_similar_size("size", "h.vsize"))
-    # of a head's members as many as a block has make up a unit
-    unit = F.xxhash64("h.v", "h.vbag", F.pmod(F.xxhash64("node", "bag1"), F.col("lefts")))
+    unit = F.xxhash64("h.v", "h.vbag", F.pmod(F.xxhash64("node", "bag1"), F.col("lefts") * (LEFT // STAR)))
     rows = rows.select(unit.alias("unit"), F.col("node").alias("u"), F.col("bag1").alias("ubag"), "h.v", "h.vbag", "bands", "h.vbands")
     likely = rows.mapInArrow(_nearest, "unit long, u long, ubag long, v long, vbag long, agree long")
     once = likely.groupBy("u", "ubag", "v", "vbag").agg(F.min("unit").alias("unit"), F.first("agree").alias("agree"))

@@ -6,13 +6,19 @@ words up among the anchors; postings of one template that agree on where it woul
 intersected, and the mandatory key phrases are then verified word by word at that place. Templates
 that are phrases alone have every word mandatory, so that all their places are found.
 
-Null and empty texts have no words, no labels and score 0. Repeated rows give repeated rows.
+Templates are a parameter: (label, text, key phrases) of each. The default ones are the base phrases, NOTICES, and TEXTS,
+the opening or whole bodies of common licences; several templates may share a label.
+
+Null and empty texts have no words, no labels and score 0. Very long texts are scanned whole. Of several notices the
+best score counts, and places that tie all count. Repeated rows give repeated rows; an empty table gives an empty result.
+Columns other than id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +46,16 @@ NOTICES = (
     ("epl", "made available under the terms of the Eclipse Public License", ("eclipse public license",)),
     ("unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software", "public domain")),
 )
+#: Bodies of licences, as their owners publish them, with key phrases.
+TEXTS = (
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", ("to deal in the software without restriction", "sublicense and or sell copies of the software")),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.", ("provided that the above copyright notice and this permission notice appear in all copies", "the author disclaims all warranties")),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", ("redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce")),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", ("you may not use this file except in compliance with the license", "unless required by applicable law or agreed to in writing")),
+    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", ("under the terms of the gnu general public license", "either version 3 of the license")),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ("under the terms of the gnu general public license", "either version 2 of the license")),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ("anyone is free to copy modify publish use compile sell or distribute this software",)),
+)
 ANCHORS = 3
 
 
@@ -53,8 +69,9 @@ class Template:
             self.keys.append((at, k))
 
 
-def templates() -> list[Template]:
-    return [Template(label, p, (p,), True) for p, label in BASE.items()] + [Template(label, t, keys, False) for label, t, keys in NOTICES]
+def templates(notices: Iterable[tuple[str, str, tuple[str, ...]]] = (*NOTICES, *TEXTS)) -> list[Template]:
+    """The base phrases, which always count, and the notices."""
+    return [Template(label, p, (p,), True) for p, label in BASE.items()] + [Template(label, t, keys, False) for label, t, keys in notices]
 
 
 def document_counts(docs: DataFrame, vocabulary: set[str], *, text: str = "text") -> tuple[dict[str, int], int]:
@@ -112,14 +129,14 @@ def scan(text: str | None, known: list[Template], index: dict[str, list[tuple[in
     return len(own), len(starts), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
-def license_scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, *, notices: Iterable[tuple[str, str, tuple[str, ...]]] = (*NOTICES, *TEXTS), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
     Two passes over the texts and no shuffle of documents: the first counts the templates' words for
     the IDF, the second scans. score is 0 without a label, 0.9 for a base phrase, and up to 1 as more
     of a notice's words stand in place.
     """
-    known = templates()
+    known = templates(notices)
     counts, total = document_counts(docs, {w for t in known for w in t.words}, text=text)
     index = build_index(known, counts, total)
     need = Counter(t for postings in index.values() for t, _ in postings)

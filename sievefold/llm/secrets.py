@@ -72,23 +72,23 @@ def secret_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     own = stored(own.withColumns({"row": F.xxhash64("doc_id", "repo", "owner", "found"), "row2": F.xxhash64("found", "owner", "repo", "doc_id")}), "candidates")
     plain = own.where(F.size("found") == 0)
     some = own.where(F.size("found") > 0)
-    each = some.select("row", "row2", "repo", "owner", F.explode("found").alias("x")).select("row", "row2", "repo", "owner", F.col("x.value").alias("value"))
+    each = some.select("row", "row2", "repo", "owner", F.posexplode("found").alias("nth", "x")).select("row", "row2", "repo", "owner", "nth", F.col("x.value").alias("value"))
     holders = each.select("value", "repo", "owner").distinct().groupBy("value", "repo").agg(F.count("*").alias("owners"))
     spread = holders.groupBy("value").agg(F.count("*").alias("repos"), F.sum("owners").alias("owners"))
     lives = ((F.col("owners") < owners) | (F.col("repos") < repositories)).alias("lives")
     # both aggregates are tables, so that the joins with them may be split where very many rows hold one value, or are one row
     spread = stored(spread.select("value", lives), "spread")
-    used = stored(each.select("row", "row2", "value").distinct(), "used")
-    live = used.join(spread, "value").groupBy("row", "row2").agg(F.collect_set(F.when(F.col("lives"), F.col("value"))).alias("live"))
-    judged = some.join(stored(live, "live"), ["row", "row2"]).select("doc_id", "found", "live")
-    nothing = F.array().cast(live.schema["live"].dataType).alias("live")
-    return judged.unionByName(plain.select("doc_id", "found", nothing)).select("doc_id", *_digest())
+    used = stored(each.select("row", "row2", "nth", "value").distinct(), "used")
+    verdicts = used.join(spread, "value").groupBy("row", "row2").agg(F.array_sort(F.collect_list(F.struct("nth", "lives"))).alias("v"))
+    verdicts = stored(verdicts.select("row", "row2", F.col("v.lives").alias("lives")), "verdicts")
+    judged = some.join(verdicts, ["row", "row2"]).select("doc_id", "found", "lives")
+    return judged.unionByName(plain.select("doc_id", "found", F.array().cast("array<boolean>").alias("lives"))).select("doc_id", *_digest())
 
 
 def _digest() -> list[Column]:
     base = F.filter("found", lambda x: x["o"] < len(KINDS))
-    looks_live = lambda x: F.array_contains(F.col("live"), x["value"])
-    shown = F.filter("found", lambda x: (x["o"] < len(KINDS)) | looks_live(x))
+    both = F.filter(F.arrays_zip("found", "lives"), lambda x: (x["found"]["o"] < len(KINDS)) | x["lives"])
+    shown = F.transform(both, lambda x: x["found"])
     count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    n_live = F.size(F.filter("found", looks_live)).cast("long")
+    n_live = F.size(F.filter("lives", lambda x: x)).cast("long")
     return [*map(count, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(shown).alias("spans"), n_live.alias("n_live"), (F.size("found") - n_live).cast("long").alias("n_copied")]

@@ -217,3 +217,52 @@ def toxicity(text, terms, stems, ordinary, weights, fuzzy_from=5, window=8):
         x = [log1p(n[1]), log1p(n[2]), log1p(n[3]), len(hits) / len(places), log1p(abuse), log1p(quoted), log1p(close)]
     z = weights[0] + sum(a * b for a, b in zip(weights[1:], x, strict=True))
     return 1 / (1 + exp(-max(-30, min(30, z))))
+
+
+def license_labels(text, notices):
+    """labels and score: at every place that a notice may begin at, its key phrases word by word."""
+    w, labels, score = words(text), set(), 0.0
+    for p, label in PHRASES.items():
+        k = p.split()
+        if any(w[i : i + len(k)] == k for i in range(len(w))):
+            labels.add(label)
+            score = max(score, 0.9)
+    for label, notice, keys in notices:
+        n = words(notice)
+        places = []
+        for key in keys:
+            k = words(key)
+            places.append((next(i for i in range(len(n)) if n[i : i + len(k)] == k), k))
+        first_at, first = places[0]
+        for begin in (i - first_at for i in range(len(w)) if w[i : i + len(first)] == first):
+            if all(begin + at >= 0 and w[begin + at : begin + at + len(k)] == k for at, k in places):
+                labels.add(label)
+                same = sum(0 <= begin + i < len(w) and w[begin + i] == x for i, x in enumerate(n))
+                score = max(score, 0.5 + 0.5 * same / len(n))
+    return ",".join(sorted(labels)), score
+
+
+def ownership(rows, owners=3, repositories=2):
+    """doc_id -> (n_live, n_copied) of the base kinds and of all runs that the mixed pattern of the operator finds.
+
+    rows: doc_id, text, repository, owner; doc_ids differ.
+    """
+    import regex
+
+    from sievefold.llm.secrets import ENTROPY_KINDS, MIXED
+
+    holders, found = defaultdict(set), {}
+    assign = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    for doc, text, repo, owner in rows:
+        text = text or ""
+        base = [(m.span(), m.group(1)) for m in re.finditer(assign, text) if len(m.group(1)) >= 8]
+        base += [(m.span(), m.group()) for p, n in (("AKIA[A-Z0-9]+", 16), ("[0-9a-f]+", 32)) for m in re.finditer(p, text) if len(m.group()) >= n]
+        own = [v for _, v in base]
+        for m in regex.finditer(MIXED, text):
+            if len(set(m.group())) >= ENTROPY_KINDS and not any(s < m.end() and m.start() < e for (s, e), _ in base):
+                own.append(m.group())
+        found[doc] = own
+        for v in own:
+            holders[v].add((repo or "", owner or ""))
+    copied = {v for v, h in holders.items() if len(h) >= owners and len({r for r, _ in h}) >= repositories}
+    return {doc: (sum(v not in copied for v in own), sum(v in copied for v in own)) for doc, own in found.items()}
