@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import base64
+import io
+import zipfile
+import zlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import filetypes as ft
 from ..functions import html as h
@@ -115,3 +122,65 @@ def s7_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT id FROM messages WHERE (sent IS NULL OR sent >= timestamp '2023-12-01 00:00:00') AND sent < timestamp '2024-01-15 00:00:00'")
 def s3_messages_in_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.landed_messages(view(spark, sf_dir, "messages"), since=F.lit("2023-12-01").cast("timestamp"), before=F.lit("2024-01-15").cast("timestamp")).select("id")
+
+
+_SHAPES = ("docx", "xlsx", "odt", "rtf", "eml", "zip", "pdf", "doc", "html", "utf16")
+
+
+@F.pandas_udf(BinaryType())
+def _written(shape: pd.Series, text: pd.Series) -> pd.Series:
+    """A file of each shape that holds a text of letters, digits and single spaces: the input of x8_formats."""
+
+    def zipped(parts: dict[str, str]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, body in parts.items():
+                z.writestr(name, body)
+        return out.getvalue()
+
+    def one(shape: str, t: str) -> bytes:
+        half = len(t) // 2
+        return {
+            "docx": lambda: zipped({"word/document.xml": f"<w:p><w:r><w:t>{t[:half]}</w:t></w:r><w:r><w:t>{t[half:]}</w:t></w:r></w:p>", "docProps/core.xml": "<dc:creator>Ana</dc:creator>"}),
+            "xlsx": lambda: zipped({"xl/workbook.xml": '<sheet name="F" sheetId="1"/>', "xl/sharedStrings.xml": f"<sst><si><t>{t}</t></si></sst>", "xl/worksheets/sheet1.xml": '<row r="1"><c t="s"><v>0</v></c></row>'}),
+            "odt": lambda: zipped({"mimetype": "x", "content.xml": f"<text:p>{t}</text:p>", "meta.xml": "<meta:initial-creator>Ana</meta:initial-creator>"}),
+            "rtf": lambda: ("{\\rtf1{\\fonttbl Arial}{\\info{\\author Ana}}" + t + "\\par}").encode(),
+            "eml": lambda: f"Subject: s\r\nContent-Type: text/plain\r\nContent-Transfer-Encoding: base64\r\n\r\n{base64.encodebytes(t.encode()).decode()}".encode(),
+            "zip": lambda: zipped({t[:40].strip().replace(" ", "_") + ".bin": "?"}),
+            "pdf": lambda: b"%PDF-1.4\n1 0 obj <</Author (Ana)>> endobj\n2 0 obj <</Filter /FlateDecode>>\nstream\n" + zlib.compress(f"BT /F1 9 Tf 1 0 0 1 9 9 Tm ({t[:half]}) Tj [({t[half:]}) -20] TJ ET".encode()) + b"\nendstream endobj",
+            "doc": lambda: b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1\x00\x00" + t.encode() + b"\x00\x01",
+            "html": lambda: f"<html><style>p {{}}</style><p>{t}</p></html>".encode(),
+            "utf16": lambda: t.encode("utf-16-be"),
+        }[shape]()
+
+    return pd.Series([one(k, t) for k, t in zip(shape, text, strict=True)])
+
+
+_PLAIN = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH t AS (SELECT id, {_PLAIN} AS t, id % 10 AS k FROM files WHERE length({_PLAIN}) >= 60)
+    SELECT id, CASE WHEN k = 7 THEN 'partial' ELSE 'ok' END AS status, CASE WHEN k IN (0, 2, 3, 6) THEN 'Ana' END AS author,
+      md5(CASE WHEN k = 5 THEN concat(replace(trim(substr(t, 1, 40)), ' ', '_'), '.bin') ELSE t END) AS text FROM t"""
+)
+def x8_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text once, in a file of one of ten formats, read back."""
+    plain = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
+    shape = F.get(F.array(*map(F.lit, _SHAPES)), (F.col("id") % len(_SHAPES)).cast("int"))
+    f = view(spark, sf_dir, "files").select("id", plain.alias("t"), shape.alias("shape")).where("length(t) >= 60")
+    name = F.concat(F.lit("f."), F.when(F.col("shape") == "utf16", "txt").otherwise(F.col("shape")))
+    files = f.select("id", name.alias("name"), _written("shape", "t").alias("content"))
+    done = extract.extract(files.withColumn("size", F.length("content").cast("long")))
+    text = F.trim(F.regexp_replace(F.array_join(F.transform("segments", lambda s: s["text"]), " "), r"\s+", " "))
+    return done.select("id", "status", "author", F.md5(text.cast("binary")).alias("text"))
+
+
+@query(f"SELECT id, md5({_PLAIN}) AS text FROM files WHERE length({_PLAIN}) >= 4")
+def x6_printable_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text among bytes that aren't printable; in every other row two bytes wide."""
+    plain = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
+    f = view(spark, sf_dir, "files").select("id", plain.alias("t")).where("length(t) >= 4")
+    noise = F.lit(bytearray(b"\x00\x01\x02\x03"))
+    body = F.when(F.col("id") % 2 == 0, F.encode("t", "UTF-8")).otherwise(F.encode("t", "UTF-16LE"))
+    return f.select("id", F.md5(extract.printable_strings(F.concat(noise, body, noise)).cast("binary")).alias("text"))

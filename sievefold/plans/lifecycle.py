@@ -79,7 +79,11 @@ def _folders(spark: SparkSession) -> tuple[str, str]:
     """New folders for a stream's table and its checkpoint, in the shared folder that the session names."""
     import uuid
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     return f"{root}/stream-{uuid.uuid4().hex}", f"{root}/checkpoint-{uuid.uuid4().hex}"
 
 

@@ -1,7 +1,8 @@
 """Text of file contents. Spark deals files out; each is read by a small helper of its format.
 
-Formats without a public reader here (PDF, old binary office files) get the status unsupported, or the
-runs of printable characters where that is asked for.
+Of a PDF the text operators of its plain and deflated streams are read; text in fonts with glyph codes of their own
+stays unread. Old binary office files, and other binaries of an office extension, give their runs of printable
+characters, with the status partial.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import email.policy
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from email.utils import getaddresses
 
@@ -33,7 +35,7 @@ MARKUP = ".htm .html .xhtml"
 def classify(head: Column, extension: Column) -> Column:
     """zip, ole, pdf, rtf, html, text or binary, by the first bytes and the extension."""
     h = F.hex(head)
-    is_text = ~F.coalesce(h.rlike("^(..)*00"), F.lit(False))
+    is_text = ~F.coalesce(h.rlike("^(..)*00"), F.lit(False)) | utf16_guess(head).isNotNull()
     return (
         F.when(h.startswith("504B0304"), "zip")
         .when(h.startswith("D0CF11E0A1B11AE1"), "ole")
@@ -45,14 +47,29 @@ def classify(head: Column, extension: Column) -> Column:
     )
 
 
+def utf16_guess(head: Column) -> Column:
+    """UTF-16LE or UTF-16BE for text without a byte order mark, or null: of its pairs of bytes more than 0.3 have a zero on
+    one side and fewer than 0.05 on the other, and the other byte of those is nearly always printable."""
+    h = F.hex(F.substring(head, 1, 4096))
+    pairs = F.length(h) / 4
+    picked = lambda pattern: F.length(F.regexp_replace(h, rf"\G(?:{pattern}|....|.+$)", "$1")) / 2
+    visible = "(?:0[9AD]|[2-6A-F].|7[0-9A-E])"
+    low, high = picked("..(00)"), picked("(00)..")
+    little = (low > 0.3 * pairs) & (high < 0.05 * pairs) & (picked(f"{visible}(00)") > 0.9 * low)
+    big = (high > 0.3 * pairs) & (low < 0.05 * pairs) & (picked(f"(00){visible}") > 0.9 * high)
+    return F.when(little, "UTF-16LE").when(big, "UTF-16BE")
+
+
 def decode_text(content: Column) -> Column:
-    """By the byte order mark; else UTF-8 where that is valid; else Windows-1252."""
-    h = F.hex(F.substring(content, 1, 3))
+    """By the byte order mark; else as UTF-16 where that is likely; else UTF-8 where that is valid; else Windows-1252."""
+    h, wide = F.hex(F.substring(content, 1, 3)), utf16_guess(content)
     rest = lambda n: F.substring(content, F.lit(n + 1), F.lit(1 << 30))
     return (
         F.when(h == "EFBBBF", F.decode(rest(3), "UTF-8"))
         .when(h.startswith("FFFE"), F.decode(rest(2), "UTF-16LE"))
         .when(h.startswith("FEFF"), F.decode(rest(2), "UTF-16BE"))
+        .when(wide == "UTF-16LE", F.decode(content, "UTF-16LE"))
+        .when(wide == "UTF-16BE", F.decode(content, "UTF-16BE"))
         .when(F.is_valid_utf8(content), F.decode(content, "UTF-8"))
         .otherwise(_windows_1252(content))
     )
@@ -66,13 +83,58 @@ def _windows_1252(content: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def printable_strings(content: pd.Series) -> pd.Series:
     """Runs of at least four printable characters, one byte or two bytes wide, a line each."""
-    one, two = re.compile(rb"[\x20-\x7e\xa0-\xff]{4,}"), re.compile(rb"(?:[\x20-\x7e\xa0-\xff]\x00){4,}")
+    return content.map(lambda b: runs_of_text(bytes(b)), na_action="ignore")
+
+
+_ONE, _TWO = re.compile(rb"[\t\x20-\x7e\xa0-\xff]{4,}"), re.compile(rb"(?:[\t\x20-\x7e\xa0-\xff]\x00){4,}")
+
+
+def runs_of_text(data: bytes) -> str:
+    return "\n".join([m.decode("cp1252", "replace") for m in _ONE.findall(data)] + [m.decode("utf-16-le") for m in _TWO.findall(data)])
+
+
+_PDF_TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\([^()]*\))*\)|<[0-9A-Fa-f\s]*>|\b(?:Td|TD|Tm|ET|Tj|TJ)\b|T\*|['\"]", re.S)
+#: Escapes in strings of the format.
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def pdf_string(token: bytes) -> str:
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1]).decode()
+        raw = bytes.fromhex(digits + "0" * (len(digits) % 2))
+    else:
+        raw = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1][-1:] == b"\n" and m[1] != b"n" else _PDF_ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.S)
+    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
+
+
+def pdf_text(data: bytes) -> str:
+    """Text of the shown strings, a line for each move to another place."""
+    lines: list[str] = [""]
+    for head, body in re.findall(rb"<<(.{0,2000}?)>>\s*stream\r?\n(.*?)\r?\nendstream", data, re.S):
+        if b"/FlateDecode" in head:
+            try:
+                body = zlib.decompressobj().decompress(body, MAX_ENTRY)
+            except zlib.error:
+                continue
+        elif b"/Filter" in head:
+            continue
+        held: list[str] = []
+        for token in _PDF_TOKEN.findall(body):
+            if token[:1] in b"(<":
+                held.append(pdf_string(token))
+            elif token in (b"Td", b"TD", b"Tm", b"T*", b"ET"):
+                held = []
+                lines += [""] if lines[-1] else []
+            else:
+                lines += [""] if token in b"'\"" and lines[-1] else []
+                lines[-1] += "".join(held)
+                held = []
+    return "\n".join(x for x in lines if x)
 
-    def read(b):
-        b = bytes(b)
-        return "\n".join([m.decode("latin-1") for m in one.findall(b)] + [m.decode("utf-16-le") for m in two.findall(b)])
 
-    return content.map(read, na_action="ignore")
+def pdf_info(data: bytes, field: str) -> str | None:
+    m = re.search(rb"/" + field.encode() + rb"\s*(\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>)", data, re.S)
+    return pdf_string(m[1]).strip() or None if m else None
 
 
 _RTF = re.compile(r"\\([a-z]{1,32})(-?[0-9]{1,10})? ?|\\'([0-9a-fA-F]{2})|\\([^a-z])|([{}])|[\r\n]+|([^\\{}\r\n]+)", re.I)
@@ -234,8 +296,15 @@ def read_file(data: bytes, extension: str, depth: int = 0):
             return "ok", None, segments, author, editor
         if data[:5] == b"{\\rtf":
             return "ok", None, [("", rtf_text(data))], rtf_info(data, "author"), rtf_info(data, "operator")
-        if data[:5] == b"%PDF-" or data[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
-            return "unsupported", "pdf" if data[:1] == b"%" else "ole", [], None, None
+        if data[:5] == b"%PDF-":
+            if re.search(rb"/Encrypt\s+[0-9]", data):
+                return "encrypted", "pdf", [], None, None
+            text = pdf_text(data)
+            return ("ok" if text else "partial"), "pdf", [("", text)] if text else [], pdf_info(data, "Author"), None
+        if data[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
+            if "EncryptedPackage".encode("utf-16-le") in data:
+                return "encrypted", "ole", [], None, None
+            return "partial", "ole", [("", runs_of_text(data))], None, None
         if extension in (".eml", ".mht", ".mhtml"):
             return "ok", None, message_parts(data, depth)[0], None, None
         return "other", None, [], None, None

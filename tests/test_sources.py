@@ -64,7 +64,7 @@ def test_extraction(spark):
     got = {r.name: r for r in extract.extract(found, max_bytes=4000).collect()}
     text = {n: "|".join(s.text for s in r.segments) for n, r in got.items()}
     assert len(got) == len(FILES)
-    assert {n: r.status for n, r in got.items()} == dict.fromkeys(FILES, "ok") | {"i.pdf": "unsupported", "k.docx": "error", "l.txt": "empty", "m.bin": "other", "n.txt": "partial"}
+    assert {n: r.status for n, r in got.items()} == dict.fromkeys(FILES, "ok") | {"i.pdf": "partial", "k.docx": "error", "l.txt": "empty", "m.bin": "other", "n.txt": "partial"}
     assert text["a.txt"] == "salário" and text["b.txt"] == "dois bytes" and text["c.html"].split() == ["um"] and len(text["n.txt"]) == 4000
     assert text["d.rtf"] == "olá —mundo\nfim" and (got["d.rtf"].author, got["d.rtf"].last_modified_by) == ("Ana", "Bia")
     assert text["e.docx"].split("\n")[:2] == ["par&1", "dois"] and got["e.docx"].last_modified_by == "Bia"
@@ -122,3 +122,23 @@ def test_incremental_runs(spark):
     rows.where("id >= 8").write.mode("append").parquet(str(root / "in"))
     assert run() == 20
     assert run() == 20
+
+
+def test_pdf_and_old_office():
+    import zlib
+
+    page = rb"BT /F1 9 Tf (one \(1\) \341) Tj 0 -12 Td [(tw) -20 (o)] TJ <FEFF00E7> Tj ET"
+    doc = b"%PDF-1.4\n1 0 obj <</Author (Ana)>> endobj 2 0 obj <</Filter /FlateDecode>>\nstream\n" + zlib.compress(page) + b"\nendstream 3 0 obj <<>>\nstream\nBT (plain) ' ET\nendstream"
+    assert extract.read_file(doc, ".pdf") == ("ok", "pdf", [("", "one (1) á\ntwoç\nplain")], "Ana", None)
+    assert extract.read_file(doc + b"/Encrypt 9 0 R", ".pdf")[0] == "encrypted"
+    ole = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1\x00" + b"some text\x00\x01" + "wide text".encode("utf-16-le") + b"\x00\x01"
+    assert extract.read_file(ole, ".doc") == ("partial", "ole", [("", "some text\nwide text")], None, None)
+    assert extract.read_file(ole + "EncryptedPackage".encode("utf-16-le"), ".docx")[0] == "encrypted"
+
+
+def test_utf16_without_a_mark(spark):
+    rows = [("le", "wide Text 1".encode("utf-16-le")), ("be", "wide Text 1".encode("utf-16-be")), ("8", "ação".encode()), ("1252", "ação".encode("cp1252")), ("bin", b"\x00\x01\x02\x03" * 9)]
+    got = dict(map(tuple, spark.createDataFrame(rows, "k string, b binary").select("k", extract.utf16_guess(F.col("b"))).collect()))
+    assert got == {"le": "UTF-16LE", "be": "UTF-16BE", "8": None, "1252": None, "bin": None}
+    text = dict(map(tuple, spark.createDataFrame(rows[:4], "k string, b binary").select("k", extract.decode_text(F.col("b"))).collect()))
+    assert text == {"le": "wide Text 1", "be": "wide Text 1", "8": "ação", "1252": "ação"}
