@@ -9,12 +9,13 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 import numpy as np
+from test_contracts import EDGES
 
 from sievefold.llm import queries as q
 from sievefold.llm.bagminhash import bag, bands, drop_near_duplicates, near_duplicates, signatures
 from sievefold.llm.components import components
 from sievefold.llm.tiling import Items, best_item, contamination, tile
-from sievefold.llm.toxicity import MISSPELLED, NONE, STEMMED, TERM, Lexicon, features, toxicity, train
+from sievefold.llm.toxicity import MISSPELLED, NONE, STEMMED, TERM, Lexicon, Model, features, toxicity, train
 
 r = random.Random(5)
 WORDS = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(600)]
@@ -254,3 +255,51 @@ def test_one_true_pair_in_a_large_family(spark):
         want = dict(zip((d for d, _ in part), brute.classes(part, pairs), strict=True))
         got = near_duplicates(spark.createDataFrame(part, "doc_id long, text string").repartition(3)).collect()
         assert {x.doc_id: x.class_id for x in got} == want
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    rows = [(d, t, "a", "b", 1, 2.0, "k", 7, 8) for d, t in EDGES]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n long, size double, key string, node long, item_id long").repartition(3)
+
+
+def test_edges_of_near_duplicates(edges):
+    want = brute.classes(EDGES, brute.near_pairs(EDGES))
+    got = {x.doc_id: x.class_id for x in near_duplicates(edges).collect()}
+    assert [got[d] for d, _ in EDGES] == want
+    assert got[7] == got[8] != got[9]
+
+
+def test_edges_of_toxicity(edges):
+    model = Model({"license", "straße"}, {"emoji"}, {"licence"}, [-3.0, 1.0, 1.0, 1.0, 5.0, 1.0, -1.0, 0.5])
+    got = {x.doc_id: x.score for x in toxicity(edges, None, model=model).collect()}
+    assert got == {d: pytest.approx(brute.toxicity(t, model.terms, model.stems, model.ordinary, model.weights), abs=1e-9) for d, t in EDGES}
+
+
+def test_edges_of_contamination(spark, edges):
+    items = spark.createDataFrame([(3, "w1 the MIT License w2 the mit license w3 the"), (2, "gnu general public license cc by gnu apache"), (1, None), (4, "\t ")], "item_id long, text string")
+    got = {x.doc_id: (x.item_id, x.contaminated) for x in contamination(edges, items).collect()}
+    assert len(got) == len(EDGES)
+    assert {d for d, (_, c) in got.items() if c} == {7, 8}
+    assert got[7][0] == 3 and got[2] == (None, False)
+
+
+def test_null_ids_and_repeated_rows(spark):
+    """A row that is there twice gives two equal rows, with an id or without."""
+    from sievefold.llm.bpe import bpe
+    from sievefold.llm.licenses import license_scan
+    from sievefold.llm.pii import pii_spans
+    from sievefold.llm.prefixfree import remove_repeats
+    from sievefold.llm.secrets import secret_spans
+
+    text = "mit license a.b@c.org password: abcdefgh1 " + "stupid words " * 30
+    rows = [(1, text, "a", "b"), (1, text, "a", "b"), (None, text, None, None), (None, text, None, None), (None, None, None, "b"), (2, "", "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    items = spark.createDataFrame([(5, text)], "item_id long, text string")
+    model = Model({"stupid"}, set(), set(), [-3.0, 9.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0])
+    for out in (license_scan(docs), pii_spans(docs), secret_spans(docs), bpe(docs, q.tokenizer_path()), remove_repeats(docs), toxicity(docs, None, model=model), contamination(docs, items)):
+        got = sorted(map(str, out.collect()))
+        assert len(got) == len(rows)
+        assert len(set(got)) == 4, got
+    kept = {(x.doc_id, x.n_removed) for x in remove_repeats(docs).collect()}
+    assert kept == {(1, len(text)), (None, len(text)), (None, 0), (2, 0)}
