@@ -50,7 +50,7 @@ _HEADS = (
 def x18_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A head of each format in turn, before the document's own text."""
     heads = F.array(*(F.lit(bytearray(s.encode("latin-1"))) for s, *_ in _HEADS))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.get(heads, (F.col("doc_id") % len(_HEADS)).cast("int")).alias("head"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.get(heads, (F.col("doc_id") % len(_HEADS)).cast("int")), F.encode("text", "UTF-8")).alias("head"))
     return d.withColumn("x", ft.detect_type(F.col("head"))).select("id", "x.category", "x.format")
 
 

@@ -49,10 +49,10 @@ def p6_deletion_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "deletions").select("seq", F.concat(what, t.csv_time(F.col("done_at")), F.lit(" — "), "mode").alias("text"))
 
 
-@query("SELECT id, CASE WHEN s LIKE '%\"%' OR s LIKE '%;%' OR contains(s, chr(10)) OR contains(s, chr(13)) THEN concat('\"', replace(s, '\"', '\"\"'), '\"') ELSE s END AS cell FROM (SELECT id, CASE WHEN regexp_matches(x, '^[=+@\t\r-]') THEN concat('''', x) ELSE x END AS s FROM (SELECT id, concat(CASE id % 5 WHEN 0 THEN '=' WHEN 1 THEN '@' WHEN 2 THEN 'a;' WHEN 3 THEN 'say \"' ELSE '' END, substr(text, 1, 40)) AS x FROM files))")
+@query("SELECT id, CASE WHEN s LIKE '%\"%' OR s LIKE '%;%' OR contains(s, chr(10)) OR contains(s, chr(13)) THEN concat('\"', replace(s, '\"', '\"\"'), '\"') ELSE s END AS cell FROM (SELECT id, CASE WHEN regexp_matches(x, '^[=+@\t\r-]') THEN concat('''', x) ELSE x END AS s FROM (SELECT id, concat(CASE id % 5 WHEN 0 THEN '=' WHEN 1 THEN '@' WHEN 2 THEN 'a;' WHEN 3 THEN 'say \"' ELSE '' END, text) AS x FROM files))")
 def p9_csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.when(F.col("id") % 5 == 0, "=").when(F.col("id") % 5 == 1, "@").when(F.col("id") % 5 == 2, "a;").when(F.col("id") % 5 == 3, 'say "').otherwise("")
-    return view(spark, sf_dir, "files").select("id", t.csv_cell(F.concat(start, F.substring("text", 1, 40))).alias("cell"))
+    return view(spark, sf_dir, "files").select("id", t.csv_cell(F.concat(start, "text")).alias("cell"))
 
 
 _MASKS = "SELECT event_id AS id, concat('0x', lower(hex(event_id * 37 % 600000))) AS mask FROM {events}"

@@ -18,9 +18,9 @@ def s16_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.csv_lines(view(spark, sf_dir, "files").select("id", "name", (F.col("size") / 1024).alias("kb"), "modified", flag.alias("flag")))
 
 
-@query("""SELECT concat('<tr><td>', id, '</td><td>', replace(replace(replace(replace(replace(substr(text, 1, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), '</td></tr>') AS html FROM files ORDER BY id LIMIT 10000""")
+@query("""SELECT concat('<tr><td>', id, '</td><td>', replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), '</td></tr>') AS html FROM files ORDER BY id LIMIT 10000""")
 def s18_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "files").select("id", F.substring("text", 1, 60).alias("text"))
+    rows = view(spark, sf_dir, "files").select("id", "text")
     return sinks.html_rows(rows, order=[F.col("id")])
 
 
