@@ -140,52 +140,84 @@ def detect_type(head: Column, size: Column | None = None) -> Column:
     return let(F.hex(F.substring(head, 1, 4096)), lambda h: _detect(head, h, size))
 
 
-def _detect(head: Column, h: Column, size: Column | None) -> Column:
-    kind = lambda c, f: F.struct(F.lit(c).cast("string").alias("category"), F.lit(f).alias("format"))
-    rules: list[tuple[Column, Column]] = []
-    iso = _text(head, 4, 4)
-    brand = _text(head, 8, 4)
-    for c in ("audio", "image"):
-        rules.append(((iso == "ftyp") & brand.isin(*BRANDS[c]), kind(c, "iso-media")))
-    rules.append(((iso == "ftyp") & (brand.startswith("3g") | brand.isin(*BRANDS["video"])), kind("video", "iso-media")))
-    rules.append((iso == "ftyp", kind(None, "iso-media")))
-    rules.append((iso.isin("moov", "mdat", "wide", "pnot"), kind("video", "iso-media")))
-    for code, c, f in (("AVI ", "video", "avi"), ("WAVE", "audio", "wav"), ("WEBP", "image", "webp")):
-        rules.append(((_text(head, 0, 4) == "RIFF") & (brand == code), kind(c, f)))
-    rules.append((h.startswith("464C5601") & (F.substring(h, 11, 8) == "00000009"), kind("video", "flv")))
-    rules.append((h.rlike("^4944330[234](?!FF)....([0-7].){4}"), kind("audio", "mp3")))
-    rules.append((h.startswith("4D54686400000006"), kind("audio", "midi")))
-    rules += [(h.startswith(m), kind(c, f)) for m, c, f in MAGIC[:13]]
-    if size is not None:
-        rules.append((h.startswith("424D") & (F.length(h) >= 12) & (_number(head, 2, 4) == size), kind("image", "bmp")))
-    rules.append((h.rlike("^3842505300(01|02)"), kind("image", "psd")))
-    at = _number(head, 0x3C, 4)
-    pointed = F.hex(F.substring(head, (at + 1).cast("int"), F.lit(4)))
-    rules.append((h.startswith("4D5A") & (F.length(h) >= 128) & (at >= 64) & (at < 4093) & pointed.rlike("^(50450000|4E45|4C45|4C58)"), kind("executable", "windows")))
-    rules.append((h.rlike("^7F454C460[12]0[12]01"), kind("executable", "elf")))
-    zip_name = F.decode(F.substring(head, F.lit(31), _number(head, 26, 2).cast("int")), "ISO-8859-1")
-    is_zip = h.startswith("504B0304")
-    rules.append((is_zip & zip_name.rlike(r"^(\[Content_Types\]\.xml$|(_rels|docProps|word|xl|ppt|customXml)/)"), kind(None, "ooxml")))
-    rules.append((is_zip & (zip_name == "mimetype"), kind(None, "opendocument")))
-    rules.append((is_zip & zip_name.isin("AndroidManifest.xml", "classes.dex", "resources.arsc"), kind("executable", "apk")))
-    rules.append((is_zip & zip_name.startswith("META-INF/"), kind("executable", "jar")))
-    rules.append((is_zip, kind("archive", "zip")))
-    rules += [(h.startswith(m), kind(c, f)) for m, c, f in MAGIC[13:18]]
-    rules.append((h.rlike("^425A683[1-9](314159265359|177245385090)"), kind("archive", "bzip2")))
-    rules.append((h.startswith("4D53434600000000"), kind("archive", "cab")))
-    rules.append((_text(head, 257, 5) == "ustar", kind("archive", "tar")))
-    rules += [(h.startswith(m), kind(c, f)) for m, c, f in MAGIC[18:22]]
-    rules.append((_text(head, 0, 72).contains("VirtualBox Disk Image"), kind("disk", "vdi")))
-    rules += [(h.startswith(m), kind(c, f)) for m, c, f in MAGIC[22:]]
-    rules.append((_text(head, 4, 15).rlike("^Standard (Jet|ACE) DB"), kind("database", "access")))
-    rules.append((h.rlike("^(47.{374}){5}") | h.rlike("^.{8}(47.{382}){5}"), kind("video", "mpeg-ts")))
-    two_frames = let(_mp3_frame(head, F.lit(0)), lambda n: F.when(n > 0, _mp3_frame(head, n) > 0))
-    rules.append((two_frames, kind("audio", "mp3")))
-    out = F.lit(None).cast("struct<category:string,format:string>")
-    for test, value in reversed(rules):
+KIND = "struct<category:string,format:string>"
+
+
+def _kind(category: str | None, fmt: str) -> Column:
+    return F.struct(F.lit(category).cast("string").alias("category"), F.lit(fmt).alias("format"))
+
+
+def _first(*cases: tuple[Column, Column]) -> Column:
+    """The value of the first case that holds, or null."""
+    out = F.lit(None).cast(KIND)
+    for test, value in reversed(cases):
         out = F.when(F.coalesce(test, F.lit(False)), value).otherwise(out)
-    pdf = F.when(h.startswith("255044462D"), kind("document", "pdf"))
-    return F.when(F.length(h) >= 8, F.when(looks_like_text(h), pdf).otherwise(out))
+    return out
+
+
+def _constant(h: Column) -> Column:
+    """Formats that nothing but their first bytes tell; no entry is the beginning of another."""
+    return _first(*((h.startswith(magic), _kind(c, f)) for magic, c, f in MAGIC))
+
+
+def _box(head: Column, h: Column) -> Column:
+    """Formats of boxes: a size, then a name; and of chunks that name what they hold."""
+    name, brand = _text(head, 4, 4), _text(head, 8, 4)
+    by_brand = [(brand.isin(*BRANDS[c]), _kind(c, "iso-media")) for c in ("audio", "image", "video")]
+    branded = _first(*by_brand, (brand.startswith("3g"), _kind("video", "iso-media")), (F.lit(True), _kind(None, "iso-media")))
+    riff = _first(*((brand == code, _kind(c, f)) for code, c, f in (("AVI ", "video", "avi"), ("WAVE", "audio", "wav"), ("WEBP", "image", "webp"))))
+    return _first((name == "ftyp", branded), (name.isin("moov", "mdat", "wide", "pnot"), _kind("video", "iso-media")), (h.startswith("52494646"), riff))
+
+
+def _header(head: Column, h: Column, size: Column | None) -> Column:
+    """Formats whose first bytes have to be followed by certain fields."""
+    bitmap = [] if size is None else [(h.startswith("424D") & (F.length(h) >= 12) & (_number(head, 2, 4) == size), _kind("image", "bmp"))]
+    return _first(
+        (h.startswith("464C5601") & (F.substring(h, 11, 8) == "00000009"), _kind("video", "flv")),
+        (h.rlike("^4944330[234](?!FF)....([0-7].){4}"), _kind("audio", "mp3")),
+        (h.startswith("4D54686400000006"), _kind("audio", "midi")),
+        (h.rlike("^3842505300(01|02)"), _kind("image", "psd")),
+        *bitmap,
+        (h.rlike("^425A683[1-9](314159265359|177245385090)"), _kind("archive", "bzip2")),
+        (h.startswith("4D53434600000000"), _kind("archive", "cab")),
+        (_text(head, 257, 5) == "ustar", _kind("archive", "tar")),
+        (_text(head, 0, 72).contains("VirtualBox Disk Image"), _kind("disk", "vdi")),
+        (_text(head, 4, 15).rlike("^Standard (Jet|ACE) DB"), _kind("database", "access")),
+    )
+
+
+def _program(head: Column, h: Column) -> Column:
+    """Executables: the first header names where the second one is, or fixes word size and byte order."""
+    at = _number(head, 0x3C, 4)
+    second = F.hex(F.substring(head, (at + 1).cast("int"), F.lit(4)))
+    windows = h.startswith("4D5A") & (F.length(h) >= 128) & (at >= 64) & (at < 4093) & second.rlike("^(50450000|4E45|4C45|4C58)")
+    return _first((windows, _kind("executable", "windows")), (h.rlike("^7F454C460[12]0[12]01"), _kind("executable", "elf")))
+
+
+def _zipped(head: Column, h: Column) -> Column:
+    """What a ZIP file is, by the name of its first entry."""
+    entry = F.decode(F.substring(head, F.lit(31), _number(head, 26, 2).cast("int")), "ISO-8859-1")
+    inside = _first(
+        (entry.rlike(r"^(\[Content_Types\]\.xml$|(_rels|docProps|word|xl|ppt|customXml)/)"), _kind(None, "ooxml")),
+        (entry == "mimetype", _kind(None, "opendocument")),
+        (entry.isin("AndroidManifest.xml", "classes.dex", "resources.arsc"), _kind("executable", "apk")),
+        (entry.startswith("META-INF/"), _kind("executable", "jar")),
+        (F.lit(True), _kind("archive", "zip")),
+    )
+    return _first((h.startswith("504B0304"), inside))
+
+
+def _repeated(head: Column, h: Column) -> Column:
+    """Streams without a header, by marks that come again at their distance."""
+    packets = h.rlike("^(47.{374}){5}") | h.rlike("^.{8}(47.{382}){5}")
+    frames = let(_mp3_frame(head, F.lit(0)), lambda n: F.when(n > 0, _mp3_frame(head, n) > 0))
+    return _first((packets, _kind("video", "mpeg-ts")), (frames, _kind("audio", "mp3")))
+
+
+def _detect(head: Column, h: Column, size: Column | None) -> Column:
+    binary = F.coalesce(_constant(h), _box(head, h), _header(head, h, size), _program(head, h), _zipped(head, h), _repeated(head, h))
+    pdf = _first((h.startswith("255044462D"), _kind("document", "pdf")))
+    return F.when(F.length(h) >= 8, F.when(looks_like_text(h), pdf).otherwise(binary))
 
 
 #: kbit/s by version and layer (index 1 to 14), and Hz by version.
