@@ -6,6 +6,7 @@ import base64
 import io
 import zipfile
 import zlib
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,21 @@ from .catalog import query
 from .views import table, view
 
 
-@query()
+def _html_sql() -> str:
+    """The same chain for DuckDB, whose patterns have no references back to a group."""
+    s = "coalesce(html, '')"
+    for pattern, to in (
+        (r"(?s)<!--.*?(?:-->|$)", " "), (r"(?is)<style\b[^>]*>.*?(?:</style\s*>|\z)", " "), (r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)", " "),
+        (rf"(?i)<br\s*/?>|</(?:{h.BLOCKS})\s*>", "\n"), (r"(?i)</t[dh]\s*>", "\t"), (r"</?[A-Za-z!?][^>]*>", ""),
+    ):
+        s = f"regexp_replace({s}, '{pattern}', '{to}', 'g')"
+    for name, code in {**name2codepoint, "apos": 39}.items():
+        if name != "amp":  # the last one, as its result is not read again
+            s = f"replace({s}, '&{name};', chr({code}))"
+    return f"SELECT page_id, trim(regexp_replace(replace({s}, '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages"
+
+
+@query(_html_sql())
 def x1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of whole pages; checked against an HTML parser in the tests."""
     return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(h.html_to_text(F.col("html")), r"\s+", " ")).alias("text"))

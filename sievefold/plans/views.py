@@ -72,4 +72,6 @@ def with_views(sql: str) -> str:
     sql = sql.strip()
     if not used:
         return sql
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {sql[15:]}"
     return f"WITH {ctes}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH {ctes} {sql}"
