@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import if_few, lower_ascii_col, one_of_each, stored
+from .common import KEYS, if_few, lower_ascii_col, one_of_each, stored
 
 CAPACITY = 1 << 17  # keys of a bucket, some 10 MB of entries
 OWNERS = 4096  # owner tasks at most; each then holds more buckets
@@ -85,15 +85,17 @@ class Index:
     entries: DataFrame  # bucket, local_depth, key, nth (place in the key's chain), sha (null for a chain of one row), keep_id, n
 
 
-def build_index(docs: DataFrame, *, capacity: int = CAPACITY) -> Index:
+def build_index(docs: DataFrame, *, capacity: int = CAPACITY, few: int = KEYS) -> Index:
     """An entry per distinct text, on shared files. docs: doc_id, text."""
     norm = docs.select("doc_id", lower_ascii_col(F.col("text")).alias("body")).select("doc_id", F.xxhash64("body").alias("key"), "body")
     keys = stored(norm.groupBy("key").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")), "keys")
     known = directory(keys, capacity)
     owners = max(1, min(known.slots.select("bucket").distinct().count(), OWNERS))
     # all texts of keys that several rows share, one row per distinct text
-    several = if_few(stored(keys.where("n > 1").select("key"), "several"))
-    texts = norm.join(several, "key").groupBy("key", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    several = stored(keys.where("n > 1").select("key"), "several")
+    grouped = lambda rows: rows.groupBy("key", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    # too many keys for a broadcast: copies are pre-aggregated before the join, so that a hot text is one row there
+    texts = grouped(norm.join(F.broadcast(several), "key")) if several.count() <= few else grouped(norm).join(several, "key")
     owned = known.placed(texts).repartitionByRange(owners, "bucket", "key")
     chain = Window.partitionBy("bucket", "key").orderBy("body")  # by owner tasks: nothing is shuffled again
     chained = owned.withColumn("nth", F.dense_rank().over(chain) - 1)

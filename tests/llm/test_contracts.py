@@ -279,6 +279,7 @@ def test_rows_find_their_entry_through_the_directory(spark, sf, real):
 
     docs = q.documents(spark, sf).select("doc_id", "text")
     index = build_index(docs, capacity=16)
+    assert sorted(map(str, index.entries.collect())) == sorted(map(str, build_index(docs, capacity=16, few=0).entries.collect()))
     shared = {d for (d, _), (_, n, _) in zip(real, brute.exact(real), strict=True) if n > 1}
     assert {r.doc_id for r in look_up(docs, index).where("group_size > 1").collect()} == shared
     moved = replace(index, entries=index.entries.withColumn("bucket", F.col("bucket") + 1))
