@@ -8,12 +8,14 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH = str(4 << 20)  # bytes of an Arrow batch, about: JVM and worker each hold one or two for every core
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors' Python workers this package, once for each application."""
+    """Gives the executors' Python workers this package, once for each application, and texts in batches of bounded bytes."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
