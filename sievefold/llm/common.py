@@ -98,6 +98,7 @@ def slices(batches, rows: int = 512, *, column: int | None = None, size: int = 2
             end = max(at + 1, min(at + rows, int(np.searchsorted(total, before + size, side="right"))))
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()  # a worker goes on to other stages
 
 
 def verdicts(texts: pa.Array, judge) -> pa.Array:
@@ -127,3 +128,4 @@ def whole_groups(batches, *keys: str):
             held.append(part)
     if held:
         yield pa.concat_tables(held)
+    pa.default_memory_pool().release_unused()
