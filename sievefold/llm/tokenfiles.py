@@ -10,8 +10,8 @@ Spark's writer commits the files, so that a lost executor leaves none half writt
 Payload, little-endian: u32 ids, u32 blocks; per block u32 minimum, u8 width; then for blocks + 1
 the u32 starts of words and of exceptions; u32 words; u16 positions and u32 values of exceptions.
 
-The tokenizers library encodes. A text's ids are those of the pieces that the tokenizer's pattern cuts it into, one
-after another, so that each worker has the library encode a piece once and remembers it.
+The tokenizers library's model encodes. A text's ids are those of the pieces that the tokenizer's pattern cuts it into,
+one after another, so that each worker has the library encode a piece once and remembers it.
 
 Null texts count as empty; every document ends with the end id, so that none is empty. Rows of equal doc_id are kept,
 ordered by crc32 of their texts; a null doc_id comes first. Very long texts make a segment of their own. An empty table
@@ -20,7 +20,9 @@ gives an empty folder. Columns other than id and text, whatever their names, are
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from itertools import accumulate
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CACHE, pieces, tokenizer
+from .bpe import byte_alphabet, pieces, tokenizer
 from .common import new_path, slices
 
 BLOCK = 1024
@@ -38,6 +40,7 @@ PERCENTILE = 0.9
 SEGMENT = 1 << 16  # ids of a segment at most, but for one longer document
 PART_ROWS = 20_000  # documents of a part, about
 MOST_PARTS = 1 << 15  # the driver samples 100 ids for each part's bounds and keeps a sum of each: at 100 TB 3 GB of text a part
+KNOWN = 300_000  # pieces that a worker remembers, some 60 MB; the memory is emptied when full
 SEGMENT_SCHEMA = "part int, segment int, at long, doc_ids array<long>, counts array<long>, n_ids long, payload binary"
 
 
@@ -131,15 +134,16 @@ def decode_payload(payload: bytes) -> np.ndarray:
 
 
 class Encoder:
-    """The tokenizers library's tokenizer, with the ids of pieces that it has encoded."""
+    """The tokenizers library's model, with the ids of pieces that it has encoded."""
 
     def __init__(self, content: str):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(content)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.split_added, self.added = tokenizer(content).split_added, tokenizer(content).added
+        self.model = Tokenizer.from_str(content).model
+        own = tokenizer(content)
+        self.split_added, self.added = own.split_added, own.added
+        #: the model reads bytes as the printable characters that stand for them
+        self.shown = {byte: char for char, byte in byte_alphabet().items()}
         self.known: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> list[str]:
@@ -153,13 +157,16 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         own, known = self._pieces(text), self.known
-        if len(known) > CACHE:
+        if len(known) > KNOWN:
             known.clear()
         new = [p for p in dict.fromkeys(own) if p not in known]
-        for at in range(0, len(new), 4096):
-            batch = new[at : at + 4096]
-            for p, e in zip(batch, self.library.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
+        tokenize, shown, added = self.model.tokenize, self.shown, self.added
+        for p in new:
+            if p in added:
+                ids = [added[p]]
+            else:
+                ids = [t.id for t in tokenize(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(shown))]
+            known[p] = np.array(ids, "<u4").tobytes() if sys.byteorder != "little" else array("I", ids).tobytes()
         out = np.frombuffer(b"".join([known[p] for p in own]), "<u4")
         for p in new:
             if len(p) > 64:
