@@ -48,7 +48,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 SCREEN = 76  # slots that compared signatures have in common at least; at similarity 0.8 it is 102 on average, give or take 4.5
-HEADS, BEST = 4, 8  # members of the largest class that others are compared with in a bucket; likeliest of all these pairs that are verified
+HEADS, BEST = 2, 8  # members of the largest class that others are compared with in a bucket; likeliest of all these pairs that are verified
 FOUND = 20  # of so many likely pairs one has to be a link for another turn of heads
 STAR, STAR_SIZE = 256, 1 << 18  # members that are verified with one lead in a unit, about, and their shingles
 LEFT, RIGHT = 1024, 4096  # members of the two blocks of a unit, about,
