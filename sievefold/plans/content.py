@@ -5,17 +5,18 @@ from __future__ import annotations
 import base64
 import io
 import zipfile
-import zlib
 from html.entities import name2codepoint
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from ..functions import filetypes as ft
 from ..functions import html as h
-from ..sources import extract, readers
+from ..functions import markup
+from ..sources import compound, extract, readers
+from . import office_files
 from .catalog import query
 from .views import table, view
 
@@ -162,7 +163,7 @@ def _written(shape: pd.Series, text: pd.Series) -> pd.Series:
             "rtf": lambda: ("{\\rtf1{\\fonttbl Arial}{\\info{\\author Ana}}" + t + "\\par}").encode(),
             "eml": lambda: f"Subject: s\r\nContent-Type: text/plain\r\nContent-Transfer-Encoding: base64\r\n\r\n{base64.encodebytes(t.encode()).decode()}".encode(),
             "zip": lambda: zipped({t[:40].strip().replace(" ", "_") + ".bin": "?"}),
-            "pdf": lambda: b"%PDF-1.4\n1 0 obj <</Author (Ana)>> endobj\n2 0 obj <</Filter /FlateDecode>>\nstream\n" + zlib.compress(f"BT /F1 9 Tf 1 0 0 1 9 9 Tm ({t[:half]}) Tj [({t[half:]}) -20] TJ ET".encode()) + b"\nendstream endobj",
+            "pdf": lambda: office_files.pdf_file(t[:half] + t[half:].partition(" ")[0], t[half:].partition(" ")[2], packed=len(t) % 2 == 0),
             "doc": lambda: b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1\x00\x00" + t.encode() + b"\x00\x01",
             "html": lambda: f"<html><style>p {{}}</style><p>{t}</p></html>".encode(),
             "utf16": lambda: t.encode("utf-16-be"),
@@ -171,6 +172,12 @@ def _written(shape: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([one(k, t) for k, t in zip(shape, text, strict=True)])
 
 
+def _joined(close: Column) -> Column:
+    """The texts of all segments, with a space between them or, where close says so, nothing."""
+    texts = F.transform("segments", lambda s: s["text"])
+    return F.when(close, F.array_join(texts, "")).otherwise(F.array_join(texts, " "))
+
+
 _PLAIN = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
 
 
@@ -187,10 +194,112 @@ def x8_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("f."), F.when(F.col("shape") == "utf16", "txt").otherwise(F.col("shape")))
     files = f.select("id", name.alias("name"), _written("shape", "t").alias("content"))
     done = extract.extract(files.withColumn("size", F.length("content").cast("long")))
-    text = F.trim(F.regexp_replace(F.array_join(F.transform("segments", lambda s: s["text"]), " "), r"\s+", " "))
+    text = F.trim(F.regexp_replace(_joined(F.lit(False)), r"\s+", " "))
     return done.select("id", "status", "author", F.md5(text.cast("binary")).alias("text"))
 
 
+_SHAPE = f"(id % {len(office_files.SHAPES)})"
+_NUMBER = {shape: k for k, shape in enumerate(office_files.SHAPES)}
+
+
+@query(
+    f"""WITH t AS (SELECT id, {_SHAPE} AS k, {_PLAIN} AS t FROM files WHERE length({_PLAIN}) >= 20)
+    SELECT id, CASE k WHEN {_NUMBER["docx"]} THEN 'encrypted' WHEN {_NUMBER["dat"]} THEN 'unsupported' ELSE 'ok' END AS status,
+      CASE WHEN k < 3 THEN 'Ana' WHEN k = 3 THEN 'Ana' END AS author, CASE WHEN k < 3 THEN 'João' END AS editor, CASE WHEN k < 3 THEN '2021-03-04T05:06:07.000Z' END AS created,
+      md5(CASE k WHEN {_NUMBER["docx"]} THEN '' WHEN {_NUMBER["dat"]} THEN '' WHEN {_NUMBER["xls"]} THEN concat(t, ' 1.5 42 7 12.34 fim') ELSE t END) AS text
+    FROM t"""
+)
+def x10_office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text once in a binary office file: documents in pieces, workbooks, slides, messages, encrypted, unknown and older ones."""
+    plain = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
+    shape = F.get(F.array(*map(F.lit, office_files.SHAPES)), (F.col("id") % len(office_files.SHAPES)).cast("int"))
+    f = view(spark, sf_dir, "files").select("id", plain.alias("t"), shape.alias("shape")).where("length(t) >= 20")
+    files = f.select("id", F.concat(F.lit("f."), "shape").alias("name"), office_files.office_file("shape", "t", "id").alias("content"))
+    done = extract.extract(files.withColumn("size", F.length("content").cast("long")))
+    joined = _joined(F.col("name").isin("f.msg", "f.ppt"))
+    # a message's text starts with its subject and sender, and its halves stand around the attachment's name
+    clean = F.when(F.col("name") == "f.msg", F.replace(F.regexp_replace(joined, r"^assunto \d+\nAna\n", ""), F.lit("\nresto.txt"), F.lit(""))).otherwise(joined)
+    clean = F.when(F.col("name") == "f.ppt", F.regexp_replace(clean, "\n", "")).otherwise(F.trim(F.regexp_replace(clean, r"\s+", " ")))
+    return done.select("id", "status", "author", F.col("last_modified_by").alias("editor"), F.col("metadata")["created"].alias("created"), F.md5(clean.cast("binary")).alias("text"))
+
+
+@query(f"SELECT id, 'Contents' AS path, cast(length({_PLAIN}) AS bigint) AS bytes FROM files WHERE length({_PLAIN}) >= 60 UNION ALL SELECT id, 'Box/Inner/Deep', 50 FROM files WHERE length({_PLAIN}) >= 60")
+def x10_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streams of containers, those in storages too."""
+    plain = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
+    f = view(spark, sf_dir, "files").select("id", plain.alias("t")).where("length(t) >= 60")
+    files = f.select("id", office_files.office_file(F.lit("dat"), "t", "id").alias("content"))
+    return compound.streams(files).select("id", "path", F.length("stream").cast("long").alias("bytes"))
+
+
+_LATIN = "trim(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9()\\\\áéíóúãõçñäöüßèêàâ]+', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query(
+    f"""WITH t AS (SELECT id, {_LATIN} AS t FROM files WHERE length({_LATIN}) >= 40)
+    SELECT id, 'ok' AS status, 'Ana' AS author, '2021-03-04T08:06:07.000Z' AS created, 2::BIGINT AS pages, 'Página 1,Página 2' AS labels,
+      md5(trim(substr(t, 1, length(t) // 2))) AS first, md5(trim(substr(t, length(t) // 2 + 1))) AS second FROM t"""
+)
+def x11_pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in a PDF file of two pages: a simple font with escapes, and a font of two-byte codes with a map; pictures aren't read. Every other file has its objects in streams."""
+    latin = F.trim(F.regexp_replace(F.regexp_replace("text", r"[^a-zA-Z0-9()\\áéíóúãõçñäöüßèêàâ]+", " "), " +", " "))
+    f = view(spark, sf_dir, "files").select("id", latin.alias("t")).where("length(t) >= 40").withColumn("half", F.floor(F.length("t") / 2).cast("int"))
+    parts = f.select("id", F.substring("t", F.lit(1), F.col("half")).alias("a"), F.substring("t", F.col("half") + 1, F.length("t")).alias("b"))
+    files = parts.select("id", F.lit("f.pdf").alias("name"), office_files.pdf_of("a", "b", F.col("id") % 2 == 0).alias("content"))
+    done = extract.extract(files.withColumn("size", F.length("content").cast("long")))
+    page = lambda k: F.md5(F.trim(F.regexp_replace(F.get("segments", F.lit(k))["text"], r"\s+", " ")).cast("binary"))
+    labels = F.array_join(F.transform("segments", lambda s: s["label"]), ",")
+    return done.select("id", "status", "author", F.col("metadata")["created"].alias("created"), F.size("segments").cast("long").alias("pages"), labels.alias("labels"), page(0).alias("first"), page(1).alias("second"))
+
+
+@query(
+    f"""WITH t AS (SELECT id, {_PLAIN} AS t FROM files WHERE length({_PLAIN}) >= 60)
+    SELECT id, md5(CASE id % 5
+      WHEN 0 THEN concat(t, chr(10), 'a<b')
+      WHEN 1 THEN concat(t, chr(10), 'fim')
+      WHEN 2 THEN concat(t, chr(9), 'fim', chr(10))
+      WHEN 3 THEN concat(t, chr(10), 'x')
+      ELSE concat(t, chr(9), 'y') END) AS text FROM t"""
+)
+def x2_markup_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Office XML, damaged in several ways: stray closings, elements never closed, tags without an end, empty and skipped elements, cells."""
+    plain = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
+    f = view(spark, sf_dir, "files").select("id", plain.alias("t")).where("length(t) >= 60")
+    run = F.concat(F.lit("<?xml version='1.0'?><!-- no --><w:r><w:instrText>PAGE</w:instrText><w:t xml:space='preserve'>"), "t", F.lit("</w:t></w:r>"))
+    shapes = (
+        F.concat(run, F.lit("</w:p><mc:Fallback><w:t>twice</w:t></mc:Fallback><w:t>a&lt;b</w:t>")),
+        F.concat(F.lit("</w:t></mc:Fallback>"), run, F.lit("<w:br/><w:t/>between<w:t>fim")),
+        F.concat(F.lit("<w:tr><w:tc><w:p>"), run, F.lit("</w:p></w:tc><w:tc><w:t>fim</w:t></w:p></w:tc></w:tr>")),
+        F.concat(run, F.lit("<w:p/><w:t>x</w:t><w:t")),
+        F.concat(run, F.lit("<w:tab/><w:t>y</w:t><mc:Fallback><w:p><w:t>never closed</w:t></w:p>")),
+    )
+    return f.select("id", F.md5(markup.rules_text(F.get(F.array(*shapes), (F.col("id") % 5).cast("int")), markup.WORD).cast("binary")).alias("text"))
+
+
+_CODINGS = ("cp850", "utf-8", "mark")
+
+
+@query("SELECT id, concat('ação ', id, '/', name, chr(10), 'b9', chr(10), 'b10 ñ') AS names FROM files")
+def x13_zip_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in archives, written in an old code page, as UTF-8 without a mark and with it; numbers count as numbers in their order."""
+    names = F.array(F.lit("b10 ñ"), F.concat(F.lit("ação "), F.col("id").cast("string"), F.lit("/"), "name"), F.lit("b9"))
+    coding = F.get(F.array(*map(F.lit, _CODINGS)), (F.col("id") % 3).cast("int"))
+    files = view(spark, sf_dir, "files").select("id", F.lit("f.zip").alias("name"), office_files.zip_names(names, coding).alias("content"))
+    done = extract.extract(files.withColumn("size", F.length("content").cast("long")))
+    return done.select("id", F.get("segments", F.lit(0))["text"].alias("names"))
+
+
+@query(f"SELECT id, cast(id % 5 AS bigint) AS depth, CASE WHEN id % 5 < 3 THEN md5({_PLAIN}) END AS text FROM files WHERE length({_PLAIN}) >= 4")
+def x17_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document attached to a message that is attached to others: what is more than three attachments deep isn't read."""
+    plain = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
+    f = view(spark, sf_dir, "files").select("id", plain.alias("t"), (F.col("id") % 5).alias("depth")).where("length(t) >= 4")
+    files = f.select("id", "depth", F.lit("f.eml").alias("name"), office_files.attached_of("t", "depth").alias("content"))
+    done = extract.extract(files.withColumn("size", F.length("content").cast("long")))
+    found = F.get(F.filter("segments", lambda s: s["label"] == "f.docx"), F.lit(0))["text"]
+    return done.select("id", "depth", F.md5(F.regexp_replace(found, r"\s+$", "").cast("binary")).alias("text"))
+
+
 @query(f"SELECT id, md5({_PLAIN}) AS text FROM files WHERE length({_PLAIN}) >= 4")
 def x6_printable_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text among bytes that aren't printable; in every other row two bytes wide."""

@@ -1,8 +1,7 @@
 """Text of file contents. Spark deals files out; each is read by a small helper of its format.
 
-Of a PDF the text operators of its plain and deflated streams are read; text in fonts with glyph codes of their own
-stays unread. Old binary office files, and other binaries of an office extension, give their runs of printable
-characters, with the status partial.
+PDF files are read by pdf.py, binary office files by compound.py. What only looks like such a container gives its runs
+of printable characters, with the status partial.
 """
 
 from __future__ import annotations
@@ -10,23 +9,27 @@ from __future__ import annotations
 import email
 import email.policy
 import io
+import posixpath
 import re
+import struct
 import zipfile
-import zlib
 from collections.abc import Iterator
 from email.utils import getaddresses
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
+from ..functions import markup
 from ..functions.html import html_to_text, xml_to_text
+from . import compound, pdf
 
 #: Limits of reading.
 MAX_BYTES, MAX_CHARS, MAX_ENTRY, MAX_TOTAL, MAX_DEPTH = 50 << 20, 20_000_000, 120 << 20, 400 << 20, 3
 SEGMENTS = ArrayType(StructType([StructField("label", StringType()), StructField("text", StringType())]))
-RESULT = StructType([StructField(n, SEGMENTS if n == "segments" else StringType()) for n in ("status", "note", "segments", "author", "last_modified_by")])
+FIELDS = ("status", "note", "segments", "author", "last_modified_by", "metadata")
+RESULT = StructType([StructField(n, {"segments": SEGMENTS, "metadata": MapType(StringType(), StringType())}.get(n, StringType())) for n in FIELDS])
 #: Extensions read as text, and as markup.
 TEXT = ".txt .csv .log .md .json .xml .yml .yaml .ini .conf .cfg .sql .js .ts .py .java .cs .php .rb .sh .ps1 .bat .tsv"
 MARKUP = ".htm .html .xhtml"
@@ -34,8 +37,8 @@ MARKUP = ".htm .html .xhtml"
 
 def classify(head: Column, extension: Column) -> Column:
     """zip, ole, pdf, rtf, html, text or binary, by the first bytes and the extension."""
-    h = F.hex(head)
-    is_text = ~F.coalesce(h.rlike("^(..)*00"), F.lit(False)) | utf16_guess(head).isNotNull()
+    h = F.hex(F.substring(head, 1, 8))
+    is_text = ~_has_zero(head) | utf16_guess(head).isNotNull()
     return (
         F.when(h.startswith("504B0304"), "zip")
         .when(h.startswith("D0CF11E0A1B11AE1"), "ole")
@@ -47,6 +50,10 @@ def classify(head: Column, extension: Column) -> Column:
     )
 
 
+def _has_zero(content: Column) -> Column:
+    return F.coalesce(F.contains(content, F.lit(bytearray(1))), F.lit(False))
+
+
 def utf16_guess(head: Column) -> Column:
     """UTF-16LE or UTF-16BE for text without a byte order mark, or null: of its pairs of bytes more than 0.3 have a zero on
     one side and fewer than 0.05 on the other, and the other byte of those is nearly always printable."""
@@ -62,16 +69,16 @@ def utf16_guess(head: Column) -> Column:
 
 def decode_text(content: Column) -> Column:
     """By the byte order mark; else as UTF-16 where that is likely; else UTF-8 where that is valid; else Windows-1252."""
-    h, wide = F.hex(F.substring(content, 1, 3)), utf16_guess(content)
+    h = F.hex(F.substring(content, 1, 3))
     rest = lambda n: F.substring(content, F.lit(n + 1), F.lit(1 << 30))
+    # the guess, once, and only where a zero byte calls for it
+    wide = F.get(F.transform(F.array(F.when(_has_zero(F.substring(content, 1, 4096)), utf16_guess(content))), lambda w: F.when(w.isNotNull(), F.when(w == "UTF-16LE", F.decode(content, "UTF-16LE")).otherwise(F.decode(content, "UTF-16BE")))), 0)
+    plain = F.when(F.is_valid_utf8(content), F.decode(content, "UTF-8")).otherwise(_windows_1252(content))
     return (
         F.when(h == "EFBBBF", F.decode(rest(3), "UTF-8"))
         .when(h.startswith("FFFE"), F.decode(rest(2), "UTF-16LE"))
         .when(h.startswith("FEFF"), F.decode(rest(2), "UTF-16BE"))
-        .when(wide == "UTF-16LE", F.decode(content, "UTF-16LE"))
-        .when(wide == "UTF-16BE", F.decode(content, "UTF-16BE"))
-        .when(F.is_valid_utf8(content), F.decode(content, "UTF-8"))
-        .otherwise(_windows_1252(content))
+        .otherwise(F.coalesce(wide, plain))
     )
 
 
@@ -93,50 +100,6 @@ def runs_of_text(data: bytes) -> str:
     return "\n".join([m.decode("cp1252", "replace") for m in _ONE.findall(data)] + [m.decode("utf-16-le") for m in _TWO.findall(data)])
 
 
-_PDF_TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\([^()]*\))*\)|<[0-9A-Fa-f\s]*>|\b(?:Td|TD|Tm|ET|Tj|TJ)\b|T\*|['\"]", re.S)
-#: Escapes in strings of the format.
-_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def pdf_string(token: bytes) -> str:
-    if token[:1] == b"<":
-        digits = re.sub(rb"\s", b"", token[1:-1]).decode()
-        raw = bytes.fromhex(digits + "0" * (len(digits) % 2))
-    else:
-        raw = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1][-1:] == b"\n" and m[1] != b"n" else _PDF_ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.S)
-    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
-
-
-def pdf_text(data: bytes) -> str:
-    """Text of the shown strings, a line for each move to another place."""
-    lines: list[str] = [""]
-    for head, body in re.findall(rb"<<(.{0,2000}?)>>\s*stream\r?\n(.*?)\r?\nendstream", data, re.S):
-        if b"/FlateDecode" in head:
-            try:
-                body = zlib.decompressobj().decompress(body, MAX_ENTRY)
-            except zlib.error:
-                continue
-        elif b"/Filter" in head:
-            continue
-        held: list[str] = []
-        for token in _PDF_TOKEN.findall(body):
-            if token[:1] in b"(<":
-                held.append(pdf_string(token))
-            elif token in (b"Td", b"TD", b"Tm", b"T*", b"ET"):
-                held = []
-                lines += [""] if lines[-1] else []
-            else:
-                lines += [""] if token in b"'\"" and lines[-1] else []
-                lines[-1] += "".join(held)
-                held = []
-    return "\n".join(x for x in lines if x)
-
-
-def pdf_info(data: bytes, field: str) -> str | None:
-    m = re.search(rb"/" + field.encode() + rb"\s*(\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>)", data, re.S)
-    return pdf_string(m[1]).strip() or None if m else None
-
-
 _RTF = re.compile(r"\\([a-z]{1,32})(-?[0-9]{1,10})? ?|\\'([0-9a-fA-F]{2})|\\([^a-z])|([{}])|[\r\n]+|([^\\{}\r\n]+)", re.I)
 #: Groups of a rich text that aren't its text, and words that stand for characters.
 _RTF_SKIP = set("fonttbl colortbl datastore themedata stylesheet info pict header footer generator listtable listoverridetable".split())
@@ -181,58 +144,159 @@ def rtf_info(data: bytes, field: str) -> str | None:
     return m.group(1).decode("latin-1").strip() or None if m else None
 
 
-def _xml(text: str, breaks: str, tabs: str) -> str:
-    import html
-
-    text = re.sub(rf"</(?:{breaks})>|<(?:{breaks})\s*/>", "\n", text)
-    return html.unescape(re.sub(r"<[^>]*>", "", re.sub(rf"<(?:{tabs})\b[^>]*/>", "\t", text)))
-
-
 def _tag(text: str, tag: str) -> str | None:
     m = re.search(rf"<(?:\w+:)?{tag}\b[^>]*>([^<]*)<", text)
     return m.group(1).strip() or None if m else None
 
 
-def zip_names(data: bytes) -> list[str]:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        return [i.filename for i in z.infolist()]
+def entry_name(entry: zipfile.ZipInfo) -> str:
+    """An entry's name: UTF-8 by its flag or by the field of extra names, else as UTF-8 if it is valid, else code page 850."""
+    if entry.flag_bits & 0x800:
+        return entry.filename
+    at, extra = 0, entry.extra
+    while at + 4 <= len(extra):
+        kind, size = struct.unpack_from("<HH", extra, at)
+        if kind == 0x7075 and size > 5 and extra[at + 4] == 1:
+            return extra[at + 9 : at + 4 + size].decode("utf-8", "replace")
+        at += 4 + size
+    raw = entry.orig_filename.encode("cp437")  # what the module made of the bytes
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return raw.decode("cp850")
+
+
+class Parts:
+    """The entries of a ZIP file, read up to a size for each and for all together."""
+
+    def __init__(self, z: zipfile.ZipFile):
+        self.zip, self.left, self.cut = z, MAX_TOTAL, False
+        self.sizes = {i.filename: i.file_size for i in z.infolist()}
+        self.names = [entry_name(i) for i in z.infolist()]
+
+    def read(self, name: str) -> str:
+        """The entry as text; none if it isn't there or is beyond the limits."""
+        size = self.sizes.get(name)
+        if size is None:
+            return ""
+        if size > min(MAX_ENTRY, self.left):
+            self.cut = True
+            return ""
+        self.left -= size
+        return self.zip.read(name).decode("utf-8", "replace")
+
+
+def _natural(name: str) -> list[tuple[int, int, str]]:
+    return [(0, int(x), "") if x.isdigit() else (1, 0, x.lower()) for x in re.split(r"([0-9]+)", name)]
 
 
-def office_segments(data: bytes) -> tuple[list[tuple[str, str]], str | None, str | None]:
-    """(label, text) segments, author, last editor of an office file or of any ZIP file (its names)."""
+#: Names of the metadata in the two families of office files.
+_CORE = {"author": "creator", "title": "title", "last_modified_by": "lastModifiedBy", "created": "created", "modified": "modified"}
+_APP = {"application": "Application", "company": "Company"}
+_META = {"author": "initial-creator", "title": "title", "last_modified_by": "creator", "created": "creation-date", "modified": "date", "application": "generator"}
+
+
+def office_segments(data: bytes) -> tuple[str, list[tuple[str, str]], dict[str, str]]:
+    """status, (label, text) segments and metadata of an office file or of any ZIP file (the names in it)."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = [i.filename for i in z.infolist() if i.file_size <= MAX_ENTRY]
-        if sum(i.file_size for i in z.infolist()) > MAX_TOTAL:
-            return [("", "\n".join(names))], None, None
-        read = lambda n: z.read(n).decode("utf-8", "replace") if n in names else ""
-        natural = lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)]
-        core, meta = read("docProps/core.xml"), read("meta.xml")
-        author = _tag(core, "creator") or _tag(meta, "initial-creator")
-        editor = _tag(core, "lastModifiedBy") or _tag(meta, "creator")
-        office = "w:p|w:br|a:p"
-        if "word/document.xml" in names:
-            parts = ["word/document.xml", *sorted(n for n in names if re.fullmatch(r"word/(comments|footnotes|endnotes|header\d*|footer\d*)\.xml", n))]
-            return [("" if n == parts[0] else n[5:-4], _xml(read(n), office, "w:tab")) for n in parts], author, editor
-        if "xl/workbook.xml" in names:
-            shared = [_xml(s, "a^", "a^") for s in re.findall(r"<si\b.*?</si>", read("xl/sharedStrings.xml"), re.S)]
-            titles = re.findall(r'<sheet\b[^>]*?name="([^"]*)"', read("xl/workbook.xml"))
-            out = []
-            for k, n in enumerate(sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=natural)):
-                rows = []
-                for row in re.findall(r"<row\b.*?</row>", read(n), re.S):
-                    values = []
-                    for kind, body in re.findall(r"<c\b([^>]*)>(.*?)</c>", row, re.S):
-                        v = _tag(body, "v") or ""
-                        values.append(shared[int(v)] if 't="s"' in kind and v.isdigit() and int(v) < len(shared) else _tag(body, "t") or v)
-                    rows.append("\t".join(values))
-                out.append((titles[k] if k < len(titles) else n, "\n".join(rows)))
-            return out, author, editor
-        slides = sorted((n for n in names if re.fullmatch(r"ppt/(slides/slide|notesSlides/notesSlide)\d+\.xml", n)), key=natural)
-        if slides:
-            return [(n.rpartition("/")[2][:-4], _xml(read(n), office, "a:tab")) for n in slides], author, editor
-        if "content.xml" in names:
-            return [("", _xml(read("content.xml"), "text:p|text:h|table:table-row", "text:tab"))], author, editor
-        return [("", "\n".join(names))], author, editor
+        parts = Parts(z)
+        found = {k: v for names, part in ((_CORE, parts.read("docProps/core.xml")), (_APP, parts.read("docProps/app.xml")), (_META, parts.read("meta.xml"))) for k, tag in names.items() if (v := _tag(part, tag))}
+        if "encryption-data" in parts.read("META-INF/manifest.xml"):
+            return "encrypted", [], found
+        segments = list(_office_parts(parts))
+        return "partial" if parts.cut else "ok", segments, found
+
+
+def _office_parts(parts: Parts) -> Iterator[tuple[str, str]]:
+    names = sorted(parts.sizes, key=_natural)
+    text = lambda n, rules: markup.tidy(markup.by_rules(parts.read(n), rules))
+    if "word/document.xml" in parts.sizes:
+        yield "", text("word/document.xml", markup.WORD)
+        for n in names:
+            if re.fullmatch(r"word/(comments|footnotes|endnotes|header\d*|footer\d*)\.xml", n):
+                yield n[5:-4], text(n, markup.WORD)
+    elif "xl/workbook.xml" in parts.sizes:
+        shared = [_cell_text(s) for s in re.findall(r"<(?:\w+:)?si>(.*?)</(?:\w+:)?si>|<(?:\w+:)?si/>", parts.read("xl/sharedStrings.xml"), re.S)]
+        for title, n in _sheets(parts, names):
+            yield f'Planilha "{title}"', _sheet(parts.read(n), shared)
+        for n in names:
+            if re.fullmatch(r"xl/(comments\d*|threadedComments/[^/]+)\.xml", n):
+                yield "Comentários", markup.by_rules(parts.read(n), _COMMENTS)
+    elif slides := [n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)]:
+        for k, n in enumerate(_in_order(parts, "ppt/presentation.xml", "p:sldId", slides), 1):
+            notes = [text(r, markup.DRAWING) for kind, r in _relations(parts, n).values() if kind.endswith("/notesSlide")]
+            yield f"Slide {k}", "\n".join([text(n, markup.DRAWING), *notes])
+    elif "content.xml" in parts.sizes:
+        xml = parts.read("content.xml")
+        sheets = re.findall(r"<table:table\b([^>]*)>(.*?)</table:table>", xml, re.S) if "opendocument.spreadsheet" in parts.read("mimetype") else []
+        for attributes, body in sheets:
+            title = re.search(r'\btable:name="([^"]*)"', attributes)
+            yield f'Planilha "{markup.decoded(title[1]) if title else ""}"', re.sub(r"[ \t]+\n", "\n", re.sub(r" +\t", "\t", markup.by_rules(body, markup.OPEN_SHEET)))
+        if not sheets:
+            yield "", markup.tidy(markup.by_rules(xml, markup.OPEN))
+    else:
+        yield "Arquivos compactados", "\n".join(sorted(parts.names, key=_natural))
+
+
+_COMMENTS = markup.Rules(frozenset({"t", "text"}), closes={"comment": "\n", "threadedComment": "\n"})
+
+
+def _relations(parts: Parts, name: str) -> dict[str, tuple[str, str]]:
+    """(kind, target) of a part's relations by their id."""
+    folder, _, base = name.rpartition("/")
+    found = {}
+    for attributes in re.findall(r"<Relationship\b([^>]*)>", parts.read(f"{folder}/_rels/{base}.rels")):
+        a = dict(re.findall(r'(\w+)="([^"]*)"', attributes))
+        if "Target" in a and a.get("TargetMode") != "External":
+            target = a["Target"]
+            found[a.get("Id", "")] = (a.get("Type", ""), posixpath.normpath(target[1:] if target.startswith("/") else posixpath.join(folder, target)))
+    return found
+
+
+def _in_order(parts: Parts, name: str, element: str, otherwise: list[str]) -> list[str]:
+    """Parts in the order in which elements of a part refer to them."""
+    relations = _relations(parts, name)
+    ids = re.findall(rf'<{element}\b[^>]*\br:id="([^"]*)"', parts.read(name))
+    return [relations[i][1] for i in ids if i in relations] or otherwise
+
+
+def _sheets(parts: Parts, names: list[str]) -> list[tuple[str, str]]:
+    """(title, part) of a workbook's sheets, by its relations; without any, in the order of the parts."""
+    relations, out = _relations(parts, "xl/workbook.xml"), []
+    numbered = [n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
+    for k, attributes in enumerate(re.findall(r"<(?:\w+:)?sheet\b([^>]*)>", parts.read("xl/workbook.xml"))):
+        title, own = re.search(r'\bname="([^"]*)"', attributes), re.search(r'\w+:id="([^"]*)"', attributes)
+        target = relations[own[1]][1] if own and own[1] in relations else numbered[k] if not relations and k < len(numbered) else None
+        if target:
+            out.append((markup.decoded(title[1]) if title else "", target))
+    return out
+
+
+def _cell_text(xml: str) -> str:
+    """The runs of a rich text, without phonetic hints."""
+    xml = re.sub(r"<(?:\w+:)?rPh\b.*?</(?:\w+:)?rPh>", "", xml, flags=re.S)
+    return markup.decoded("".join(re.findall(r"<(?:\w+:)?t(?:\s[^>]*)?>([^<]*)</(?:\w+:)?t>", xml)))
+
+
+_CELL = re.compile(r"<(?:\w+:)?row\b([^>]*)>|<(?:\w+:)?c\b([^>]*?)(?:/>|>(.*?)</(?:\w+:)?c>)", re.S)
+
+
+def _sheet(xml: str, shared: list[str]) -> str:
+    """A line for each row of a sheet by its number, tabs between its values; truth values and errors are left out."""
+    values, row = [], -1
+    for of_row, of_cell, body in _CELL.findall(xml):
+        if not of_cell and not body:
+            n = re.search(r'\br="(\d+)"', of_row)
+            row = int(n[1]) - 1 if n else row + 1
+            continue
+        kind = (re.search(r'\bt="([^"]*)"', of_cell) or ("", "n"))[1]
+        v = (re.search(r"<(?:\w+:)?v>([^<]*)</", body) or ("", ""))[1]
+        if kind == "s":
+            text = shared[int(v)] if v.isdigit() and int(v) < len(shared) else ""
+        else:
+            text = _cell_text(body) if kind == "inlineStr" else "" if kind in "be" else markup.decoded(v)
+        values.append((max(row, 0), text))
+    return compound.row_lines(values)
 
 
 def message_parts(data: bytes, depth: int = 0) -> tuple[list[tuple[str, str]], dict]:
@@ -249,10 +313,7 @@ def message_parts(data: bytes, depth: int = 0) -> tuple[list[tuple[str, str]], d
         except (LookupError, KeyError, ValueError):
             text = (part.get_payload(decode=True) or b"").decode("cp1252", "replace")
         if part.get_content_type() == "text/html":
-            text = re.sub(r"(?is)<(style|script)\b.*?</\1\s*>", " ", text)
-            import html
-
-            text = html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])\s*>", "\n", text)))
+            text = _plain_markup(text)
         return text
 
     def walk(part, level: int):
@@ -286,44 +347,66 @@ def message_parts(data: bytes, depth: int = 0) -> tuple[list[tuple[str, str]], d
     return out, head
 
 
-def read_file(data: bytes, extension: str, depth: int = 0):
-    """status, note, segments, author, last editor of one file's bytes."""
+def read_file(data: bytes, extension: str, depth: int = 0) -> tuple:
+    """status, note, segments, author, last editor, metadata of one file's bytes."""
     if not data:
-        return "empty", None, [], None, None
+        return "empty", None, [], None, None, {}
     try:
-        if data[:4] == b"PK\x03\x04":
-            segments, author, editor = office_segments(data)
-            return "ok", None, segments, author, editor
-        if data[:5] == b"{\\rtf":
-            return "ok", None, [("", rtf_text(data))], rtf_info(data, "author"), rtf_info(data, "operator")
-        if data[:5] == b"%PDF-":
-            if re.search(rb"/Encrypt\s+[0-9]", data):
-                return "encrypted", "pdf", [], None, None
-            text = pdf_text(data)
-            return ("ok" if text else "partial"), "pdf", [("", text)] if text else [], pdf_info(data, "Author"), None
-        if data[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
-            if "EncryptedPackage".encode("utf-16-le") in data:
-                return "encrypted", "ole", [], None, None
-            return "partial", "ole", [("", runs_of_text(data))], None, None
-        if extension in (".eml", ".mht", ".mhtml"):
-            return "ok", None, message_parts(data, depth)[0], None, None
-        return "other", None, [], None, None
-    except zipfile.BadZipFile as e:
-        return "error", str(e), [], None, None
+        status, note, segments, found = _read_kind(data, extension, depth)
     except RuntimeError as e:  # an entry that needs a password
-        return "encrypted", str(e), [], None, None
+        status, note, segments, found = "encrypted", str(e)[:300], [], {}
     except Exception as e:  # noqa: BLE001 a broken file is a row, not the job's end
-        return "error", f"{type(e).__name__}: {e}"[:300], [], None, None
+        status, note, segments, found = "error", f"{type(e).__name__}: {e}"[:300], [], {}
+    found = {k: v for k, v in found.items() if v}
+    return status, note, segments, found.get("author"), found.get("last_modified_by"), found
+
+
+def _read_kind(data: bytes, extension: str, depth: int) -> tuple[str, str | None, list[tuple[str, str]], dict[str, str]]:
+    if data[:4] in (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08"):
+        status, segments, found = office_segments(data)
+        return status, None, segments, found
+    if data[:5] == b"{\\rtf":
+        return "ok", None, [("", rtf_text(data))], {"author": rtf_info(data, "author"), "last_modified_by": rtf_info(data, "operator"), "title": rtf_info(data, "title")}
+    if b"%PDF-" in data[:1024]:
+        status, segments, found = pdf.pages(data, most=MAX_CHARS)
+        return status, "pdf", segments, found
+    if data[:8] == compound.MAGIC:
+        return _read_compound(data, depth)
+    if extension in (".eml", ".mht", ".mhtml"):
+        return "ok", None, message_parts(data, depth)[0], {}
+    return "other", None, [], {}
+
+
+def _read_compound(data: bytes, depth: int) -> tuple[str, str | None, list[tuple[str, str]], dict[str, str]]:
+    try:
+        status, kind, segments, found, attached, html = compound.office_text(data)
+    except (ValueError, struct.error, IndexError):
+        return "partial", "ole", [("", runs_of_text(data))], {}
+    if html:
+        segments = [("", "\n".join([*(t for _, t in segments), _plain_markup(html.decode("utf-8", "replace"))]))]
+    for name, body in attached:
+        own = read_file(body, "." + name.lower().rpartition(".")[2], depth + 1) if depth < MAX_DEPTH else ("unsupported", None, [])
+        text = body.decode("utf-8", "replace") if own[0] == "other" and b"\0" not in body[:4096] else None
+        for label, t in [("", text)] if text is not None else own[2]:
+            segments.append((f'Anexo "{name}"' + (f" › {label}" if label else ""), t))
+    return status, kind, segments, found
+
+
+def _plain_markup(text: str) -> str:
+    import html
+
+    text = re.sub(r"(?is)<(style|script)\b.*?</\1\s*>", " ", text)
+    return html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])\s*>", "\n", text)))
 
 
 @F.pandas_udf(RESULT)
 def _read(content: pd.Series, extension: pd.Series) -> pd.DataFrame:
     rows = [read_file(bytes(b), e or "") for b, e in zip(content, extension, strict=True)]
-    return pd.DataFrame([(s, n, [{"label": a, "text": t} for a, t in seg], x, y) for s, n, seg, x, y in rows], columns=["status", "note", "segments", "author", "last_modified_by"])
+    return pd.DataFrame([(s, n, [{"label": a, "text": t} for a, t in seg], x, y, m) for s, n, seg, x, y, m in rows], columns=FIELDS)
 
 
 def extract(files: DataFrame, *, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """files (id, name, size, content) with status, note, segments, author and last_modified_by.
+    """files (id, name, size, content) with status, note, segments, author, last_modified_by and metadata (title, dates, program, company).
 
     Text and markup are decoded in the JVM; other formats go to a helper. Text above max_bytes is read
     that far and partial; other large files are skipped.
@@ -333,13 +416,14 @@ def extract(files: DataFrame, *, max_bytes: int = MAX_BYTES) -> DataFrame:
     sorted_out = files.withColumn("_ext", ext).withColumn("_kind", kind).withColumn("_large", F.col("size") > max_bytes)
     plain = F.col("_kind").isin("text", "html")
     none = F.lit(None).cast("string")
+    nothing = F.create_map().cast("map<string,string>").alias("metadata")
     one = lambda text: F.array(F.struct(F.lit("").alias("label"), F.substring(text, 1, MAX_CHARS).alias("text")))
     keep = [c for c in files.columns if c != "content"]
     texts = sorted_out.where(plain & (F.col("size") > 0)).withColumn("_t", decode_text(F.substring("content", F.lit(1), F.lit(max_bytes))))
     texts = texts.withColumn("_t", F.when(F.col("_kind") == "html", html_to_text(F.col("_t"))).otherwise(F.col("_t")))
-    texts = texts.select(*keep, F.when(F.col("_large"), "partial").otherwise("ok").alias("status"), none.alias("note"), one(F.col("_t")).alias("segments"), none.alias("author"), none.alias("last_modified_by"))
+    texts = texts.select(*keep, F.when(F.col("_large"), "partial").otherwise("ok").alias("status"), none.alias("note"), one(F.col("_t")).alias("segments"), none.alias("author"), none.alias("last_modified_by"), nothing)
     rest = sorted_out.where((~plain | (F.col("size") == 0)) & ~F.col("_large")).withColumn("_r", _read("content", "_ext")).select(*keep, "_r.*")
-    skipped = sorted_out.where(~plain & F.col("_large")).select(*keep, F.lit("skipped-size").alias("status"), none.alias("note"), F.array().cast("array<struct<label:string,text:string>>").alias("segments"), none.alias("author"), none.alias("last_modified_by"))
+    skipped = sorted_out.where(~plain & F.col("_large")).select(*keep, F.lit("skipped-size").alias("status"), none.alias("note"), F.array().cast("array<struct<label:string,text:string>>").alias("segments"), none.alias("author"), none.alias("last_modified_by"), nothing)
     return texts.unionByName(rest).unionByName(skipped)
 
 

