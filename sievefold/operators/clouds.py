@@ -56,23 +56,35 @@ def protected_sites(items: DataFrame, guards: DataFrame, *, site: str = "site")
 
 
 def library_folders(specs: DataFrame, libraries: DataFrame) -> DataFrame:
-    """(library, folder): where each chosen folder counts; folder '' is the whole library.
+    """(library, folder): where each chosen folder counts; folder '' is the whole library, library null every library.
 
     A folder that starts with a library's name counts in that one alone, any other in every library.
     specs: path; libraries: library.
     """
-    names = libraries.select("library", folder_key(F.col("library")).alias("_name"))
+    names = libraries.select("library", folder_key(F.col("library")).alias("_name")).distinct()
     own = specs.select(folder_key(F.col("path")).alias("_key")).distinct().withColumn("_first", F.substring_index("_key", "/", 1))
-    named = own.join(names, own["_first"] == names["_name"]).select("library", F.expr("substr(_key, length(_first) + 2)").alias("folder"))
-    free = own.join(names, own["_first"] == names["_name"], "left_anti").select(F.col("_key").alias("folder"))
-    return named.unionByName(names.select("library").join(F.broadcast(free)))
+    found = own.join(names, own["_first"] == names["_name"], "left")
+    folder = F.when(F.col("library").isNull(), F.col("_key")).otherwise(F.expr("substr(_key, length(_first) + 2)"))
+    return found.select("library", folder.alias("folder"))
+
+
+def in_library_folders(items: DataFrame, scope: DataFrame, *, library: str = "library", folder: str = "folder") -> DataFrame:
+    """items that lie in a folder of scope (of library_folders) or below it. Each distinct folder looks its ancestors up by equality."""
+    places = items.select(F.col(library).alias("_library"), F.col(folder).alias("_folder")).distinct()
+    ups = places.withColumn("_up", F.explode(F.array_union(F.array(F.lit("")), ancestors(folder_key(F.col("_folder"))))))
+    there = scope.where("library is not null").select(F.col("library").alias("_library"), F.col("folder").alias("_up"))
+    everywhere = scope.where("library is null").select(F.col("folder").alias("_up")).distinct()
+    hit = ups.join(there, ["_library", "_up"], "left_semi").unionByName(ups.join(everywhere, "_up", "left_semi").select("_library", "_folder", "_up"))
+    hit = hit.select("_library", "_folder").distinct()
+    return items.join(hit, items[library].eqNullSafe(F.col("_library")) & items[folder].eqNullSafe(F.col("_folder")), "left_semi")
 
 
 def covered_accounts(items: DataFrame, accounts: DataFrame) -> DataFrame:
-    """items one of whose aliases (array) is a listed account."""
+    """items one of whose aliases (array) is a listed account. Distinct lists of aliases are looked up, so rows need no numbers."""
     listed = accounts.select(F.lower("account").alias("_alias")).distinct()
-    each = items.withColumn("_row", F.monotonically_increasing_id()).withColumn("_alias", F.explode(F.transform("aliases", F.lower)))
-    return each.join(listed, "_alias", "left_semi").dropDuplicates(["_row"]).drop("_alias", "_row")
+    lists = items.select("aliases").distinct()
+    hit = lists.select("aliases", F.explode(F.transform("aliases", F.lower)).alias("_alias")).join(listed, "_alias", "left_semi").select(F.col("aliases").alias("_aliases")).distinct()
+    return items.join(hit, items["aliases"] == F.col("_aliases"), "left_semi")
 
 
 def chat_label(topic: Column, kind: Column, names: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,16 @@ def term_error(value: str | None, kind: str = "text", validator: str | None = No
     return None
 
 
+def with_errors(terms: DataFrame) -> DataFrame:
+    """terms (value, type, validator) with error: what makes a term unusable, null for a right one."""
+
+    @F.pandas_udf("string")
+    def errors(values: pd.Series, types: pd.Series, validators: pd.Series) -> pd.Series:
+        return pd.Series([term_error(v or "", t, c) for v, t, c in zip(values, types, validators, strict=True)], dtype=object)
+
+    return terms.withColumn("error", errors("value", "type", "validator"))
+
+
 def distinct_terms(terms: DataFrame) -> DataFrame:
     """One term for each type, folded value (patterns: exact value), wholeWord and validator: the first by seq."""
     key = F.when(F.col("type") == "text", fold_text(F.col("value"))).otherwise(F.col("value"))

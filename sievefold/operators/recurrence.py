@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The longest a rule may pause, and the most runs of one.
+#: The longest a rule may pause, the most runs of one, and the largest intervals.
 LONGEST_GAP, MOST_RUNS = 3700, 10_000
+INTERVALS = {"hourly": 23, "daily": 365, "weekly": 52, "monthly": 24}
 
 
 class RuleError(ValueError):
@@ -44,7 +45,7 @@ class Rule:
         checks = {
             "frequency": self.frequency in ("once", "hourly", "daily", "weekly", "monthly"),
             "time": all(len(t) == 5 and t[2] == ":" and t[:2].isdigit() and t[3:].isdigit() and int(t[:2]) < 24 and int(t[3:]) < 60 for t in (self.time, self.until_time)),
-            "interval": 1 <= self.interval <= 366,
+            "interval": 1 <= self.interval <= INTERVALS.get(self.frequency, 366),
             "weekdays": all(0 <= d <= 6 for d in self.weekdays) and (self.frequency not in ("hourly", "weekly") or bool(self.weekdays)),
             "monthly_mode": self.monthly_mode in ("day", "last-day", "weekday"),
             "month_day": 1 <= self.month_day <= 31,
@@ -56,77 +57,126 @@ class Rule:
             raise RuleError(", ".join(wrong))
 
 
+#: Columns of a table of rules. Weekdays are a sum of powers of two, Sunday = 1; times are minutes of the day.
+COLUMNS = "frequency string, start date, minute int, until_minute int, interval int, weekdays int, workdays_only boolean, monthly_mode string, month_day int, week_of_month int, weekday int, ending string, end_date date, count int, zone string"
+
+
 def _minutes(time: str) -> int:
     return int(time[:2]) * 60 + int(time[3:])
 
 
+def table_of(spark: SparkSession, *rules: Rule) -> DataFrame:
+    """Rules as rows; rule numbers them from 0."""
+    rows = [(k, r.frequency, r.start, _minutes(r.time), _minutes(r.until_time), r.interval, sum(1 << d for d in set(r.weekdays)), r.workdays_only, r.monthly_mode, r.month_day, r.week_of_month, r.weekday, r.end, r.end_date, r.count, r.zone) for k, r in enumerate(rules)]
+    return spark.createDataFrame(rows, f"rule long, {COLUMNS}")
+
+
 def _weekday(day: Column) -> Column:
     return F.dayofweek(day) - 1
 
 
-def _fits(rule: Rule, day: Column) -> Column:
-    start = F.lit(rule.start)
-    if rule.frequency == "once":
-        return day == start
-    if rule.frequency == "daily":
-        return _weekday(day).between(1, 5) if rule.workdays_only else F.datediff(day, start) % rule.interval == 0
-    if rule.frequency == "hourly":
-        return _weekday(day).isin(*rule.weekdays)
-    if rule.frequency == "weekly":
-        weeks = F.datediff(F.trunc(day, "week"), F.trunc(start, "week")) / 7
-        return (weeks.cast("int") % rule.interval == 0) & _weekday(day).isin(*rule.weekdays)
+def _fits(day: Column) -> Column:
+    """Whether a day belongs to the rule of its row."""
+    start, every = F.col("start"), F.col("interval")
+    chosen = F.col("weekdays").bitwiseAND(F.pow(F.lit(2), _weekday(day)).cast("int")) > 0
+    weeks = (F.datediff(F.trunc(day, "week"), F.trunc(start, "week")) / 7).cast("int")
     months = (F.year(day) - F.year(start)) * 12 + F.month(day) - F.month(start)
     number, last = F.dayofmonth(day), F.dayofmonth(F.last_day(day))
-    if rule.monthly_mode == "last-day":
-        right = number == last
-    elif rule.monthly_mode == "weekday":
-        nth = number + 7 > last if rule.week_of_month == -1 else F.ceil(number / 7) == rule.week_of_month
-        right = (_weekday(day) == rule.weekday) & nth
-    else:
-        right = number == F.least(F.lit(rule.month_day), last)
-    return (months % rule.interval == 0) & right
+    nth = F.when(F.col("week_of_month") == -1, number + 7 > last).otherwise(F.ceil(number / 7) == F.col("week_of_month"))
+    of_month = (
+        F.when(F.col("monthly_mode") == "last-day", number == last)
+        .when(F.col("monthly_mode") == "weekday", (_weekday(day) == F.col("weekday")) & nth)
+        .otherwise(number == F.least(F.col("month_day"), last))
+    )
+    return (
+        F.when(F.col("frequency") == "once", day == start)
+        .when(F.col("frequency") == "daily", F.when(F.col("workdays_only"), _weekday(day).between(1, 5)).otherwise(F.datediff(day, start) % every == 0))
+        .when(F.col("frequency") == "hourly", chosen)
+        .when(F.col("frequency") == "weekly", (weeks % every == 0) & chosen)
+        .otherwise((months % every == 0) & of_month)
+    )
+
+
+def days_of(rules: DataFrame, first: Column, last: Column) -> DataFrame:
+    """rules with day: a row for each day within [first, last] on which a rule applies. first and last are expressions of a rule's row."""
+    stop = F.when((F.col("ending") == "date") & (F.col("frequency") != "once"), F.least(last, F.col("end_date"))).otherwise(last)
+    begin = F.greatest(first, F.col("start"))
+    every = rules.withColumn("day", F.explode(F.when(stop >= begin, F.sequence(begin, stop))))
+    return every.where(_fits(F.col("day")))
+
+
+def instants_of(rules: DataFrame, first: Column, last: Column) -> DataFrame:
+    """rules with at (UTC), strictly increasing in a rule: a local time that the clock skips becomes the next one, once."""
+    hourly = F.col("frequency") == "hourly"
+    end, step = F.when(hourly, F.col("until_minute")).otherwise(F.col("minute")), F.when(hourly, F.col("interval") * 60).otherwise(60)
+    minutes = F.explode(F.when(end >= F.col("minute"), F.sequence(F.col("minute"), end, step)))
+    each = days_of(rules, first, last).withColumn("_m", minutes)
+    local = F.timestamp_seconds(F.unix_timestamp(F.col("day").cast("timestamp")) + F.col("_m") * 60)
+    return each.withColumn("at", F.to_utc_timestamp(local, F.col("zone"))).drop("_m", "day").dropDuplicates(["rule", "at"])
+
+
+def upcoming_of(rules: DataFrame, after: Column, n: int, *, remaining: Column | None = None) -> DataFrame:
+    """The next n runs of each rule after an instant (UTC), with nth from 1; at most as many as remain of a rule that ends by count."""
+    first = F.date_sub(F.to_date(after), 1)
+    found = instants_of(rules, first, F.date_add(F.greatest(first, F.col("start")), LONGEST_GAP)).where(F.col("at") > after)
+    limit = F.lit(n) if remaining is None else F.when(F.col("ending") == "count", F.least(F.lit(n), F.coalesce(remaining, F.lit(n)))).otherwise(n)
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("rule").orderBy("at"))).where(F.col("nth") <= n).where(F.col("nth") <= limit)
+
+
+def counts_between(rules: DataFrame, after: Column, until: Column, *, cap: int = 1000) -> DataFrame:
+    """rule and runs, the number of its runs after one instant up to another, at most cap; rules without any have none."""
+    found = instants_of(rules, F.date_sub(F.to_date(after), 1), F.date_add(F.to_date(until), 1)).where((F.col("at") > after) & (F.col("at") <= until))
+    counted = found.groupBy("rule").agg(F.count("*").alias("runs"))
+    return rules.select("rule").join(counted, "rule", "left").select("rule", F.least(F.coalesce("runs", F.lit(0)), F.lit(cap)).cast("long").alias("runs"))
+
+
+def last_runs(rules: DataFrame, after: Column) -> DataFrame:
+    """rule and at, the last run after an instant of each rule that ends; rules that never end, or have ended, have no row."""
+    dated = instants_of(rules.where("ending = 'date' and frequency <> 'once'"), F.date_sub(F.to_date(after), 1), F.col("end_date"))
+    single = rules.where("frequency = 'once'")
+    once = instants_of(single, F.date_sub(F.to_date(after), 1), F.greatest(F.col("start"), F.to_date(after)))
+    ends = dated.select("rule", "at").unionByName(once.select("rule", "at")).where(F.col("at") > after).groupBy("rule").agg(F.max("at").alias("at"))
+    counted = upcoming_of(rules.where("ending = 'count' and frequency <> 'once'"), after, MOST_RUNS, remaining=F.col("count"))
+    return ends.unionByName(counted.groupBy("rule").agg(F.max("at").alias("at")))
+
+
+def rule_errors(rules: DataFrame) -> DataFrame:
+    """rules with errors: the names of the fields that make no rule, in order; an empty list for a right one."""
+    checks = {
+        "frequency": F.col("frequency").isin("once", "hourly", "daily", "weekly", "monthly"),
+        "time": F.col("minute").between(0, 1439) & F.col("until_minute").between(0, 1439),
+        "interval": F.col("interval").between(1, F.coalesce(F.get(F.filter(F.array(*(F.when(F.col("frequency") == k, F.lit(n)) for k, n in INTERVALS.items())), lambda n: n.isNotNull()), F.lit(0)), F.lit(366))),
+        "weekdays": F.col("weekdays").between(F.when(F.col("frequency").isin("hourly", "weekly"), 1).otherwise(0), 127),
+        "monthly_mode": F.col("monthly_mode").isin("day", "last-day", "weekday"),
+        "month_day": F.col("month_day").between(1, 31),
+        "week_of_month": F.col("week_of_month").isin(1, 2, 3, 4, -1),
+        "end": F.col("ending").isin("never", "date", "count") & ((F.col("ending") != "date") | F.col("end_date").isNotNull()) & ((F.col("ending") != "count") | F.coalesce(F.col("count").between(1, MOST_RUNS), F.lit(False))),
+    }
+    wrong = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items())))
+    return rules.withColumn("errors", wrong)
+
+
+# one rule
 
 
 def days(spark: SparkSession, rule: Rule, first: dt.date, last: dt.date) -> DataFrame:
     """Days within [first, last] on which the rule applies."""
-    stop = min(last, rule.end_date) if rule.end == "date" and rule.frequency != "once" else last
-    begin = max(first, rule.start)
-    if stop < begin:
-        return spark.range(0).select(F.lit(None).cast("date").alias("day"))
-    every = spark.range(1).select(F.explode(F.sequence(F.lit(begin), F.lit(stop))).alias("day"))
-    return every.where(_fits(rule, F.col("day")))
+    return days_of(table_of(spark, rule), F.lit(first), F.lit(last)).select("day")
 
 
 def instants(spark: SparkSession, rule: Rule, first: dt.date, last: dt.date) -> DataFrame:
-    """at (UTC), strictly increasing: a local time that the clock skips becomes the next one, once."""
-    begin = _minutes(rule.time)
-    end, step = (_minutes(rule.until_time), rule.interval * 60) if rule.frequency == "hourly" else (begin, 60)
-    if end < begin:
-        return spark.range(0).select(F.lit(None).cast("timestamp").alias("at"))
-    minutes = F.explode(F.sequence(F.lit(begin), F.lit(end), F.lit(step))).alias("minute")
-    local = F.timestamp_seconds(F.unix_timestamp(F.col("day").cast("timestamp")) + F.col("minute") * 60)
-    return days(spark, rule, first, last).select("day", minutes).select(F.to_utc_timestamp(local, rule.zone).alias("at")).distinct()
+    return instants_of(table_of(spark, rule), F.lit(first), F.lit(last)).select("at")
 
 
 def upcoming(spark: SparkSession, rule: Rule, after: dt.datetime, n: int, *, remaining: int | None = None) -> DataFrame:
     """The next n runs after an instant (UTC), at most as many as remain of a rule that ends by count."""
-    limit = min(n, remaining if rule.end == "count" and remaining is not None else n)
-    first = after.date() - dt.timedelta(days=1)
-    span = dt.timedelta(days=LONGEST_GAP)
-    return instants(spark, rule, first, max(first, rule.start) + span).where(F.col("at") > F.lit(after)).orderBy("at").limit(max(limit, 0))
+    return upcoming_of(table_of(spark, rule), F.lit(after), n, remaining=F.lit(remaining).cast("int")).select("at").orderBy("at")
 
 
 def count_between(spark: SparkSession, rule: Rule, after: dt.datetime, until: dt.datetime, *, cap: int = 1000) -> int:
-    found = instants(spark, rule, after.date() - dt.timedelta(days=1), until.date() + dt.timedelta(days=1))
-    return found.where((F.col("at") > F.lit(after)) & (F.col("at") <= F.lit(until))).limit(cap).count()
+    return counts_between(table_of(spark, rule), F.lit(after), F.lit(until), cap=cap).first().runs
 
 
-def last_run(spark: SparkSession, rule: Rule, after: dt.datetime, *, remaining: int | None = None) -> DataFrame:
+def last_run(spark: SparkSession, rule: Rule, after: dt.datetime) -> DataFrame:
     """The last run of a rule that ends, or no row."""
-    if rule.frequency == "once":
-        return upcoming(spark, rule, after, 1)
-    if rule.end == "count":
-        return upcoming(spark, rule, after, min(rule.count, remaining if remaining is not None else rule.count)).orderBy(F.desc("at")).limit(1)
-    if rule.end != "date":
-        return spark.range(0).select(F.lit(None).cast("timestamp").alias("at"))
-    return instants(spark, rule, after.date() - dt.timedelta(days=1), rule.end_date).where(F.col("at") > F.lit(after)).orderBy(F.desc("at")).limit(1)
+    return last_runs(table_of(spark, rule), F.lit(after)).select("at")

@@ -1,66 +1,113 @@
-"""Queries on recurrence rules."""
+"""Queries on recurrence rules: a rule for each customer, of every kind."""
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import recurrence as r
 from .catalog import query
+from .views import view
+
+
+def _days(span: str) -> str:
+    """SQL for the days of every rule in a span (first and last day): CTE d (rule, day and the rule's columns)."""
+    first, last = span.split(" .. ")
+    return f"""a AS (SELECT *, greatest(start, {first}) AS first_day, CASE WHEN ending = 'date' AND frequency <> 'once' THEN least({last}, end_date) ELSE {last} END AS last_day FROM rules),
+    e AS (SELECT *, cast(unnest(range(first_day::timestamp, (last_day + 1)::timestamp, interval '1' day)) AS date) AS day FROM a),
+    d AS (SELECT * FROM e WHERE CASE frequency WHEN 'once' THEN day = start
+      WHEN 'daily' THEN CASE WHEN workdays_only THEN isodow(day) <= 5 ELSE date_diff('day', start, day) % interval = 0 END
+      WHEN 'hourly' THEN (weekdays >> dayofweek(day)) & 1 = 1
+      WHEN 'weekly' THEN date_diff('day', date_trunc('week', start), date_trunc('week', day)) // 7 % interval = 0 AND (weekdays >> dayofweek(day)) & 1 = 1
+      ELSE (year(day) * 12 + month(day) - year(start) * 12 - month(start)) % interval = 0 AND CASE monthly_mode WHEN 'last-day' THEN day = last_day(day)
+        WHEN 'weekday' THEN dayofweek(day) = weekday AND CASE WHEN week_of_month = -1 THEN day(day) + 7 > day(last_day(day)) ELSE (day(day) + 6) // 7 = week_of_month END
+        ELSE day(day) = least(month_day, day(last_day(day))) END END)"""
+
 
-D = dt.date
-SPAN = (D(2026, 1, 1), D(2027, 12, 31))
-_DAYS = "WITH d AS (SELECT cast(unnest(range(timestamp '2026-01-01', timestamp '2028-01-01', interval '1' day)) AS date) AS day) SELECT strftime(day, '%Y-%m-%d') AS day FROM d WHERE "
+def _instants(span: str) -> str:
+    """Adds CTE i (rule, at in UTC and the rule's columns)."""
+    return f"""{_days(span)}, m AS (SELECT *, unnest(range(minute, CASE WHEN frequency = 'hourly' THEN until_minute ELSE minute END + 1, CASE WHEN frequency = 'hourly' THEN interval * 60 ELSE 60 END)) AS at_minute FROM d),
+    i AS (SELECT DISTINCT rule, frequency, ending, count, timezone('UTC', timezone(zone, day::timestamp + to_minutes(at_minute))) AS "at" FROM m)"""
 
 
-def _days(spark: SparkSession, rule: r.Rule) -> DataFrame:
-    return r.days(spark, rule, *SPAN).select(F.date_format("day", "yyyy-MM-dd").alias("day"))
+_SPAN = "date '2026-01-01' .. start + 120"
 
 
-RULES = {
-    "r1_daily": (r.Rule("daily", D(2026, 9, 25), interval=3), "day >= '2026-09-25' AND date_diff('day', date '2026-09-25', day) % 3 = 0"),
-    "r1_workdays": (r.Rule("daily", D(2026, 2, 3), workdays_only=True, end="date", end_date=D(2026, 8, 1)), "day BETWEEN '2026-02-03' AND '2026-08-01' AND isodow(day) <= 5"),
-    "r1_weekly": (r.Rule("weekly", D(2026, 3, 4), interval=2, weekdays=(0, 3, 5)), "day >= '2026-03-04' AND date_diff('week', date '2026-03-04', day) % 2 = 0 AND dayofweek(day) IN (0, 3, 5)"),
-    "r1_month_day": (r.Rule("monthly", D(2026, 1, 31), month_day=31), "day >= '2026-01-31' AND day = last_day(day)"),
-    "r1_last_day": (r.Rule("monthly", D(2026, 1, 10), interval=2, monthly_mode="last-day"), "day >= '2026-01-10' AND day = last_day(day) AND (year(day) * 12 + month(day) - (2026 * 12 + 1)) % 2 = 0"),
-    "r1_second_tuesday": (r.Rule("monthly", D(2026, 1, 1), monthly_mode="weekday", week_of_month=2, weekday=2), "dayofweek(day) = 2 AND day(day) BETWEEN 8 AND 14"),
-    "r1_last_friday": (r.Rule("monthly", D(2026, 1, 1), monthly_mode="weekday", week_of_month=-1, weekday=5), "dayofweek(day) = 5 AND day(day) + 7 > day(last_day(day))"),
-    "r1_once": (r.Rule("once", D(2026, 6, 1)), "day = '2026-06-01'"),
-}
+@query(f"WITH {_days(_SPAN)} SELECT rule, strftime(day, '%Y-%m-%d') AS day FROM d")
+def r1_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of every rule up to 120 days after its start."""
+    found = r.days_of(view(spark, sf_dir, "rules"), F.lit("2026-01-01").cast("date"), F.date_add("start", 120))
+    return found.select("rule", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
-def _register(name: str, rule: r.Rule, where: str) -> None:
-    @query(_DAYS + where, name)
+def _of_kind(where: str, name: str) -> None:
+    @query(f"WITH {_days(_SPAN)} SELECT rule, count(*) AS days, strftime(min(day), '%Y-%m-%d') AS first, strftime(max(day), '%Y-%m-%d') AS last FROM d WHERE {where} GROUP BY rule", name)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _days(spark, rule)
+        found = r.days_of(view(spark, sf_dir, "rules").where(where), F.lit("2026-01-01").cast("date"), F.date_add("start", 120))
+        text = lambda c: F.date_format(c, "yyyy-MM-dd")
+        return found.groupBy("rule").agg(F.count("*").alias("days"), text(F.min("day")).alias("first"), text(F.max("day")).alias("last"))
+
+
+for _name, _where in {
+    "r1_daily": "frequency = 'daily' AND NOT workdays_only",
+    "r1_workdays": "frequency = 'daily' AND workdays_only",
+    "r1_weekly": "frequency = 'weekly'",
+    "r1_month_day": "frequency = 'monthly' AND monthly_mode = 'day'",
+    "r1_last_day": "frequency = 'monthly' AND monthly_mode = 'last-day'",
+    "r1_second_tuesday": "frequency = 'monthly' AND monthly_mode = 'weekday' AND week_of_month > 0",
+    "r1_last_friday": "frequency = 'monthly' AND monthly_mode = 'weekday' AND week_of_month = -1",
+    "r1_once": "frequency = 'once'",
+}.items():
+    _of_kind(_where, _name)
+
+_AT = "strftime(\"at\", '%Y-%m-%d %H:%M')"
 
 
-for _name, (_rule, _where) in RULES.items():
-    _register(_name, _rule, _where)
+def _text(c: str):
+    return F.date_format(c, "yyyy-MM-dd HH:mm").alias("at")
 
 
-@query("SELECT strftime(unnest(range(timestamp '2026-09-25', timestamp '2026-09-28', interval '1' day)) + interval '5' hour * h.h, '%Y-%m-%d %H:%M') AS at FROM (VALUES (0), (1), (2), (3), (4)) AS h(h)")
+@query(f"WITH {_instants('start .. start + 10')} SELECT rule, {_AT} AS at FROM i WHERE frequency = 'hourly'")
 def r2_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rule = r.Rule("hourly", D(2026, 9, 25), time="00:00", until_time="23:59", interval=5)
-    return r.instants(spark, rule, D(2026, 9, 25), D(2026, 9, 27)).select(F.date_format("at", "yyyy-MM-dd HH:mm").alias("at"))
+    rules = view(spark, sf_dir, "rules").where("frequency = 'hourly'")
+    return r.instants_of(rules, F.col("start"), F.date_add("start", 10)).select("rule", _text("at"))
 
 
-@query("SELECT * FROM (VALUES ('2026-03-07 07:30'), ('2026-03-08 07:30'), ('2026-03-09 06:30')) AS t(\"at\")")
+@query(f"WITH {_instants(_SPAN)} SELECT rule, {_AT} AS at FROM i WHERE frequency <> 'hourly'")
 def r3_clock_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """02:30 daily in New York around the day on which that time doesn't exist, in UTC."""
-    rule = r.Rule("daily", D(2026, 3, 7), time="02:30", zone="America/New_York")
-    return r.instants(spark, rule, D(2026, 3, 7), D(2026, 3, 9)).select(F.date_format("at", "yyyy-MM-dd HH:mm").alias("at"))
+    """All runs of rules in three zones, over the nights on which the clock skips an hour."""
+    rules = view(spark, sf_dir, "rules").where("frequency <> 'hourly'")
+    return r.instants_of(rules, F.lit("2026-01-01").cast("date"), F.date_add("start", 120)).select("rule", _text("at"))
 
 
-@query("SELECT * FROM (VALUES ('2026-09-28 02:00'), ('2026-10-01 02:00'), ('2026-10-04 02:00')) AS t(\"at\")")
+_AFTER = "timestamp '2026-02-15 12:00:00'"
+
+
+@query(f"WITH {_instants('date ' + repr('2026-02-14') + ' .. date ' + repr('2026-02-14') + ' + 150')}, n AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY \"at\") AS nth FROM i WHERE \"at\" > {_AFTER}) SELECT rule, nth::INT AS nth, {_AT} AS at FROM n WHERE nth <= 3 AND (ending <> 'count' OR nth <= count) AND \"at\" < timestamp '2026-05-01'")
 def r4_upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rule = r.Rule("daily", D(2026, 9, 25), interval=3)
-    return r.upcoming(spark, rule, dt.datetime(2026, 9, 26), 3).select(F.date_format("at", "yyyy-MM-dd HH:mm").alias("at"))
+    """The next three runs of every rule that come before May."""
+    found = r.upcoming_of(view(spark, sf_dir, "rules"), F.lit("2026-02-15 12:00:00").cast("timestamp"), 3, remaining=F.col("count"))
+    return found.where(F.col("at") < F.lit("2026-05-01").cast("timestamp")).select("rule", "nth", _text("at"))
 
 
-@query("SELECT '2026-12-31 02:00' AS at")
+@query(f"WITH {_instants('date ' + repr('2026-02-14') + ' .. greatest(start, date ' + repr('2026-06-30') + ')')} SELECT rule, strftime(max(\"at\"), '%Y-%m-%d %H:%M') AS at FROM i WHERE \"at\" > {_AFTER} AND (ending = 'date' OR frequency = 'once') GROUP BY rule")
 def r4_last_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rule = r.Rule("monthly", D(2026, 1, 31), monthly_mode="last-day", end="date", end_date=D(2027, 1, 30))
-    return r.last_run(spark, rule, dt.datetime(2026, 9, 26)).select(F.date_format("at", "yyyy-MM-dd HH:mm").alias("at"))
+    rules = view(spark, sf_dir, "rules").where("ending = 'date' or frequency = 'once'")
+    return r.last_runs(rules, F.lit("2026-02-15 12:00:00").cast("timestamp")).select("rule", _text("at"))
+
+
+@query(f"WITH {_instants('date ' + repr('2026-02-14') + ' .. date ' + repr('2026-04-02'))}, c AS (SELECT rule, count(*) AS n FROM i WHERE \"at\" > {_AFTER} AND \"at\" <= timestamp '2026-04-01 12:00:00' GROUP BY rule) SELECT rules.rule, least(coalesce(n, 0), 100) AS runs FROM rules LEFT JOIN c USING (rule)")
+def r4_count_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda s: F.lit(s).cast("timestamp")
+    return r.counts_between(view(spark, sf_dir, "rules"), at("2026-02-15 12:00:00"), at("2026-04-01 12:00:00"), cap=100)
+
+
+@query(
+    """WITH b AS (SELECT rule, frequency, CASE rule % 5 WHEN 0 THEN 0 ELSE interval END AS interval, CASE rule % 6 WHEN 1 THEN 0 ELSE weekdays END AS weekdays, CASE rule % 9 WHEN 2 THEN 32 ELSE month_day END AS month_day, CASE rule % 8 WHEN 0 THEN NULL ELSE end_date END AS end_date, ending FROM rules)
+    SELECT rule, concat_ws(',', CASE WHEN interval = 0 THEN 'interval' END, CASE WHEN weekdays = 0 AND frequency IN ('hourly', 'weekly') THEN 'weekdays' END, CASE WHEN month_day = 32 THEN 'month_day' END, CASE WHEN ending = 'date' AND end_date IS NULL THEN 'end' END) AS errors FROM b"""
+)
+def r5_rule_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules some of whose fields were made wrong, and what is wrong with each."""
+    wrong = lambda n, at, value, name: F.when(F.col("rule") % n == at, F.lit(value)).otherwise(F.col(name))
+    broken = view(spark, sf_dir, "rules").withColumns({"interval": wrong(5, 0, 0, "interval"), "weekdays": wrong(6, 1, 0, "weekdays"), "month_day": wrong(9, 2, 32, "month_day"), "end_date": wrong(8, 0, None, "end_date")})
+    return r.rule_errors(broken).select("rule", F.array_join("errors", ",").alias("errors"))

@@ -156,13 +156,14 @@ def m8_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.grouped_hits(groups, [("a", "DOC", False), ("b", "súb", False)]).select("id", "location", "term_id", "count")
 
 
-CASES = (("salário", "text", None), ("  ", "text", None), ("a*", "regex", None), ("[0-9]{3}", "regex", "cpf"), ("(", "regex", None), ("x+", "regex", "nope"))
-_ERRORS = ("ok", "empty", "matches-empty", "ok", "pattern", "validator")
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{e}')" for k, e in enumerate(_ERRORS)) + ") AS t(id, error)")
+@query("SELECT item_id AS id, CASE item_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'empty' WHEN 2 THEN 'matches-empty' WHEN 3 THEN 'ok' WHEN 4 THEN 'pattern' ELSE 'validator' END AS error FROM benchmark")
 def m9_term_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k, m.term_error(*c) or "ok") for k, c in enumerate(CASES)], "id int, error string")
+    """A term of each item's first word: as text, blank, as patterns that match nothing, digits, are broken, or name no validator."""
+    word = F.concat(F.substring_index(F.regexp_replace("text", "[^A-Za-z ]", ""), " ", 1), F.lit("w"))
+    kind = F.col("item_id") % 6
+    value = F.when(kind == 0, word).when(kind == 1, "  ").when(kind == 2, F.concat(F.lit("("), word, F.lit(")*"))).when(kind == 3, F.concat(word, F.lit("[0-9]{3}"))).when(kind == 4, F.concat(F.lit("("), word)).otherwise(F.concat(word, F.lit("+")))
+    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), value.alias("value"), F.when(kind < 2, "text").otherwise("regex").alias("type"), F.when(kind == 3, "cpf").when(kind == 5, "nope").alias("validator"))
+    return m.with_errors(terms).select("id", F.coalesce("error", F.lit("ok")).alias("error"))
 
 
 @query(

@@ -32,10 +32,19 @@ def s23_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")).join(used, "id", "left").select("id", F.coalesce("in_use", F.lit(False)).alias("in_use"))
 
 
-@query("SELECT * FROM (VALUES ('Documentos', 'projetos'), ('Fotos', ''), ('Documentos', 'geral/a'), ('Fotos', 'geral/a'), ('Outra', 'geral/a')) AS t(library, folder)")
+_CHOSEN = "SELECT CASE n_nationkey % 5 WHEN 0 THEN concat('SRC', n_nationkey % 4, chr(92), 'DIR', n_nationkey % 7) WHEN 1 THEN concat('src', n_nationkey % 3 + 4) WHEN 2 THEN concat('Dir', n_nationkey % 3, '/sub 1/') WHEN 3 THEN concat('src', n_nationkey % 9, '/none') ELSE concat('src', n_nationkey % 6 + 6, '/dir', n_nationkey % 2, '/Sub 2') END AS path FROM {nation}"
+
+
+@query(
+    "WITH s AS (SELECT replace(trim(lower(path), '/'), chr(92), '/') AS k FROM (" + _CHOSEN.replace("{nation}", "nation") + """)),
+    p AS (SELECT DISTINCT CASE WHEN split_part(k, '/', 1) IN (SELECT repository FROM files) THEN split_part(k, '/', 1) END AS library, CASE WHEN split_part(k, '/', 1) IN (SELECT repository FROM files) THEN substr(k, length(split_part(k, '/', 1)) + 2) ELSE k END AS folder FROM s)
+    SELECT id FROM files f WHERE EXISTS (SELECT 1 FROM p WHERE (p.library IS NULL OR p.library = f.repository) AND (p.folder = '' OR lower(f.folder) = p.folder OR starts_with(lower(f.folder), concat(p.folder, '/'))))"""
+)
 def f10_library_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    specs = spark.createDataFrame([("documentos/Projetos",), ("FOTOS",), ("Geral\\A/",)], "path string")
-    return clouds.library_folders(specs, spark.createDataFrame([("Documentos",), ("Fotos",), ("Outra",)], "library string"))
+    """Files in chosen folders, of which some name a library and some count in all of them."""
+    files = view(spark, sf_dir, "files").select("id", F.col("repository").alias("library"), "folder")
+    specs = spark.sql(_CHOSEN, nation=table(spark, sf_dir, "nation"))
+    return clouds.in_library_folders(files, clouds.library_folders(specs, files.select("library"))).select("id")
 
 
 @query("SELECT id FROM messages WHERE scope = 'channel' AND team IN ('team0', 'team2') AND conv_id % 7 <> 3 UNION ALL SELECT id FROM messages WHERE scope = 'chat' AND role = 'user'")

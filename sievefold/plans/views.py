@@ -53,6 +53,17 @@ VIEWS: dict[str, str] = {
           CASE o_orderkey % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' WHEN 2 THEN '' ELSE '.mp3' END AS extension,
           CASE WHEN o_orderkey % 9 = 0 THEN cast(NULL AS string) WHEN o_orderkey % 9 = 1 THEN '' ELSE concat('user', cast(o_custkey % 20 AS string)) END AS last_user
         FROM {orders}""",
+    "rules": """
+        SELECT cast(c_custkey AS bigint) AS rule, CASE c_custkey % 7 WHEN 0 THEN 'once' WHEN 1 THEN 'hourly' WHEN 2 THEN 'daily' WHEN 3 THEN 'weekly' ELSE 'monthly' END AS frequency,
+          cast(timestamp '2026-01-01 00:00:00' + interval '1' day * (c_custkey * 13 % 90) AS date) AS start, cast(c_custkey * 30 % 1440 AS int) AS minute, cast(1439 - c_nationkey AS int) AS until_minute,
+          cast(1 + c_custkey % 3 AS int) AS interval, cast(1 + c_custkey * 11 % 127 AS int) AS weekdays, c_custkey % 14 = 2 AS workdays_only,
+          CASE c_nationkey % 3 WHEN 0 THEN 'day' WHEN 1 THEN 'last-day' ELSE 'weekday' END AS monthly_mode, cast(1 + c_custkey % 31 AS int) AS month_day,
+          cast(CASE c_custkey % 5 WHEN 0 THEN -1 ELSE c_custkey % 5 END AS int) AS week_of_month, cast(c_custkey * 3 % 7 AS int) AS weekday,
+          CASE c_custkey % 4 WHEN 0 THEN 'date' WHEN 1 THEN 'count' ELSE 'never' END AS ending,
+          CASE WHEN c_custkey % 4 = 0 THEN cast(timestamp '2026-03-01 00:00:00' + interval '1' day * (c_custkey * 7 % 90) AS date) ELSE NULL END AS end_date,
+          cast(CASE WHEN c_custkey % 4 = 1 THEN 1 + c_custkey % 9 ELSE NULL END AS int) AS count,
+          CASE c_custkey % 3 WHEN 0 THEN 'UTC' WHEN 1 THEN 'America/New_York' ELSE 'Europe/Lisbon' END AS zone
+        FROM {customer}""",
 }
 
 
