@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import running_counts, streak_before
+
 STATUSES = ("deleted", "missing", "changed", "failed")
 
 
@@ -49,30 +51,18 @@ def pending(selected: DataFrame, whole: DataFrame, *key: str) -> DataFrame:
     return final.agg(F.count("*").alias("unique_items"), F.count_if(F.col("status") == "missing").alias("unique_missing"), F.count_if(F.col("status").isin("failed", "changed")).alias("unique_pending"))
 
 
-def slots(attempts: DataFrame, limit: int, *, group: str, order: str) -> DataFrame:
+def slots(attempts: DataFrame, limit: int, *, group: str, order: str, parts: int | None = None) -> DataFrame:
     """acted: whether an attempt still had a slot: fewer than limit successes and failures before it. attempts: outcome."""
-    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    done = lambda s: F.coalesce(F.count_if(F.col("outcome") == s).over(before), F.lit(0))
-    return attempts.withColumn("acted", (done("ok") < limit) & (done("failed") < limit))
+    done = {"_ok": F.col("outcome") == "ok", "_failed": F.col("outcome") == "failed"}
+    counted = running_counts(attempts, [group], [F.col(order).asc()], done, parts=parts)
+    return counted.withColumn("acted", (F.col("_ok") < limit) & (F.col("_failed") < limit)).drop("_ok", "_failed")
 
 
-def breakers(attempts: DataFrame, *, run: int = 20, folder_run: int = 5, group: str = "batch", order: str = "seq") -> DataFrame:
+def breakers(attempts: DataFrame, *, run: int = 20, folder_run: int = 5, group: str = "batch", order: str = "seq", parts: int | None = None) -> DataFrame:
     """stopped: after run failures in a row the batch stops; skipped: after folder_run in a folder the folder does."""
-
-    def failures_before(*keys: str) -> Column:
-        by = Window.partitionBy(*keys).orderBy(order)
-        streak = Window.partitionBy(*keys, "_break").orderBy(order)
-        return by, streak
-
-    ok = F.col("outcome") == "ok"
-    out = attempts
-    for name, keys, most in (("stopped", (group,), run), ("skipped", (group, "folder"), folder_run)):
-        by, streak = failures_before(*keys)
-        out = out.withColumn("_break", F.sum(ok.cast("int")).over(by))
-        out = out.withColumn("_streak", F.sum((~ok).cast("int")).over(streak))
-        full = F.max((F.col("_streak") >= most).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1))
-        out = out.withColumn(name, F.coalesce(full, F.lit(0)) == 1)
-    return out.drop("_break", "_streak")
+    failed, by = F.col("outcome") != "ok", [F.col(order).asc()]
+    out = streak_before(attempts, [group], by, failed, run, "stopped", parts=parts)
+    return streak_before(out, [group, "folder"], by, failed, folder_run, "skipped", parts=parts)
 
 
 def decide(files: DataFrame, now: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import greedy_batches
+
 MARGIN_SECONDS = 3600
 FULL_EVERY = 7
 
@@ -66,28 +65,6 @@ def uid_ranges(uids: DataFrame, group: str, uid: str) -> DataFrame:
     return runs.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", text.alias("t")))), lambda x: x["t"]), ",").alias("ranges"))
 
 
-def batches(messages: DataFrame, group: str, *, most: int = 50, most_bytes: int = 32 << 20) -> DataFrame:
-    """id and batch number: greedily filled, in order, by number and size. messages: group, id, size.
-
-    The sum that decides restarts with each batch, which no window can express; a mailbox streams through
-    one task in Arrow batches, and only the running batch is held.
-    """
-
-    kind = dict(messages.dtypes)[group]
-    dealt = messages.select(group, "id", "size").repartition(group).sortWithinPartitions(group, "id")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = total = number = 0
-        last = None
-        for pdf in frames:
-            out = []
-            for owner, size in zip(pdf[group], pdf["size"], strict=True):
-                if owner != last:
-                    n, total, number, last = 0, 0, 0, owner
-                elif n and (n >= most or total + size > most_bytes):
-                    n, total, number = 0, 0, number + 1
-                n, total = n + 1, total + size
-                out.append(number)
-            yield pd.DataFrame({group: pdf[group], "id": pdf["id"], "batch": out})
-
-    return dealt.mapInPandas(run, f"{group} {kind}, id long, batch long")
+def batches(messages: DataFrame, group: str, *, most: int = 50, most_bytes: int = 32 << 20, parts: int | None = None) -> DataFrame:
+    """id and batch number: greedily filled, in order, by number and size. messages: group, id, size."""
+    return greedy_batches(messages, group, "id", "size", most=most, most_size=most_bytes, parts=parts).select(group, "id", "batch")

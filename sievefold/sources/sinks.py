@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import stored
 from ..functions.text import csv_cell, csv_number, csv_time, html_cell
 
 #: Limits of a worksheet.
@@ -84,15 +85,16 @@ def sheet_name(name: str) -> str:
 def sheet_numbers(df: DataFrame, order: list[Column], *, max_rows: int = MAX_ROWS) -> DataFrame:
     """sheet (from 0) and row (from 1, the header is row 0) of each row in an order.
 
-    Numbers need one total order. It is found by ranges: sorted partitions are counted, and only the
-    counts per partition meet in one place, not the rows.
+    Numbers need one total order. It is dealt into ranges, which are stored once with each row's place in its range; only the
+    counts per range meet in one place, not the rows.
     """
-    placed = df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    nth = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    in_range = df.sortWithinPartitions(*order) if not order else df.repartitionByRange(*order).sortWithinPartitions(*order)
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stored(in_range.withColumn("_p", F.spark_partition_id()).withColumn("_m", nth), "sheets")
     counts = placed.groupBy("_p").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
-    numbered = placed.join(F.broadcast(starts), "_p").withColumn("_rn", F.col("_at") + nth)
+    numbered = placed.join(F.broadcast(starts), "_p").withColumn("_rn", F.col("_at") + F.col("_m"))  # a row for each range
     per = max_rows - 1
     return numbered.withColumn("sheet", F.floor(F.col("_rn") / per)).withColumn("row", F.col("_rn") % per + 1).drop("_p", "_m", "_at", "_rn")
 
