@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .filters import ancestors
 from .scans import running_counts, streak_before
 
 STATUSES = ("deleted", "missing", "changed", "failed")
@@ -86,6 +87,7 @@ def decide(files: DataFrame, now: DataFrame) -> DataFrame:
 SEPARATOR = " › "
 SCHEDULED = r'(política de retenção|agendamento) "([^"]+)"'
 KINDS = ("local", "onedrive", "sharepoint", "mail", "teams")
+RECORD, SCAN, ITEM, PARTS, HOLDS = 0, 10, 20, 30, 40  # ranks of evidence for a kind
 
 
 def normalised(events: DataFrame) -> DataFrame:
@@ -101,21 +103,24 @@ def normalised(events: DataFrame) -> DataFrame:
     single = F.when(F.size(F.array_distinct("clouds")) == 1, F.get("clouds", F.lit(0)))
     personal = item.rlike(r"(?i)-my\.sharepoint\.[a-z.]+/personal/")
     cloud = F.coalesce(single, F.when(personal, "onedrive").when(item.rlike(r"(?i)^https?://[^/]*sharepoint\."), "sharepoint").otherwise("cloud"))
-    unscanned = F.col("scan_kind").isNull() & several
-    message = (F.size(parts) >= 3) & F.get(parts, F.lit(0)).rlike(r"^[^\s@]+@[^\s@]+$")
-    kind = (
-        F.when(F.col("target_type").isin(*KINDS), F.col("target_type"))
-        .when(F.col("target_type") == "cloud", cloud)
-        .when(F.col("scan_kind") == "mail", "mail")
-        .when((F.col("scan_kind") == "teams") | (F.col("method") == "teams"), "teams")
-        .when(item.rlike("(?i)^https?://"), cloud)
-        .when((F.col("method") == "file") | item.rlike(r"(?i)^([a-z]:[\\/]|\\\\|/)"), "local")
-        .when(unscanned & message, "mail")
-        .when(unscanned, F.when(F.get(parts, F.lit(0)).rlike("(?i)^OneDrive de "), "onedrive").otherwise("cloud"))
-        .when(F.col("scan_kind") == "files", F.when(F.size(F.coalesce("clouds", F.array().cast("array<string>"))) == 0, "local").otherwise(cloud))
-        .otherwise("")
-    )
-    known = events.withColumn("kind", kind)
+    names = F.coalesce("clouds", F.array().cast("array<string>"))
+    is_kind, owner = F.col("scan_kind").eqNullSafe, F.get(parts, F.lit(0))
+    # what speaks for a kind, by how much it counts: the record, then the scan, the item as an address or path, its parts, what the scan holds
+    evidence = [
+        (RECORD, F.col("target_type").isin(*KINDS), F.col("target_type")),
+        (RECORD, F.col("target_type") == "cloud", cloud),
+        (SCAN, is_kind("mail"), "mail"),
+        (SCAN + 1, is_kind("teams") | F.col("method").eqNullSafe("teams"), "teams"),
+        (ITEM, item.rlike("(?i)^https?://"), cloud),
+        (ITEM + 1, F.col("method").eqNullSafe("file") | item.rlike(r"(?i)^([a-z]:[\\/]|\\\\|/)"), "local"),
+        (PARTS, is_kind(None) & (F.size(parts) >= 3) & owner.rlike(r"^[^\s@]+@[^\s@]+$"), "mail"),
+        (PARTS + 1, is_kind(None) & several & owner.rlike("(?i)^OneDrive de "), "onedrive"),
+        (PARTS + 2, is_kind(None) & several, "cloud"),
+        (HOLDS, is_kind("files") & (F.size(names) == 0), "local"),
+        (HOLDS + 1, is_kind("files"), cloud),
+    ]
+    weighed = [F.when(holds, F.struct(F.lit(rank).alias("rank"), (F.lit(k) if isinstance(k, str) else k).alias("kind"))) for rank, holds, k in evidence]
+    known = events.withColumn("kind", F.coalesce(F.array_min(F.array(*weighed))["kind"], F.lit("")))
     mail, deep = F.col("kind") == "mail", F.size(parts) > 2
     mailbox = F.coalesce("target_mailbox", F.when(mail & deep, F.get(parts, F.lit(0))), F.lit(""))
     path = F.when(mail, F.when(deep, F.get(parts, F.lit(1)))).when(F.col("kind") == "teams", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), SEPARATOR))
@@ -126,6 +131,39 @@ def normalised(events: DataFrame) -> DataFrame:
     return known.withColumns(shown)
 
 
+def _path_key(path: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(path, F.lit("")), r"\\", "/"), "/+$", ""))
+
+
+def with_repositories(events: DataFrame, targets: DataFrame, boxes: DataFrame) -> DataFrame:
+    """events with repository and relative_path: the recorded repository, or else the one of the event's scan that its item belongs to.
+
+    events: scan, kind, item, mailbox, recorded (null where the row names none); targets: scan, id, type (a kind of files, or source) and path;
+    boxes: source, address. A file belongs to the longest path of its scan that contains it, in any spelling; a message to the only connection
+    of the scan that has its mailbox; anything to the only target of its kind. Events of unknown scans have none. Ties go to the smaller id.
+    """
+    files = targets.where("type <> 'source'").select("scan", "id", F.explode(F.when(F.col("type") == "local", F.array("type")).otherwise(F.array("type", F.lit("cloud")))).alias("kind"))
+    sources = targets.where("type = 'source'").select("scan", "id", F.explode(F.array(F.lit("mail"), F.lit("teams"))).alias("kind"))
+    only = files.unionByName(sources).groupBy("scan", "kind").agg(F.count("*").alias("_n"), F.min("id").alias("_only")).where("_n = 1").drop("_n")
+    # distinct paths of a scan look their ancestors up
+    places = events.where("kind = 'local'").select("scan", "item").distinct().withColumn("_key", _path_key(F.col("item")))
+    ups = places.withColumn("_up", F.explode(ancestors(F.col("_key"))))
+    roots = targets.where("type = 'local' and path <> ''").select("scan", _path_key(F.col("path")).alias("_up"), F.col("id").alias("_root"), F.length(F.regexp_replace("path", r"[\\/]+$", "")).alias("_long"))
+    closest = F.max_by(F.struct("_root", "_long", (F.col("_key") != F.col("_up")).alias("_below")), F.struct(F.length("_up"), -F.col("_root")))
+    held = ups.join(roots, ["scan", "_up"]).groupBy("scan", "item").agg(closest.alias("_in"))
+    # mailboxes of the scan's connections
+    wanted = events.where("kind = 'mail' and mailbox <> ''").select("scan", F.lower("mailbox").alias("_box")).distinct()
+    owners = wanted.join(targets.where("type = 'source'").select("scan", F.col("id").alias("source")), "scan").join(boxes.select("source", F.lower("address").alias("_box")).distinct(), ["source", "_box"])
+    owned = owners.groupBy("scan", "_box").agg(F.count("*").alias("_n"), F.min("source").alias("_owner")).where("_n = 1").drop("_n")
+
+    out = events.join(only, ["scan", "kind"], "left").join(held.withColumn("kind", F.lit("local")), ["scan", "item", "kind"], "left")
+    out = out.withColumn("_box", F.when(F.col("kind") == "mail", F.lower("mailbox"))).join(owned, ["scan", "_box"], "left")
+    found = F.coalesce("recorded", "_in._root", "_only", "_owner")
+    below = F.col("recorded").isNull() & F.col("_in._below")
+    relative = F.when(below, F.expr("substr(item, _in._long + 2)")).otherwise("")
+    return out.select(*events.columns, found.alias("repository"), F.coalesce(relative, F.lit("")).alias("relative_path"))
+
+
 def bulk_candidates(records: DataFrame, repositories: DataFrame) -> DataFrame:
     """Number of records of a slice that a bulk run may still delete. records: repository, status of the last deletion
     or null; repositories: repository, allow_delete."""

@@ -171,3 +171,29 @@ def a21_bulk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = view(spark, sf_dir, "files").select("id", "repository").join(last, "id", "left")
     repositories = spark.createDataFrame([(f"src{k}", k in (1, 2, 7, 13)) for k in range(15)], "repository string, allow_delete boolean")
     return d.bulk_candidates(records, repositories)
+
+
+# chr(92) is a backslash
+_LOGGED = """SELECT event_id AS seq, cast(user_id % 40 AS bigint) AS scan, CASE event_id % 5 WHEN 0 THEN 'local' WHEN 1 THEN 'local' WHEN 2 THEN 'onedrive' WHEN 3 THEN 'mail' ELSE 'cloud' END AS kind,
+      CASE WHEN event_id % 5 < 2 THEN concat(CASE event_id % 7 WHEN 0 THEN 'c:' ELSE 'C:' END, chr(92), 'Base', event_id % 4, chr(92), 'Dir', event_id % 3, chr(92), 'Sub', event_id % 2, chr(92), 'f', event_id, '.txt') ELSE concat('item', event_id) END AS item,
+      CASE WHEN event_id % 5 = 3 THEN concat('U', event_id % 7, '@x.com') ELSE '' END AS mailbox, CASE WHEN event_id % 11 = 0 THEN cast(900000 + event_id % 3 AS bigint) ELSE NULL END AS recorded FROM {events}"""
+_TARGETS = """SELECT cast(c_custkey % 40 AS bigint) AS scan, cast(c_custkey AS bigint) AS id, CASE c_nationkey % 4 WHEN 0 THEN 'local' WHEN 1 THEN 'onedrive' WHEN 2 THEN 'local' ELSE 'source' END AS type,
+      CASE c_custkey % 3 WHEN 0 THEN concat('c:', chr(92), 'base', c_custkey % 4) WHEN 1 THEN concat('C:/Base', c_custkey % 4, '/Dir', c_custkey % 2, '/') ELSE concat('C:', chr(92), 'BASE', c_custkey % 4, chr(92), 'dir', c_custkey % 3, chr(92), 'sub', c_custkey % 2) END AS path FROM {customer}"""
+_BOXES = "SELECT cast(c_custkey AS bigint) AS source, concat('u', c_custkey % 7, '@X.com') AS address FROM {customer} UNION ALL SELECT cast(c_custkey AS bigint), concat('u', (c_custkey + 1) % 7, '@x.com') FROM {customer}"
+
+
+@query(
+    "WITH e AS (" + _LOGGED.replace("{events}", "events") + "), t AS (" + _TARGETS.replace("{customer}", "customer") + "), b AS (" + _BOXES.replace("{customer}", "customer") + """),
+    k AS (SELECT scan, id, unnest(CASE type WHEN 'local' THEN ['local'] WHEN 'source' THEN ['mail', 'teams'] ELSE [type, 'cloud'] END) AS kind FROM t),
+    o AS (SELECT scan, kind, min(id) AS only FROM k GROUP BY 1, 2 HAVING count(*) = 1),
+    n AS (SELECT *, lower(replace(item, chr(92), '/')) AS key FROM e), r AS (SELECT *, rtrim(lower(replace(path, chr(92), '/')), '/') AS root FROM t WHERE type = 'local'),
+    c AS (SELECT n.seq, r.id, r.root, row_number() OVER (PARTITION BY n.seq ORDER BY length(r.root) DESC, r.id) AS nth FROM n JOIN r ON n.scan = r.scan AND n.kind = 'local' AND (n.key = r.root OR starts_with(n.key, concat(r.root, '/')))),
+    m AS (SELECT e.seq, min(t.id) AS owner FROM e JOIN t ON e.scan = t.scan AND t.type = 'source' AND e.kind = 'mail' WHERE EXISTS (SELECT 1 FROM b WHERE b.source = t.id AND lower(b.address) = lower(e.mailbox)) GROUP BY e.seq HAVING count(*) = 1)
+    SELECT e.seq, coalesce(e.recorded, c.id, o.only, m.owner) AS repository, CASE WHEN e.recorded IS NULL AND c.id IS NOT NULL THEN substr(e.item, length(c.root) + 2) ELSE '' END AS relative_path
+    FROM e LEFT JOIN o ON o.scan = e.scan AND o.kind = e.kind LEFT JOIN (SELECT * FROM c WHERE nth = 1) c ON c.seq = e.seq LEFT JOIN m ON m.seq = e.seq"""
+)
+def p12_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repository of each event: recorded, the closest path of its scan, the only one of its kind, or the connection that has the mailbox."""
+    made = lambda sql, **t: spark.sql(sql, **{k: spark.read.parquet(f"{sf_dir}/{k}.parquet") for k in t["tables"]})
+    events, targets, boxes = made(_LOGGED, tables=["events"]), made(_TARGETS, tables=["customer"]), made(_BOXES, tables=["customer"])
+    return d.with_repositories(events, targets, boxes).select("seq", "repository", "relative_path")
