@@ -15,7 +15,8 @@ from pyspark.sql.types import BinaryType
 from ..functions import filetypes as ft
 from ..functions import html as h
 from ..functions import markup
-from ..sources import compound, extract, readers
+from ..sources import compound, extract, folders, logs, readers
+from ..tables import shared_folder
 from . import office_files
 from .catalog import query
 from .views import table, view
@@ -308,3 +309,56 @@ def x6_printable_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     noise = F.lit(bytearray(b"\x00\x01\x02\x03"))
     body = F.when(F.col("id") % 2 == 0, F.encode("t", "UTF-8")).otherwise(F.encode("t", "UTF-16LE"))
     return f.select("id", F.md5(extract.printable_strings(F.concat(noise, body, noise)).cast("binary")).alias("text"))
+
+
+def _write_tree(files: DataFrame, root: str) -> None:
+    """Files (folder, name, content) written where the rows are, below a folder that all workers share."""
+    from pathlib import Path
+
+    def run(frames):
+        for pdf in frames:
+            for folder, name, content in zip(pdf["folder"], pdf["name"], pdf["content"], strict=True):
+                (Path(root) / folder).mkdir(parents=True, exist_ok=True)
+                (Path(root) / folder / name).write_bytes(content)
+            yield pdf[["name"]]
+
+    files.select("folder", "name", "content").mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
+
+
+@query("SELECT concat(folder, '/', name) AS relative_path, name, cast(CASE WHEN id % 10 = 0 THEN 0 ELSE octet_length(encode(text)) END AS bigint) AS size FROM files WHERE NOT (name LIKE '%.tar.gz' OR folder = 'dir3/Sub 1')")
+def s1_folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of all files, every tenth of them empty, written and scanned; a kind of names and a folder are excluded."""
+    root = logs.local(shared_folder(spark, "tree"))
+    files = view(spark, sf_dir, "files")
+    _write_tree(files.select("folder", "name", F.when(F.col("id") % 10 == 0, F.lit(bytearray())).otherwise(F.encode("text", "UTF-8")).alias("content")), root)
+    spark.dataSource.register(folders.FolderTree)
+    found = spark.read.format("folder_tree").option("exclude", '["*.TAR.gz", "dir3\\\\sub 1"]').load(root)
+    return found.where("kind = 'file'").select("relative_path", "name", "size")
+
+
+@query("SELECT seq, status, item FROM deletions WHERE seq <> 77")
+def s14_append_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three writes to a log, of which the second breaks off in the middle of its last line: what was whole is read again."""
+    events = view(spark, sf_dir, "deletions").select("seq", "status", "item")
+    path = shared_folder(spark, "log")
+    logs.append(events.where("seq % 3 = 0"), path, "seq")
+    logs.append(events.where("seq = 77"), path, "seq")
+    with open(logs.segments(path)[-1], "r+b") as f:
+        f.truncate(9)
+    logs.append(events.where("seq % 3 > 0 and seq <> 77"), path, "seq")
+    return readers.parsed_log(spark.read.text([f"file://{p}" for p in logs.segments(path)]), "seq long, status string, item long")
+
+
+@query(
+    """WITH o AS (SELECT id, sender, row_number() OVER (ORDER BY id) - 1 AS line, count(*) OVER () AS n FROM messages), p AS (SELECT item_id AS page, item_id * 13 AS first, item_id * 13 + 24 AS last FROM benchmark)
+    SELECT p.page, o.line, o.id, o.sender, true AS in_part FROM p JOIN o ON o.line BETWEEN p.first AND p.last"""
+)
+def s13_page_by_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of 25 lines out of a log of all messages, each read by byte offsets: at most three stretches of ten lines."""
+    path = shared_folder(spark, "log")
+    logs.append(view(spark, sf_dir, "messages").select("id", "sender", "text"), path, "id")
+    index = logs.offsets(spark, path, every=10, chunk=20_000)
+    wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("page"), (F.col("item_id") * 13).alias("first"), (F.col("item_id") * 13 + 24).alias("last"))
+    lines = logs.pages(index, wanted, every=10)
+    event = F.from_json("value", "id long, sender string")
+    return lines.select("page", "line", event.alias("e"), (F.col("bytes") < 40 * 20_000).alias("in_part")).select("page", "line", "e.id", "e.sender", "in_part")
