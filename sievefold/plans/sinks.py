@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import sinks
+from ..sources import extract, sinks
+from ..sources.workbooks import write_workbooks
+from ..tables import shared_folder
 from .catalog import query
 from .views import view
 
@@ -30,7 +32,25 @@ def s15_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.sheet_numbers(files, [F.desc("size"), F.asc("id")], max_rows=100).select("id", "sheet", "row")
 
 
-@query()
+@query(
+    """WITH f AS (SELECT row_number() OVER (ORDER BY id DESC) - 1 AS nth, * FROM files), e AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS nth, * FROM deletions)
+    SELECT concat('Planilha "Arquivos', CASE WHEN nth >= 300 THEN concat(' (', nth // 300 + 1, ')') ELSE '' END, '"') AS sheet, nth % 300 + 1 AS line, concat_ws(chr(9), id::varchar, name, size::varchar, repository) AS cells, cast(epoch(modified) AS bigint) AS at FROM f
+    UNION ALL SELECT concat('Planilha "Exclusões  feitas', CASE WHEN nth >= 300 THEN concat(' (', nth // 300 + 1, ')') ELSE '' END, '"'), nth % 300 + 1, concat_ws(chr(9), seq::varchar, status, mode, coalesce(policy, '')), NULL FROM e WHERE policy IS NOT NULL
+    UNION ALL SELECT concat('Planilha "Exclusões  feitas', CASE WHEN nth >= 300 THEN concat(' (', nth // 300 + 1, ')') ELSE '' END, '"'), nth % 300 + 1, concat_ws(chr(9), seq::varchar, status, mode), NULL FROM e WHERE policy IS NULL
+    UNION ALL SELECT 'Planilha "Vazia"', 0, 'a', NULL"""
+)
 def s19_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Workbooks as bytes, made where the rows are; the tests open them again."""
-    return sinks.workbooks(view(spark, sf_dir, "deletions").select("seq", "status", "mode"), "Registro de exclusões").select("part", F.length("content").cast("long").alias("bytes"))
+    """Reports of files, deletions and nothing in workbooks of two sheets of 300 rows each, opened again: every row with its sheet and line."""
+    path = shared_folder(spark, "books")
+    files = view(spark, sf_dir, "files").select("id", "name", "size", "repository", "modified")
+    events = view(spark, sf_dir, "deletions").select("seq", "status", "mode", "policy")
+    tables = [("Arquivos", files, [F.desc("id")]), ("Exclusões: feitas", events, [F.asc("seq")]), ("Vazia", files.where("false").select(F.col("id").alias("a")), [F.asc("a")])]
+    write_workbooks(tables, path, "relatorio", max_rows=301, sheets=2)
+    found = spark.read.format("binaryFile").load(f"{path}/*.xlsx").select("path", F.col("path").alias("name"), F.col("length").alias("size"), "content")
+    each = extract.extract(found).select(F.explode("segments").alias("s")).select("s.label", F.posexplode(F.split("s.text", "\n")).alias("line", "text"))
+    parts = F.split("text", "\t")
+    dated = F.col("label").startswith('Planilha "Arquivos') & (F.size(parts) == 5)
+    at = F.when(dated, F.round((F.get(parts, F.lit(4)).cast("double") - 25569) * 86400).cast("long"))
+    cells = F.array_join(F.slice(parts, 1, F.when(dated, 4).otherwise(F.size(parts))), "\t")
+    rows = each.select(F.col("label").alias("sheet"), "line", cells.alias("cells"), at.alias("at"))
+    return rows.where("line > 0 or sheet = 'Planilha \"Vazia\"'").select("sheet", F.col("line").cast("long").alias("line"), "cells", "at")

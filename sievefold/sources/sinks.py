@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
 from collections.abc import Iterator
-from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -97,48 +94,3 @@ def sheet_numbers(df: DataFrame, order: list[Column], *, max_rows: int = MAX_ROW
     numbered = placed.join(F.broadcast(starts), "_p").withColumn("_rn", F.col("_at") + F.col("_m"))  # a row for each range
     per = max_rows - 1
     return numbered.withColumn("sheet", F.floor(F.col("_rn") / per)).withColumn("row", F.col("_rn") % per + 1).drop("_p", "_m", "_at", "_rn")
-
-
-def workbook(columns: list[str], rows: list[list], name: str) -> bytes:
-    """A workbook with one sheet of text and number cells."""
-
-    def cell(v) -> str:
-        if v is None or v != v:
-            return "<c/>"
-        if isinstance(v, (int, float)) and not isinstance(v, bool):
-            return f"<c><v>{v}</v></c>"
-        text = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(v))[:MAX_CELL]
-        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
-
-    kind = "application/vnd.openxmlformats"
-    parts = {
-        "[Content_Types].xml": f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="{kind}-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}-officedocument.spreadsheetml.worksheet+xml"/></Types>',
-        "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/workbook.xml": f'<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{escape(sheet_name(name))}" sheetId="1" r:id="r1"/></sheets></workbook>',
-        "xl/worksheets/sheet1.xml": '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>' + "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [columns, *rows]) + "</sheetData></worksheet>",
-    }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for path, text in parts.items():
-            z.writestr(path, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
-    return out.getvalue()
-
-
-def workbooks(df: DataFrame, name: str, *, rows: int = 100_000) -> DataFrame:
-    """part, content: workbooks of at most rows rows, made where the rows are; the driver never sees the rows."""
-    columns = df.columns
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[list] = []
-        part = 0
-        for pdf in frames:
-            held += pdf.astype(object).values.tolist()
-            while len(held) >= rows:
-                yield pd.DataFrame({"part": [part], "content": [workbook(columns, held[:rows], name)]})
-                held, part = held[rows:], part + 1
-        if held:
-            yield pd.DataFrame({"part": [part], "content": [workbook(columns, held, name)]})
-
-    plain = df.select(*(F.col(c) if k in ("bigint", "int", "double") else F.col(c).cast("string").alias(c) for c, k in df.dtypes))
-    return plain.mapInPandas(run, "part long, content binary")

@@ -1,5 +1,6 @@
 """Readers, extraction, sinks and streams on files that the tests write."""
 
+import datetime as dt
 import io
 import tempfile
 import zipfile
@@ -8,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from sievefold.sources import extract, readers, sinks
+from sievefold.sources import extract, readers, sinks, workbooks
 from sievefold.streaming import incremental
 
 
@@ -99,15 +100,35 @@ def test_sinks(spark):
     sinks.append_log(df, str(root / "log"))
     sinks.append_log(df, str(root / "log"))
     assert spark.read.json(str(root / "log")).count() == 2000
-    for r in sinks.workbooks(df.coalesce(1), "A/B", rows=300).collect():
-        with zipfile.ZipFile(io.BytesIO(r.content)) as z:
-            rows = z.read("xl/worksheets/sheet1.xml").count(b"<row>")
-            assert rows == (301 if r.part < 3 else 101)
-            assert b'name="A B"' in z.read("xl/workbook.xml")
     numbered = {r.id: (r.sheet, r.row) for r in sinks.sheet_numbers(df.repartition(7), [F.desc("id")], max_rows=5).collect()}
     assert all(numbered[999 - k] == (k // 4, k % 4 + 1) for k in range(1000))
 
 
+def test_workbooks(spark):
+    root = folder()
+    big = spark.range(150_000).select("id", F.concat(F.lit("nome <&> "), F.col("id").cast("string")).alias("texto"), (F.col("id") / 4).alias("valor"))
+    workbooks.write_workbooks([("Um", big, [F.asc("id")])], str(root / "big"), "r", max_rows=60_001, sheets=2)
+    assert sorted(p.name for p in (root / "big").iterdir()) == ["r-0001.xlsx", "r-0002.xlsx"]
+    lines = []
+    for p in sorted((root / "big").iterdir()):
+        status, _, segments, *_ = extract.read_file(p.read_bytes(), ".xlsx")
+        assert status == "ok"
+        lines += [(label, line) for label, text in segments for line in text.split("\n")[1:]]
+    assert [line for _, line in lines] == [f"{k}\tnome <&> {k}\t{k / 4}" for k in range(150_000)]
+    assert {label for label, _ in lines} == {'Planilha "Um"', 'Planilha "Um (2)"', 'Planilha "Um (3)"'}
+    odd = spark.createDataFrame([(1, "x" * 40_000, True, float("nan"), ["a", "b"], dt.datetime(2024, 1, 2, 12), None, "ctl\x01\ud7ff")], "n int, t string, b boolean, d double, l array<string>, at timestamp, e string, c string")
+    workbooks.write_workbooks([("A/B", odd, []), ("a b", odd, []), ("", odd.limit(0), [])], str(root / "odd"), "r")
+    data = (root / "odd" / "r-0001.xlsx").read_bytes()
+    segments = extract.read_file(data, ".xlsx")[2]
+    assert [label for label, _ in segments] == ['Planilha "A B"', 'Planilha "a b (2)"', 'Planilha "Planilha"']
+    cells = segments[0][1].split("\n")[1].split("\t")
+    assert cells[0] == "1" and len(cells[1]) == 32_767 and cells[1].endswith("x…") and cells[2:] == ["sim", "a, b", "45293.5", "ctl\ud7ff"]
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        sheet = z.read("xl/worksheets/sheet1.xml").decode()
+        assert 's="2"><v>45293.5' in sheet and '<autoFilter ref="A1:H2"/>' in sheet and 'state="frozen"' in sheet
+    assert [workbooks.column_letters(k) for k in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
+
+
 def test_incremental_runs(spark):
     root = folder()
     rows = spark.range(20).select("id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).alias("at"))
