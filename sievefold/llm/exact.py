@@ -6,7 +6,8 @@ takes. Every row finds its bucket in the directory. Owner tasks each hold a rang
 the texts of a key, compare them byte by byte, and chain those that differ as entries of their own. A row then reads
 its bucket's chain and takes the entry of its text; no other way leads to an entry.
 
-Only keys that several rows share have texts to compare, so only those texts are shuffled, and copies are
+Only keys that several rows share have texts to compare: they alone have entries, and their texts alone are shuffled. How many
+rows the entries stand for is known from the keys, and an index that lost some is an error, not a document kept. Copies are
 pre-aggregated where they are read: a text that a third of the rows hold reaches the shuffle once per task.
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty. The row with the largest
@@ -28,6 +29,8 @@ from .common import KEYS, if_few, lower_ascii_col, one_of_each, stored
 
 CAPACITY = 1 << 17  # keys of a bucket, some 10 MB of entries
 OWNERS = 4096  # owner tasks at most; each then holds more buckets
+BUCKETS = 1 << 19  # about so many at most; beyond it they hold more keys, so that the directory stays small
+TOGETHER = 1 << 16  # copies of one text under one id that are written out by one task
 
 
 def split(counts: dict[int, int], bits: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -59,12 +62,15 @@ class Directory:
     def placed(self, rows: DataFrame) -> DataFrame:
         """rows (with key) and the bucket that each key belongs to."""
         slot = F.shiftrightunsigned("key", 64 - self.depth) if self.depth else F.lit(0).cast("long")
-        return rows.withColumn("slot", slot).join(F.broadcast(self.slots), "slot").drop("slot")
+        few = 1 << self.depth <= KEYS
+        return rows.withColumn("slot", slot).join(F.broadcast(self.slots) if few else self.slots, "slot").drop("slot")
 
 
 def directory(keys: DataFrame, capacity: int = CAPACITY) -> Directory:
     """From a table of distinct keys. The driver gets the counts of about twice as many prefixes as there are buckets."""
-    bits = max(1, math.ceil(math.log2(max(1, keys.count() / capacity))) + 1)
+    n = keys.count()
+    capacity = max(capacity, n // BUCKETS)
+    bits = max(1, math.ceil(math.log2(max(1, n / capacity))) + 1)
     while True:
         lead = F.shiftrightunsigned("key", 64 - bits)
         counts = {r["lead"]: r["n"] for r in keys.groupBy(lead.alias("lead")).agg(F.count("*").alias("n")).collect()}
@@ -82,7 +88,9 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> Directory:
 @dataclass
 class Index:
     directory: Directory
-    entries: DataFrame  # bucket, local_depth, key, nth (place in the key's chain), sha (null for a chain of one row), keep_id, n
+    entries: DataFrame  # bucket, local_depth, key, nth (place in the key's chain), sha, keep_id, n
+    shared: int  # rows that the entries stand for
+    hottest: int  # rows of the most frequent key
 
 
 def build_index(docs: DataFrame, *, capacity: int = CAPACITY, few: int = KEYS) -> Index:
@@ -100,19 +108,29 @@ def build_index(docs: DataFrame, *, capacity: int = CAPACITY, few: int = KEYS) -
     chain = Window.partitionBy("bucket", "key").orderBy("body")  # by owner tasks: nothing is shuffled again
     chained = owned.withColumn("nth", F.dense_rank().over(chain) - 1)
     cols = ["bucket", "local_depth", "key", "nth", "sha", "keep_id", "n"]
-    single = known.placed(keys.where("n = 1")).withColumns({"nth": F.lit(0), "sha": F.lit(None).cast("string")}).repartitionByRange(owners, "bucket", "key")
-    entries = single.select(cols).unionByName(chained.withColumn("sha", F.sha2("body", 256)).select(cols))
-    return Index(known, stored(entries.sortWithinPartitions("bucket", "key", "nth"), "index"))
+    entries = chained.withColumn("sha", F.sha2("body", 256)).select(cols)
+    total = keys.agg(F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("shared"), F.max("n").alias("hottest")).first()
+    return Index(known, stored(entries.sortWithinPartitions("bucket", "key", "nth"), "index"), total.shared or 0, total.hottest or 0)
 
 
 def look_up(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row of docs (doc_id, text), by the entries of its bucket."""
+    held = index.entries.agg(F.sum("n")).first()[0] or 0
+    if held != index.shared:
+        raise RuntimeError(f"the index has entries for {held} of {index.shared} rows")
     rows = docs.select("doc_id", lower_ascii_col(F.col("text")).alias("body")).select("doc_id", F.xxhash64("body").alias("key"), F.sha2("body", 256).alias("sha"))
     # copies of one text under one id go as one row with their number: all but one are dropped. The join
     # is left with nothing above it that needs a key's rows together, so that Spark may split a hot text
     rows = index.directory.placed(rows.groupBy("doc_id", "key", "sha").agg(F.count("*").alias("copies")))
-    shared = index.entries.where("sha is not null").select("bucket", "key", "sha", "keep_id", "n")
-    rows = rows.join(shared, ["bucket", "key", "sha"], "left").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    rows = rows.join(index.entries.select("bucket", "key", "sha", "keep_id", "n"), ["bucket", "key", "sha"], "left")
+    if index.hottest > TOGETHER:  # copies under one id may be very many: they are written out in pieces, by several tasks
+        pieces = F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / TOGETHER))
+        rows = rows.withColumn("piece", F.explode(pieces)).repartition("doc_id", "sha", "piece")
+        rows = rows.withColumn("copies", F.least(F.lit(TOGETHER), F.col("copies") - F.col("piece") * TOGETHER))
+    else:
+        rows = rows.withColumn("piece", F.lit(0))
+    first = F.when(F.col("piece") == 0, 1).otherwise(2)  # the first copy of the first piece may be the one that stays
+    rows = rows.withColumn("nth", F.explode(F.sequence(first, F.col("copies").cast("int") + first - 1)))
     keep = F.when(F.col("n").isNotNull(), F.col("keep_id")).otherwise(F.col("doc_id"))
     return rows.select(
         "doc_id",

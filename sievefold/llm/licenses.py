@@ -2,8 +2,9 @@
 
 Every template is a licence notice or phrase. Corpus-wide document counts of the templates' words
 give each template its anchors: its words of highest IDF, with their positions. A document looks its
-words up among the anchors; postings of one template that agree on where it would begin are
-intersected, and the mandatory key phrases are then verified word by word at that place. Templates
+words up among the anchors; postings of one template that agree on where it would begin, give or take a few words, are
+intersected, and the mandatory key phrases are then verified word by word: the first at that place, each further one near where the
+phrase before it puts it, so that names, years and changed words between them do no harm. Templates
 that are phrases alone have every word mandatory, so that all their places are found.
 
 Templates are a parameter: (label, text, key phrases) of each. The default ones are the base phrases, NOTICES, and TEXTS,
@@ -17,6 +18,7 @@ Columns other than id and text, whatever their names, are not read.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable
 
@@ -57,6 +59,7 @@ TEXTS = (
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ("anyone is free to copy modify publish use compile sell or distribute this software",)),
 )
 ANCHORS = 3
+SHIFT = 16  # words by which a key phrase may stand nearer to the one before it, or farther, than in the template
 
 
 class Template:
@@ -65,8 +68,13 @@ class Template:
         self.keys = []  # (position, words)
         for key in keys:
             k = words(key)
-            at = next(i for i in range(len(self.words)) if self.words[i : i + len(k)] == k)
+            at = next((i for i in range(len(self.words)) if k and self.words[i : i + len(k)] == k), None)
+            if at is None:
+                raise ValueError(f"the template {label!r} doesn't hold its key phrase {key!r}")
             self.keys.append((at, k))
+        if not self.keys:
+            raise ValueError(f"the template {label!r} has no key phrase")
+        self.keys.sort()
 
 
 def templates(notices: Iterable[tuple[str, str, tuple[str, ...]]] = (*NOTICES, *TEXTS)) -> list[Template]:
@@ -100,35 +108,84 @@ def build_index(known: list[Template], counts: dict[str, int], total: int) -> di
     index = defaultdict(list)
     for t, template in enumerate(known):
         within = {i for at, k in template.keys for i in range(at, at + len(k))}  # anchors stand in what is mandatory
-        for i in sorted(within, key=lambda i: (-idf(template.words[i]), i))[: 1 if template.base else ANCHORS]:
+        rarest = sorted(within, key=lambda i: (-idf(template.words[i]), i))
+        first_at, first = template.keys[0]
+        lead = next(i for i in rarest if first_at <= i < first_at + len(first))  # one is in the first phrase, whose place the others follow
+        for i in [lead, *(i for i in rarest if i != lead)][: 1 if template.base else ANCHORS]:
             index[template.words[i]].append((t, i))
     return dict(index)
 
 
-def scan(text: str | None, known: list[Template], index: dict[str, list[tuple[int, int]]], need: Counter) -> tuple:
-    """need: the number of each template's anchors. Returns n_words, n_base, first_word, last_word, base_labels, labels, score."""
+def shifts(own: list[str], begin: int, template: Template) -> list[tuple[int, int]] | None:
+    """(place in the template, shift) of its key phrases, if the first stands where begin puts it and each further one within SHIFT of where
+    the one before it puts it; of several places the nearest counts, then the earlier."""
+    out, shift = [], 0
+    for nth, (at, k) in enumerate(template.keys):
+        near = (0,) if nth == 0 else sorted(range(-SHIFT, SHIFT + 1), key=lambda d: (abs(d), d))
+        place = begin + at + shift
+        found = next((d for d in near if place + d >= 0 and own[place + d : place + d + len(k)] == k), None)
+        if found is None:
+            return None
+        shift += found
+        out.append((at, shift))
+    return out
+
+
+def in_place(own: list[str], begin: int, template: Template, moved: list[tuple[int, int]]) -> int:
+    """How many of the template's words stand where the last key phrase before them puts them."""
+    same, nth, shift = 0, 0, 0
+    for i, w in enumerate(template.words):
+        while nth < len(moved) and moved[nth][0] <= i:
+            shift, nth = moved[nth][1], nth + 1
+        at = begin + i + shift
+        same += 0 <= at < len(own) and own[at] == w
+    return same
+
+
+def scan(text: str | None, known: list[Template], index: dict[str, list[tuple[int, int]]], anchors: dict[int, list[int]]) -> tuple:
+    """n_words, n_base, first_word, last_word, base_labels, labels, score."""
     own = words(text)
-    votes: Counter[tuple[int, int]] = Counter()
+    votes: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))  # template -> anchor -> where it would begin
     for at, w in enumerate(own):
-        if w in index:
-            votes.update((t, at - i) for t, i in index[w])
+        for t, i in index.get(w, ()):
+            votes[t][i].add(at - i)
     starts, base, labels, score = set(), set(), set(), 0.0
-    for (t, begin), n in votes.items():
-        template = known[t]
-        if n < need[t] or any(begin + at < 0 or own[begin + at : begin + at + len(k)] != k for at, k in template.keys):
+    for t, found in votes.items():
+        if len(found) < len(anchors[t]):
             continue
-        labels.add(template.label)
-        if template.base:
-            base.add(template.label)
-            starts.add((begin, t))
-            score = max(score, 0.9)
-        else:
-            same = sum(0 <= begin + i < len(own) and own[begin + i] == w for i, w in enumerate(template.words))
-            score = max(score, 0.5 + 0.5 * same / len(template.words))
+        template, slack = known[t], SHIFT * (len(known[t].keys) - 1)
+        ranges = {i: sorted(found[i]) for i in anchors[t][1:]}
+        for begin in sorted(found[anchors[t][0]]):
+            if not all(_near(places, begin, slack) for places in ranges.values()):
+                continue
+            moved = shifts(own, begin, template)
+            if moved is None:
+                continue
+            labels.add(template.label)
+            if template.base:
+                base.add(template.label)
+                starts.add((begin, t))
+                score = max(score, 0.9)
+            else:
+                score = max(score, 0.5 + 0.5 * in_place(own, begin, template, moved) / len(template.words))
     at = [s for s, _ in starts]
     return len(own), len(starts), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
+def anchors_of(index: dict[str, list[tuple[int, int]]]) -> dict[int, list[int]]:
+    """Each template's anchors; the first one stands in its first phrase."""
+    by: dict[int, list[int]] = defaultdict(list)
+    for postings in index.values():
+        for t, i in postings:
+            by[t].append(i)
+    return {t: sorted(places) for t, places in by.items()}
+
+
+def _near(places: list[int], begin: int, slack: int) -> bool:
+    at = bisect_left(places, begin - slack)
+    return at < len(places) and places[at] <= begin + slack
+
+
 def license_scan(docs: DataFrame, *, notices: Iterable[tuple[str, str, tuple[str, ...]]] = (*NOTICES, *TEXTS), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
@@ -139,13 +196,13 @@ def license_scan(docs: DataFrame, *, notices: Iterable[tuple[str, str, tuple[str
     known = templates(notices)
     counts, total = document_counts(docs, {w for t in known for w in t.words}, text=text)
     index = build_index(known, counts, total)
-    need = Counter(t for postings in index.values() for t, _ in postings)
+    anchors = anchors_of(index)
     names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
 
     def run(batches):
         for b in slices(batches, column=1):
-            found = [scan(s, known, index, need) for s in b.column(1).to_pylist()]
+            found = [scan(s, known, index, anchors) for s in b.column(1).to_pylist()]
             cols = [pa.array([f[k] for f in found], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *cols], names=["doc_id", *names])
 

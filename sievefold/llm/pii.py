@@ -62,6 +62,9 @@ def base_spans(text: Column) -> dict[str, Column]:
     return dict(zip(KINDS, (email, ip, card, phone), strict=True))
 
 
+CHECKED, SOUND = ("iban", "ssn"), 6  # kinds that have check digits or areas; the place of valid() among the figures
+
+
 def valid(m: Column) -> Column:
     """Whether a candidate passes the checks that its shape has: modulo 97, areas and groups that exist."""
     packed = F.regexp_replace(m, r"\x20", "")
@@ -209,7 +212,10 @@ class Model:
             lower = F.when(at("fl", "cutl"), t["a"]).otherwise(t["b"])
             return acc + F.when(at("f", "cut"), lower).otherwise(F.when(at("fr", "cutr"), t["c"]).otherwise(t["d"]))
 
-        return F.aggregate(F.get(trees, kind), F.lit(0.0), add) * RATE - F.get(least, kind)
+        # a number that its own check digits or areas rule out is none of its kind, whatever stands around it
+        checked = kind.isin(*(k for k, name in enumerate(FURTHER) if name in CHECKED))
+        unsound = checked & (F.get(x, F.lit(SOUND)) == 0)
+        return F.when(unsound, F.lit(-1e9)).otherwise(F.aggregate(F.get(trees, kind), F.lit(0.0), add) * RATE - F.get(least, kind))
 
 
 _models: dict[str, Model] = {}

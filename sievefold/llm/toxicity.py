@@ -207,8 +207,9 @@ def held_out(doc_id) -> "F.Column":
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     """Learns from at most sample rows of each label, those of smallest hash, none of them held out."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # of labels that contradict each other, toxic counts
     picked = [usable.where(F.col("toxic") == v).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (0, 1)]
-    chosen = picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"])
+    chosen = picked[0].unionByName(picked[1])
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.split(F.regexp_replace(lower_ascii_col(F.col("text")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), " ").alias("words"), "text")
     rows = rows.persist()
     try:

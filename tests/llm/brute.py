@@ -219,8 +219,8 @@ def toxicity(text, terms, stems, ordinary, weights, fuzzy_from=5, window=8):
     return 1 / (1 + exp(-max(-30, min(30, z))))
 
 
-def license_labels(text, notices):
-    """labels and score: at every place that a notice may begin at, its key phrases word by word."""
+def license_labels(text, notices, slack=16):
+    """labels and score: at every place of a notice's first key phrase, the others each near where the one before it puts it."""
     w, labels, score = words(text), set(), 0.0
     for p, label in PHRASES.items():
         k = p.split()
@@ -233,12 +233,26 @@ def license_labels(text, notices):
         for key in keys:
             k = words(key)
             places.append((next(i for i in range(len(n)) if n[i : i + len(k)] == k), k))
-        first_at, first = places[0]
-        for begin in (i - first_at for i in range(len(w)) if w[i : i + len(first)] == first):
-            if all(begin + at >= 0 and w[begin + at : begin + at + len(k)] == k for at, k in places):
-                labels.add(label)
-                same = sum(0 <= begin + i < len(w) and w[begin + i] == x for i, x in enumerate(n))
-                score = max(score, 0.5 + 0.5 * same / len(n))
+        places.sort()
+        for here in range(len(w)):
+            if w[here : here + len(places[0][1])] != places[0][1]:
+                continue
+            put = [here]
+            for (before, _), (at, k) in zip(places, places[1:], strict=False):
+                expected = put[-1] + at - before
+                fit = [p for p in range(max(0, expected - slack), expected + slack + 1) if w[p : p + len(k)] == k]
+                if not fit:
+                    break
+                put.append(min(fit, key=lambda p: (abs(p - expected), p)))
+            if len(put) < len(places):
+                continue
+            labels.add(label)
+            same = 0
+            for i, x in enumerate(n):
+                last = max((j for j, (at, _) in enumerate(places) if at <= i), default=0)
+                at = put[last] + i - places[last][0]
+                same += 0 <= at < len(w) and w[at] == x
+            score = max(score, 0.5 + 0.5 * same / len(n))
     return ",".join(sorted(labels)), score
 
 

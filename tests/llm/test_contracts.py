@@ -109,6 +109,8 @@ def test_license_labels_and_scores(spark, sf, edges, real):
 
     body = TEXTS[0][1]
     rows = [(100 + k, f"intro words {t} and more {body[: 90 * k]}") for k, (_, t, _) in enumerate((*NOTICES, *TEXTS))] + [(90, body[60:]), (91, body.replace("without", "with"))]
+    changed = body.replace("to any person obtaining", "to any person or entity obtaining").replace("to deal in", "and, if you like, to deal in")
+    rows += [(92, "Copyright 2021 " + changed), (93, changed.replace("sublicense", "y " * 20 + "sublicense")), (94, changed + " x " + body), (95, "x " * 5 + " ".join(body.split()[4:]))]
     more = spark.createDataFrame(rows, "doc_id long, text string")
     for df, given in ((q.op1_license_scan(spark, sf), real), (license_scan(edges), EDGES), (license_scan(more), rows)):
         got = by_id(df)
@@ -116,6 +118,10 @@ def test_license_labels_and_scores(spark, sf, edges, real):
             labels, score = brute.license_labels(text, (*NOTICES, *TEXTS))
             assert got[doc].labels == labels, doc
             assert got[doc].score == pytest.approx(score)
+    assert "mit" in by_id(license_scan(more))[92].labels.split(",")
+    for wrong in (("house", "for internal use", ("external",)), ("house", "for internal use", ()), ("house", "", ("",))):
+        with pytest.raises(ValueError, match="house"):
+            license_scan(more, notices=[wrong])
     own = by_id(license_scan(more, notices=[("house", "for internal use only at this house", ("internal use only",))]))
     assert all(set(r.labels.split(",")) <= {"", "house", "gpl", "apache", "cc-by", "mit"} for r in own.values())
 
@@ -177,7 +183,7 @@ def test_personal_data_beyond_the_base(spark):
     for kind in SAID:
         hit = {d for d, (k, _) in truth.items() if k == kind and f"{kind}:" in got[d].spans}
         real_ = {d for d, (k, label) in truth.items() if k == kind and label}
-        assert len(hit & real_) >= 0.8 * len(real_), (kind, [rows[d][1] for d in real_ - hit])
+        assert len(hit & real_) >= 0.9 * len(real_), (kind, [rows[d][1] for d in real_ - hit])
         assert len(hit & real_) >= 0.9 * len(hit), (kind, [rows[d][1] for d in hit - real_])
     both = by_id(pii_spans(spark.createDataFrame([(1, "phone 415-555-2671 mail a.b@c.org, IBAN DE89370400440532013000 card 4111 1111 1111 1111")], "doc_id long, text string")))[1].spans.split(",")
     places = sorted((int(s), int(e)) for _, s, e in (x.split(":") for x in both if not x.startswith(("phone:", "card:"))))
@@ -284,10 +290,25 @@ def test_rows_find_their_entry_through_the_directory(spark, sf, real):
     assert {r.doc_id for r in look_up(docs, index).where("group_size > 1").collect()} == shared
     moved = replace(index, entries=index.entries.withColumn("bucket", F.col("bucket") + 1))
     assert look_up(docs, moved).where("group_size > 1").isEmpty()
-    lost = index.entries.where("sha is not null").first()
-    left = replace(index, entries=index.entries.where(F.col("bucket") != lost.bucket))
-    gone = shared - {r.doc_id for r in look_up(docs, left).where("group_size > 1").collect()}
-    assert gone and all(brute.sha(brute.low(t)) for d, t in real if d in gone)
+    lost = replace(index, entries=index.entries.where(F.col("bucket") != index.entries.first().bucket))
+    with pytest.raises(RuntimeError, match="entries"):
+        look_up(docs, lost)
+
+
+def test_many_copies_under_one_id(spark, monkeypatch):
+    from sievefold.llm import exact
+
+    monkeypatch.setattr(exact, "TOGETHER", 7)
+    rows = [(1, "a")] * 100 + [(2, "A")] * 33 + [(None, "b")] * 20 + [(3, "c")]
+    got = exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.kept) for r in got) == sorted([(1, False)] * 100 + [(2, True)] + [(2, False)] * 32 + [(0, True)] + [(0, False)] * 19 + [(3, True)])
+
+
+def test_buckets_stay_few(monkeypatch):
+    from sievefold.llm import exact
+
+    monkeypatch.setattr(exact, "BUCKETS", 4)
+    assert len(exact.split({k: 10 for k in range(64)}, 6, max(1, 640 // exact.BUCKETS))) <= 8
 
 
 def test_buckets_split_as_deep_as_it_takes():

@@ -9,6 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 import numpy as np
+from pyspark.sql import functions as F
 from test_contracts import EDGES
 
 from sievefold.llm import queries as q
@@ -303,3 +304,14 @@ def test_null_ids_and_repeated_rows(spark):
         assert len(set(got)) == 4, got
     kept = {(x.doc_id, x.n_removed) for x in remove_repeats(docs).collect()}
     assert kept == {(1, len(text)), (None, len(text)), (None, 0), (2, 0)}
+
+
+def test_labels_that_contradict_each_other(spark, sf):
+    """A row labelled both ways counts as toxic, whatever the order of the labels."""
+    docs, labels = q.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    toxic = labels.where("toxic = 1")
+    both = [labels.where("toxic = 0").unionByName(toxic).unionByName(toxic.withColumn("toxic", F.lit(0))), toxic.withColumn("toxic", F.lit(0)).unionByName(toxic).unionByName(labels.where("toxic = 0")).repartition(5)]
+    models = [train(docs, each) for each in (labels, *both)]
+    assert all((m.terms, m.stems) == (models[0].terms, models[0].stems) for m in models)
+    for m in models:
+        assert m.weights == pytest.approx(models[0].weights, rel=1e-6, abs=1e-6)
