@@ -34,6 +34,8 @@ are sketched whole, few at a time; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -192,41 +194,90 @@ def _nearest(batches):
     """Members with heads of their bucket's largest class: the pairs that may be alike enough, with the slots that agree."""
     for b in batches:
         table = pa.Table.from_batches([b])
-        sig = np.array(table.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
-        head = np.array(table.column("vbands").to_pylist(), np.int64).reshape(-1, BANDS)
+        sig, head = _bands_of(table.column("bands")), _bands_of(table.column("vbands"))
         agree = (sig.view("<u2") == head.view("<u2")).sum(axis=1)
         yield table.select(["unit", "u", "ubag", "v", "vbag"]).append_column("agree", pa.array(agree, pa.int64())).filter(pa.array(agree >= SCREEN)).combine_chunks().to_batches()[0] if (agree >= SCREEN).any() else pa.RecordBatch.from_pylist([], schema=pa.schema([(c, pa.int64()) for c in ("unit", "u", "ubag", "v", "vbag", "agree")]))
 
 
-def _likely(unit: pa.Table):
-    """Of a unit's rows: each left row with the right rows that may be alike enough and belong to this bucket."""
-    sig = np.array(unit.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
-    node, name, size, root, side = (unit.column(c).to_numpy() for c in ("node", "bag1", "size", "root", "side"))
-    left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
-    lefts = {(int(node[k]), int(name[k])) for k in left}
-    in_left = np.array([(int(node[k]), int(name[k])) in lefts for k in right], bool)
-    nth, lanes = int(unit.column("nth")[0].as_py()), sig[right].view("<u2")
+@dataclass
+class Unit:
+    """Members of a bucket in two blocks: side is 1 for those outside its largest class, 2 for those that they are compared with."""
+
+    nth: int
+    node: np.ndarray
+    bag1: np.ndarray
+    size: np.ndarray
+    root: np.ndarray
+    side: np.ndarray
+    sig: np.ndarray  # rows of BANDS
+
+    def take(self, rows: np.ndarray) -> Unit:
+        return Unit(self.nth, *(x[rows] for x in (self.node, self.bag1, self.size, self.root, self.side, self.sig)))
+
+
+def _bands_of(column) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(-1, BANDS) if isinstance(column, pa.ChunkedArray) else column.flatten().to_numpy().reshape(-1, BANDS)
+
+
+def _likely(u: Unit):
+    """Each left row with the right rows that may be alike enough and belong to this bucket."""
+    left, right = np.flatnonzero(u.side == 1), np.flatnonzero(u.side == 2)
+    lefts = {(int(u.node[k]), int(u.bag1[k])) for k in left}
+    in_left = np.array([(int(u.node[k]), int(u.bag1[k])) in lefts for k in right], bool)
+    lanes = u.sig[right].view("<u2")
     for k in left:
-        fits = (root[right] != root[k]) & (np.minimum(size[right], size[k]) >= SIMILARITY * np.maximum(size[right], size[k]))
-        at = np.flatnonzero(fits & (~in_left | (node[right] < node[k])))
-        at = at[(lanes[at] == sig[k].view("<u2")).sum(axis=1) >= SCREEN]
+        fits = (u.root[right] != u.root[k]) & (np.minimum(u.size[right], u.size[k]) >= SIMILARITY * np.maximum(u.size[right], u.size[k]))
+        at = np.flatnonzero(fits & (~in_left | (u.node[right] < u.node[k])))
+        at = at[(lanes[at] == u.sig[k].view("<u2")).sum(axis=1) >= SCREEN]
         at = right[at]
-        at = at[(sig[at] == sig[k]).argmax(axis=1) == nth]  # a pair belongs to the first bucket that it shares
+        at = at[(u.sig[at] == u.sig[k]).argmax(axis=1) == u.nth]  # a pair belongs to the first bucket that it shares
         if len(at):
             yield k, at
 
 
 UNIT = ("nth", "key", "i", "j")
+PACKED = "nth int, key long, own int, others int, side int, n int, body binary"
+MEMBER = "nth int, key long, i int, j int, side int, node long, bag1 long, size long, root long, bands array<long>"
+
+
+def _pack(batches):
+    """Members (nth, key, own, others, side, node, bag1, size, root, bands), sorted by block: a row for each block, its columns as bytes."""
+    for block in whole_groups(batches, "nth", "key", "own", "side"):
+        columns = [block.column(c).to_numpy().astype("<i8") for c in ("node", "bag1", "size", "root")]
+        body = b"".join(c.tobytes() for c in columns) + _bands_of(block.column("bands")).astype("<i8").tobytes()
+        row = {c: block.column(c)[0].as_py() for c in ("nth", "key", "own", "others", "side")}
+        yield pa.RecordBatch.from_pylist([row | {"n": block.num_rows, "body": body}], schema=pa.schema([("nth", pa.int32()), ("key", pa.int64()), *((c, pa.int32()) for c in ("own", "others", "side", "n")), ("body", pa.binary())]))
+
+
+def _unpacked(nth: int, side: int, n: int, body: bytes) -> Unit:
+    flat = np.frombuffer(body, "<i8")
+    columns = [flat[k * n : (k + 1) * n] for k in range(4)]
+    return Unit(nth, *columns, np.full(n, side, np.int32), flat[4 * n :].reshape(n, BANDS))
 
 
 def _screen(batches):
-    """Rows of units, sorted: those that have a likely partner in their unit."""
-    for unit in whole_groups(batches, *UNIT):
-        wanted = np.zeros(unit.num_rows, bool)
-        for k, at in _likely(unit):
-            wanted[k] = wanted[at] = True
-        if wanted.any():
-            yield from unit.filter(pa.array(wanted)).combine_chunks().to_batches()
+    """Blocks of units, the left one first: the members that have a likely partner in their unit."""
+    held: tuple[tuple, Unit] | None = None
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in (*UNIT, "side", "n", "body")), strict=True)
+        for *unit, side, n, body in rows:
+            own = _unpacked(unit[0], side, n, body)
+            if side == 1:
+                held = (tuple(unit), own)
+                continue
+            if held is None or held[0] != tuple(unit):
+                continue
+            a = held[1]
+            both = Unit(a.nth, *(np.concatenate([getattr(a, c), getattr(own, c)]) for c in ("node", "bag1", "size", "root", "side", "sig")))
+            wanted = np.zeros(len(both.node), bool)
+            for k, at in _likely(both):
+                wanted[k] = wanted[at] = True
+            if wanted.any():
+                out = both.take(wanted)
+                n = len(out.node)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(out.sig.reshape(-1)))
+                ids = [pa.array(np.full(n, v), kind) for v, kind in zip(unit, (pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(out.side.astype(np.int32)), *(pa.array(c) for c in (out.node, out.bag1, out.size, out.root)), bands], names=[*UNIT, "side", "node", "bag1", "size", "root", "bands"])
 
 
 def _links(batches):
@@ -239,10 +290,10 @@ def _links(batches):
                 own = bag(text)
                 bags[at] = own if bag_name(own) == name[at] % (1 << 64) else None  # a text of the same id with another bag
                 at += 1
-        unit = unit.drop_columns("text").append_column("at", pa.array(np.arange(unit.num_rows))).filter(pa.array([b is not None for b in bags]))
-        own = unit.column("at").to_numpy()
-        node, us, vs = unit.column("node").to_numpy(), [], []
-        for k, at in _likely(unit) if unit.num_rows else ():
+        own = np.flatnonzero(np.array([b is not None for b in bags], bool))
+        u = Unit(int(unit.column("nth")[0].as_py()), *(unit.column(c).to_numpy() for c in ("node", "bag1", "size", "root", "side")), _bands_of(unit.column("bands"))).take(own)
+        node, us, vs = u.node, [], []
+        for k, at in _likely(u) if len(own) else ():
             h, c = bags[own[k]]
             others = [bags[own[x]] for x in at]
             all_h, all_c = np.concatenate([o[0] for o in others]), np.concatenate([o[1] for o in others])
@@ -305,17 +356,19 @@ def _heads(members: DataFrame, turn: int) -> DataFrame:
 
 
 def _rest(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """u, v of all links between different classes in a bucket."""
+    """u, v of all links between different classes in a bucket. Blocks go to their units as one row each."""
     name = F.xxhash64("node", "bag1")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = ["nth", "key", "node", "bag1", "size", "root", "bands"]
-    left = members.where("root <> big").select(*own, F.pmod(name, F.col("lefts")).cast("int").alias("i"), every("rights").alias("j"), F.lit(1).alias("side"))
-    right = members.select(*own, every("lefts").alias("i"), F.pmod(name, F.col("rights")).cast("int").alias("j"), F.lit(2).alias("side"))
-    in_units = lambda rows: rows.repartition(*UNIT).sortWithinPartitions(*UNIT)
-    both = left.unionByName(right)
-    wanted = stored(in_units(both).mapInArrow(_screen, both.schema), "wanted")
+    block = lambda rows, own, others, side: rows.select("nth", "key", F.pmod(name, F.col(own)).cast("int").alias("own"), F.col(others).alias("others"), F.lit(side).alias("side"), "node", "bag1", "size", "root", "bands")
+    rows = block(members.where("root <> big"), "lefts", "rights", 1).unionByName(block(members, "rights", "lefts", 2))
+    blocks = ("nth", "key", "own", "side")
+    packed = stored(rows.repartition(*blocks).sortWithinPartitions(*blocks).mapInArrow(_pack, PACKED), "blocks")
+    every = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    left = F.col("side") == 1
+    met = every.select("nth", "key", F.when(left, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(left, F.col("other")).otherwise(F.col("own")).alias("j"), "side", "n", "body")
+    wanted = stored(met.repartition(*UNIT).sortWithinPartitions(*UNIT, "side").mapInArrow(_screen, MEMBER), "wanted")
     held = texts.join(if_few(stored(wanted.select("node").distinct(), "held")), "node", "left_semi")
-    return stored(in_units(wanted.join(held, "node")).mapInArrow(_links, "u long, v long"), "links")
+    in_units = wanted.join(held, "node").repartition(*UNIT).sortWithinPartitions(*UNIT)
+    return stored(in_units.mapInArrow(_links, "u long, v long"), "links")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

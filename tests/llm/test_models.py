@@ -120,8 +120,14 @@ def test_places_of_repeated_seeds_in_parts(monkeypatch):
     assert round(whole[1] * 36) == brute.tiling(doc, item)
 
 
-def test_family_below_the_threshold(spark):
-    """Texts of one template, most of whose pairs are just below the threshold: the few links are found all the same."""
+@pytest.mark.parametrize("blocks", [(1024, 4096), (13, 29)])
+def test_family_below_the_threshold(spark, monkeypatch, blocks):
+    """Texts of one template, most of whose pairs are just below the threshold: the few links are found all the same, in one unit and in many."""
+    from sievefold.llm import bagminhash
+
+    monkeypatch.setattr(bagminhash, "LEFT", blocks[0])
+    monkeypatch.setattr(bagminhash, "RIGHT", blocks[1])
+    monkeypatch.setattr(bagminhash, "STAR", max(1, blocks[0] // 4))
     rows, base = [], prose(400, 77)
     for k in range(240):
         g, w = random.Random(1000 + k), list(base)
