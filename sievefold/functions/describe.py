@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..operators.recurrence import Rule
 
 #: Weekdays from Sunday on, short forms and plurals; ordinals; units of age; criteria.
@@ -63,3 +67,20 @@ def rule(r: Rule, *, today: dt.date) -> str:
     if r.end == "count":
         parts.append("uma única vez" if r.count == 1 else f"{r.count} execuções no total")
     return ", ".join(parts)
+
+
+def in_words(rules: DataFrame, today: dt.date) -> DataFrame:
+    """rules (a table as operators.recurrence makes it) with words, the sentence of each."""
+    clock = lambda m: f"{m // 60:02}:{m % 60:02}"
+
+    @F.pandas_udf("string")
+    def words(rows: pd.DataFrame) -> pd.Series:
+        out = []
+        for r in rows.itertuples(index=False):
+            chosen = tuple(d for d in range(7) if r.weekdays >> d & 1)
+            end, count = (None if pd.isna(x) else x for x in (r.end_date, r.count))
+            own = Rule(r.frequency, r.start, clock(r.minute), r.interval, clock(r.until_minute), chosen, bool(r.workdays_only), r.monthly_mode, r.month_day, r.week_of_month, r.weekday, r.ending, end, None if count is None else int(count), r.zone)
+            out.append(rule(own, today=today))
+        return pd.Series(out, dtype=object)
+
+    return rules.withColumn("words", words(F.struct(*(c for c in rules.columns if c != "rule"))))

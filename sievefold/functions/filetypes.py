@@ -51,6 +51,7 @@ MAGIC: tuple[tuple[str, str, str], ...] = (
     ("2142444E", "email", "pst"),
     ("53514C69746520666F726D6174203300", "database", "sqlite"),
 )
+MEDIA = ("m4a", "heif", "cr3", "3gp", "mov", "mp4", "mpeg-4")  # formats of one container
 #: Brands of the ISO media container.
 BRANDS = {
     "audio": ("M4A ", "M4B ", "M4P ", "F4A ", "F4B "),
@@ -163,10 +164,11 @@ def _constant(h: Column) -> Column:
 def _box(head: Column, h: Column) -> Column:
     """Formats of boxes: a size, then a name; and of chunks that name what they hold."""
     name, brand = _text(head, 4, 4), _text(head, 8, 4)
-    by_brand = [(brand.isin(*BRANDS[c]), _kind(c, "iso-media")) for c in ("audio", "image", "video")]
-    branded = _first(*by_brand, (brand.startswith("3g"), _kind("video", "iso-media")), (F.lit(True), _kind(None, "iso-media")))
+    by_brand = [(brand.isin(*BRANDS[c]), _kind(c, f)) for c, f in (("audio", "m4a"), ("image", "heif"), ("video", "mp4"))]
+    special = [(brand == "crx ", _kind("image", "cr3")), (brand.startswith("3g"), _kind("video", "3gp")), (brand == "qt  ", _kind("video", "mov"))]
+    branded = _first(*special, *by_brand, (F.lit(True), _kind(None, "mpeg-4")))
     riff = _first(*((brand == code, _kind(c, f)) for code, c, f in (("AVI ", "video", "avi"), ("WAVE", "audio", "wav"), ("WEBP", "image", "webp"))))
-    return _first((name == "ftyp", branded), (name.isin("moov", "mdat", "wide", "pnot"), _kind("video", "iso-media")), (h.startswith("52494646"), riff))
+    return _first((name == "ftyp", branded), (name.isin("moov", "mdat", "wide", "pnot"), _kind("video", "mov")), (h.startswith("52494646"), riff))
 
 
 def _header(head: Column, h: Column, size: Column | None) -> Column:
@@ -255,7 +257,7 @@ def _mp3_frame(head: Column, at: Column) -> Column:
 def same_container(category: Column, fmt: Column, extension: Column) -> Column:
     """Whether a content's format is what the extension's own files are inside; such files were not renamed."""
     own = category_of(extension)
-    media = fmt.isin("iso-media", "matroska", "ogg", "asf") & own.isin("audio", "video", "image")
+    media = fmt.isin(*MEDIA, "matroska", "ogg", "asf") & own.isin("audio", "video", "image")
     program = (category == "executable") & fmt.isin("jar", "apk")
     zipped = fmt.isin("zip", "ooxml", "opendocument") & _in(extension, INSIDE["zip"])
     return F.coalesce(

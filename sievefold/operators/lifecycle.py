@@ -51,6 +51,15 @@ def missed(planned: DataFrame, *, grace_seconds: int = 300) -> DataFrame:
     return planned.withColumn("state", F.when(busy, "skipped").when(late, "missed").otherwise("done"))
 
 
+#: Systems whose devices are listed unless others are named.
+SYSTEMS = ("iOS", "iPadOS")
+
+
+def devices(landed: DataFrame, systems: tuple[str, ...] = SYSTEMS) -> DataFrame:
+    """Devices of the named systems, in any case; all of them if none is named. landed: os."""
+    return landed.where(F.lower(F.coalesce("os", F.lit(""))).isin(*(s.lower() for s in systems))) if systems else landed
+
+
 def device_states(devices: DataFrame, now: Column, *, hours: int = 24) -> DataFrame:
     """stale: never synchronised, or longer ago than hours. devices: last_sync."""
     return devices.withColumn("stale", F.col("last_sync").isNull() | (F.unix_timestamp(now) - F.unix_timestamp("last_sync") > hours * 3600))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import describe
 from ..operators import recurrence as r
 from .catalog import query
 from .views import view
@@ -111,3 +114,27 @@ def r5_rule_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = lambda n, at, value, name: F.when(F.col("rule") % n == at, F.lit(value)).otherwise(F.col(name))
     broken = view(spark, sf_dir, "rules").withColumns({"interval": wrong(5, 0, 0, "interval"), "weekdays": wrong(6, 1, 0, "weekdays"), "month_day": wrong(9, 2, 32, "month_day"), "end_date": wrong(8, 0, None, "end_date")})
     return r.rule_errors(broken).select("rule", F.array_join("errors", ",").alias("errors"))
+
+
+_DAY = "strftime({}, '%d/%m/%Y')"
+_CLOCK = "printf('%02d:%02d', {0} // 60, {0} % 60)"
+_LISTED = "CASE WHEN len({0}) = 1 THEN {0}[1] ELSE concat(array_to_string({0}[1:len({0}) - 1], ', '), ' e ', {0}[len({0})]) END"
+
+
+@query(
+    f"""WITH c AS (SELECT *, list_filter([1, 2, 3, 4, 5], lambda d: (weekdays >> d) & 1 = 1) AS w, list_filter([6, 0], lambda d: (weekdays >> d) & 1 = 1) AS m, {_CLOCK.format("minute")} AS t, {_CLOCK.format("until_minute")} AS u,
+        ['domingo', 'segunda', 'terça', 'quarta', 'quinta', 'sexta', 'sábado'] AS names FROM rules),
+    n AS (SELECT *, len(w) + len(m) AS days, list_transform(w, lambda d: concat(names[d + 1], 's')) AS women, list_transform(m, lambda d: concat(names[d + 1], 's')) AS men, list_transform(list_concat(w, m), lambda d: names[d + 1]) AS short,
+        CASE WHEN weekday BETWEEN 1 AND 5 THEN 'a' ELSE 'o' END AS g, CASE WHEN weekday BETWEEN 1 AND 5 THEN concat(names[weekday + 1], '-feira') ELSE names[weekday + 1] END AS one FROM c),
+    p AS (SELECT *, CASE WHEN days = 7 THEN 'todos os dias' WHEN len(w) = 5 AND len(m) = 0 THEN 'de segunda a sexta' ELSE concat(CASE WHEN len(w) = 0 THEN '' WHEN len(w) = 1 THEN concat('às ', women[1], '-feiras') ELSE concat('às ', {_LISTED.format("women")}) END,
+        CASE WHEN len(w) > 0 AND len(m) > 0 THEN ' e ' ELSE '' END, CASE WHEN len(m) = 0 THEN '' ELSE concat('aos ', {_LISTED.format("men")}) END) END AS phrase FROM n)
+    SELECT rule, CASE WHEN frequency = 'once' THEN concat('Uma vez, em ', {_DAY.format("start")}, ' às ', t) ELSE concat(
+      CASE frequency WHEN 'hourly' THEN concat(CASE WHEN interval = 1 THEN 'A cada hora' ELSE concat('A cada ', interval, ' horas') END, ', ', CASE WHEN t = '00:00' AND u = '23:59' THEN 'o dia todo' ELSE concat('das ', t, ' às ', u) END, CASE WHEN days < 7 THEN concat(', ', phrase) ELSE '' END)
+        WHEN 'daily' THEN concat(CASE WHEN workdays_only THEN 'De segunda a sexta' WHEN interval = 1 THEN 'Todos os dias' ELSE concat('A cada ', interval, ' dias') END, ', às ', t)
+        WHEN 'weekly' THEN concat(CASE WHEN interval > 1 THEN concat('A cada ', interval, ' semanas (', {_LISTED.format("short")}, ')') WHEN days = 1 THEN CASE WHEN len(w) = 1 THEN concat('Toda ', short[1], '-feira') ELSE concat('Todo ', short[1]) END ELSE concat(upper(phrase[1]), phrase[2:]) END, ', às ', t)
+        ELSE concat(CASE WHEN interval = 1 THEN 'Todo mês' ELSE concat('A cada ', interval, ' meses') END, ', ', CASE monthly_mode WHEN 'last-day' THEN 'no último dia' WHEN 'weekday' THEN concat('n', g, ' ', CASE week_of_month WHEN 1 THEN 'primeir' WHEN 2 THEN 'segund' WHEN 3 THEN 'terceir' WHEN 4 THEN 'quart' ELSE 'últim' END, g, ' ', one) ELSE concat('no dia ', month_day, CASE WHEN month_day > 28 THEN ' (nos meses mais curtos, no último dia)' ELSE '' END) END, ', às ', t) END,
+      CASE WHEN start > date '2026-02-15' THEN concat(', a partir de ', {_DAY.format("start")}) ELSE '' END,
+      CASE ending WHEN 'date' THEN concat(', até ', {_DAY.format("end_date")}) WHEN 'count' THEN CASE WHEN count = 1 THEN ', uma única vez' ELSE concat(', ', count, ' execuções no total') END ELSE '' END) END AS words FROM p"""
+)
+def x27_rules_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe.in_words(view(spark, sf_dir, "rules"), dt.date(2026, 2, 15)).select("rule", "words")

@@ -50,8 +50,17 @@ def x3_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEADS = (
     ("%PDF-1.4\n%\x00\x01", "document", "pdf"),
     ("MZ" + "\x00" * 80, None, None),
-    ("\x00\x00\x00\x18ftypisom\x00\x00", "video", "iso-media"),
-    ("\x00\x00\x00\x18ftypM4A \x00\x00", "audio", "iso-media"),
+    ("\x00\x00\x00\x18ftypisom\x00\x00", "video", "mp4"),
+    ("\x00\x00\x00\x18ftypM4A \x00\x00", "audio", "m4a"),
+    ("\x00\x00\x00\x18ftypqt  \x00\x00", "video", "mov"),
+    ("\x00\x00\x00\x18ftypheic\x00\x00", "image", "heif"),
+    ("\x00\x00\x00\x18ftypcrx \x00\x00", "image", "cr3"),
+    ("\x00\x00\x00\x183gp\x00ftyp", None, None),
+    ("\x00\x00\x00\x18ftyp3gp4\x00\x00", "video", "3gp"),
+    ("\x00\x00\x00\x18ftypzzzz\x00\x00", None, "mpeg-4"),
+    ("\x00\x00\x00\x08wide\x00\x00\x00\x00", "video", "mov"),
+    ("GIF89a\x01\x00\x01\x00\x00", "image", "gif"),
+    ("7z\xbc\xaf\x27\x1c\x00\x04", "archive", "7z"),
     ("\x89PNG\r\n\x1a\n\x00\x00", "image", "png"),
     ("PK\x03\x04" + "\x00" * 22 + "\x09\x00\x00\x00META-INF/x", "executable", "jar"),
     ("PK\x03\x04" + "\x00" * 22 + "\x08\x00\x00\x00mimetypeapp", None, "opendocument"),

@@ -120,3 +120,10 @@ def st6_daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     incremental.run_available(counts, sink, checkpoint)
     last = source.agg(F.date_trunc("day", F.max("ts")).alias("d"))
     return spark.read.parquet(sink).join(F.broadcast(last), F.col("start") < F.col("d")).groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 5 IN (0, 1, 4)")
+def s10_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telephones and tablets of two systems out of all devices, their names in any case."""
+    os = F.get(F.array(*map(F.lit, ("iOS", "IPADOS", "Android", "Windows", "ipados"))), (F.col("s_suppkey") % 5).cast("int"))
+    return lc.devices(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), os.alias("os"))).select("id")

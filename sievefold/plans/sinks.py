@@ -54,3 +54,13 @@ def s19_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.array_join(F.slice(parts, 1, F.when(dated, 4).otherwise(F.size(parts))), "\t")
     rows = each.select(F.col("label").alias("sheet"), "line", cells.alias("cells"), at.alias("at"))
     return rows.where("line > 0 or sheet = 'Planilha \"Vazia\"'").select("sheet", F.col("line").cast("long").alias("line"), "cells", "at")
+
+
+@query("SELECT seq, item, status, policy, size FROM deletions")
+def s17_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON lines without the internal fields, read again; nulls stay nulls."""
+    path = shared_folder(spark, "json")
+    events = view(spark, sf_dir, "deletions").select("seq", "item", "status", "policy", "size", F.lower("status").alias("_search"))
+    sinks.write_json(events, path)
+    read = spark.read.text(path).select(F.from_json("value", "seq long, item long, status string, policy string, size long, _search string").alias("e")).select("e.*")
+    return read.where("_search is null").drop("_search")

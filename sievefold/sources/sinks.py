@@ -60,7 +60,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.json(path)
+    """JSON lines; internal fields, which start with an underscore, stay inside."""
+    df.select(*(c for c in df.columns if not c.startswith("_"))).write.json(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:

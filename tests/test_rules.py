@@ -70,7 +70,7 @@ HEADS = [
     ((b"G" + b"\1" * 187) * 6, ("video", "mpeg-ts")),
     (b"BZh91AY&SY\0\0", ("archive", "bzip2")),
     (b"\0" * 257 + b"ustar", ("archive", "tar")),
-    (b"\0\0\0\x18ftyp3gp5\0\0", ("video", "iso-media")),
+    (b"\0\0\0\x18ftyp3gp5\0\0", ("video", "3gp")),
     (b"\x7fELF\x02\x01\x01\0", ("executable", "elf")),
     (b"BM" + struct.pack("<I", 40) + b"\0" * 34, ("image", "bmp")),
     (b"ab", None),
@@ -87,7 +87,7 @@ def test_signatures(spark, head, want):
 
 def test_same_container(spark):
     same = lambda c, f, e: value(spark, filetypes.same_container(F.lit(c), F.lit(f), F.lit(e)))
-    assert same("archive", "zip", ".docx") and same("executable", "jar", ".zip") and same("video", "iso-media", ".m4a") and same("archive", "tar", ".ova")
+    assert same("archive", "zip", ".docx") and same("executable", "jar", ".zip") and same("video", "mp4", ".m4a") and same("archive", "tar", ".ova")
     assert not same("executable", "jar", ".docx") and not same("image", "png", ".pdf") and not same("archive", "gzip", ".zip")
 
 
