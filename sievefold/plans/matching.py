@@ -180,7 +180,19 @@ def m12_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "files").select("id", F.md5(display_text(F.col("text")).cast("binary")).alias("shown"))
 
 
-@query()
+_EMAIL = r"(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b"
+_SHOWN = r"regexp_replace({}, '[\x00-\x20\x7f-\x{{a0}}\x{{fffd}}]+', ' ', 'g')"
+
+
+@query(
+    f"""WITH f AS (SELECT id, text, regexp_extract_all(text, '{_EMAIL}')[1:3] AS m, string_split_regex(text, '{_EMAIL}') AS g FROM files WHERE contains(text, '@')),
+    k AS (SELECT id, text, m, g, unnest(range(len(m))) AS nth FROM f),
+    p AS (SELECT id, nth, text, m[nth + 1] AS own, list_sum(list_transform(g[1:nth + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:nth], lambda x: length(x))), 0) AS pos FROM k),
+    e AS (SELECT *, greatest(pos - {{context}}, 0) AS low, pos + length(own) AS stop FROM p)
+    SELECT id, nth::INT AS nth, concat(CASE WHEN low > 0 THEN '…' ELSE '' END, ltrim({_SHOWN.format("substr(text, (low + 1)::BIGINT, (pos - low)::BIGINT)")})) AS before, substr({_SHOWN.format("own")}, 1, 300) AS match,
+      concat(rtrim({_SHOWN.format("substr(text, (stop + 1)::BIGINT, {context})")}), CASE WHEN stop + {{context}} < length(text) THEN '…' ELSE '' END) AS after,
+      (length(substr(text, 1, pos::BIGINT)) - length(replace(substr(text, 1, pos::BIGINT), chr(10), '')) + 1)::BIGINT AS line FROM e""".replace("{context}", str(m.CONTEXT))
+)
 def m6_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context of the first e-mail addresses; checked against plain Python in the tests."""
     from ..functions.presets import PRESETS
