@@ -114,13 +114,18 @@ def default_sort(*, retention: bool, types: bool, sort: str | None = None, desce
     return ("oldest", descending) if retention else (None, descending)
 
 
-def natural_key(text: Column, width: int = 20) -> Column:
-    """Sort key of a text in which runs of digits compare as numbers (of up to width digits) and letters without case.
+def natural_key(text: Column) -> Column:
+    """Sort key of a text in which runs of digits compare as numbers, of any length, and letters without case.
 
-    Runs of digits are padded to one width; between them the text stays as it is.
+    A run is written as the number of its digits, without zeros in front, and the digits; between runs the text stays as it is.
     """
-    padded = F.regexp_replace(F.lower(text), "([0-9]+)", F.lit("0" * width + "$1"))
-    return F.regexp_replace(padded, f"0*([0-9]{{{width}}})(?![0-9])", F.lit("$1"))
+    pieces = F.regexp_extract_all(F.lower(text), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+
+    def key(piece: Column) -> Column:
+        bare = F.ltrim(piece, F.lit("0"))
+        return F.when(piece.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare).cast("string"), 9, "0"), bare)).otherwise(piece)
+
+    return F.array_join(F.transform(pieces, key), "")
 
 
 def trashed(path: Column, trash: list[str]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scans import greedy_batches
+from .scans import greedy_batches, running_counts
 
 MARGIN_SECONDS = 3600
 FULL_EVERY = 7
@@ -68,7 +68,7 @@ def device_states(devices: DataFrame, now: Column, *, hours: int = 24) -> DataFr
 def uid_ranges(uids: DataFrame, group: str, uid: str) -> DataFrame:
     """Runs of consecutive numbers as a:b, comma-joined."""
     own = uids.select(group, uid).distinct()
-    island = own.withColumn("_g", F.col(uid) - F.row_number().over(Window.partitionBy(group).orderBy(uid)))
+    island = running_counts(own, [group], [F.col(uid).asc()], {"_before": F.lit(True)}).withColumn("_g", F.col(uid) - F.col("_before"))
     runs = island.groupBy(group, "_g").agg(F.min(uid).alias("a"), F.max(uid).alias("b"))
     text = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string")))
     return runs.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", text.alias("t")))), lambda x: x["t"]), ",").alias("ranges"))

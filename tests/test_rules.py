@@ -210,3 +210,9 @@ def test_site_keys(spark):
 
     for url, want in (("https://T.x/sites/A/Shared%20Documents/b.docx?x=1", "https://t.x/sites/a"), ("https://t.x/", "https://t.x"), ("https://t.x/a/lib/Forms/All.aspx", "https://t.x/a"), ("https://t.x/sites/pages/x", "https://t.x/sites/pages/x"), ("nothing/", "nothing")):
         assert value(spark, site_key(F.col("text")), url) == want
+
+
+def test_natural_order_of_long_numbers(spark):
+    want = ["a", "a0", "a1", "A2", "a10", "a010b", "a" + "9" * 30, "a1" + "0" * 30, "ab2", "b"]
+    got = spark.createDataFrame([(w,) for w in reversed(want)], "t string").orderBy(filters.natural_key(F.col("t")), "t").collect()
+    assert [r.t for r in got] == want
