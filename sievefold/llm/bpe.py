@@ -21,22 +21,23 @@ from functools import cached_property
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import slices
 
-#: Fixed value: the pattern of the byte-level pre-tokenizer.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for texts in which only SAFE characters stand; there the classes of re and regex agree.
+#: The pattern of the byte-level pre-tokenizer for texts in which only characters stand whose classes every version of Unicode
+#: knows alike; other texts are cut by the library itself.
 _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+")
 _UNSAFE = re.compile(r"[^\t\n\r -~¡-©«-±´¶-¸»¿-ɏΑ-ΡΣ-ωА-я–—‘-„…€]")
-_FULL = regex.compile(PATTERN)
+_BYTE_LEVEL = ByteLevel(add_prefix_space=False)
 CACHE = 150_000  # pieces that a worker remembers; the memory is emptied when full
 
 
 def pieces(text: str) -> list[str]:
-    return (_FULL if _UNSAFE.search(text) else _FAST).findall(text)
+    if _UNSAFE.search(text):
+        return [text[s:e] for _, (s, e) in _BYTE_LEVEL.pre_tokenize_str(text)]
+    return _FAST.findall(text)
 
 
 def byte_alphabet() -> dict[str, int]:

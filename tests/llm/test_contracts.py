@@ -347,3 +347,20 @@ def test_empty_tables(spark, sf):
         drop_near_duplicates(none), remove_repeats(none), contamination(none, items), drop_contaminated(none, items.limit(0)), secret_spans(none), bpe(none, q.tokenizer_path()),
     ):
         assert out.count() == 0
+
+
+def test_pieces_as_the_library_cuts_them(library):
+    """Characters of all planes, unassigned ones too, between letters, digits, spaces and marks."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    from sievefold.llm.bpe import pieces, tokenizer, vocabulary
+
+    cut = ByteLevel(add_prefix_space=False)
+    own = tokenizer(vocabulary(q.tokenizer_path()))
+    for k in [*range(0x20, 0x3000), *range(0x3000, 0x110000, 97)]:
+        if 0xD800 <= k < 0xE000:
+            continue
+        text = f"a{chr(k)}b {chr(k)}{chr(k)}1 {chr(k)}\n  x"
+        assert pieces(text) == [text[s:e] for _, (s, e) in cut.pre_tokenize_str(text)], hex(k)
+        if k % 31 == 0:
+            assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(k)
