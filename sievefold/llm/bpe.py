@@ -8,7 +8,9 @@ gives exactly the two; that is decided by undoing merges from the later rank on.
 dead are never tried again, so that the work is linear in the piece.
 
 Nulls count as empty texts, which have no tokens; ids of an empty list hash as the empty string.
-The text of an added token becomes its id, as the tokenizers library does by default.
+The text of an added token becomes its id, as the tokenizers library does by default. Very long texts are encoded whole,
+few at a time. Each row is encoded for itself: repeated rows, and rows of one doc_id, give a row each, and nothing ties.
+An empty table gives an empty result; of other columns none is read, and the pipeline's stage gives back none but the contract's.
 """
 
 from __future__ import annotations

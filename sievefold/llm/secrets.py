@@ -11,7 +11,7 @@ query takes `source` as repository and (`source`, `lang`) as owner, so that its
 spread over sources and languages, not over people.
 
 Null texts count as empty; a null repository or owner is one of its own. Repeated rows are counted once for their
-owner, and each gives a row. Very long texts cost time in proportion to their length. Values that are held equally
+owner, and each gives a row; rows of one doc_id give a row each. Very long texts cost time in proportion to their length. Values that are held equally
 often get the same verdict. An empty table gives an empty result; other columns, whatever their names, are not read.
 Documents without candidates take no part in the shuffles.
 """

@@ -14,7 +14,7 @@ The tokenizers library's model encodes. A text's ids are those of the pieces tha
 one after another, so that each worker has the library encode a piece once and remembers it.
 
 Null texts count as empty; every document ends with the end id, so that none is empty. Rows of equal doc_id are kept,
-ordered by crc32 of their texts; a null doc_id comes first. Very long texts make a segment of their own. An empty table
+ordered by crc32 of their texts, all in one part; a null doc_id comes first. Very long texts make a segment of their own. An empty table
 gives an empty folder. Columns other than id and text, whatever their names, are not read.
 """
 

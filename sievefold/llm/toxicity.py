@@ -11,8 +11,8 @@ further hits and address speak for it. A logistic model over these figures gives
 
 Null and empty texts, and texts without hits, score what the model gives for no hits: a low value. Very long texts are
 read whole. Without labelled rows of both kinds nothing is learned, and every score is 0. Labels count as toxic at 1;
-other values, and rows without a label, are left out; of several labels of one doc_id one counts. Repeated rows score
-alike, and an empty table gives an empty result. Of other columns none is read, whatever its name.
+other values, and rows without a label, are left out; of labels of one doc_id that contradict each other toxic counts. Rows without
+doc_id are not held out and teach nothing. Repeated rows score alike, and an empty table gives an empty result. Of other columns none is read, whatever its name.
 """
 
 from __future__ import annotations
