@@ -1,4 +1,10 @@
-"""The corpus pipeline: stages of the operators in sievefold.llm, each over all that the one before kept."""
+"""The corpus pipeline: stages of the operators in sievefold.llm, each over all that the one before kept.
+
+Documents without text count as empty texts, which stay in each stage but as copies of one another. Rows without doc_id
+stay in each stage unless they are exact copies. Of rows that share a doc_id one stays after near_dedup. Very long texts are read whole; an
+empty table passes through as one. All stages but the last return the columns of documents, whatever their names; the last returns
+doc_id, n_tokens, ids_sha256 and decoded_sha256.
+"""
 
 from __future__ import annotations
 
