@@ -321,3 +321,24 @@ def test_labels_that_contradict_each_other(spark, sf):
     assert all((m.terms, m.stems) == (models[0].terms, models[0].stems) for m in models)
     for m in models:
         assert m.weights == pytest.approx(models[0].weights, rel=1e-6, abs=1e-6)
+
+
+def test_pipeline_on_edge_cases(spark, sf):
+    """Nulls, empty and long texts, repeated rows and ids, and no rows at all, through all stages."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    long = " ".join(prose(9000, 4))
+    rows = [*EDGES, (None, None), (None, "no id at all here and more words"), (50, long), (51, long.upper()), (52, long + " tail"), (53, "one two three"), (53, "one two three"), (54, None), (55, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, key string").repartition(4)
+    for held, least in ((docs, 8), (docs.limit(0), 0)):
+        before = held
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, before, sf)
+            assert after.columns == docs.columns, name
+            assert after.exceptAll(before).isEmpty(), name
+            before = after
+        out = corpus_pipeline.STAGES[-1][1](spark, before, sf).collect()
+        assert len(out) == before.count() >= least
+        kept = [x.doc_id for x in before.collect()]
+        assert not {51, 52} <= set(kept) and len([k for k in kept if k == 53]) <= 1
+        if least:
+            assert len({50, 51, 52} & set(kept)) == 1 and {53} <= set(kept) and len({2, 1, 54, 55} & set(kept)) <= 1
