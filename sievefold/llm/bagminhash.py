@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_few, one_of_each, slices, stored, whole_groups, words
+from .common import give_back, if_few, one_of_each, remembered, slices, stored, whole_groups, words
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -58,7 +58,7 @@ LEFT_SIZE, RIGHT_SIZE = 1 << 18, 1 << 19  # and their shingles
 FEW = 300_000  # rows of 24 bytes, or signatures, that are broadcast at most
 CACHE = 100_000  # words whose hashes a worker remembers; the memory is emptied when full
 _U = np.uint64
-_known: dict[str, int] = {}
+_known: dict[str, int] = remembered({})
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -143,6 +143,7 @@ def bag_name(own: tuple[np.ndarray, np.ndarray], seed: int = 0) -> int:
 
 
 def _sketch(batches):
+    give_back(_known)
     for part in slices(batches, 128, column=1):
         bags = [bag(s) for s in part.column(1).to_pylist()]
         full = [k for k, (h, _) in enumerate(bags) if len(h)]
@@ -165,6 +166,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 def _verify(batches):
     """Rows (unit, node, bag1, text, v, vbag), sorted by unit; a row has a text, or says that node is paired with v: the pairs that overlap enough."""
+    give_back(_known)
     for unit in whole_groups(batches, "unit"):
         texts, pairs = unit.filter(pc.is_null(unit.column("v"))), unit.filter(pc.is_valid(unit.column("v")))
         bags = {}
@@ -192,6 +194,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _nearest(batches):
     """Members with heads of their bucket's largest class: the pairs that may be alike enough, with the slots that agree."""
+    give_back(_known)
     for b in batches:
         table = pa.Table.from_batches([b])
         sig, head = _bands_of(table.column("bands")), _bands_of(table.column("vbands"))
@@ -242,6 +245,7 @@ MEMBER = "nth int, key long, i int, j int, side int, node long, bag1 long, size
 
 def _pack(batches):
     """Members (nth, key, own, others, side, node, bag1, size, root, bands), sorted by block: a row for each block, its columns as bytes."""
+    give_back(_known)
     for block in whole_groups(batches, "nth", "key", "own", "side"):
         columns = [block.column(c).to_numpy().astype("<i8") for c in ("node", "bag1", "size", "root")]
         body = b"".join(c.tobytes() for c in columns) + _bands_of(block.column("bands")).astype("<i8").tobytes()
@@ -257,6 +261,7 @@ def _unpacked(nth: int, side: int, n: int, body: bytes) -> Unit:
 
 def _screen(batches):
     """Blocks of units, the left one first: the members that have a likely partner in their unit."""
+    give_back(_known)
     held: tuple[tuple, Unit] | None = None
     for batch in batches:
         rows = zip(*(batch.column(c).to_pylist() for c in (*UNIT, "side", "n", "body")), strict=True)
@@ -282,6 +287,7 @@ def _screen(batches):
 
 def _links(batches):
     """Rows of units with their texts, sorted: pairs of left and right rows that overlap enough."""
+    give_back(_known)
     for unit in whole_groups(batches, *UNIT):
         bags: list = [None] * unit.num_rows
         name, at = unit.column("bag1").to_pylist(), 0

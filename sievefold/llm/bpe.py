@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import slices
+from .common import give_back, remembered, slices
 
 #: The pattern of the byte-level pre-tokenizer for texts in which only characters stand whose classes every version of Unicode
 #: knows alike; other texts are cut by the library itself.
@@ -197,7 +197,7 @@ class Tokenizer:
         return blob[where].tobytes().decode("utf-8", "replace")
 
 
-_built: dict[str, Tokenizer] = {}
+_built: dict[str, Tokenizer] = remembered({})
 
 
 def tokenizer(content: str) -> Tokenizer:
@@ -207,6 +207,11 @@ def tokenizer(content: str) -> Tokenizer:
     return _built[key]
 
 
+def alone() -> None:
+    """Of what a worker remembers, only the tokenizers stay."""
+    give_back(_built)
+
+
 def vocabulary(path: str) -> str:
     """The file's content, read on the driver and broadcast; its size doesn't depend on the corpus."""
     with open(path, encoding="utf-8") as f:
@@ -222,6 +227,7 @@ def bpe(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
     def run(batches):
+        alone()
         t = tokenizer(content.value)
         for b in slices(batches, column=1):
             n, sha, back, all_ids, texts = [], [], [], [], []

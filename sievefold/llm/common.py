@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -20,6 +22,33 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TABLE = {ord(c): c.lower() for c in _UPPER}
 
 
+#: What workers remember between tasks: vocabularies and the like. A worker goes on to other operators' tasks.
+_remembered: list[dict] = []
+
+
+def remembered(cache: dict) -> dict:
+    _remembered.append(cache)
+    return cache
+
+
+def give_back(keep: dict | None = None) -> None:
+    """Empties what other operators left in this worker, if anything, and returns the memory."""
+    others = [c for c in _remembered if c is not keep and c]
+    for c in others:
+        c.clear()
+    if others:
+        gc.collect()
+        _trim()
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -98,7 +127,7 @@ def slices(batches, rows: int = 512, *, column: int | None = None, size: int = 2
             end = max(at + 1, min(at + rows, int(np.searchsorted(total, before + size, side="right"))))
             yield batch.slice(at, end - at)
             at = end
-    pa.default_memory_pool().release_unused()  # a worker goes on to other stages
+    _trim()  # a worker goes on to other stages
 
 
 def verdicts(texts: pa.Array, judge) -> pa.Array:
@@ -128,4 +157,4 @@ def whole_groups(batches, *keys: str):
             held.append(part)
     if held:
         yield pa.concat_tables(held)
-    pa.default_memory_pool().release_unused()
+    _trim()

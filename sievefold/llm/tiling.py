@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, verdicts, words
+from .common import give_back, slices, stored, verdicts, words
 
 MATCH, COVERAGE = 5, 0.5
 BLOCK = 4_000_000
@@ -203,6 +203,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, coverage: float = CO
 
 def _pass(shared, last: bool):
     def run(batches):
+        give_back()
         items = Items(shared.value)
         for b in slices(batches, column=1):
             found = []
@@ -219,6 +220,7 @@ def _pass(shared, last: bool):
 def _marks(shared: Broadcast, coverage: float):
     @F.arrow_udf("boolean")
     def marked(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         items = Items(shared.value)
         for s in texts:
             yield verdicts(s, lambda own: [best_item(x, items)[1] >= coverage for x in own])

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet, pieces, tokenizer
-from .common import new_path, slices
+from .common import new_path, remembered, slices
 
 BLOCK = 1024
 LANES = 32  # ids of a block lie in 32 lanes of 32; each lane is packed on its own
@@ -174,7 +174,7 @@ class Encoder:
         return out
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[int, Encoder] = remembered({})
 
 
 def encoder(content: str) -> Encoder:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, lower_ascii, lower_ascii_col, slices, verdicts
+from .common import WORD, give_back, lower_ascii, lower_ascii_col, slices, verdicts
 
 SAMPLE = 8_000  # labelled rows that training reads at most, for each label; a parameter of the operator
 LEXICON = 400  # entries at most
@@ -297,6 +297,7 @@ def _features(docs: DataFrame, lexica: list[Lexicon], key: str, *, variants: boo
     """key and features of each row, by the lexicon of its half; with variants, also those of every fourth row of key 1 with its terms misspelled."""
 
     def run(batches):
+        give_back()
         n = 0
         for b in slices(batches, column=1):
             keys, x = [], []
@@ -319,6 +320,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, model: Model | None = None,
     lexicon = model.lexicon()
 
     def run(batches):
+        give_back()
         for b in slices(batches, column=1):
             x = np.array([features(s, lexicon) for s in b.column(1).to_pylist()]).reshape(-1, FEATURES)
             s = model.score(x)
@@ -335,6 +337,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> D
 
     @F.arrow_udf("boolean")
     def toxic(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         for s in texts:
             yield verdicts(s, lambda own: model.score(np.array([features(t, lexicon) for t in own]).reshape(-1, FEATURES)) >= 0.7)
 

@@ -342,3 +342,18 @@ def test_pipeline_on_edge_cases(spark, sf):
         assert not {51, 52} <= set(kept) and len([k for k in kept if k == 53]) <= 1
         if least:
             assert len({50, 51, 52} & set(kept)) == 1 and {53} <= set(kept) and len({2, 1, 54, 55} & set(kept)) <= 1
+
+
+def test_toxicity_by_language(spark):
+    """Held-out rows of the larger tables: recall in each language, precision over all."""
+    from collections import Counter
+
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    scored = q.op3_toxicity(spark, sf).where("held_out").join(labels, "doc_id").join(q.documents(spark, sf).select("doc_id", "lang"), "doc_id")
+    seen = Counter((r.lang, r.toxic, r.predicted) for r in scored.select("lang", "toxic", "predicted").collect())
+    hit, wrong = sum(n for (_, t, p), n in seen.items() if t and p), sum(n for (_, t, p), n in seen.items() if not t and p)
+    assert hit >= 0.95 * (hit + wrong)
+    for lang in {k[0] for k in seen}:
+        found, missed = seen[lang, 1, 1], seen[lang, 1, 0]
+        assert found >= 0.9 * (found + missed), (lang, found, missed)
