@@ -86,6 +86,8 @@ def sheet_numbers(df: DataFrame, order: list[Column], *, max_rows: int = MAX_ROW
     Numbers need one total order. It is dealt into ranges, which are stored once with each row's place in its range; only the
     counts per range meet in one place, not the rows.
     """
+    if taken := {"sheet", "row"} & set(df.columns):
+        raise ValueError(f"columns {sorted(taken)} have to be renamed: the numbers are called so")
     in_range = df if not order else df.repartitionByRange(*order).sortWithinPartitions(*order)
     nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = stored(in_range.withColumn("_p", F.spark_partition_id()).withColumn("_m", nth), "sheets")
