@@ -97,30 +97,121 @@ def _fits(day: Column) -> Column:
     )
 
 
+def _of_week() -> Column:
+    return F.col("frequency").isin("hourly", "weekly")
+
+
+def _with_candidates(rules: DataFrame, first: Column, last: Column) -> DataFrame:
+    """rules with _begin and _stop (the span within which days count), _base (where a rule's periods begin in it) and _size: how many days may belong to
+    the rule, one for each of its periods, or all days of its weeks."""
+    start, begin, stop, base, every = F.col("start"), F.col("_begin"), F.col("_stop"), F.col("_base"), F.abs("interval")
+    due = lambda passed: F.pmod(-passed, every)  # noqa: E731 periods from the first day's to the next one that counts
+    weeks = (F.datediff(F.trunc(begin, "week"), F.trunc(start, "week")) / 7).cast("int")
+    months = lambda a, b: (F.year(a) - F.year(b)) * 12 + F.month(a) - F.month(b)
+    each_day = (F.col("frequency") == "hourly") | ((F.col("frequency") == "daily") & F.col("workdays_only"))
+    kinds = lambda once, day, daily, week, month: F.when(F.col("frequency") == "once", once).when(each_day, day).when(F.col("frequency") == "daily", daily).when(F.col("frequency") == "weekly", week).otherwise(month)
+    spanned = rules.withColumns({"_begin": F.greatest(first, start), "_stop": F.when((F.col("ending") == "date") & (F.col("frequency") != "once"), F.least(last, F.col("end_date"))).otherwise(last)})
+    based = spanned.withColumn("_base", kinds(start, begin, F.date_add(begin, due(F.datediff(begin, start))), F.date_add(F.trunc(begin, "week"), due(weeks) * 7), F.add_months(F.trunc(begin, "month"), due(months(begin, start)))))
+    days = F.datediff(stop, base)
+    size = kinds(F.lit(1), days + 1, F.floor(days / every) + 1, (F.floor(days / (every * 7)) + 1) * 7, F.floor(months(stop, base) / every) + 1)
+    return based.withColumn("_size", F.when(stop >= begin, size).otherwise(0).cast("int"))
+
+
+def _candidate(k: Column) -> Column:
+    """The day at k, counted from 0, of those that may belong to the rule of a row of _with_candidates."""
+    base, every, mode = F.col("_base"), F.abs("interval"), F.col("monthly_mode")
+    month = F.add_months(base, k * every)
+    end = F.last_day(month)
+    of_month = (
+        F.when(mode == "last-day", end)
+        .when((mode == "weekday") & (F.col("week_of_month") == -1), F.date_sub(end, F.pmod(_weekday(end) - F.col("weekday"), F.lit(7))))
+        .when(mode == "weekday", F.date_add(month, F.pmod(F.col("weekday") - _weekday(month), F.lit(7)) + (F.col("week_of_month") - 1) * 7))
+        .otherwise(F.date_add(month, F.least(F.col("month_day"), F.dayofmonth(end)) - 1))
+    )
+    return (
+        F.when(F.col("frequency") == "once", base)
+        .when((F.col("frequency") == "hourly") | ((F.col("frequency") == "daily") & F.col("workdays_only")), F.date_add(base, k))
+        .when(F.col("frequency") == "daily", F.date_add(base, k * every))
+        .when(F.col("frequency") == "weekly", F.date_add(base, F.floor(k / 7).cast("int") * 7 * every + k % 7))
+        .otherwise(of_month)
+    )
+
+
+def _belongs(day: Column) -> Column:
+    return day.between(F.col("_begin"), F.col("_stop")) & _fits(day)
+
+
+_SPAN = ("_begin", "_stop", "_base", "_size")
+
+
+def _days_within(rules: DataFrame, first: Column, last: Column) -> DataFrame:
+    """days_of with the columns of _with_candidates."""
+    each = _with_candidates(rules, first, last).withColumn("_k", F.explode(F.when(F.col("_size") > 0, F.sequence(F.lit(0), F.col("_size") - 1))))
+    return each.withColumn("day", _candidate(F.col("_k"))).where(_belongs(F.col("day"))).drop("_k")
+
+
 def days_of(rules: DataFrame, first: Column, last: Column) -> DataFrame:
-    """rules with day: a row for each day within [first, last] on which a rule applies. first and last are expressions of a rule's row."""
-    stop = F.when((F.col("ending") == "date") & (F.col("frequency") != "once"), F.least(last, F.col("end_date"))).otherwise(last)
-    begin = F.greatest(first, F.col("start"))
-    every = rules.withColumn("day", F.explode(F.when(stop >= begin, F.sequence(begin, stop))))
-    return every.where(_fits(F.col("day")))
+    """rules with day: a row for each day within [first, last] on which a rule applies. first and last are expressions of a rule's row.
 
+    Only days that may belong to a rule are made: one for each of its periods, or those of its weeks."""
+    return _days_within(rules, first, last).drop(*_SPAN)
 
-def instants_of(rules: DataFrame, first: Column, last: Column) -> DataFrame:
-    """rules with at (UTC), strictly increasing in a rule: a local time that the clock skips becomes the next one, once."""
+
+def _by_copies(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rules with a row of their own, and those that share their number with others, whose runs have to be told apart."""
+    counted = rules.withColumn("_copies", F.count("*").over(Window.partitionBy("rule")))
+    return counted.where("_copies = 1").drop("_copies"), counted.where("_copies > 1").drop("_copies")
+
+
+def _minutes_of() -> Column:
+    """The minutes of a day on which the rule of a row runs."""
     hourly = F.col("frequency") == "hourly"
     end, step = F.when(hourly, F.col("until_minute")).otherwise(F.col("minute")), F.when(hourly, F.col("interval") * 60).otherwise(60)
-    minutes = F.explode(F.when(end >= F.col("minute"), F.sequence(F.col("minute"), end, step)))
-    each = days_of(rules, first, last).withColumn("_m", minutes)
-    local = F.timestamp_seconds(F.unix_timestamp(F.col("day").cast("timestamp")) + F.col("_m") * 60)
-    return each.withColumn("at", F.to_utc_timestamp(local, F.col("zone"))).drop("_m", "day").dropDuplicates(["rule", "at"])
+    return F.when(end >= F.col("minute"), F.sequence(F.col("minute"), end, step))
+
+
+def _local(day: Column, minute: Column) -> Column:
+    return F.timestamp_seconds(F.unix_timestamp(day.cast("timestamp")) + minute * 60)
+
+
+def instants_of(rules: DataFrame, first: Column, last: Column) -> DataFrame:
+    """rules with at (UTC), strictly increasing in a rule: a local time that the clock skips becomes the next one, once."""
+    each = days_of(rules, first, last).withColumn("_m", F.explode(_minutes_of()))
+    return each.withColumn("at", F.to_utc_timestamp(_local(F.col("day"), F.col("_m")), F.col("zone"))).drop("_m", "day").dropDuplicates(["rule", "at"])
+
+
+#: Fixed value: days on which a rule may run and yet have no run of its own after an instant: those around the instant in any zone, and one that the clock skips.
+SPARE_DAYS = 4
 
 
 def upcoming_of(rules: DataFrame, after: Column, n: int, *, remaining: Column | None = None) -> DataFrame:
-    """The next n runs of each rule after an instant (UTC), with nth from 1; at most as many as remain of a rule that ends by count."""
+    """The next n runs of each rule after an instant (UTC), with nth from 1; at most as many as remain of a rule that ends by count.
+
+    A rule's row makes its own runs, no more than n and those of the spare days; no run is shuffled but those of rules that share a number."""
     first = F.date_sub(F.to_date(after), 1)
-    found = instants_of(rules, first, F.date_add(F.greatest(first, F.col("start")), LONGEST_GAP)).where(F.col("at") > after)
-    limit = F.lit(n) if remaining is None else F.when(F.col("ending") == "count", F.least(F.lit(n), F.coalesce(remaining, F.lit(n)))).otherwise(n)
-    return found.withColumn("nth", F.row_number().over(Window.partitionBy("rule").orderBy("at"))).where(F.col("nth") <= n).where(F.col("nth") <= limit)
+    limit = F.lit(n) if remaining is None else F.when(F.col("ending") == "count", F.greatest(F.lit(0), F.least(F.lit(n), F.coalesce(remaining, F.lit(n))))).otherwise(n)
+    alone, shared = (_next_runs(r, first, after, limit) for r in _by_copies(rules))
+    merged = shared.dropDuplicates(["rule", "at"]).withColumn("nth", F.row_number().over(Window.partitionBy("rule").orderBy("at")))
+    return alone.unionByName(merged.where(F.col("nth") <= F.col("_limit"))).drop("_limit")
+
+
+def _next_runs(rules: DataFrame, first: Column, after: Column, limit: Column) -> DataFrame:
+    """rules with at, nth and _limit: the next runs of each row by itself."""
+    spanned = _with_candidates(rules, first, F.date_add(F.greatest(first, F.col("start")), LONGEST_GAP)).withColumn("_limit", limit)
+    days, chosen = F.col("_limit") + SPARE_DAYS, F.bit_count(F.col("weekdays").bitwiseAND(127))
+    enough = (
+        F.when(_of_week(), F.when(chosen > 0, (F.ceil(days / chosen) + 1) * 7).otherwise(0))
+        .when((F.col("frequency") == "daily") & F.col("workdays_only"), (F.ceil(days / 5) + 1) * 7)
+        .when((F.col("monthly_mode") == "weekday") & (F.col("week_of_month") > 4), F.col("_size"))  # not in every month
+        .otherwise(days + 1)
+    )
+    taken = spanned.withColumn("_size", F.least("_size", enough.cast("int")))
+    candidates = F.when(F.col("_size") > 0, F.transform(F.sequence(F.lit(0), F.col("_size") - 1), _candidate))
+    dated = taken.withColumn("_days", F.slice(F.filter(candidates, _belongs), F.lit(1), days)).withColumn("_minutes", _minutes_of())
+    each = F.flatten(F.transform("_days", lambda d: F.transform("_minutes", lambda m: F.to_utc_timestamp(_local(d, m), F.col("zone")))))
+    runs = dated.withColumn("_at", F.slice(F.array_sort(F.array_distinct(F.filter(each, lambda a: a > after))), F.lit(1), F.col("_limit")))
+    numbered = runs.select(*rules.columns, "_limit", F.posexplode("_at").alias("_nth", "at"))
+    return numbered.withColumn("nth", F.col("_nth") + 1).drop("_nth")
 
 
 def counts_between(rules: DataFrame, after: Column, until: Column, *, cap: int = 1000) -> DataFrame:
