@@ -113,11 +113,13 @@ def _candidates(width: int, factor: int) -> str:
 
 def _valid_query(name: str, preset: str, width: int, factor: int) -> None:
     source = _candidates(width, factor)
+    # a long holds the products of keys up to 10^11, or else they are decimals
+    wide = source if factor * 10**11 < 2**63 else source.replace("o_orderkey * ", "cast(o_orderkey AS decimal(19, 0)) * ")
     sql = f"WITH c AS ({source.format(orders='orders')}) SELECT id, v FROM c WHERE {SQL_VALID[preset].format(d='v')}"
 
     @query(sql, name)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = spark.sql(source, orders=table(spark, sf_dir, "orders"))
+        c = spark.sql(wide, orders=table(spark, sf_dir, "orders"))
         return c.where(VALIDATORS[preset](F.col("v")))
 
 

@@ -113,3 +113,15 @@ def test_too_long_a_list(spark, sf, monkeypatch):
     monkeypatch.setattr(plans.m, "MAX_TERMS", 3)
     with pytest.raises(ValueError):
         plans.m2_many_terms(spark, sf)
+
+
+def test_card_candidates_of_large_keys(spark, tmp_path):
+    """The products of large keys, which a long can't hold, are exact."""
+    from sievefold.plans import catalog, matching  # noqa: F401
+
+    keys = [*range(3_000_000, 3_000_400), 36_000_000, 9_000_000_000_000_000_000]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    found = {(x.id, x.v) for x in catalog.QUERIES["v3_card"](spark, str(tmp_path)).collect()}
+    numbers = {k: str(k * 4435567890123 % 10**16).rjust(16, "0") for k in keys}
+    luhn = lambda d: sum((int(c) * 2 - 9 * (c > "4") if i % 2 else int(c)) for i, c in enumerate(reversed(d))) % 10 == 0
+    assert found == {(k, v) for k, v in numbers.items() if v[0] in "3456" and len(set(v)) > 1 and luhn(v)}
