@@ -149,11 +149,14 @@ def with_repositories(events: DataFrame, targets: DataFrame, boxes: DataFrame) -
     places = events.where("kind = 'local'").select("scan", "item").distinct().withColumn("_key", _path_key(F.col("item")))
     ups = places.withColumn("_up", F.explode(ancestors(F.col("_key"))))
     roots = targets.where("type = 'local' and path <> ''").select("scan", _path_key(F.col("path")).alias("_up"), F.col("id").alias("_root"), F.length(F.regexp_replace("path", r"[\\/]+$", "")).alias("_long"))
+    # of targets with the same path only the one that wins the tie, so that an item meets at most one a folder
+    roots = roots.groupBy("scan", "_up").agg(F.min_by(F.struct("_root", "_long"), "_root").alias("_r")).select("scan", "_up", "_r.*")
     closest = F.max_by(F.struct("_root", "_long", (F.col("_key") != F.col("_up")).alias("_below")), F.struct(F.length("_up"), -F.col("_root")))
     held = ups.join(roots, ["scan", "_up"]).groupBy("scan", "item").agg(closest.alias("_in"))
     # mailboxes of the scan's connections
     wanted = events.where("kind = 'mail' and mailbox <> ''").select("scan", F.lower("mailbox").alias("_box")).distinct()
-    owners = wanted.join(targets.where("type = 'source'").select("scan", F.col("id").alias("source")), "scan").join(boxes.select("source", F.lower("address").alias("_box")).distinct(), ["source", "_box"])
+    held_by = targets.where("type = 'source'").select("scan", F.col("id").alias("source")).join(boxes.select("source", F.lower("address").alias("_box")).distinct(), "source")
+    owners = held_by.join(wanted, ["scan", "_box"], "left_semi")
     owned = owners.groupBy("scan", "_box").agg(F.count("*").alias("_n"), F.min("source").alias("_owner")).where("_n = 1").drop("_n")
 
     out = events.join(only, ["scan", "kind"], "left").join(held.withColumn("kind", F.lit("local")), ["scan", "item", "kind"], "left")
