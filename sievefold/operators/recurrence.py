@@ -174,10 +174,25 @@ def _local(day: Column, minute: Column) -> Column:
     return F.timestamp_seconds(F.unix_timestamp(day.cast("timestamp")) + minute * 60)
 
 
+def _own_instants(rules: DataFrame, first: Column, last: Column) -> DataFrame:
+    """instants_of each row by itself, made and checked row by row. A time that the clock skips is left out where the one that it becomes is a run too."""
+    each = _days_within(rules, first, last).withColumn("_m", F.explode(_minutes_of()))
+    each = each.withColumn("_local", _local(F.col("day"), F.col("_m"))).withColumn("at", F.to_utc_timestamp("_local", F.col("zone")))
+    shown = F.from_utc_timestamp("at", F.col("zone"))
+    day = F.to_date(shown)
+    past = F.unix_timestamp(shown) - F.unix_timestamp(day.cast("timestamp")) - F.col("minute") * 60  # seconds since the day's first run
+    hourly = F.col("frequency") == "hourly"
+    in_day = F.when(hourly, past.between(0, (F.col("until_minute") - F.col("minute")) * 60) & (past % (F.col("interval") * 3600) == 0)).otherwise(past == 0)
+    twice = (shown != F.col("_local")) & in_day & _belongs(day)
+    return each.where(~F.coalesce(twice, F.lit(False))).drop("_m", "_local", "day", *_SPAN)
+
+
 def instants_of(rules: DataFrame, first: Column, last: Column) -> DataFrame:
-    """rules with at (UTC), strictly increasing in a rule: a local time that the clock skips becomes the next one, once."""
-    each = days_of(rules, first, last).withColumn("_m", F.explode(_minutes_of()))
-    return each.withColumn("at", F.to_utc_timestamp(_local(F.col("day"), F.col("_m")), F.col("zone"))).drop("_m", "day").dropDuplicates(["rule", "at"])
+    """rules with at (UTC), strictly increasing in a rule: a local time that the clock skips becomes the next one, once.
+
+    No run is shuffled but those of rules that share a number."""
+    alone, shared = (_own_instants(r, first, last) for r in _by_copies(rules))
+    return alone.unionByName(shared.dropDuplicates(["rule", "at"]))
 
 
 #: Fixed value: days on which a rule may run and yet have no run of its own after an instant: those around the instant in any zone, and one that the clock skips.

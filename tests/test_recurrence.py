@@ -99,3 +99,11 @@ def test_upcoming_makes_few_days(rules):
     assert spanned.where("frequency = 'monthly'").agg(F.max("_size")).first()[0] <= r.LONGEST_GAP // 28
     plan = r.upcoming_of(rules, after, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(sequence" not in plan and plan.count("Deduplicate") <= 1
+
+
+def test_instants_of_many(rules):
+    """Local times that the clock skips count once; runs are not shuffled but those of rules that share a number."""
+    found = r.instants_of(rules, F.lit(FIRST), F.lit(LAST))
+    assert got(found) == {k: sorted(v) for k, v in by_rule((row, of_runs(row, FIRST, LAST)) for row in rule_rows()).items() if v}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "(_copies" in plan
