@@ -196,3 +196,24 @@ def test_predictors():
     s = pdf.Stream({"Filter": pdf.Name("FlateDecode"), "DecodeParms": {"Predictor": 15, "Columns": 3, "Colors": 3}})
     s.raw = zlib.compress(coded)
     assert pdf.Document(b"").decoded(s) == b"".join(rows)
+
+
+def test_nested_messages_and_single_pass(spark):
+    """Attached messages are read without being written and parsed again; contents that Python makes are made once a row."""
+    from pyspark.sql import functions as F
+
+    from sievefold.plans import office_files
+    from sievefold.sources import extract
+
+    parsed = []
+    real, extract.email.message_from_bytes = extract.email.message_from_bytes, lambda *a, **k: parsed.append(1) or real(*a, **k)
+    try:
+        status, _, segments, *_ = extract.read_file(office_files.attached("some text", 2), ".eml")
+    finally:
+        extract.email.message_from_bytes = real
+    assert status == "ok" and ("f.docx", "some text") in [(a, t.strip()) for a, t in segments] and len(parsed) == 1
+
+    made = spark.createDataFrame([(1, "abc")], "id long, t string").select("id", F.lit("f.eml").alias("name"), office_files.attached_of("t", F.lit(1)).alias("content"))
+    done = extract.extract(made.withColumn("size", F.length("content").cast("long")))
+    assert done._jdf.queryExecution().executedPlan().toString().count("attached_of") <= 2  # the node's function and its output
+    assert [s.text.strip() for s in done.first().segments if s.label == "f.docx"] == ["abc"]
