@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as _html
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -16,20 +16,29 @@ NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00
 _ENTITY = re.compile(r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 
 
-@F.pandas_udf(StringType())
-def _decode(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: _ENTITY.sub(lambda m: _html.unescape(m.group()), s), na_action="ignore")
+def unescaped(text: str) -> str:
+    return _ENTITY.sub(lambda m: _html.unescape(m.group()), text)
+
+
+@F.arrow_udf(StringType())
+def _decode(texts: pa.Array) -> pa.Array:
+    return pa.array([s if s is None else unescaped(s) for s in texts.to_pylist()], pa.string())
 
 
 def decode_entities(text: Column) -> Column:
     """Each entity once, left to right; rows without other than the frequent ones stay in the JVM."""
-    rest = r"&(?!lt;|gt;|quot;|apos;|nbsp;|ndash;|mdash;|hellip;|lsquo;|rsquo;|ldquo;|rdquo;|bull;|euro;|trade;|amp;)(#|[A-Za-z]{2,31};)"
-    few = text
+    hard = has_rare_entities(text)
+    return F.when(hard, _decode(F.when(hard, text))).otherwise(frequent_entities(text))
+
+
+def has_rare_entities(text: Column) -> Column:
+    return text.rlike(r"&(?!lt;|gt;|quot;|apos;|nbsp;|ndash;|mdash;|hellip;|lsquo;|rsquo;|ldquo;|rdquo;|bull;|euro;|trade;|amp;)(#|[A-Za-z]{2,31};)")
+
+
+def frequent_entities(text: Column) -> Column:
     for entity, char in NAMED.items():
-        few = F.replace(few, F.lit(entity), F.lit(char))
-    few = F.replace(few, F.lit("&amp;"), F.lit("&"))
-    hard = text.rlike(rest)
-    return F.when(hard, _decode(F.when(hard, text))).otherwise(few)
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
 def html_to_text(html: Column, *, entities: bool = True) -> Column:

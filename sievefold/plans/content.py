@@ -5,9 +5,10 @@ from __future__ import annotations
 import base64
 import io
 import zipfile
+from collections.abc import Iterator
 from html.entities import name2codepoint
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -16,6 +17,7 @@ from ..functions import filetypes as ft
 from ..functions import html as h
 from ..functions import markup
 from ..sources import compound, extract, folders, logs, readers
+from ..sources.batches import made
 from ..tables import shared_folder
 from . import office_files
 from .catalog import query
@@ -153,8 +155,8 @@ def s3_messages_in_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHAPES = ("docx", "xlsx", "odt", "rtf", "eml", "zip", "pdf", "doc", "html", "utf16")
 
 
-@F.pandas_udf(BinaryType())
-def _written(shape: pd.Series, text: pd.Series) -> pd.Series:
+@F.arrow_udf(BinaryType())
+def _written(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """A file of each shape that holds a text of letters, digits and single spaces: the input of x8_formats."""
 
     def zipped(parts: dict[str, str]) -> bytes:
@@ -179,7 +181,7 @@ def _written(shape: pd.Series, text: pd.Series) -> pd.Series:
             "utf16": lambda: t.encode("utf-16-be"),
         }[shape]()
 
-    return pd.Series([one(k, t) for k, t in zip(shape, text, strict=True)])
+    yield from made(one, batches, BinaryType())
 
 
 def _joined(close: Column) -> Column:

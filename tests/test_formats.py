@@ -217,3 +217,21 @@ def test_nested_messages_and_single_pass(spark):
     done = extract.extract(made.withColumn("size", F.length("content").cast("long")))
     assert done._jdf.queryExecution().executedPlan().toString().count("attached_of") <= 2  # the node's function and its output
     assert [s.text.strip() for s in done.first().segments if s.label == "f.docx"] == ["abc"]
+
+
+def test_one_worker_to_a_task_and_small_batches(spark):
+    """Texts, markup and files of all kinds are read by one helper, whose results leave in small batches."""
+    import pyarrow as pa
+    from pyspark.sql.types import StringType
+
+    from sievefold.sources import batches
+
+    files = {"a.txt": "ação é".encode("cp1252") + b"\x81\x80", "b.html": "<p>&copy; &lt;&#8364;</p>".encode(), "c.html": b"<b>x &amp; y</b>", "d.rtf": rb"{\rtf1 abc}"}
+    df = spark.createDataFrame([(n, len(b), bytearray(b)) for n, b in files.items()], "name string, size long, content binary")
+    done = extract.extract(df)
+    assert done._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.name: r.segments[0].text.strip() for r in done.collect()} == {"a.txt": "ação é�€", "b.html": "© <€", "c.html": "x & y", "d.rtf": "abc"}
+
+    texts = pa.array(["x" * 300_000] * 9 + [None])
+    made = list(batches.made(lambda t: t.upper(), [(texts,)], StringType()))
+    assert [len(a) for a in made] == [4, 4, 2] and pa.concat_arrays(made).to_pylist() == ["X" * 300_000] * 9 + [None]
