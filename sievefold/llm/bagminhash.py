@@ -56,15 +56,30 @@ STAR, STAR_SIZE = 256, 1 << 18  # members that are verified with one lead in a u
 LEFT, RIGHT = 1024, 4096  # members of the two blocks of a unit, about,
 LEFT_SIZE, RIGHT_SIZE = 1 << 18, 1 << 19  # and their shingles
 FEW = 300_000  # rows of 24 bytes, or signatures, that are broadcast at most
+DRAWN = 4096  # points that are drawn at once, if so many blocks aren't left
 CACHE = 100_000  # words whose hashes a worker remembers; the memory is emptied when full
 _U = np.uint64
-_known: dict[str, int] = remembered({})
+
+
+class _Hashes(dict):
+    """Hashes of words, made when they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        own = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return own
+
+
+_known: dict[str, int] = remembered(_Hashes())
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    shifted = x >> _U(30)
+    x = x ^ shifted
+    for factor, shift in ((_U(0xBF58476D1CE4E5B9), _U(27)), (_U(0x94D049BB133111EB), _U(31))):  # in place
+        x *= factor
+        np.right_shift(x, shift, out=shifted)
+        x ^= shifted
+    return x
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -77,12 +92,7 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     w = words(text)
     if len(_known) > CACHE:
         _known.clear()
-    h = np.empty(len(w), np.uint64)
-    for k, x in enumerate(w):
-        v = _known.get(x)
-        if v is None:
-            v = _known[x] = xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"))
-        h[k] = v
+    h = np.fromiter(map(_known.__getitem__, w), np.uint64, len(w))
     if not len(w):
         return h
     n = max(1, len(w) - size + 1)
@@ -99,6 +109,7 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) -> np.ndarray:
     """(bags, slots) times of the earliest points; bags are not empty."""
     sig = np.full((len(bags), slots), np.inf)
+    flat = sig.reshape(-1)
     total = np.array([c.sum() for _, c in bags], np.float64)
     doc = np.repeat(np.arange(len(bags)), [len(h) for h, _ in bags])
     element = np.concatenate([h for h, _ in bags])
@@ -114,19 +125,24 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) ->
     while len(todo):
         chosen = np.zeros(len(bags), bool)
         chosen[todo] = True
-        at = np.flatnonzero(chosen[doc])
+        at, nth = np.flatnonzero(chosen[doc]), 0
         time = np.zeros(len(at))
-        nth = 0
         while len(at):
-            nth += 1
-            h = _mix(seed[at] + _U(nth * 0xD1342543DE82EF95 & (1 << 64) - 1))
-            time = time - np.log(_uniform(h)) / rate[at]
-            on = time <= limit[doc[at]]
-            at, time, h = at[on], time[on], h[on]
+            # a point of each block, or several of few blocks: those of short documents have hundreds
+            many = max(1, DRAWN // len(at))
+            steps = np.arange(nth + 1, nth + many + 1, dtype=np.uint64) * _U(0xD1342543DE82EF95)
+            nth += many
+            h = _mix(seed[at][:, None] + steps)
+            passed = np.log(_uniform(h)) / -rate[at][:, None]
+            passed[:, 0] += time
+            times = np.cumsum(passed, axis=1, out=passed) if many > 1 else passed
+            on = times <= limit[doc[at]][:, None]
+            own, h, drawn = (np.repeat(at, many) if many > 1 else at)[on.ravel()], h[on], times[on]
             mark = _mix(h ^ _U(0xA0761D6478BD642F))
-            below = low[at] + rate[at] * ((mark >> _U(32)).astype(np.float64) * 2.0**-32) < weight[at]
-            slot = (mark & _U(0xFFFFFFFF)).astype(np.int64) % slots
-            np.minimum.at(sig, (doc[at][below], slot[below]), time[below])
+            below = low[own] + rate[own] * ((mark >> _U(32)).astype(np.float64) * 2.0**-32) < weight[own]
+            place = doc[own] * slots + (mark & _U(0xFFFFFFFF)).astype(np.int64) % slots
+            np.minimum.at(flat, place[below], drawn[below])
+            at, time = at[on[:, -1]], times[on[:, -1], -1]
         todo = todo[np.isinf(sig[todo]).any(axis=1)]
         limit[todo] *= 2
     return sig

@@ -105,7 +105,8 @@ def lower_ascii_col(text: Column) -> Column:
 def lower_ascii(text: str | None) -> str:
     if not text:
         return ""
-    return text.lower() if text.isascii() else text.translate(_TABLE)
+    # of bytes, lower() changes A-Z alone, which no longer character holds; a translation would look each character up
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def words(text: str | None) -> list[str]:

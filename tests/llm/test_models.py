@@ -357,3 +357,22 @@ def test_toxicity_by_language(spark):
     for lang in {k[0] for k in seen}:
         found, missed = seen[lang, 1, 1], seen[lang, 1, 0]
         assert found >= 0.9 * (found + missed), (lang, found, missed)
+
+
+def test_short_documents_take_few_draws(monkeypatch):
+    """Signatures of short texts draw many points at once; those are the points that would come one after another."""
+    from sievefold.llm import bagminhash as b
+
+    bags = [b.bag(f"um texto {k}") for k in range(60)] + [b.bag("ação " * 300 + str(k)) for k in range(4)]
+    calls, mix = [], b._mix
+    monkeypatch.setattr(b, "_mix", lambda x: calls.append(1) or mix(x))
+    found = b.signatures(bags)
+    assert len(calls) < 300
+    monkeypatch.setattr(b, "DRAWN", 1)
+    assert (b.signatures(bags) == found).all()
+
+
+def test_only_ascii_letters_are_lowered():
+    from sievefold.llm.common import lower_ascii
+
+    assert lower_ascii("AÇÃO É K İ Z\ud800") == "aÇÃo É K İ z\ud800"
