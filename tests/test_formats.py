@@ -235,3 +235,12 @@ def test_one_worker_to_a_task_and_small_batches(spark):
     texts = pa.array(["x" * 300_000] * 9 + [None])
     made = list(batches.made(lambda t: t.upper(), [(texts,)], StringType()))
     assert [len(a) for a in made] == [4, 4, 2] and pa.concat_arrays(made).to_pylist() == ["X" * 300_000] * 9 + [None]
+
+
+def test_streams_of_files_that_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    made = spark.createDataFrame([(1, "abc"), (2, None)], "id long, t string").select("id", w.office_file(F.when(F.col("t").isNotNull(), "dat"), "t", "id").alias("content"))
+    found = compound.streams(made)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2  # made, and read
+    assert sorted((r.id, r.path, bytes(r.stream)) for r in found.collect()) == [(1, "Box/Inner/Deep", b"abc"), (1, "Contents", b"abc")]
