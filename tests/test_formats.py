@@ -244,3 +244,9 @@ def test_streams_of_files_that_are_made_once(spark):
     found = compound.streams(made)
     assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2  # made, and read
     assert sorted((r.id, r.path, bytes(r.stream)) for r in found.collect()) == [(1, "Box/Inner/Deep", b"abc"), (1, "Contents", b"abc")]
+
+
+def test_texts_go_through_one_worker(spark, sf):
+    from sievefold.plans import catalog
+
+    assert catalog.QUERIES["x15_extraction"](spark, sf)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
