@@ -246,7 +246,10 @@ def test_streams_of_files_that_are_made_once(spark):
     assert sorted((r.id, r.path, bytes(r.stream)) for r in found.collect()) == [(1, "Box/Inner/Deep", b"abc"), (1, "Contents", b"abc")]
 
 
-def test_texts_go_through_one_worker(spark, sf):
+@pytest.mark.parametrize(("name", "nodes"), [("x15_extraction", 1), ("x10_office_files", 2), ("x11_pdf_pages", 2)])
+def test_texts_go_through_one_worker(spark, sf, name, nodes):
+    """One for the reader, and one where a query makes its files."""
     from sievefold.plans import catalog
 
-    assert catalog.QUERIES["x15_extraction"](spark, sf)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    catalog.load()
+    assert catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == nodes
