@@ -29,9 +29,10 @@ from tokenizers.pre_tokenizers import ByteLevel
 from .common import give_back, remembered, slices
 
 #: The pattern of the byte-level pre-tokenizer for texts in which only characters stand whose classes every version of Unicode
-#: knows alike; other texts are cut by the library itself.
-_FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+")
-_UNSAFE = re.compile(r"[^\t\n\r -~¡-©«-±´¶-¸»¿-ɏΑ-ΡΣ-ωА-я–—‘-„…€]")
+#: knows alike; other texts are cut by the library itself. Listed classes are looked up faster than \w and \d.
+_LETTERS, _OTHERS = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-ωА-я", r"!-/:-@\[-`{-~¡-©«-±´¶-¸»¿×÷–—‘-„…€"
+_FAST = re.compile(rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[{_OTHERS}]+|\s+(?!\S)|\s+")
+_UNSAFE = re.compile(rf"[^\t\n\r 0-9{_LETTERS}{_OTHERS}]")
 _BYTE_LEVEL = ByteLevel(add_prefix_space=False)
 CACHE = 150_000  # pieces that a worker remembers; the memory is emptied when full
 

@@ -48,27 +48,26 @@ def pack(v: np.ndarray, width: int) -> np.ndarray:
     """(n, BLOCK) values below 2**width as (n, width * LANES) words."""
     n = len(v)
     rows = v.reshape(n, BLOCK // LANES, LANES)
-    out = np.zeros((n, width, LANES), np.uint64)
+    out = np.zeros((n, width, LANES), np.uint32)
     for r in range(BLOCK // LANES if width else 0):
         word, shift = divmod(r * width, 32)
-        x = rows[:, r, :].astype(np.uint64) << np.uint64(shift)
-        out[:, word] |= x & np.uint64(0xFFFFFFFF)
+        out[:, word] |= rows[:, r] << np.uint32(shift)
         if shift + width > 32:
-            out[:, word + 1] |= x >> np.uint64(32)
-    return out.astype(np.uint32).reshape(n, width * LANES)
+            out[:, word + 1] |= rows[:, r] >> np.uint32(32 - shift)
+    return out.reshape(n, width * LANES)
 
 
 def unpack(words: np.ndarray, width: int) -> np.ndarray:
     n = len(words)
-    w = words.reshape(n, width, LANES).astype(np.uint64)
+    w = words.reshape(n, width, LANES)
     out = np.zeros((n, BLOCK // LANES, LANES), np.uint32)
-    mask = np.uint64((1 << width) - 1)
+    mask = np.uint32((1 << width) - 1)
     for r in range(BLOCK // LANES if width else 0):
         word, shift = divmod(r * width, 32)
-        x = w[:, word] >> np.uint64(shift)
+        x = w[:, word] >> np.uint32(shift)
         if shift + width > 32:
-            x |= w[:, word + 1] << np.uint64(32 - shift)
-        out[:, r] = (x & mask).astype(np.uint32)
+            x |= w[:, word + 1] << np.uint32(32 - shift)
+        out[:, r] = x & mask
     return out.reshape(n, BLOCK)
 
 
@@ -133,18 +132,33 @@ def decode_payload(payload: bytes) -> np.ndarray:
     return decode_range(payload, 0, int(np.frombuffer(payload, "<u4", 1)[0]))
 
 
-class Encoder:
-    """The tokenizers library's model, with the ids of pieces that it has encoded."""
+class Encoder(dict):
+    """The tokenizers library's model, with the ids of pieces that it has encoded; a piece is looked up once wherever it stands."""
 
     def __init__(self, content: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_str(content).model
+        super().__init__()
+        self.tokenize = Tokenizer.from_str(content).model.tokenize
         own = tokenizer(content)
         self.split_added, self.added = own.split_added, own.added
         #: the model reads bytes as the printable characters that stand for them
         self.shown = {byte: char for char, byte in byte_alphabet().items()}
-        self.known: dict[str, bytes] = {}
+        #: pieces that are forgotten after their text
+        self.long: list[str] = []
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece in self.added:
+            ids = [self.added[piece]]
+        else:
+            ids = [t.id for t in self.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown))]
+        made = np.array(ids, "<u4").tobytes() if sys.byteorder != "little" else array("I", ids).tobytes()
+        if len(self) >= KNOWN:
+            self.clear()
+        self[piece] = made
+        if len(piece) > 64:
+            self.long.append(piece)
+        return made
 
     def _pieces(self, text: str) -> list[str]:
         if self.split_added is None:
@@ -156,21 +170,9 @@ class Encoder:
         return out + pieces(text[at:])
 
     def encode(self, text: str) -> np.ndarray:
-        own, known = self._pieces(text), self.known
-        if len(known) > KNOWN:
-            known.clear()
-        new = [p for p in dict.fromkeys(own) if p not in known]
-        tokenize, shown, added = self.model.tokenize, self.shown, self.added
-        for p in new:
-            if p in added:
-                ids = [added[p]]
-            else:
-                ids = [t.id for t in tokenize(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(shown))]
-            known[p] = np.array(ids, "<u4").tobytes() if sys.byteorder != "little" else array("I", ids).tobytes()
-        out = np.frombuffer(b"".join([known[p] for p in own]), "<u4")
-        for p in new:
-            if len(p) > 64:
-                del known[p]
+        out = np.frombuffer(b"".join(map(self.__getitem__, self._pieces(text))), "<u4")
+        while self.long:
+            self.pop(self.long.pop(), None)
         return out
 
 
