@@ -107,3 +107,14 @@ def test_instants_of_many(rules):
     assert got(found) == {k: sorted(v) for k, v in by_rule((row, of_runs(row, FIRST, LAST)) for row in rule_rows()).items() if v}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "(_copies" in plan
+
+
+def test_clock_change_takes_rules_of_every_kind(spark, sf):
+    from sievefold.plans import catalog, views
+
+    catalog.load()
+    rows = views.view(spark, sf, "rules").collect()
+    want = {(row[0], f"{a:%Y-%m-%d %H:%M}") for row in rows for a in of_runs(row, dt.date(2026, 1, 1), row.start + dt.timedelta(120))}
+    found = catalog.QUERIES["r3_clock_change"](spark, sf).collect()
+    assert len(found) == len(want) and {(x.rule, x.at) for x in found} == want
+    assert {row.frequency for row in rows if row.rule in {x.rule for x in found}} == {row.frequency for row in rows}
