@@ -7,6 +7,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 from html.entities import name2codepoint
+from string import ascii_letters, digits
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -244,6 +245,11 @@ def x10_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compound.streams(files).select("id", "path", F.length("stream").cast("long").alias("bytes"))
 
 
+def _with_single(kind: str, text: Column | str) -> Column:
+    """text with a space for each run of a class of characters that has the space; those that are one space already aren't rewritten."""
+    return F.regexp_replace(text, f"{kind}(?:(?<! )|(?={kind})){kind}*+", " ")
+
+
 _LATIN = "trim(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9()\\\\áéíóúãõçñäöüßèêàâ]+', ' ', 'g'), ' +', ' ', 'g'))"
 
 
@@ -254,12 +260,14 @@ _LATIN = "trim(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9()\\\\áéíóú
 )
 def x11_pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text in a PDF file of two pages: a simple font with escapes, and a font of two-byte codes with a map; pictures aren't read. Every other file has its objects in streams."""
-    latin = F.trim(F.regexp_replace(F.regexp_replace("text", r"[^a-zA-Z0-9()\\áéíóúãõçñäöüßèêàâ]+", " "), " +", " "))
-    f = view(spark, sf_dir, "files").select("id", latin.alias("t")).where("length(t) >= 40").withColumn("half", F.floor(F.length("t") / 2).cast("int"))
+    # letters are listed, as Java looks them up in a table then; it tries ranges one after another
+    latin = F.trim(_with_single(rf"[^{ascii_letters}{digits}()\\áéíóúãõçñäöüßèêàâ]", "text"))
+    # a table may be one block of rows, which one task would read: the texts are dealt out before the work
+    f = extract.once(view(spark, sf_dir, "files").select("id", "text").repartition("id"), t=latin).where("length(t) >= 40").withColumn("half", F.floor(F.length("t") / 2).cast("int"))
     parts = f.select("id", F.substring("t", F.lit(1), F.col("half")).alias("a"), F.substring("t", F.col("half") + 1, F.length("t")).alias("b"))
     files = parts.select("id", F.lit("f.pdf").alias("name"), office_files.pdf_of("a", "b", F.col("id") % 2 == 0).alias("content"))
     done = extract.extract(files.withColumn("size", F.length("content").cast("long")))
-    page = lambda k: F.md5(F.trim(F.regexp_replace(F.get("segments", F.lit(k))["text"], r"\s+", " ")).cast("binary"))
+    page = lambda k: F.md5(F.trim(_with_single(r"\s", F.get("segments", F.lit(k))["text"])).cast("binary"))
     labels = F.array_join(F.transform("segments", lambda s: s["label"]), ",")
     return done.select("id", "status", "author", F.col("metadata")["created"].alias("created"), F.size("segments").cast("long").alias("pages"), labels.alias("labels"), page(0).alias("first"), page(1).alias("second"))
 

@@ -253,3 +253,37 @@ def test_texts_go_through_one_worker(spark, sf, name, nodes):
 
     catalog.load()
     assert catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == nodes
+
+
+def test_long_lists_of_strings_are_decoded_together(monkeypatch):
+    """A page costs no call for each of its words; gaps, codes without a character and strings that aren't of that kind are read as one by one."""
+    calls = []
+    real = pdf.Font.text
+    monkeypatch.setattr(pdf.Font, "text", lambda self, raw: calls.append(1) or real(self, raw))
+    a, b = prose(900, 2), prose(900, 3)
+    _, segments, _ = pdf.pages(w.pdf_file(a, b, packed=False))
+    assert [re.sub(r"\s+", " ", t) for _, t in segments] == [a, b] and len(calls) <= 101  # the lines of the first page
+
+    font = pdf.Font(pdf.Document(b""), {"Subtype": pdf.Name("Type0")})
+    font._read_map(b"1 begincodespacerange <0000> <FFFF> endcodespacerange 4 beginbfchar <0003> <0061> <0004> <0062> <0005> <0020> <D800> <00E9> endbfchar")
+    rng = random.Random(3)
+    words = [b"<0003>", b"<0004>", b"<0005>", b"<>", b"<0009>", b"<D8000003>", b"-400", b"-201.5", b"-3", b"+7"]
+    for k in range(300):
+        raw = b" ".join(rng.choice(words + [b"<DFFF>"] * (k % 10 == 0) + [b"<003>"] * (k % 10 == 1) + [b"(\\0\\3)"] * (k % 10 == 2)) for _ in range(rng.randint(1, 40)))
+        together, one_by_one = pdf.PageText(None, 1), pdf.PageText(None, 1)
+        for page in (together, one_by_one):
+            page.put(rng.choice(("", "x", "x ")) if page is together else "".join(together.out), 1.0)
+            page.gap = k % 2 == 0
+        together.show_flat(font, raw, 1.0)
+        one_by_one.show_all(font, pdf.Reader(raw + b"]")._list(0), 1.0)
+        assert ("".join(together.out), together.gap, together.shown) == ("".join(one_by_one.out), one_by_one.gap, one_by_one.shown)
+
+
+def test_texts_of_pages_are_cleaned_once(spark, sf):
+    """One search for the text that goes into a file, after the texts are dealt out."""
+    from sievefold.plans import catalog
+
+    catalog.load()
+    plan = catalog.QUERIES["x11_pdf_pages"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") == 3 and plan.count("a-zA-Z") == 0  # the class stands three times in one search
+    assert "RepartitionByExpression" in plan  # a table that is one block of rows isn't one task's work
