@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: The longest a rule may pause, the most runs of one, and the largest intervals.
 LONGEST_GAP, MOST_RUNS = 3700, 10_000
+DAY = 86_400  # seconds
 INTERVALS = {"hourly": 23, "daily": 365, "weekly": 52, "monthly": 24}
 
 
@@ -175,16 +176,21 @@ def _local(day: Column, minute: Column) -> Column:
 
 
 def _own_instants(rules: DataFrame, first: Column, last: Column) -> DataFrame:
-    """instants_of each row by itself, made and checked row by row. A time that the clock skips is left out where the one that it becomes is a run too."""
-    each = _days_within(rules, first, last).withColumn("_m", F.explode(_minutes_of()))
-    each = each.withColumn("_local", _local(F.col("day"), F.col("_m"))).withColumn("at", F.to_utc_timestamp("_local", F.col("zone")))
+    """instants_of each row by itself, made and checked row by row. A time that the clock skips is left out where the one that it becomes is a run too.
+
+    A zone is asked twice a day, not for each run: where it is as far ahead the day before as after the next day (no zone changes its clock twice within that time), it is so all day."""
+    dated = _days_within(rules, first, last).withColumn("_midnight", F.unix_timestamp(F.col("day").cast("timestamp")))
+    ahead = lambda days: F.col("_midnight") + days * DAY - F.unix_timestamp(F.to_utc_timestamp(F.timestamp_seconds(F.col("_midnight") + days * DAY), F.col("zone")))
+    each = dated.withColumns({"_before": ahead(-1), "_after": ahead(2)}).withColumn("_ahead", F.when(F.col("_before") == F.col("_after"), F.col("_before"))).drop("_before", "_after").withColumn("_m", F.explode(_minutes_of()))
+    local = F.col("_midnight") + F.col("_m") * 60
+    each = each.withColumn("_local", F.timestamp_seconds(local)).withColumn("at", F.when(F.col("_ahead").isNotNull(), F.timestamp_seconds(local - F.col("_ahead"))).otherwise(F.to_utc_timestamp("_local", F.col("zone"))))
     shown = F.from_utc_timestamp("at", F.col("zone"))
     day = F.to_date(shown)
     past = F.unix_timestamp(shown) - F.unix_timestamp(day.cast("timestamp")) - F.col("minute") * 60  # seconds since the day's first run
     hourly = F.col("frequency") == "hourly"
     in_day = F.when(hourly, past.between(0, (F.col("until_minute") - F.col("minute")) * 60) & (past % (F.col("interval") * 3600) == 0)).otherwise(past == 0)
     twice = (shown != F.col("_local")) & in_day & _belongs(day)
-    return each.where(~F.coalesce(twice, F.lit(False))).drop("_m", "_local", "day", *_SPAN)
+    return each.where(F.col("_ahead").isNotNull() | ~F.coalesce(twice, F.lit(False))).drop("_m", "_local", "_midnight", "_ahead", "day", *_SPAN)
 
 
 def instants_of(rules: DataFrame, first: Column, last: Column) -> DataFrame:

@@ -118,3 +118,13 @@ def test_clock_change_takes_rules_of_every_kind(spark, sf):
     found = catalog.QUERIES["r3_clock_change"](spark, sf).collect()
     assert len(found) == len(want) and {(x.rule, x.at) for x in found} == want
     assert {row.frequency for row in rows if row.rule in {x.rule for x in found}} == {row.frequency for row in rows}
+
+
+def test_zones_are_asked_by_day(rules):
+    """Each run is reckoned from its day where the clock doesn't change nearby; those nights give the same runs as plain Python."""
+    near = [row for row in rule_rows() if row[15] in ("America/New_York", "America/Havana")]
+    first, last = dt.date(2026, 3, 6), dt.date(2026, 3, 10)  # the clock skips an hour on the 8th
+    found = r.instants_of(rules.where("zone in ('America/New_York', 'America/Havana')"), F.lit(first), F.lit(last))
+    assert got(found) == {k: sorted(v) for k, v in by_rule((row, of_runs(row, first, last)) for row in near).items() if v}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN isnotnull(_ahead" in plan
